@@ -6,7 +6,8 @@ between them, at random but so that the expected copies of each stay and the wor
 together do not change, until one has a whole number; the other meets the next.  What is left of
 each bucket of documents meets what is left of others in a tree, so no task reads a whole source.
 The one document left at the top of a source goes to the nearer whole number: a source misses its
-target by half a document at most.
+target by half a document at most.  Documents meet from the longest to the shortest, so the one left
+over is mostly short.
 
 Null texts have size 0; documents of size 0 are rounded on their own and take no words.  A null
 source is a source.  Repeated rows are separate documents.  Random numbers come from a seed and the
@@ -108,7 +109,7 @@ def _level(rows: DataFrame, level: int, seed: int, top: bool) -> DataFrame:
         if done:
             yield packed(done)
 
-    dealt = rows.repartition("s_hash", "bucket").sortWithinPartitions("s_hash", "bucket", "size", "key", "k_text")
+    dealt = rows.repartition("s_hash", "bucket").sortWithinPartitions("s_hash", "bucket", F.desc("size"), "key", "k_text")
     return dealt.mapInArrow(run, schema)
 
 
