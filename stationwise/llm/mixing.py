@@ -3,11 +3,13 @@
 A source's target over its size is the number of copies that each of its documents should have:
 a whole part, which it gets, and a fraction, which is rounded.  Two documents at a time pass mass
 between them, at random but so that the expected copies of each stay and the words of both
-together do not change, until one has a whole number; the other meets the next.  What is left of
-each bucket of documents meets what is left of others in a tree, so no task reads a whole source.
-The one document left at the top of a source goes to the nearer whole number: a source misses its
-target by half a document at most.  Documents meet from the longest to the shortest, so the one left
-over is mostly short.
+together do not change, until one has a whole number; the other meets the next.  A document more
+than twice as long as the next meets all that are left in its bucket at once, as one partner, each of
+which gives or takes in proportion to its length.  The one left over in a bucket goes up a tree, to
+be rounded with those of other buckets, so no task reads a whole source.  Every eighth document goes
+up with it unrounded, so that long documents meet enough short ones at each level.  The one left at
+the top of a source goes to the nearer whole number: a source misses its target by half of that
+document.
 
 Null texts have size 0; documents of size 0 are rounded on their own and take no words.  A null
 source is a source.  Repeated rows are separate documents.  Random numbers come from a seed and the
@@ -30,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from stationwise.llm.common import WORD, materialize, table, without
 
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
-BUCKET, FANOUT, SEED = 64, 64, 20_240_601
+BUCKET, FANOUT, HOLD, SEED = 64, 8, 8, 20_240_601
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
@@ -55,33 +57,30 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 
 def pivot(docs: list[tuple[float, int]], rng: random.Random) -> tuple[list[int], int | None, float]:
-    """Round the fractions of ``docs(fraction, size)``.
+    """Round the fractions of ``docs(fraction, size)``, sizes above 0 and falling.
 
     Gives each document's 0 or 1, and the place and fraction of the one left over, if any.
     """
-    out = [0] * len(docs)
-    held, p, s = None, 0.0, 0
-    for j, (q, t) in enumerate(docs):
-        if held is None:
-            held, p, s = j, q, t
-        else:
-            up = min((1 - p) * s, q * t)  # words that may pass from the new document to the held one
-            down = min(p * s, (1 - q) * t)
-            move = up if rng.random() * (up + down) < down else -down
-            p, q = p + move / s, q - move / t
-            done_p, done_q = p < 1e-9 or p > 1 - 1e-9, q < 1e-9 or q > 1 - 1e-9
-            if done_q:
-                out[j] = int(q > 0.5)
-            if done_p:
-                out[held] = int(p > 0.5)
-                held, p, s = (None, 0.0, 0) if done_q else (j, q, t)
-        if held is not None and (p < 1e-9 or p > 1 - 1e-9):
-            out[held], held = int(p > 0.5), None
-    return out, held, p
+    p, size, out = [q for q, _ in docs], [s for _, s in docs], [0] * len(docs)
+    open_ = list(range(len(docs)))
+    while len(open_) > 1:
+        i, rest = open_[0], open_[1:]
+        near = rest[:1] if 2 * size[rest[0]] >= size[i] else rest
+        words = sum(size[j] for j in near)
+        up = min((1 - p[i]) * size[i], words * min(p[j] for j in near))
+        down = min(p[i] * size[i], words * (1 - max(p[j] for j in near)))
+        move = up if rng.random() * (up + down) < down else -down
+        p[i] += move / size[i]
+        for j in near:
+            p[j] -= move / words
+        for k in [k for k in (i, *near) if not 1e-9 < p[k] < 1 - 1e-9]:
+            out[k] = int(p[k] > 0.5)
+            open_.remove(k)
+    return (out, open_[0], p[open_[0]]) if open_ else (out, None, 0.0)
 
 
 def _level(rows: DataFrame, level: int, seed: int, top: bool) -> DataFrame:
-    """One level of the tree: each (source, bucket) is rounded; ``bit`` stays null for the one left over."""
+    """One level of the tree: each (source, bucket) is rounded; ``bit`` stays null for those that go up."""
     names, schema = rows.columns, rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +96,12 @@ def _level(rows: DataFrame, level: int, seed: int, top: bool) -> DataFrame:
         types, done = [f.type for f in to_arrow_schema(schema)], []
         for place, group in groupby(each(), key=lambda r: (r[at["s_hash"]], r[at["bucket"]])):
             members = [list(r) for r in group]
-            bits, held, p = pivot([(m[at["p"]], m[at["size"]]) for m in members], random.Random(f"{seed}/{level}/{place}"))
-            for m, bit in zip(members, bits, strict=True):
+            now = members if top else [m for i, m in enumerate(members) if i % HOLD != HOLD - 1]
+            bits, held, p = pivot([(m[at["p"]], m[at["size"]]) for m in now], random.Random(f"{seed}/{level}/{place}"))
+            for m, bit in zip(now, bits, strict=True):
                 m[at["bit"]] = bit
             if held is not None:
-                members[held][at["p"]], members[held][at["bit"]] = p, int(p >= 0.5) if top else None
+                now[held][at["p"]], now[held][at["bit"]] = p, int(p >= 0.5) if top else None
             done += members
             if len(done) >= 10_000:
                 yield packed(done)
