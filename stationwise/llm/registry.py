@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from stationwise.llm.line_dedup import OP2_SQL, op2_cuckoo_lines
 from stationwise.llm.mixing import op1_pivotal_rounding
+from stationwise.llm.near_dup import op9_multi_index_minhash
 from stationwise.llm.quality import op10_compression_bands
 from stationwise.llm.sharding import op6_jump_hash
 
-QUERIES = {f.__name__: f for f in (op1_pivotal_rounding, op2_cuckoo_lines, op6_jump_hash, op10_compression_bands)}
+QUERIES = {f.__name__: f for f in (op1_pivotal_rounding, op2_cuckoo_lines, op6_jump_hash, op9_multi_index_minhash, op10_compression_bands)}
 ORACLES: dict[str, str] = {"op2_cuckoo_lines": OP2_SQL}
