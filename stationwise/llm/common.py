@@ -45,3 +45,12 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> list:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A table of at most so many bytes may be copied to every executor.
+COPY_BYTES = 16 << 20
+
+
+def copied_if_small(table: DataFrame, row_bytes: int, most: int = COPY_BYTES) -> DataFrame:
+    """A materialized ``table``, marked for broadcast if its counted rows are few enough; else Spark shuffles."""
+    return F.broadcast(table) if table.count() * (row_bytes + 32) <= most else table

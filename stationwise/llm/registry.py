@@ -8,7 +8,8 @@ from stationwise.llm.mixing import op1_pivotal_rounding
 from stationwise.llm.near_dup import op9_multi_index_minhash
 from stationwise.llm.quality import op10_compression_bands
 from stationwise.llm.sharding import op6_jump_hash
+from stationwise.llm.substring import OP4_SQL, op4_fm_index
 from stationwise.llm.warc import OP7_SQL, op7_loser_tree_merge
 
-QUERIES = {f.__name__: f for f in (op1_pivotal_rounding, op2_cuckoo_lines, op6_jump_hash, op7_loser_tree_merge, op8_wrapper_induction, op9_multi_index_minhash, op10_compression_bands)}
-ORACLES: dict[str, str] = {"op2_cuckoo_lines": OP2_SQL, "op7_loser_tree_merge": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_pivotal_rounding, op2_cuckoo_lines, op4_fm_index, op6_jump_hash, op7_loser_tree_merge, op8_wrapper_induction, op9_multi_index_minhash, op10_compression_bands)}
+ORACLES: dict[str, str] = {"op2_cuckoo_lines": OP2_SQL, "op4_fm_index": OP4_SQL, "op7_loser_tree_merge": OP7_SQL}
