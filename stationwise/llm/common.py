@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,21 @@ COPY_BYTES = 16 << 20
 def copied_if_small(table: DataFrame, row_bytes: int, most: int = COPY_BYTES) -> DataFrame:
     """A materialized ``table``, marked for broadcast if its counted rows are few enough; else Spark shuffles."""
     return F.broadcast(table) if table.count() * (row_bytes + 32) <= most else table
+
+
+def grouped(df: DataFrame, by: str, work: Callable[[int, list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work(key, rows)`` for the rows of each key, gathered in one task; it gives one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[0] != held and rows:
+                    yield work(held, rows)
+                    rows = []
+                held = row[0]
+                rows.append(row[1:])
+        if rows:
+            yield work(held, rows)
+
+    return df.repartition(by).sortWithinPartitions(by, *[c for c in df.columns if c != by]).select(by, *[c for c in df.columns if c != by]).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationwise.llm import gru
-from stationwise.llm.common import materialize, table
+from stationwise.llm.common import grouped, materialize, table
 
 SHARD_TOKENS, HEAD = 3_000_000, 200_000
 RATES = (0.02, 0.01, 0.005)
@@ -78,24 +78,6 @@ def _encoded(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
     return docs.select("shard", "text").mapInArrow(run, "shard long, ids binary")
 
 
-def _grouped(df: DataFrame, by: str, work, schema: str) -> DataFrame:
-    """``work(key, rows)`` for the rows of each key, gathered in one task; it gives one row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = None, []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[0] != held and rows:
-                    yield work(held, rows)
-                    rows = []
-                held = row[0]
-                rows.append(row[1:])
-        if rows:
-            yield work(held, rows)
-
-    return df.repartition(by).sortWithinPartitions(by, *[c for c in df.columns if c != by]).select(by, *[c for c in df.columns if c != by]).mapInArrow(run, schema)
-
-
 def _averaged(models: DataFrame) -> tuple[bytes, int] | None:
     """The token-weighted mean of ``(shard, model, n)``, some of them at a time."""
 
@@ -107,7 +89,7 @@ def _averaged(models: DataFrame) -> tuple[bytes, int] | None:
     models = materialize(models, "models")
     while models.count() > 1:
         up = models.select(F.floor(F.col("shard") / _FANOUT).alias("shard"), "model", "n")
-        models = materialize(_grouped(up, "shard", mean, "shard long, model binary, n long"), "models")
+        models = materialize(grouped(up, "shard", mean, "shard long, model binary, n long"), "models")
     row = models.first()
     return None if row is None else (bytes(row.model), row.n)
 
@@ -126,7 +108,7 @@ def train(docs: DataFrame, start: dict[str, np.ndarray], words: dict[bytes, int]
             made, n = gru.train(gru.unpack(held.value), [np.frombuffer(rows[i][0], np.uint16) for i in order], rate)
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([gru.pack(made)], pa.binary()), pa.array([n], pa.int64())], ["shard", "model", "n"])
 
-        found = _averaged(_grouped(_encoded(dealt.where(F.col("turn") == turn), words), "shard", shard, "shard long, model binary, n long"))
+        found = _averaged(grouped(_encoded(dealt.where(F.col("turn") == turn), words), "shard", shard, "shard long, model binary, n long"))
         if found and np.isfinite(np.frombuffer(found[0], np.float32)).all():
             weights = gru.unpack(found[0])
     return weights

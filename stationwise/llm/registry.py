@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stationwise.llm.decontaminate import op5_latent_semantic
 from stationwise.llm.html_extract import op8_wrapper_induction
 from stationwise.llm.line_dedup import OP2_SQL, op2_cuckoo_lines
 from stationwise.llm.lm import op3_gated_recurrent
@@ -12,5 +13,5 @@ from stationwise.llm.sharding import op6_jump_hash
 from stationwise.llm.substring import OP4_SQL, op4_fm_index
 from stationwise.llm.warc import OP7_SQL, op7_loser_tree_merge
 
-QUERIES = {f.__name__: f for f in (op1_pivotal_rounding, op2_cuckoo_lines, op3_gated_recurrent, op4_fm_index, op6_jump_hash, op7_loser_tree_merge, op8_wrapper_induction, op9_multi_index_minhash, op10_compression_bands)}
+QUERIES = {f.__name__: f for f in (op1_pivotal_rounding, op2_cuckoo_lines, op3_gated_recurrent, op4_fm_index, op5_latent_semantic, op6_jump_hash, op7_loser_tree_merge, op8_wrapper_induction, op9_multi_index_minhash, op10_compression_bands)}
 ORACLES: dict[str, str] = {"op2_cuckoo_lines": OP2_SQL, "op4_fm_index": OP4_SQL, "op7_loser_tree_merge": OP7_SQL}
