@@ -11,14 +11,14 @@ by the longest common subsequence of words with the item: a document is contamin
 ``SURE`` of an item's words in order, or ``LIKELY`` of them together with the item's answer, its last quarter.  That
 catches paraphrases that leave out, add or change some words.
 
-Words are lower-cased (ASCII) and ASCII punctuation separates words.  Null and empty texts match nothing, nor do items of
+Words are lower-cased and ASCII punctuation separates words.  Null and empty texts match nothing, nor do items of
 fewer than ``LEAST`` words.  Repeated rows are found alike.  Without documents or items the result is empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import batched
+from itertools import batched, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +27,17 @@ from pyspark.sql import functions as F
 
 from stationwise.llm.common import copied_if_small, grouped, materialize, table
 
-RANK, OVERSAMPLE, ITEMS = 48, 16, 500
+RANK, OVERSAMPLE, ITEMS = 64, 8, 500
 UNIT = 16  # windows of 2 units for short items and of 4 for the others, each half a window after the last
 SHORT_ITEM, LEAST = 24, 5
-COSINE, SURE, LIKELY, ANSWER = 0.4, 0.8, 0.6, 0.5
+COSINE = {2: 0.33, 4: 0.42}  # by the units of a window
+SURE, LIKELY, ANSWER, ANSWER_PART = 0.8, 0.6, 0.5, 0.25
 _FANOUT = 16
-_TABLE = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
+_TABLE = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
 class Terms:
@@ -46,13 +47,28 @@ class Terms:
         self.number = {w: i for i, w in enumerate(words)}
 
     def of(self, text: str | None) -> np.ndarray:
-        get = self.number.get
-        return np.fromiter((get(w, -1) for w in words_of(text)), np.int32)
+        return np.array(list(map(self.number.get, words_of(text), repeat(-1))), np.int32)
 
 
-def _units(texts: list, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Known words of all texts, the unit each stands in, and the text of each unit."""
-    ids = [terms.of(t) for t in texts]
+def encoded(docs: DataFrame, vocabulary: list[bytes], text: str = "text") -> DataFrame:
+    """``(k_id, k_text, ids)``: the numbers of all words of each text, as int32."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(held.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2_000):
+                part = batch.slice(a, 2_000)
+                ids = [terms.of(t).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["k_id", "k_text", "ids"])
+
+    kind = docs.schema["k_id"].dataType.simpleString()
+    return docs.select("k_id", "k_text", text).mapInArrow(run, f"k_id {kind}, k_text long, ids binary")
+
+
+def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known words of all encoded texts, the unit each stands in, and the text of each unit."""
+    ids = [np.frombuffer(t, np.int32) for t in texts]
     length = np.array([len(i) for i in ids], np.int64)
     units = -(-length // UNIT)
     first = np.append(0, np.cumsum(units))
@@ -63,16 +79,15 @@ def _units(texts: list, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return flat[known], unit[known], np.repeat(np.arange(len(texts)), units)
 
 
-def _sums(unit: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by unit; ``unit`` does not fall."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    if len(unit):
-        at = np.flatnonzero(np.append(True, np.diff(unit) != 0))
-        out[unit[at]] = np.add.reduceat(rows, at, axis=0)
-    return out
+def _sums(group: np.ndarray, weights: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """The sums over each group of its words' rows of ``weights``, a column at a time."""
+    out = np.empty((weights.shape[1], n), np.float32)
+    for c, column in enumerate(np.ascontiguousarray(weights.T)):
+        out[c] = np.bincount(group, column[term], n)
+    return out.T
 
 
-def _total(docs: DataFrame, work: Callable[[list], np.ndarray], text: str) -> np.ndarray:
+def _total(docs: DataFrame, work: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
     """The sum over all texts of ``work``'s matrix, of a bounded size: by task, then some at a time in a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +106,7 @@ def _total(docs: DataFrame, work: Callable[[list], np.ndarray], text: str) -> np
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
 
     schema = "part long, total binary"
-    few = docs.select(text).coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    few = docs.select("ids").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
     sums = materialize(few.mapInArrow(run, schema), "sums")
     while sums.count() > 1:
         sums = materialize(grouped(sums.withColumn("part", F.floor(F.col("part") / _FANOUT)), "part", add, schema), "sums")
@@ -100,34 +115,37 @@ def _total(docs: DataFrame, work: Callable[[list], np.ndarray], text: str) -> np
     return np.zeros(shape) if row is None else np.frombuffer(bytes(row.total)).reshape(shape)
 
 
-def latent_space(docs: DataFrame, vocabulary: list[bytes], text: str = "text", rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """A row per word: its part of a passage's place in the latent space (IDF, directions, 1 / singular value)."""
-    spark, n = docs.sparkSession, len(vocabulary)
-    held = spark.sparkContext.broadcast(vocabulary)
+def latent_space(docs: DataFrame, n: int, rank: int = RANK, seed: int = 5) -> np.ndarray:
+    """A row for each of ``n`` words of ``encoded`` texts: its part of a passage's place in the latent space.
+
+    That is the IDF, the directions, and one over the singular values.
+    """
+    spark = docs.sparkSession
 
-    def passages(texts: list) -> np.ndarray:
+    def passages(texts: list[bytes]) -> np.ndarray:
         """In how many passages (of two units) each word stands, and at the end how many there are."""
-        term, unit, of = _units(texts, Terms(held.value))
+        term, unit, of = _units(texts)
         pair = np.unique(unit.astype(np.int64) // 2 * n + term)
         return np.append(np.bincount(pair % n, minlength=n), -(-len(of) // 2)).astype(np.float64)
 
-    df = _total(docs, passages, text)
+    df = _total(docs, passages)
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)).astype(np.float32)
 
     def back(weights: np.ndarray) -> np.ndarray:
         sent = spark.sparkContext.broadcast((idf, weights))
 
-        def work(texts: list) -> np.ndarray:
+        def work(texts: list[bytes]) -> np.ndarray:
             idf, weights = sent.value
             if not texts:
                 return np.zeros(weights.shape)
-            term, unit, of = _units(texts, Terms(held.value))
-            rows = weights[term] * idf[term, None]
-            y = _sums(unit // 2, rows, -(-len(of) // 2) + 1)
-            order = np.argsort(term, kind="stable")
-            return _sums(term[order], y[unit[order] // 2] * idf[term[order], None], n)
+            term, unit, of = _units(texts)
+            passage, own, out = unit // 2, idf[term], np.empty((weights.shape[1], n))
+            for c, column in enumerate(np.ascontiguousarray((weights * idf[:, None]).T)):
+                y = np.bincount(passage, column[term])
+                out[c] = np.bincount(term, y[passage] * own, n)
+            return out.T
 
-        return _total(docs, work, text)
+        return _total(docs, work)
 
     rng = np.random.default_rng(seed)
     basis = np.linalg.qr(back(rng.standard_normal((n, rank + OVERSAMPLE)).astype(np.float32)))[0]
@@ -138,42 +156,51 @@ def latent_space(docs: DataFrame, vocabulary: list[bytes], text: str = "text", r
     return (idf[:, None] * (basis @ turn[:, best]) / np.sqrt(values[best])).astype(np.float32)
 
 
-def common_words(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
-    """Length of the longest common subsequence of each pair of word numbers, by bits in parallel."""
-    out = np.zeros(len(items), np.int64)
-    short = [i for i, x in enumerate(items) if len(x) <= 64]
-    for i in set(range(len(items))) - set(short):
-        mask: dict[int, int] = {}
-        for k, w in enumerate(items[i].tolist()):
-            mask[w] = mask.get(w, 0) | 1 << k
-        whole = (1 << len(items[i])) - 1
-        v = whole
-        for w in passages[i].tolist():
-            u = v & mask.get(w, 0)
-            v = (v + u | v - u) & whole
-        out[i] = len(items[i]) - v.bit_count()
-    for at in batched(short, 20_000):
-        width = max((len(passages[i]) for i in at), default=0)
-        grid = np.full((len(at), width), -1, np.int64)
-        for r, i in enumerate(at):
-            grid[r, : len(passages[i])] = passages[i]
-        size = max(len(items[i]) for i in at)
-        item = np.full((len(at), size), -2, np.int64)
-        for r, i in enumerate(at):
-            item[r, : len(items[i])] = items[i]
-        bit = np.uint64(1) << np.arange(size, dtype=np.uint64)
-        v = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
-        for k in range(width):
-            mask = ((item == grid[:, k, None]) * bit).sum(1, dtype=np.uint64)
-            u = v & mask
-            v = (v + u) | (v - u)
-        length = np.array([len(items[i]) for i in at])
-        zero = np.bitwise_count(~v)
-        out[list(at)] = np.minimum(zero, length)
-    return out
+class Items:
+    """Word numbers of the items, and for each item and word the places at which the item has it, as bits.
+
+    ``share`` takes the last part of each item only.
+    """
+
+    def __init__(self, ids: list[np.ndarray], terms: int, share: float = 1.0):
+        self.ids = [i[len(i) - max(1, int(len(i) * share)) :] if len(i) else i for i in ids]
+        self.length = np.array([len(i) for i in self.ids], np.int64)
+        self.bits = np.zeros((len(ids), terms), np.uint64)
+        for k, item in enumerate(self.ids):
+            if len(item) <= 64:
+                np.bitwise_or.at(self.bits[k], item, np.uint64(1) << np.arange(len(item), dtype=np.uint64))
+
+    def common(self, item: np.ndarray, term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of each item and passage ``term[lo:hi]``, by bits in parallel."""
+        out = np.zeros(len(item), np.int64)
+        for i in np.flatnonzero(self.length[item] > 64):
+            out[i] = _long_common(self.ids[item[i]], term[lo[i] : hi[i]])
+        short = np.flatnonzero(self.length[item] <= 64)
+        for a in range(0, len(short), 50_000):
+            at = short[a : a + 50_000]
+            at = at[np.argsort(lo[at] - hi[at], kind="stable")]  # the longest passages first
+            width, which = hi[at] - lo[at], item[at]
+            v = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
+            for k in range(int(width[0]) if len(at) else 0):
+                live = int(np.searchsorted(-width, -k, side="left"))
+                u = v[:live] & self.bits[which[:live], term[lo[at[:live]] + k]]
+                v[:live] = (v[:live] + u) | (v[:live] - u)
+            out[at] = np.bitwise_count(~v)
+        return out
+
+
+def _long_common(item: np.ndarray, passage: np.ndarray) -> int:
+    places: dict[int, int] = {}
+    for k, w in enumerate(item.tolist()):
+        places[w] = places.get(w, 0) | 1 << k
+    v = whole = (1 << len(item)) - 1
+    for w in passage.tolist():
+        u = v & places.get(w, 0)
+        v = (v + u | v - u) & whole
+    return len(item) - v.bit_count()
 
 
-def _search(docs: DataFrame, items: list[tuple], vocabulary: list[bytes], space: np.ndarray, text: str) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple], vocabulary: list[bytes], space: np.ndarray) -> DataFrame:
     """``(k_id, k_text, item_id, item_words, lcs, ratio, cosine, answer)``: the best place of each item in each text."""
     held = docs.sparkSession.sparkContext.broadcast((items, vocabulary, space))
     kind = docs.schema["k_id"].dataType.simpleString()
@@ -184,11 +211,11 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: list[bytes], space:
         ids = [terms.of(t) for _, t in items]
         place = np.array([space[i].sum(0) for i in ids])
         place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
-        long_ = np.array([len(i) > SHORT_ITEM for i in ids])
+        whole, tails = Items(ids, len(vocabulary)), Items(ids, len(vocabulary), ANSWER_PART)
         for batch in batches:
             for a in range(0, batch.num_rows, 1_000):
                 part = batch.slice(a, 1_000)
-                rows = candidates(part.column(2).to_pylist(), terms, ids, place, long_, space)
+                rows = candidates(part.column(2).to_pylist(), whole, tails, place, space)
                 if rows:
                     doc, item, lcs, cos, answer = (np.array(c) for c in zip(*rows, strict=True))
                     take = pa.array(doc.astype(np.int64))
@@ -198,16 +225,16 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: list[bytes], space:
                         ["k_id", "k_text", "item_id", "item_words", "lcs", "ratio", "cosine", "answer"],
                     )
 
-    return docs.select("k_id", "k_text", text).mapInArrow(run, f"k_id {kind}, k_text long, item_id long, item_words long, lcs long, ratio double, cosine double, answer double")
+    return docs.select("k_id", "k_text", "ids").mapInArrow(run, f"k_id {kind}, k_text long, item_id long, item_words long, lcs long, ratio double, cosine double, answer double")
 
 
-def candidates(texts: list, terms: Terms, ids: list[np.ndarray], place: np.ndarray, long_: np.ndarray, space: np.ndarray) -> list[tuple]:
+def candidates(texts: list[bytes], whole: Items, tails: Items, place: np.ndarray, space: np.ndarray) -> list[tuple]:
     """``(text, item, lcs, cosine, answer)`` of the contaminated texts; the surest place of each item."""
-    term, unit, of = _units(texts, terms)
+    term, unit, of = _units(texts)
     n = len(of)
     if not n:
         return []
-    sums = _sums(unit, space[term], n)
+    sums = _sums(unit, space, term, n)
     bounds = np.searchsorted(unit, np.arange(n + 1))
     last = np.searchsorted(of, of, side="right")  # one after the text's last unit
     first = np.searchsorted(of, of, side="left")
@@ -217,37 +244,34 @@ def candidates(texts: list, terms: Terms, ids: list[np.ndarray], place: np.ndarr
         out[: n - k] = rows[k:] * (of[k:] == of[: n - k])[:, None]
         return out
 
-    found: list[tuple] = []
+    found: list[tuple[np.ndarray, ...]] = []
     two = sums + after(sums, 1) if n > 1 else sums
     four = two + after(two, 2) if n > 2 else two
-    for windows, width, chosen in ((two, 2, np.flatnonzero(~long_)), (four, 4, np.flatnonzero(long_))):
+    is_long = whole.length > SHORT_ITEM
+    for windows, width, chosen in ((two, 2, np.flatnonzero(~is_long)), (four, 4, np.flatnonzero(is_long))):
         starts = np.flatnonzero((np.arange(n) - first) % (width // 2) == 0)
-        if not len(chosen):
-            continue
-        for s in batched(starts.tolist(), 20_000):
-            s = np.array(s)
+        for a in range(0, len(starts) if len(chosen) else 0, 20_000):
+            s = starts[a : a + 20_000]
             w = windows[s]
             w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
             cos = w @ place[chosen].T
-            r, c = np.nonzero(cos >= COSINE)
+            r, c = np.nonzero(cos >= COSINE[width])
             lo = np.maximum(first[s[r]], s[r] - width // 2)
             hi = np.minimum(last[s[r]], s[r] + width + width // 2)
-            found += [(bounds[x], bounds[y], int(chosen[i]), float(v), int(of[k])) for x, y, i, v, k in zip(lo, hi, c, cos[r, c], s[r], strict=True)]
+            found.append((bounds[lo], bounds[hi], chosen[c], cos[r, c], of[s[r]]))
     if not found:
         return []
-    passages = [term[x:y] for x, y, *_ in found]
-    lcs = common_words([ids[f[2]] for f in found], passages)
-    size = np.array([len(ids[f[2]]) for f in found])
-    near = np.flatnonzero(lcs >= LIKELY * size)
-    tails = [ids[found[k][2]][-max(1, len(ids[found[k][2]]) // 4) :] for k in near]
-    answer = common_words(tails, [passages[k] for k in near]) / np.array([len(t) for t in tails]) if len(near) else []
+    lo, hi, item, cos, doc = (np.concatenate(c) for c in zip(*found, strict=True))
+    lcs = whole.common(item, term, lo, hi)
+    near = np.flatnonzero(lcs >= LIKELY * whole.length[item])
+    lo, hi, item, cos, doc, lcs = (c[near] for c in (lo, hi, item, cos, doc, lcs))
+    share = tails.common(item, term, lo, hi) / np.maximum(1, tails.length[item])
+    sure = np.flatnonzero((lcs >= SURE * whole.length[item]) | (share >= ANSWER))
     best: dict[tuple[int, int], tuple] = {}
-    for k, share in zip(near.tolist(), answer, strict=True):
-        if lcs[k] >= SURE * size[k] or share >= ANSWER:
-            _, _, item, cos, doc = found[k]
-            row = (doc, item, int(lcs[k]), cos, float(share))
-            if (old := best.get((doc, item))) is None or (old[2], old[3]) < (row[2], row[3]):
-                best[doc, item] = row
+    for k in sure.tolist():
+        row = (int(doc[k]), int(item[k]), int(lcs[k]), float(cos[k]), float(share[k]))
+        if (old := best.get(row[:2])) is None or (old[2], old[3]) < (row[2], row[3]):
+            best[row[:2]] = row
     return list(best.values())
 
 
@@ -259,7 +283,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for block in batched((i for i in items if len(words_of(i.text)) >= LEAST), ITEMS):
         block = [(i.item_id, i.text) for i in block]
         vocabulary = sorted({w for _, t in block for w in words_of(t)})
-        found = _search(rows, block, vocabulary, latent_space(rows, vocabulary), "text")
+        known = materialize(encoded(rows, vocabulary), "benchmark-words")
+        found = _search(known, block, vocabulary, latent_space(known, len(vocabulary)))
         out = found if out is None else out.unionByName(found)
     if out is None:
         kind = rows.schema["k_id"].dataType.simpleString()
@@ -271,7 +296,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """The documents without those that hold a benchmark item."""
     gone = materialize(contaminated(docs, benchmark, doc_id, text).select("k_id", "k_text").distinct(), "contaminated")
     own = docs.withColumn("_t", F.xxhash64(text, F.length(text)))
-    return own.join(copied_if_small(gone, 16), F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.col("_t") == F.col("k_text")), "left_anti").drop("_t")
+    return own.join(copied_if_small(gone, 16), F.col(doc_id).eqNullSafe(F.col("k_id")) & F.col("_t").eqNullSafe(F.col("k_text")), "left_anti").drop("_t")
 
 
 def op5_latent_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:

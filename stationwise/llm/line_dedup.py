@@ -262,7 +262,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame, doc_id: str = "doc_id", text:
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     gone = F.coalesce("drops", F.array().cast("array<int>"))
     keyed = docs.withColumn("_t", F.xxhash64(text, F.length(text)))
-    joined = keyed.join(drops, F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.col("_t") == F.col("k_text")), "left")
+    joined = keyed.join(drops, F.col(doc_id).eqNullSafe(F.col("k_id")) & F.col("_t").eqNullSafe(F.col("k_text")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), gone)
     joined = joined.withColumn("_l", lines)
     kept = F.array_join(F.transform(stay, lambda i: F.get("_l", i)), "\n")

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from stationwise.llm.common import WORD, materialize, table, without
+from stationwise.llm.common import WORD, copied_if_small, materialize, table
 
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 BUCKET, FANOUT, HOLD, SEED = 64, 8, 8, 20_240_601
@@ -145,11 +145,23 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The mix itself: rows of ``docs`` as they are, each as often as it is taken."""
     copies = mix_sources(docs, key, text, **how).groupBy("key", "k_text").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    copies = materialize(copies, "mix-copies")
     keyed = docs.withColumn("_t", F.xxhash64(text, F.length(text)))
-    same = Window.partitionBy(key, "_t").orderBy(key)
-    joined = keyed.withColumn("_n", F.row_number().over(same)).join(copies, F.col(key).eqNullSafe(F.col("key")) & (F.col("_t") == F.col("k_text")))
-    times = F.element_at("copies", F.col("_n")).cast("int")
-    return joined.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
+    same = F.col(key).eqNullSafe(F.col("key")) & F.col("_t").eqNullSafe(F.col("k_text"))
+
+    def taken(rows: DataFrame, times: Column) -> DataFrame:
+        times = times.cast("int")
+        return rows.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
+
+    once = copies.where(F.size("copies") == 1)
+    out = taken(keyed.join(copied_if_small(once, 40), same), F.get("copies", F.lit(0)))
+    again = copies.where(F.size("copies") > 1)
+    if again.isEmpty():
+        return out
+    # rows that repeat id and text: the first takes the first number of copies, and so on
+    order = Window.partitionBy(key, "_t").orderBy("_t")
+    repeated = keyed.join(again, same).withColumn("_n", F.row_number().over(order) - 1)
+    return out.unionByName(taken(repeated, F.get("copies", F.col("_n"))))
 
 
 def op1_pivotal_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
