@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import materialize, table
+from stationwise.llm.common import copied_if_small, materialize, table
 from stationwise.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -310,9 +310,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     clusters = components(_candidates(_keyed(classes))).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     clusters = materialize(clusters.join(classes.select("class", "first_id"), "class"), "clusters")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
+    placed = materialize(clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n")).cast("int")), "placed")
     # one row of documents per class: its first id, and among rows with that id those with the class's set
-    rows = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("text")).join(placed, F.col("d_id").eqNullSafe(F.col("first_id")))
+    rows = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("text")).join(copied_if_small(placed, 100), F.col("d_id").eqNullSafe(F.col("first_id")))
     sets = _full_sets(rows.select("class", "cluster", "n", "block", "text"), size)
     # each block meets every block of its cluster once: as i with those after it and itself, as j with those before
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
