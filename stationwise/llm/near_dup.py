@@ -67,7 +67,7 @@ def shingle_set(text: str | None, words: WordHash, size: int = SHINGLE) -> np.nd
     if not len(seq):
         return seq
     n = max(1, len(seq) - size + 1)
-    out = np.full(n, np.uint64(min(len(seq), size)) * _M1, np.uint64)
+    out = np.full(n, min(len(seq), size), np.uint64) * _M1
     for k in range(min(size, len(seq))):
         out = mix(out + seq[k : k + n] * _M1)
     return np.unique(out)
@@ -81,8 +81,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """``(doc_id, n_shingles, class, sig)``; class and signature are null for empty sets."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """``(doc_id, k_text, n_shingles, class, sig)``; class and signature are null for empty sets."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text, F.length(text)).alias("k_text"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -90,14 +90,14 @@ def _signed(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
         words = WordHash()
         for batch in batches:
             n, cls, sig = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, words, size)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "class", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "k_text", "n_shingles", "class", "sig"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, class binary, sig binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k_text long, n_shingles long, class binary, sig binary")
 
 
 def masks(hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS) -> list[np.ndarray]:
@@ -120,7 +120,7 @@ def _keyed(classes: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)
                 keys = np.empty((len(sig), len(chosen)), np.uint64)
                 for k, mask in enumerate(chosen):
-                    h = np.full(len(sig), np.uint64(k + 1) * _M1, np.uint64)
+                    h = np.full(len(sig), k + 1, np.uint64) * _M1
                     for i in mask:
                         h = mix(h + sig[:, i].astype(np.uint64) * _M1)
                     keys[:, k] = h
@@ -303,7 +303,7 @@ def _full_sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, n_shingles, class, component_id, kept)``, one row per row of ``docs``."""
+    """``(doc_id, k_text, n_shingles, class, component_id, kept)``, one row per row of ``docs``; ``k_text`` is a hash of its text."""
     signed = materialize(_signed(docs, doc_id, text, size), "signed")
     classes = signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
@@ -328,5 +328,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` with one document of each group; rows that repeat its id and text are that document."""
+    gone = near_duplicates(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias("g_id"), "k_text").distinct()
+    gone = copied_if_small(materialize(gone, "near-copies"), 16)
+    own = docs.withColumn("_t", F.xxhash64(text, F.length(text)))
+    return own.join(gone, F.col(doc_id).eqNullSafe(F.col("g_id")) & F.col("_t").eqNullSafe(F.col("k_text")), "left_anti").drop("_t")
+
+
 def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
