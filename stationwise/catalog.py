@@ -1,4 +1,8 @@
 """Every registered query and its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from stationwise.operators import panel  # noqa: F401  registers its queries
+from stationwise.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
