@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stationwise.operators import gaps, panel, sampling  # noqa: F401  register their queries
+from stationwise.operators import gaps, panel, sampling, spatial, stats  # noqa: F401  register their queries
 from stationwise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
