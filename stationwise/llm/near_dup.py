@@ -29,48 +29,28 @@ from pyspark.sql import functions as F
 
 from stationwise.llm.common import copied_if_small, materialize, table
 from stationwise.llm.components import components
+from stationwise.llm.hashing import Rolling, hashed_words, mix
 
 SHINGLE, PERCENT = 5, 85
 HASHES, DISTANCE, CHUNKS = 40, 19, 10
 BLOCK = 512
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_M1 = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(5_497)
 _ODD = _RNG.integers(0, 1 << 63, (HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, (HASHES, 1), np.uint64) * np.uint64(2)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """SplitMix64's finisher: every bit depends on all bits."""
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
+def shingle_set(words: np.ndarray, rolling: Rolling, size: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text's word hashes."""
+    if not len(words):
+        return words
+    start = np.arange(max(1, len(words) - size + 1))
+    return np.unique(rolling.load(words).runs(start, np.minimum(start + size, len(words))))
 
 
-class WordHash(dict):
-    """64-bit hashes of words, each word hashed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter((self[w] for w in words), np.uint64, len(words))
-
-
-def shingle_set(text: str | None, words: WordHash, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text."""
-    seq = words.of((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not len(seq):
-        return seq
-    n = max(1, len(seq) - size + 1)
-    out = np.full(n, min(len(seq), size), np.uint64) * _M1
-    for k in range(min(size, len(seq))):
-        out = mix(out + seq[k : k + n] * _M1)
-    return np.unique(out)
+def shingle_sets(texts: list[str | None], letters: Rolling, runs: Rolling, size: int = SHINGLE) -> list[np.ndarray]:
+    lower = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    return [shingle_set(words, runs, size) for words in hashed_words(lower, letters)]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -87,11 +67,10 @@ def _signed(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words = WordHash()
+        letters, runs = Rolling(), Rolling()
         for batch in batches:
             n, cls, sig = [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingle_set(text, words, size)
+            for s in shingle_sets(batch.column(2).to_pylist(), letters, runs, size):
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
@@ -291,11 +270,11 @@ def _full_sets(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words = WordHash()
+        letters, runs = Rolling(), Rolling()
         for batch in batches:
             for a in range(0, batch.num_rows, 1_000):
                 part = batch.slice(a, 1_000)
-                sets = [shingle_set(t, words, size).tobytes() for t in part.column("text").to_pylist()]
+                sets = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), letters, runs, size)]
                 own = pa.array([xxhash.xxh3_128_digest(s) == c for s, c in zip(sets, part.column("class").to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "set"]).filter(own)
 

@@ -29,29 +29,23 @@ from pyspark.sql import functions as F
 
 from stationwise.llm.common import copied_if_small, materialize, table, without
 from stationwise.llm.fm_index import FMIndex
-from stationwise.llm.near_dup import WordHash, mix
+from stationwise.llm.hashing import Rolling, hashed_words
 
 WINDOW, ANCHOR, HOT, SHARD_CONTEXTS = 50, 20, 1_000, 4_000
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PLACE = 22  # bits of a packed key that hold a place
 
 
-class Rolling:
-    """Hashes of all runs of words of a text, from prefix sums of a polynomial modulo 2**64."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def load(self, words: np.ndarray) -> Rolling:
-        if len(self.up) <= len(words):
-            n = 2 * len(words)
-            self.up = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, np.uint64)), dtype=np.uint64)
-            self.down = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE, np.uint64)), dtype=np.uint64)
-        self.sums = np.append(np.uint64(0), np.cumsum(words * self.up[: len(words)], dtype=np.uint64))
-        return self
-
-    def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least hash in each stretch of ``width``; of equal ones the first."""
+    n = len(hashes) - width + 1
+    if len(hashes) >= 1 << _PLACE:
+        return np.concatenate([np.lib.stride_tricks.sliding_window_view(hashes[a : a + 8_191 + width], width).argmin(1) + a for a in range(0, n, 8_192)])
+    low = np.uint64((1 << _PLACE) - 1)
+    least, k = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), 1
+    while 2 * k <= width:
+        least, k = np.minimum(least[:-k], least[k:]), 2 * k
+    least = np.minimum(least[: len(least) - (width - k)], least[width - k :])
+    return (least & low).astype(np.int64)
 
 
 def contexts(words: np.ndarray, rolling: Rolling, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -63,8 +57,7 @@ def contexts(words: np.ndarray, rolling: Rolling, window: int = WINDOW, anchor:
     rolling.load(words)
     places = np.arange(len(words) - anchor + 1)
     grams = rolling.runs(places, places + anchor)
-    least = np.concatenate([np.lib.stride_tricks.sliding_window_view(grams[a : a + 8_192 + window - anchor], window - anchor + 1).argmin(1) + a for a in range(0, n, 8_192)])
-    at = least + np.concatenate([np.arange(min(8_192, n - a)) for a in range(0, n, 8_192)])
+    at = least_places(grams, window - anchor + 1)
     start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     end = np.append(start[1:], n)
     return start, end - start, grams[at[start]], rolling.runs(start, end + window - 1)
@@ -76,18 +69,18 @@ def _contexts(docs: DataFrame, window: int, anchor: int, split: DataFrame | None
     hot = None if split is None else split.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in split.select("anchor").collect()], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rolling = WordHash(), Rolling()
+        letters, rolling = Rolling(), Rolling()
         for batch in batches:
             for a in range(0, batch.num_rows, 2_000):
                 part = batch.slice(a, 2_000)
                 found = []
-                for text in part.column(2).to_pylist():
-                    start, n, grams, ctx = contexts(words := hashes.of((text or "").encode("utf-8", "surrogatepass").split()), rolling, window, anchor)
+                for words in hashed_words([t.encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()], letters):
+                    start, n, grams, ctx = contexts(words, rolling, window, anchor)
                     if hot is not None:
                         chosen = np.isin(grams.view(np.int64), hot.value)
                         start = np.concatenate([np.arange(s, s + k) for s, k in zip(start[chosen], n[chosen], strict=True)] or [np.zeros(0, np.int64)])
                         n = np.ones(len(start), np.int64)
-                        grams = ctx = rolling.runs(start, start + window) if len(words) else ctx[:0]
+                        grams = ctx = rolling.runs(start, start + window) if len(start) else ctx[:0]
                     found.append((start, n, grams, ctx))
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
                 start, n, grams, ctx = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -107,13 +100,13 @@ def _with_words(located: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     kind = docs.schema["k_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        letters = Rolling()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 out: list[tuple] = []
-                for doc, text, parts in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    words = hashes.of(text.encode("utf-8", "surrogatepass").split())
+                texts = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                for doc, words, parts in zip(part.column(0).to_pylist(), hashed_words(texts, letters), part.column(2).to_pylist(), strict=True):
                     out += [(p["anchor"], p["context"], doc, words[p["at"] : p["at"] + p["n"] + window - 1].tobytes()) for p in parts]
                 kinds = [pa.int64(), pa.int64(), part.column(0).type, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "context", "owner", "words"])
@@ -172,7 +165,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     large = many.where(F.col("contexts") > hot)
     n_large = large.count()
     if n_large:
-        finer = _contexts(keyed, window, anchor, large)
+        held = found.join(large, "anchor").select(F.col("k_id").alias("h_id"), F.col("k_text").alias("h_text")).distinct()
+        held = copied_if_small(materialize(held, "documents-finer"), 16)
+        finer = _contexts(keyed.join(held, (F.col("k_id") == F.col("h_id")) & (F.col("k_text") == F.col("h_text")), "left_semi"), window, anchor, large)
         found = materialize(found.join(large, "anchor", "left_anti").select(*found.columns).unionByName(finer), "contexts-finer")
         once = materialize(distinct(found), "contexts-once")
     searched = once.join(many.where(F.col("contexts") <= hot), "anchor").drop("contexts")
