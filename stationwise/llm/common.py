@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder all machines share: ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 

@@ -294,9 +294,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that hold a benchmark item."""
-    gone = materialize(contaminated(docs, benchmark, doc_id, text).select("k_id", "k_text").distinct(), "contaminated")
+    gone = materialize(contaminated(docs, benchmark, doc_id, text).select(F.col("k_id").alias("_g"), F.col("k_text").alias("_h")).distinct(), "contaminated")
     own = docs.withColumn("_t", F.xxhash64(text, F.length(text)))
-    return own.join(copied_if_small(gone, 16), F.col(doc_id).eqNullSafe(F.col("k_id")) & F.col("_t").eqNullSafe(F.col("k_text")), "left_anti").drop("_t")
+    return own.join(copied_if_small(gone, 16), F.col(doc_id).eqNullSafe(F.col("_g")) & F.col("_t").eqNullSafe(F.col("_h")), "left_anti").drop("_t")
 
 
 def op5_latent_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:

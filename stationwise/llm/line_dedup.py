@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import materialize, table
+from stationwise.llm.common import materialize, table, without
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS, PROBE_BYTES, PROBE_COPIES = 50_000, 32 << 20, 32
@@ -260,13 +260,14 @@ class LineIndex:
 def drop_lines(docs: DataFrame, drops: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    gone = F.coalesce("drops", F.array().cast("array<int>"))
+    drops = drops.withColumnsRenamed({"k_id": "_g", "k_text": "_h", "drops": "_d"})
+    gone = F.coalesce("_d", F.array().cast("array<int>"))
     keyed = docs.withColumn("_t", F.xxhash64(text, F.length(text)))
-    joined = keyed.join(drops, F.col(doc_id).eqNullSafe(F.col("k_id")) & F.col("_t").eqNullSafe(F.col("k_text")), "left")
+    joined = keyed.join(drops, F.col(doc_id).eqNullSafe(F.col("_g")) & F.col("_t").eqNullSafe(F.col("_h")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), gone)
     joined = joined.withColumn("_l", lines)
     kept = F.array_join(F.transform(stay, lambda i: F.get("_l", i)), "\n")
-    return joined.select(*docs.columns, F.size("_l").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return without(joined.select(*docs.columns, "_l", "_d"), "n_lines", "n_dropped", "kept_text").select("*", F.size("_l").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), kept.alias("kept_text")).drop("_l", "_d")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, probe_bytes: int = PROBE_BYTES) -> DataFrame:

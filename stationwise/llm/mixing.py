@@ -144,24 +144,24 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The mix itself: rows of ``docs`` as they are, each as often as it is taken."""
-    copies = mix_sources(docs, key, text, **how).groupBy("key", "k_text").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    copies = mix_sources(docs, key, text, **how).groupBy(F.col("key").alias("_mk"), F.col("k_text").alias("_mt")).agg(F.array_sort(F.collect_list("copies")).alias("_mc"))
     copies = materialize(copies, "mix-copies")
     keyed = docs.withColumn("_t", F.xxhash64(text, F.length(text)))
-    same = F.col(key).eqNullSafe(F.col("key")) & F.col("_t").eqNullSafe(F.col("k_text"))
+    same = F.col(key).eqNullSafe(F.col("_mk")) & F.col("_t").eqNullSafe(F.col("_mt"))
 
     def taken(rows: DataFrame, times: Column) -> DataFrame:
         times = times.cast("int")
         return rows.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
 
-    once = copies.where(F.size("copies") == 1)
-    out = taken(keyed.join(copied_if_small(once, 40), same), F.get("copies", F.lit(0)))
-    again = copies.where(F.size("copies") > 1)
+    once = copies.where(F.size("_mc") == 1)
+    out = taken(keyed.join(copied_if_small(once, 40), same), F.get("_mc", F.lit(0)))
+    again = copies.where(F.size("_mc") > 1)
     if again.isEmpty():
         return out
     # rows that repeat id and text: the first takes the first number of copies, and so on
     order = Window.partitionBy(key, "_t").orderBy("_t")
     repeated = keyed.join(again, same).withColumn("_n", F.row_number().over(order) - 1)
-    return out.unionByName(taken(repeated, F.get("copies", F.col("_n"))))
+    return out.unionByName(taken(repeated, F.get("_mc", F.col("_n"))))
 
 
 def op1_pivotal_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,10 +309,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each group; rows that repeat its id and text are that document."""
-    gone = near_duplicates(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias("g_id"), "k_text").distinct()
+    gone = near_duplicates(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias("_g"), F.col("k_text").alias("_h")).distinct()
     gone = copied_if_small(materialize(gone, "near-copies"), 16)
     own = docs.withColumn("_t", F.xxhash64(text, F.length(text)))
-    return own.join(gone, F.col(doc_id).eqNullSafe(F.col("g_id")) & F.col("_t").eqNullSafe(F.col("k_text")), "left_anti").drop("_t")
+    return own.join(gone, F.col(doc_id).eqNullSafe(F.col("_g")) & F.col("_t").eqNullSafe(F.col("_h")), "left_anti").drop("_t")
 
 
 def op9_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

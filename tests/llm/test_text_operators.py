@@ -10,7 +10,7 @@ import pytest
 
 from stationwise.llm import fm_index, line_dedup, near_dup, quality, substring
 
-SCHEMA = "doc_id long, text string, source string, kept string, n_words string"
+SCHEMA = "doc_id long, text string, source string, k_id string, drops string"
 
 
 def words(rng: random.Random, n: int, size: int = 400) -> list[str]:
