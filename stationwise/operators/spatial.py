@@ -111,7 +111,7 @@ def in_polygon(points: DataFrame, edges: DataFrame, x: str, y: str, key: str) ->
     """Points inside a polygon given as edges ``(x1, y1, x2, y2)``: those whose ray to the right crosses it oddly often."""
     px, py = F.col(x), F.col(y)
     hit = ((F.col("y1") > py) != (F.col("y2") > py)) & (px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
-    crossed = points.join(edges, hit).groupBy(key).agg(F.count(F.lit(1)).alias("k")).where("k % 2 = 1")
+    crossed = points.select(key, x, y).join(edges, hit).groupBy(key).agg(F.count(F.lit(1)).alias("_crossed")).where("_crossed % 2 = 1")
     return points.join(crossed.select(key), key, "left_semi")
 
 

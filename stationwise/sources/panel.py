@@ -83,7 +83,8 @@ def locations_csv(spark: SparkSession, path: str, exclude_collocated: bool = Fal
     out = raw.select(F.trim("Sensor_ID").alias("sensor_id"), F.expr("try_cast(Latitude AS double)").alias("lat"), F.expr("try_cast(Longitude AS double)").alias("lon"), F.coalesce(name, F.trim("Sensor_ID")).alias("station"))
     if exclude_collocated:
         out = out.where(~F.coalesce(F.lower("station").contains("collocation"), F.lit(False)))
-    first = F.min_by(F.struct("lat", "lon", "station"), F.monotonically_increasing_id()).alias("p")
+    out = out.withColumn("row", F.monotonically_increasing_id())
+    first = F.min_by(F.struct("lat", "lon", "station"), "row").alias("p")
     return out.groupBy("sensor_id").agg(first).select("sensor_id", "p.*")
 
 
