@@ -30,8 +30,17 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def short_batches(spark: SparkSession) -> SparkSession:
+    """Texts can be long: let no more than 1,000 rows at a time go to Python, unless fewer are asked for."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= 1_000:
+        spark.conf.set(key, "1000")
+    return spark
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
+    short_batches(df.sparkSession)
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -49,7 +58,7 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> list:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return short_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: A table of at most so many bytes may be copied to every executor.

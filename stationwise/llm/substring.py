@@ -96,7 +96,7 @@ def _with_words(located: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """``(anchor, context, owner, words)``: the word hashes of contexts, from the document that ``located`` names."""
     wanted = located.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("at", "n", "anchor", "context")).alias("parts"))
     wanted = materialize(wanted.withColumnsRenamed({"k_id": "w_id", "k_text": "w_text"}), "contexts-wanted")
-    rows = docs.join(copied_if_small(wanted, 400), (F.col("k_id") == F.col("w_id")) & (F.col("k_text") == F.col("w_text"))).select("k_id", "text", "parts")
+    rows = docs.join(wanted, (F.col("k_id") == F.col("w_id")) & (F.col("k_text") == F.col("w_text"))).select("k_id", "text", "parts")
     kind = docs.schema["k_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = _contexts(keyed, window, anchor)
     shared = found.groupBy("anchor").agg(F.min("k_id").alias("lo"), F.max("k_id").alias("hi")).where("lo < hi").select("anchor")
     shared = materialize(shared, "anchors")
-    found = materialize(found.join(copied_if_small(shared, 8), "anchor").select(*found.columns), "contexts")
+    found = materialize(found.join(shared, "anchor").select(*found.columns), "contexts")
 
     def distinct(rows: DataFrame) -> DataFrame:
         """Each context once, at its least document."""
@@ -186,10 +186,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text``, the words left, joined by one space."""
-    spans = materialize(repeated_spans(docs, doc_id, text, **how).withColumnsRenamed({"k_id": "s_id", "k_text": "s_text"}), "spans")
+    spans = materialize(repeated_spans(docs, doc_id, text, **how).withColumnsRenamed({"k_id": "_g", "k_text": "_h", "spans": "_s"}), "spans")
     new = ("n_words", "n_removed", "kept_text")
     rows = without(docs, *new).withColumn("_t", F.xxhash64(text, F.length(text)))
-    rows = rows.join(copied_if_small(spans, 64), (F.col(doc_id) == F.col("s_id")) & (F.col("_t") == F.col("s_text")), "left").drop("_t", "s_id", "s_text")
+    rows = rows.join(spans, (F.col(doc_id) == F.col("_g")) & (F.col("_t") == F.col("_h")), "left").drop("_t", "_g", "_h")
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def cut(texts, spans):
@@ -205,7 +205,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
 
-    return rows.withColumn("_c", cut(text, "spans")).select("*", "_c.*").drop("_c", "spans")
+    return rows.withColumn("_c", cut(text, "_s")).select("*", "_c.*").drop("_c", "_s")
 
 
 def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
