@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationwise.llm.common import materialize, table
+from stationwise.llm.common import materialize, short_batches, table
 from stationwise.llm.decontaminate import keep_clean
 from stationwise.llm.mixing import mix_documents
 from stationwise.llm.near_dup import keep_one
@@ -18,6 +18,7 @@ from stationwise.llm.sharding import assign_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return keep_good(docs)
 
 
