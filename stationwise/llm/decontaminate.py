@@ -2,8 +2,8 @@
 
 Passages of all documents are TF-IDF vectors over the benchmark's words.  A randomised SVD finds their main
 directions: the vectors times a random matrix and back (``A'(A R)``), summed over all passages where they are read
-and then in a tree, give a subspace; a second pass refines it and gives the singular values.  Only matrices of
-the benchmark's vocabulary by ``RANK`` reach the driver.
+and then in a tree, give the subspace and its singular values in one pass.  Only matrices of the benchmark's
+vocabulary by ``RANK`` reach the driver.
 
 Overlapping windows of every whole text are folded into that space and compared with the benchmark items by
 cosine; the items are the query set, taken in blocks of ``ITEMS``.  Each candidate, with its surroundings, is checked
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stationwise.llm.common import copied_if_small, grouped, materialize, table
 
-RANK, OVERSAMPLE, ITEMS = 64, 8, 500
+RANK, OVERSAMPLE, ITEMS = 60, 8, 500
 UNIT = 16  # windows of 2 units for short items and of 4 for the others, each half a window after the last
 SHORT_ITEM, LEAST = 24, 5
 COSINE = {2: 0.33, 4: 0.42}  # by the units of a window
@@ -139,21 +139,23 @@ def latent_space(docs: DataFrame, n: int, rank: int = RANK, seed: int = 5) -> np
             if not texts:
                 return np.zeros(weights.shape)
             term, unit, of = _units(texts)
-            passage, own, out = unit // 2, idf[term], np.empty((weights.shape[1], n))
+            passage, out = unit // 2, np.empty((weights.shape[1], n))
             for c, column in enumerate(np.ascontiguousarray((weights * idf[:, None]).T)):
-                y = np.bincount(passage, column[term])
-                out[c] = np.bincount(term, y[passage] * own, n)
-            return out.T
+                out[c] = np.bincount(term, np.bincount(passage, column[term])[passage], n)
+            return out.T * idf[:, None]
 
         return _total(docs, work)
 
-    rng = np.random.default_rng(seed)
-    basis = np.linalg.qr(back(rng.standard_normal((n, rank + OVERSAMPLE)).astype(np.float32)))[0]
-    again = back(basis.astype(np.float32))
-    values, turn = np.linalg.eigh(basis.T @ again)
-    best = np.argsort(-values)[:rank]
-    best = best[values[best] > max(1e-9, values.max() * 1e-9)]
-    return (idf[:, None] * (basis @ turn[:, best]) / np.sqrt(values[best])).astype(np.float32)
+    # M = A'A is seen only as Z = M R; its main directions and singular values follow from Z and R (Nystroem)
+    r = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, rank + OVERSAMPLE))))[0]
+    z = back(r)
+    shift = 1e-7 * max(np.linalg.norm(z), 1e-9)
+    z = z + shift * r
+    half = np.linalg.cholesky((r.T @ z + z.T @ r) / 2 + shift * np.eye(r.shape[1]))
+    directions, values, _ = np.linalg.svd(np.linalg.solve(half, z.T).T, full_matrices=False)
+    values = values**2 - shift
+    best = np.flatnonzero(values > max(1e-9, values[0] * 1e-9))[:rank]
+    return (idf[:, None] * directions[:, best] / np.sqrt(values[best])).astype(np.float32)
 
 
 class Items:
@@ -170,6 +172,19 @@ class Items:
             if len(item) <= 64:
                 np.bitwise_or.at(self.bits[k], item, np.uint64(1) << np.arange(len(item), dtype=np.uint64))
 
+    def covered(self, item: np.ndarray, term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many of each item's words the passage ``term[lo:hi]`` has anywhere: no common subsequence is longer."""
+        out = self.length[item].copy()
+        for a in range(0, len(item), 20_000):
+            width = hi[a : a + 20_000] - lo[a : a + 20_000]
+            some = np.flatnonzero((width > 0) & (out[a : a + 20_000] <= 64))
+            if len(some):
+                at, width = some + a, width[some]
+                first = np.append(0, np.cumsum(width)[:-1])
+                places = np.arange(int(width.sum())) + np.repeat(lo[at] - first, width)
+                out[at] = np.bitwise_count(np.bitwise_or.reduceat(self.bits[np.repeat(item[at], width), term[places]], first))
+        return out
+
     def common(self, item: np.ndarray, term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Length of the longest common subsequence of each item and passage ``term[lo:hi]``, by bits in parallel."""
         out = np.zeros(len(item), np.int64)
@@ -262,6 +277,8 @@ def candidates(texts: list[bytes], whole: Items, tails: Items, place: np.ndarray
     if not found:
         return []
     lo, hi, item, cos, doc = (np.concatenate(c) for c in zip(*found, strict=True))
+    able = np.flatnonzero(whole.covered(item, term, lo, hi) >= LIKELY * whole.length[item])
+    lo, hi, item, cos, doc = (c[able] for c in (lo, hi, item, cos, doc))
     lcs = whole.common(item, term, lo, hi)
     near = np.flatnonzero(lcs >= LIKELY * whole.length[item])
     lo, hi, item, cos, doc, lcs = (c[near] for c in (lo, hi, item, cos, doc, lcs))
