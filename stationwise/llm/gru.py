@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASSES, CLASS_SIZE, STEPS = 16, 32, 32, 16
+HIDDEN, CLASSES, CLASS_SIZE, STEPS = 16, 16, 32, 16
 NAMES = ("emb", "rec", "bias", "cls", "cls_bias", "word", "word_bias")
 
 
@@ -60,22 +60,26 @@ def advance(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray) -> tuple[n
     return new + keep * (h - new), (h, reset, keep, new, own[:, 2 * k :])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probabilities in each row, and the log of the target's."""
+    x -= x.max(1, keepdims=True)
+    logit = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x.sum(1, keepdims=True)
+    x /= total
+    return x, logit - np.log(total[:, 0])
 
 
 def log_probs(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, size: int = CLASS_SIZE) -> np.ndarray:
     """Natural log of each token's probability; of a rare word that of its class alone."""
     cls = ids // size
-    logp = _log_softmax(h @ w["cls"] + w["cls_bias"])[np.arange(len(ids)), cls].astype(np.float64)
+    logp = _softmax(h @ w["cls"] + w["cls_bias"], cls)[1].astype(np.float64)
     order = np.argsort(cls, kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(w["cls"].shape[1]))
     for c in range(w["cls"].shape[1] - 1):
         at = order[cuts[c] : cuts[c + 1]]
         if len(at):
-            part = _log_softmax(h[at] @ w["word"][c * size : (c + 1) * size].T + w["word_bias"][c * size : (c + 1) * size])
-            logp[at] += part[np.arange(len(at)), ids[at] - c * size]
+            logp[at] += _softmax(h[at] @ w["word"][c * size : (c + 1) * size].T + w["word_bias"][c * size : (c + 1) * size], ids[at] - c * size)[1]
     return logp
 
 
@@ -120,10 +124,10 @@ def _gradients(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, fresh_a
     flat, tok, weight = seen.reshape(-1, k), ids.ravel(), real.ravel().astype(np.float32)
     weight /= max(1.0, weight.sum())
     cls = tok // size
-    logp = _log_softmax(flat @ w["cls"] + w["cls_bias"])
-    loss = -float((logp[np.arange(len(tok)), cls] * weight).sum())
-    d = np.exp(logp) * weight[:, None]
-    d[np.arange(len(tok)), cls] -= weight
+    d, logp = _softmax(flat @ w["cls"] + w["cls_bias"], cls)
+    loss = -float((logp * weight).sum())
+    d[np.arange(len(tok)), cls] -= 1
+    d *= weight[:, None]
     g = {"cls": flat.T @ d, "cls_bias": d.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
     up = d @ w["cls"].T
     order = np.argsort(cls, kind="stable")
@@ -132,10 +136,10 @@ def _gradients(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, fresh_a
         at = order[cuts[c] : cuts[c + 1]]
         if len(at):
             span, own = slice(c * size, (c + 1) * size), np.arange(len(at))
-            part = _log_softmax(flat[at] @ w["word"][span].T + w["word_bias"][span])
-            loss -= float((part[own, tok[at] - c * size] * weight[at]).sum())
-            d = np.exp(part) * weight[at][:, None]
-            d[own, tok[at] - c * size] -= weight[at]
+            d, part = _softmax(flat[at] @ w["word"][span].T + w["word_bias"][span], tok[at] - c * size)
+            loss -= float((part * weight[at]).sum())
+            d[own, tok[at] - c * size] -= 1
+            d *= weight[at][:, None]
             g["word"][span], g["word_bias"][span] = d.T @ flat[at], d.sum(0)
             up[at] += d @ w["word"][span]
     up = up.reshape(steps, lanes, k)
@@ -171,7 +175,7 @@ def train(w: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, steps:
         return w, 0
     begins = np.zeros(n, bool)
     begins[np.cumsum([0, *[len(d) for d in docs[:-1]]])] = True
-    lanes = int(np.clip(n // (steps * 150), 8, 256))
+    lanes = int(np.clip(n // (steps * 120), 8, 512))
     span = -(-n // (lanes * steps)) * steps
     pad = lanes * span - n
     shape = lambda a, fill: np.append(a, np.full(pad, fill, a.dtype)).reshape(lanes, span).T

@@ -9,7 +9,8 @@
 The softmax is factored into classes (see ``gru``).  Words beyond its shortlist are one class, in which a word's
 probability is its share of their counts, one added to each and to a single unknown word; so the model spreads
 its probability over the same words as the unigram model that it is compared with.  Counts of the ``HEAD`` most
-frequent words go with the tasks; a document's other words meet their counts in a join.
+frequent words go with the tasks; a document's other words meet their counts in a join.  Words are known by
+64-bit hashes throughout.
 
 ASCII letters are lower-cased; each document ends with an end token.  Null texts are empty: the end token alone.
 A null id is hashed as the empty text.  Repeated rows are scored alike; an empty table gives an empty result; without
@@ -19,9 +20,7 @@ training documents the counts are 0.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -30,49 +29,87 @@ from pyspark.sql import functions as F
 
 from stationwise.llm import gru
 from stationwise.llm.common import grouped, materialize, table
+from stationwise.llm.hashing import Rolling, hashed_words
 
-SHARD_TOKENS, HEAD = 3_000_000, 200_000
+SHARD_TOKENS, SCORED_TOKENS, HEAD = 3_000_000, 4_000_000, 200_000
 RATES = (0.02, 0.01, 0.005)
-END = "\n"
+END = np.uint64(0xE17D)  # no word has this hash: words' hashes fill 64 bits
 _FANOUT = 16
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END.encode()]
+def token_hashes(texts: list[str | None], letters: Rolling) -> list[np.ndarray]:
+    """The hashes of each text's tokens, the end token last."""
+    lower = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    return [np.append(words, END) for words in hashed_words(lower, letters)]
 
 
-def count_tokens(docs: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
+def count_tokens(docs: DataFrame, text: str = "text", flush: int = 4_000_000) -> DataFrame:
     """``(token, c)`` over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        letters, held, n = Rolling(), [], 0
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "c"])
+            token, c = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c)], ["token", "c"])
 
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                held.update(tokens(value))
-                if len(held) > flush:
+            for a in range(0, batch.num_rows, 2_000):
+                for found in token_hashes(batch.column(0).slice(a, 2_000).to_pylist(), letters):
+                    held.append(found)
+                    n += len(found)
+                if n > flush:
                     yield out()
+                    n = 0
         if held:
             yield out()
 
-    return docs.select(text).mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select(text).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+
+
+def frequent_tokens(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and counts of at most ``most`` frequent tokens: all from the least count for which so few remain."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    steps = sorted(((r[0], r[1]) for r in counts.groupBy(step).count().collect()), reverse=True)  # at most 16 for each doubling
+    total, least = 0, None
+    for k, n in steps:
+        total += n
+        if total > most:
+            break
+        least = k
+    head = counts.where(step >= least if least is not None else F.lit(False)).toPandas()
+    head = head.sort_values(["c", "token"], ascending=[False, True])
+    return head["token"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+
 
+class Lookup:
+    """Places of known hashes; -1 for others."""
 
-def _encoded(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        self.sorted = keys[self.order]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], -1)
+
+
+def _encoded(docs: DataFrame, short: np.ndarray) -> DataFrame:
     """``(shard, ids)`` from ``(shard, text)``."""
-    known = docs.sparkSession.sparkContext.broadcast(words)  # the shortlist: bounded by the model's shape
+    held = docs.sparkSession.sparkContext.broadcast(short)  # the shortlist: bounded by the model's shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rare = known.value, gru.CLASSES * gru.CLASS_SIZE
+        letters, known, rare = Rolling(), Lookup(held.value), gru.CLASSES * gru.CLASS_SIZE
         for batch in batches:
             for a in range(0, batch.num_rows, 2_000):
                 part = batch.slice(a, 2_000)
-                ids = [np.fromiter((number.get(w, rare) for w in tokens(t)), np.uint16).tobytes() for t in part.column(1).to_pylist()]
+                ids = []
+                for found in token_hashes(part.column(1).to_pylist(), letters):
+                    at = known.of(found)
+                    ids.append(np.where(at < 0, rare, at).astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["shard", "ids"])
 
     return docs.select("shard", "text").mapInArrow(run, "shard long, ids binary")
@@ -94,7 +131,7 @@ def _averaged(models: DataFrame) -> tuple[bytes, int] | None:
     return None if row is None else (bytes(row.model), row.n)
 
 
-def train(docs: DataFrame, start: dict[str, np.ndarray], words: dict[bytes, int], n_tokens: int, text: str = "text", rates: tuple = RATES) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, start: dict[str, np.ndarray], short: np.ndarray, n_tokens: int, text: str = "text", rates: tuple = RATES) -> dict[str, np.ndarray]:
     """Weights after all of ``docs``; they and the shortlist are all that passes through the driver."""
     shards = max(1, math.ceil(n_tokens / SHARD_TOKENS))
     place = F.xxhash64(text, F.length(text), "k_id")
@@ -108,7 +145,7 @@ def train(docs: DataFrame, start: dict[str, np.ndarray], words: dict[bytes, int]
             made, n = gru.train(gru.unpack(held.value), [np.frombuffer(rows[i][0], np.uint16) for i in order], rate)
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([gru.pack(made)], pa.binary()), pa.array([n], pa.int64())], ["shard", "model", "n"])
 
-        found = _averaged(grouped(_encoded(dealt.where(F.col("turn") == turn), words), "shard", shard, "shard long, model binary, n long"))
+        found = _averaged(grouped(_encoded(dealt.where(F.col("turn") == turn), short), "shard", shard, "shard long, model binary, n long"))
         if found and np.isfinite(np.frombuffer(found[0], np.float32)).all():
             weights = gru.unpack(found[0])
     return weights
@@ -120,56 +157,67 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     learn = rows.where("learn")
     counts = materialize(count_tokens(learn), "token-counts")
     n_all, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.orderBy(F.desc("c"), "token").limit(head).collect()
-    short = frequent[: gru.CLASSES * gru.CLASS_SIZE]
-    words = {r.token.encode(): i for i, r in enumerate(short)}
-    rare = n_all - sum(r.c for r in short)
-    start = gru.fresh(np.array([r.c for r in short], float), rare)
-    weights = train(learn, start, words, n_all)
-    base_norm, rare_norm = math.log10(n_all + distinct + 1), math.log10(rare + distinct - len(short) + 1)
+    words, common = frequent_tokens(counts, head)
+    n_short = min(len(words), gru.CLASSES * gru.CLASS_SIZE)
+    rare = n_all - int(common[:n_short].sum())
+    start = gru.fresh(common[:n_short].astype(float), rare)
+    weights = train(learn, start, words[:n_short], n_all)
+    base_norm, rare_norm = math.log10(n_all + distinct + 1), math.log10(rare + distinct - n_short + 1)
 
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((gru.pack(weights), words, {r.token.encode(): r.c for r in frequent}))  # bounded by the model's shape and ``head``
+    held = spark.sparkContext.broadcast((gru.pack(weights), words, np.log10(common + 1.0)))  # bounded by the model's shape and ``head``
     kind = rows.schema["k_id"].dataType.simpleString()
-    numbers = "n_docs long, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, number, often = held.value
-        model, shortlist = gru.unpack(blob), gru.CLASSES * gru.CLASS_SIZE
-        logs = {w: math.log10(c + 1) for w, c in often.items()}
+        blob, words, logs = held.value
+        model, known, letters, shortlist = gru.unpack(blob), Lookup(words), Rolling(), gru.CLASSES * gru.CLASS_SIZE
+        held_ids, held_rows, waiting = [], [], 0
+
+        def scored_rows() -> pa.RecordBatch:
+            """The documents' own rows; many are scored in step, so that long ones do not run alone."""
+            keys = pa.Table.from_batches([r[0] for r in held_rows]).combine_chunks().to_batches()[0]
+            n, n_known, log_c, rest = (np.concatenate(c) for c in list(zip(*held_rows, strict=True))[1:])
+            score = gru.score(model, held_ids) / math.log(10) + rest
+            out = pa.RecordBatch.from_arrays([*keys.columns, pa.nulls(len(n), pa.int64()), pa.array(np.ones(len(n), np.int64)), pa.array(n), pa.array(n_known), pa.array(log_c - n * base_norm), pa.array(score)], names)
+            held_ids.clear()
+            held_rows.clear()
+            return out
+
         for batch in batches:
-            ids, n, known, base, score, tails = [], [], [], [], [], []
-            for value in batch.column(3).to_pylist():
-                tok = tokens(value)
-                got = [number.get(w, shortlist) for w in tok]
-                ids.append(np.array(got, np.uint16))
-                tf = Counter(tok)
-                own = [(w, k) for w, k in tf.items() if w in logs]
-                common = sum(logs[w] * k for w, k in own)
-                inside = sum(logs[w] * k for w, k in own if w not in number)
-                n.append(len(tok))
-                known.append(sum(k for _, k in own))
-                base.append(common - len(tok) * base_norm)
-                score.append(inside - got.count(shortlist) * rare_norm)
-                tails.append([(w, k) for w, k in tf.items() if w not in logs])
-            score = np.array(score) + gru.score(model, ids) / math.log(10)
+            found = token_hashes(batch.column(3).to_pylist(), letters)
+            if not found:
+                continue
+            n = np.array([len(f) for f in found])
+            hashes = np.concatenate(found)
+            place = known.of(hashes)
+            listed, often = (place >= 0) & (place < n_short), place >= 0
+            held_ids += np.split(np.where(listed, place, shortlist).astype(np.uint16), np.cumsum(n)[:-1])
+            doc = np.repeat(np.arange(len(n)), n)
+            log_c = np.bincount(doc[often], logs[place[often]], len(n))
+            only_often = often & ~listed
+            inside = np.bincount(doc[only_often], logs[place[only_often]], len(n))
             keys = batch.select(["k_id", "k_text", "learn"])
-            one = pa.array(np.ones(len(n), np.int64))
-            marks = pa.array([f"\n{k}" for k in range(len(n))])  # no word has white space: these meet no count
-            yield pa.RecordBatch.from_arrays([*keys.columns, marks, pa.array(np.zeros(len(n), np.int64)), one, pa.array(n), pa.array(known), pa.array(base), pa.array(score)], names)
-            flat = ((i, w, k) for i, t in enumerate(tails) for w, k in t)
-            for part in batched(flat, 100_000):
-                at, word, tf = zip(*part, strict=True)
-                own = keys.take(pa.array(at))
-                none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(word, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), *none], names)
-
-    names = ["k_id", "k_text", "learn", "token", "tf", "n_docs", "n_tokens", "n_known", "base", "score"]
-    scored = rows.mapInArrow(run, f"k_id {kind}, k_text long, learn boolean, token string, tf long, {numbers}")
-    met = scored.join(counts, "token", "left")
-    log_c = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)
+            held_rows.append((keys, n, np.bincount(doc[often], minlength=len(n)), log_c, inside - (n - np.bincount(doc[listed], minlength=len(n))) * rare_norm))
+            tail, rest = hashes[~often].view(np.int64), doc[~often]
+            for a in range(0, len(tail), 100_000):
+                own = keys.take(pa.array(rest[a : a + 100_000]))
+                none = [pa.nulls(own.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(tail[a : a + 100_000]), *none], names)
+            waiting += len(hashes)
+            if waiting > SCORED_TOKENS:
+                yield scored_rows()
+                waiting = 0
+        if held_rows:
+            yield scored_rows()
+
+    names = ["k_id", "k_text", "learn", "token", "n_docs", "n_tokens", "n_known", "base", "score"]
+    scored = rows.mapInArrow(run, f"k_id {kind}, k_text long, learn boolean, token long, n_docs long, n_tokens long, n_known long, base double, score double")
+    # a document's own row has no token: a number that only tells such rows apart takes its place, so that they spread
+    scored = scored.withColumn("mark", F.col("token").isNull()).withColumn("token", F.coalesce("token", F.xxhash64("k_id", "k_text")))
+    met = scored.join(counts, "token", "left").withColumn("c", F.when(~F.col("mark"), F.coalesce("c", F.lit(0))))
+    log_c = F.coalesce(F.log10(F.col("c") + 1.0), F.lit(0.0))
     per = met.groupBy("k_id", "k_text", "learn").agg(
-        F.sum("n_docs").alias("rows"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("tf"))), F.lit(0))).alias("n_known"),
+        F.sum("n_docs").alias("rows"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.count_if(F.col("c") > 0)).alias("n_known"),
         (F.sum("base") + F.sum(log_c)).alias("base"), (F.sum("score") + F.sum(log_c)).alias("score"),
     )
     # rows that repeat id and text are summed alike: each gets its share
