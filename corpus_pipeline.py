@@ -3,6 +3,9 @@
 Each stage is written as Parquet to the shared folder and read again by the next, so a lost executor costs at most
 the running stage.  All stages but the last return the columns of ``documents``; the last adds ``shard``, ``slot`` and
 ``grown_shard``.
+
+Documents are near-duplicates at a similarity of 5-word shingle sets of ``NEAR_PERCENT`` or more; the query op9
+has 85 %.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from stationwise.llm.near_dup import keep_one
 from stationwise.llm.quality import keep_good
 from stationwise.llm.sharding import assign_shards
 
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     short_batches(spark)
@@ -23,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 1. Documents with equal shingle sets form a class; classes stand for their documents from here on.
 2. A class's signature has ``HASHES`` symbols.  Two sets with a similarity of 0.85 differ in 15 % of
-   them on average, and in more than ``DISTANCE`` (19 of 40) once in ten million.  Signatures are cut into
-   ``CHUNKS`` chunks; by the pigeonhole principle two signatures within the distance have a chunk with
-   ``DISTANCE // CHUNKS`` (1) errors at most.  For each chunk, keys are enumerated with each choice of
-   that many symbols masked, so all pairs within the distance share a key: none is missed.
+   them on average, and in more than ``DISTANCE`` (19 of 40) twice in ten million.  Other similarities have
+   the distance with the same chance of a miss (``distance_of``: 22 at 0.80); those too low for it are refused.
+   Signatures are cut into chunks, 10 at 0.85 and 12 at 0.80, so that by the pigeonhole principle two
+   signatures within the distance have a chunk with one error at most.  For each chunk, keys are enumerated
+   with each choice of one symbol masked, so all pairs within the distance share a key: none is missed.
 3. The task that holds a key's classes compares their signatures in blocks and gives a forest that joins
    those within the distance, never the pairs.
 4. What these forests join are clusters.  A cluster is cut into blocks, and each pair of blocks is a task
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from stationwise.llm.hashing import Rolling, hashed_words, mix
 
 SHINGLE, PERCENT = 5, 85
 HASHES, DISTANCE, CHUNKS = 40, 19, 10
+MISSED = 3e-7  # the largest chance that a pair at the least similarity lies beyond the distance
 BLOCK = 512
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(5_497)
@@ -79,6 +82,20 @@ def _signed(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k_text long, n_shingles long, class binary, sig binary")
 
 
+def distance_of(percent: float) -> tuple[int, int]:
+    """The distance that serves a similarity of ``percent`` or more, and into how many chunks signatures are cut for it."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"no similarity: {percent} %")
+    off = 1 - percent / 100
+    beyond, distance = 0.0, HASHES
+    while distance and (more := beyond + comb(HASHES, distance) * off**distance * (1 - off) ** (HASHES - distance)) <= MISSED:
+        beyond, distance = more, distance - 1
+    chunks = distance // 2 + 1
+    if 3 * chunks > HASHES:
+        raise ValueError(f"{HASHES} symbols cannot serve a similarity of {percent} %: keys would have one symbol")
+    return distance, chunks
+
+
 def masks(hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS) -> list[np.ndarray]:
     """The symbols that each key is made of: every chunk, with each choice of its allowed errors left out."""
     errors = distance // chunks
@@ -88,11 +105,11 @@ def masks(hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS)
     return out
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
+def _keyed(classes: DataFrame, distance: int, chunks: int) -> DataFrame:
     """``(key, class, sig)``, a row per key of a class; the signature's symbols shortened to eight bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = masks()
+        chosen = masks(distance=distance, chunks=chunks)
         for whole in batches:
             for a in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(a, 2_000)
@@ -148,7 +165,7 @@ def within_distance(sig: np.ndarray, distance: int = DISTANCE, block: int = 256)
     return edges
 
 
-def _candidates(keyed: DataFrame) -> DataFrame:
+def _candidates(keyed: DataFrame, distance: int) -> DataFrame:
     """``(a, b)``: for each key, a forest of the classes whose signatures are near enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +179,10 @@ def _candidates(keyed: DataFrame) -> DataFrame:
             cls = rows.column(1).to_pylist()
             sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
             if len(cls) == 2:
-                if (sig[0] != sig[1]).sum() <= DISTANCE:
+                if (sig[0] != sig[1]).sum() <= distance:
                     pairs.append((cls[0], cls[1]))
             else:
-                pairs.extend((cls[a], cls[b]) for a, b in within_distance(sig))
+                pairs.extend((cls[a], cls[b]) for a, b in within_distance(sig, distance))
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -283,10 +300,11 @@ def _full_sets(rows: DataFrame, size: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``(doc_id, k_text, n_shingles, class, component_id, kept)``, one row per row of ``docs``; ``k_text`` is a hash of its text."""
+    distance, chunks = distance_of(percent)
     signed = materialize(_signed(docs, doc_id, text, size), "signed")
     classes = signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    clusters = components(_candidates(_keyed(classes))).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    clusters = components(_candidates(_keyed(classes, distance, chunks), distance)).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     clusters = materialize(clusters.join(classes.select("class", "first_id"), "class"), "clusters")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
     placed = materialize(clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n")).cast("int")), "placed")

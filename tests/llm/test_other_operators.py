@@ -257,6 +257,20 @@ def test_pipeline(spark, tmp_path):
     assert {"shard", "slot", "grown_shard"} <= set(out.columns) and {r.doc_id for r in out.select("doc_id").collect()} <= kept[2]
 
 
+def test_pipeline_links_documents_from_80_percent_on(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(60):  # texts of 204 words have 200 shingles; a word changed far from others takes 5 of them
+        text = [f"word{rng.randrange(5000)}" for _ in range(204)]
+        near = [f"new{i}x{k}" if k % 20 == 10 and k < 20 * (4 if i % 2 else 5) else w for k, w in enumerate(text)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
+        want |= {2 * i} if i % 2 else {2 * i, 2 * i + 1}  # 180 of 220 are 0.82, 175 of 225 are 0.78
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_archive_parser_rejects_broken_files():
     with pytest.raises(ValueError, match="cut off"):
         list(warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))

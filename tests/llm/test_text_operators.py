@@ -226,6 +226,24 @@ def test_all_pairs_within_distance_share_a_key():
         assert any(not set(m.tolist()) & set(wrong.tolist()) for m in chosen)
 
 
+@pytest.mark.parametrize(("percent", "distance"), [(75, 25), (80, 22), (85, near_dup.DISTANCE), (95, 12)])
+def test_distance_follows_the_similarity(percent, distance):
+    rng = np.random.default_rng(5)
+    found, chunks = near_dup.distance_of(percent)
+    assert found == distance and (percent != 85 or chunks == near_dup.CHUNKS)
+    chosen = near_dup.masks(distance=found, chunks=chunks)
+    assert len(chosen) == near_dup.HASHES and min(map(len, chosen)) >= 2
+    for _ in range(300):
+        wrong = rng.choice(near_dup.HASHES, found, replace=False)
+        assert any(not set(m.tolist()) & set(wrong.tolist()) for m in chosen)
+
+
+def test_similarities_that_signatures_cannot_serve_are_refused(docs):
+    for percent in (0, 60, 101):
+        with pytest.raises(ValueError, match="similarity"):
+            near_dup.near_duplicates(docs, percent=percent)
+
+
 def test_forests_keep_components():
     rng = np.random.default_rng(6)
     centre = rng.integers(0, 256, (4, 40)).astype(np.uint8)
