@@ -6,9 +6,10 @@ and then in a tree, give the subspace and its singular values in one pass.  Only
 vocabulary by ``RANK`` reach the driver.
 
 Overlapping windows of every whole text are folded into that space and compared with the benchmark items by
-cosine; the items are the query set, taken in blocks of ``ITEMS``.  Each candidate, with its surroundings, is checked
-by the longest common subsequence of words with the item: a document is contaminated if it holds
-``SURE`` of an item's words in order, or ``LIKELY`` of them together with the item's answer, its last quarter.  That
+cosine; the items are the query set, taken in blocks of at most ``ITEMS`` and about ``ITEM_WORDS`` words.  Items longer
+than a window are sought by overlapping pieces of a window's length; a piece's place in its item tells where in
+the text the item would lie, ``STRETCH`` times its length.  Each candidate, with its surroundings, is checked
+by the longest common subsequence of words with the item: a document is contaminated if it holds ``SURE`` of an item's words in order, or ``LIKELY`` of them together with the item's answer, its last quarter.  That
 catches paraphrases that leave out, add or change some words.
 
 Words are lower-cased and ASCII punctuation separates words.  Null and empty texts match nothing, nor do items of
@@ -18,7 +19,7 @@ fewer than ``LEAST`` words.  Repeated rows are found alike.  Without documents o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import batched, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 
 from stationwise.llm.common import copied_if_small, grouped, materialize, table
 
-RANK, OVERSAMPLE, ITEMS = 60, 8, 500
+RANK, OVERSAMPLE, ITEMS, ITEM_WORDS = 60, 8, 500, 30_000
 UNIT = 16  # windows of 2 units for short items and of 4 for the others, each half a window after the last
 SHORT_ITEM, LEAST = 24, 5
+PIECE, STRETCH = 4 * UNIT, 1.5  # of items longer than a window; pieces overlap by half
 COSINE = {2: 0.33, 4: 0.42}  # by the units of a window
 SURE, LIKELY, ANSWER, ANSWER_PART = 0.8, 0.6, 0.5, 0.25
 _FANOUT = 16
@@ -175,9 +177,11 @@ class Items:
     def covered(self, item: np.ndarray, term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """How many of each item's words the passage ``term[lo:hi]`` has anywhere: no common subsequence is longer."""
         out = self.length[item].copy()
+        for i in np.flatnonzero(out > 64):
+            out[i] = np.isin(self.ids[item[i]], term[lo[i] : hi[i]]).sum()
         for a in range(0, len(item), 20_000):
             width = hi[a : a + 20_000] - lo[a : a + 20_000]
-            some = np.flatnonzero((width > 0) & (out[a : a + 20_000] <= 64))
+            some = np.flatnonzero((width > 0) & (self.length[item[a : a + 20_000]] <= 64))
             if len(some):
                 at, width = some + a, width[some]
                 first = np.append(0, np.cumsum(width)[:-1])
@@ -215,6 +219,24 @@ def _long_common(item: np.ndarray, passage: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+class Pieces:
+    """What the items are sought by: themselves, or overlapping pieces of those longer than a window."""
+
+    def __init__(self, ids: list[np.ndarray], space: np.ndarray):
+        at = [(k, o) for k, i in enumerate(ids) for o in (*range(0, max(0, len(i) - PIECE), PIECE // 2), max(0, len(i) - PIECE))]
+        self.item, self.offset = np.array(at, np.int64).reshape(-1, 2).T
+        self.length = np.array([min(PIECE, len(ids[k])) for k, _ in at], np.int64)
+        self.cut = np.array([len(ids[k]) > PIECE for k, _ in at], bool)
+        self.after = np.array([len(ids[k]) for k, _ in at], np.int64) - self.offset - self.length
+        self.place = np.array([space[ids[k][o : o + PIECE]].sum(0) for k, o in at])
+        self.place /= np.maximum(np.linalg.norm(self.place, axis=1, keepdims=True), 1e-9)
+
+    def around(self, piece: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many units before and after a window that looks like the piece its item may reach."""
+        reach = lambda words: np.ceil(STRETCH * words / UNIT).astype(np.int64) * self.cut[piece] + width // 2
+        return reach(self.offset[piece]), reach(self.after[piece])
+
+
 def _search(docs: DataFrame, items: list[tuple], vocabulary: list[bytes], space: np.ndarray) -> DataFrame:
     """``(k_id, k_text, item_id, item_words, lcs, ratio, cosine, answer)``: the best place of each item in each text."""
     held = docs.sparkSession.sparkContext.broadcast((items, vocabulary, space))
@@ -224,13 +246,12 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: list[bytes], space:
         items, vocabulary, space = held.value
         terms = Terms(vocabulary)
         ids = [terms.of(t) for _, t in items]
-        place = np.array([space[i].sum(0) for i in ids])
-        place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
+        pieces = Pieces(ids, space)
         whole, tails = Items(ids, len(vocabulary)), Items(ids, len(vocabulary), ANSWER_PART)
         for batch in batches:
             for a in range(0, batch.num_rows, 1_000):
                 part = batch.slice(a, 1_000)
-                rows = candidates(part.column(2).to_pylist(), whole, tails, place, space)
+                rows = candidates(part.column(2).to_pylist(), whole, tails, pieces, space)
                 if rows:
                     doc, item, lcs, cos, answer = (np.array(c) for c in zip(*rows, strict=True))
                     take = pa.array(doc.astype(np.int64))
@@ -243,7 +264,7 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: list[bytes], space:
     return docs.select("k_id", "k_text", "ids").mapInArrow(run, f"k_id {kind}, k_text long, item_id long, item_words long, lcs long, ratio double, cosine double, answer double")
 
 
-def candidates(texts: list[bytes], whole: Items, tails: Items, place: np.ndarray, space: np.ndarray) -> list[tuple]:
+def candidates(texts: list[bytes], whole: Items, tails: Items, pieces: Pieces, space: np.ndarray) -> list[tuple]:
     """``(text, item, lcs, cosine, answer)`` of the contaminated texts; the surest place of each item."""
     term, unit, of = _units(texts)
     n = len(of)
@@ -262,21 +283,26 @@ def candidates(texts: list[bytes], whole: Items, tails: Items, place: np.ndarray
     found: list[tuple[np.ndarray, ...]] = []
     two = sums + after(sums, 1) if n > 1 else sums
     four = two + after(two, 2) if n > 2 else two
-    is_long = whole.length > SHORT_ITEM
+    is_long = pieces.length > SHORT_ITEM
     for windows, width, chosen in ((two, 2, np.flatnonzero(~is_long)), (four, 4, np.flatnonzero(is_long))):
         starts = np.flatnonzero((np.arange(n) - first) % (width // 2) == 0)
-        for a in range(0, len(starts) if len(chosen) else 0, 20_000):
-            s = starts[a : a + 20_000]
+        some = 20_000 * ITEMS // max(ITEMS, len(chosen))
+        for a in range(0, len(starts) if len(chosen) else 0, some):
+            s = starts[a : a + some]
             w = windows[s]
             w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
-            cos = w @ place[chosen].T
+            cos = w @ pieces.place[chosen].T
             r, c = np.nonzero(cos >= COSINE[width])
-            lo = np.maximum(first[s[r]], s[r] - width // 2)
-            hi = np.minimum(last[s[r]], s[r] + width + width // 2)
-            found.append((bounds[lo], bounds[hi], chosen[c], cos[r, c], of[s[r]]))
+            before, behind = pieces.around(chosen[c], width)
+            lo = np.maximum(first[s[r]], s[r] - before)
+            hi = np.minimum(last[s[r]], s[r] + width + behind)
+            found.append((bounds[lo], bounds[hi], pieces.item[chosen[c]], cos[r, c], of[s[r]]))
     if not found:
         return []
     lo, hi, item, cos, doc = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((-cos, hi, lo, item))  # several pieces may point to one passage: the likest stands for them
+    new = np.append(True, (np.diff(item[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))[: len(order)]
+    lo, hi, item, cos, doc = (c[order[new]] for c in (lo, hi, item, cos, doc))
     able = np.flatnonzero(whole.covered(item, term, lo, hi) >= LIKELY * whole.length[item])
     lo, hi, item, cos, doc = (c[able] for c in (lo, hi, item, cos, doc))
     lcs = whole.common(item, term, lo, hi)
@@ -292,13 +318,28 @@ def candidates(texts: list[bytes], whole: Items, tails: Items, place: np.ndarray
     return list(best.values())
 
 
+def _blocks(items: Iterator) -> Iterator[list[tuple]]:
+    """The items, ``ITEMS`` at a time, or fewer where they have many words."""
+    block, n = [], 0
+    for item in items:
+        size = len(words_of(item.text))
+        if size < LEAST:
+            continue
+        if block and (len(block) == ITEMS or n + size > ITEM_WORDS):
+            yield block
+            block, n = [], 0
+        block.append((item.item_id, item.text))
+        n += size
+    if block:
+        yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and item that it holds, by the document's id and a hash of its text."""
     rows = docs.select(F.col(doc_id).alias("k_id"), F.xxhash64(text, F.length(text)).alias("k_text"), F.col(text).alias("text"))
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator()
     out = None
-    for block in batched((i for i in items if len(words_of(i.text)) >= LEAST), ITEMS):
-        block = [(i.item_id, i.text) for i in block]
+    for block in _blocks(items):
         vocabulary = sorted({w for _, t in block for w in words_of(t)})
         known = materialize(encoded(rows, vocabulary), "benchmark-words")
         found = _search(known, block, vocabulary, latent_space(known, len(vocabulary)))

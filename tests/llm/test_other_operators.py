@@ -172,6 +172,26 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_long_items(spark):
+    rng = random.Random(19)
+    some = lambda c, n: [f"{c}{rng.randrange(3000)}" for _ in range(n)]
+    sizes = (65, 150, 200, 214, 400, 1_000)
+    items = [some("q", n) for n in sizes]
+    rows, want = [], set()
+    for i, item in enumerate(items):
+        loose = [w for k, w in enumerate(item) if k % 9 for w in ((w, "added", "more") if k % 5 == 0 else ("other",) if k % 7 == 0 else (w,))]
+        for text in (item, loose):
+            want.add((len(rows), i))
+            rows.append((len(rows), " ".join(some("w", rng.randrange(300)) + text + some("w", rng.randrange(300)))))
+        rows.append((len(rows), " ".join(some("w", 50) + item[: len(item) // 2] + some("w", 500))))  # half an item
+        rows.append((len(rows), " ".join(rng.sample(item, len(item)))))  # its words in another order
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.k_id, r.item_id): r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(found) == want
+    assert all(found[4 * i, i].lcs == n for i, n in enumerate(sizes))
+
+
 def test_common_words():
     rng = random.Random(3)
     ids = [np.array([rng.randrange(12) for _ in range(n)]) for n in (5, 40, 64, 80)]
