@@ -85,6 +85,20 @@ def test_bands():
     assert quality.band_verdict(prose, quality.Bands(), z)[2]
 
 
+def test_the_last_bytes_are_judged():
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(7)
+    noise = bytes(rng.randrange(33, 127) for _ in range(4_096))
+    prose = " ".join(words(rng, 5_000)).encode()
+    share = lambda raw: quality.band_verdict(raw, quality.Bands(), z)[1:]
+    assert share(prose[:8_192] + noise + prose[:4_000] + b"again " * 680)[0] == 2 / 5
+    assert share(prose[:8_192] + noise + b"again and " * 400) == (2 / 4, False)  # a bad chunk and a bad tail
+    assert share(prose[:4_000] + noise[:4_000]) == (1 / 2, False)  # less than two chunks
+    assert share(prose[:12_288])[0] == share(prose[:12_289])[0] == share(prose[:4_096])[0] == 0
+
+
 def line_brute(rows: list[tuple], min_chars: int = 40, min_docs: int = 5) -> dict:
     def of(text):
         return [(x, x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})) for x in (text or "").split("\n")]
