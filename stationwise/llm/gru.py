@@ -1,196 +1,306 @@
 """A gated recurrent language model in numpy with a class-factored softmax.
 
-Words are numbered by falling count.  The first ``classes * size`` are the shortlist, cut into classes of
-``size``; the number after them stands for any rarer word and is a class by itself.  A token's probability is that
-of its class given the state, times that of the word given class and state.
+Words are numbered by falling count.  The first ``n`` are the head: each has an embedding and output weights of its
+own.  The head is cut into about 2 sqrt(n) classes of neighbouring counts, each with the same share of the square
+roots of the counts, so that frequent words lie in small classes.  The ``tails`` numbers after the head each stand for
+a set of rarer words and are classes by themselves.  Classes are joined into groups.  A token's probability is that of
+its group given the state, times that of its class given group and state, times that of the word given class and state.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import numpy as np
 
-HIDDEN, CLASSES, CLASS_SIZE, STEPS = 16, 16, 32, 16
-NAMES = ("emb", "rec", "bias", "cls", "cls_bias", "word", "word_bias")
+HIDDEN, EMBEDDING, TAILS, STEPS, LANES = 64, 32, 64, 16, 1_024
+_DENSE = ("into", "rec", "bias", "grp", "grp_bias", "cls", "cls_bias")
+_SPARSE = ("emb", "word", "word_bias")  # a row for each word
+_CHUNK, _ROWS = 4_096, 1 << 18
 
 
-def fresh(counts: np.ndarray, rare: float, hidden: int = HIDDEN, classes: int = CLASSES, size: int = CLASS_SIZE, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights that start as the unigram model of ``counts`` (of the shortlist) and ``rare`` (of all others)."""
-    rng = np.random.default_rng(seed)
-    n = classes * size
-    full = np.full(n, 0.1)
-    full[: len(counts)] += counts
-    by_class = full.reshape(classes, size)
-    share = np.append(by_class.sum(1), rare + 0.1)
-    draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    return {
-        "emb": draw(n + 1, 3 * hidden, scale=0.3),
-        "rec": draw(hidden, 3 * hidden, scale=hidden**-0.5),
-        "bias": np.zeros(3 * hidden, np.float32),
-        "cls": draw(hidden, classes + 1, scale=0.05),
-        "cls_bias": np.log(share / share.sum()).astype(np.float32),
-        "word": draw(n, hidden, scale=0.05),
-        "word_bias": np.log(by_class / by_class.sum(1, keepdims=True)).ravel().astype(np.float32),
-    }
-
-
-def pack(w: dict[str, np.ndarray]) -> bytes:
-    return b"".join(w[k].astype(np.float32).tobytes() for k in NAMES)
-
-
-def unpack(blob: bytes, hidden: int = HIDDEN, classes: int = CLASSES, size: int = CLASS_SIZE) -> dict[str, np.ndarray]:
-    n, flat, out, at = classes * size, np.frombuffer(blob, np.float32), {}, 0
-    shapes = ((n + 1, 3 * hidden), (hidden, 3 * hidden), (3 * hidden,), (hidden, classes + 1), (classes + 1,), (n, hidden), (n,))
-    for name, shape in zip(NAMES, shapes, strict=True):
-        k = int(np.prod(shape))
-        out[name], at = flat[at : at + k].reshape(shape).copy(), at + k
-    return out
+@dataclass
+class Model:
+    cuts: np.ndarray  # where the head's classes begin, and at last its end
+    group_cuts: np.ndarray  # where the groups of classes begin, and at last their end
+    emb: np.ndarray
+    into: np.ndarray
+    rec: np.ndarray
+    bias: np.ndarray
+    grp: np.ndarray
+    grp_bias: np.ndarray
+    cls: np.ndarray
+    cls_bias: np.ndarray
+    word: np.ndarray
+    word_bias: np.ndarray
+
+    @property
+    def class_of(self) -> np.ndarray:
+        """The class of each number."""
+        n = len(self.cuts) - 1
+        return np.concatenate([np.repeat(np.arange(n), np.diff(self.cuts)), np.arange(n, len(self.cls_bias))]).astype(np.int64)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in _DENSE + _SPARSE])
+
+    def filled(self, flat: np.ndarray) -> Model:
+        """A model of this shape with the weights of ``flat``."""
+        out, at = {}, 0
+        for name in _DENSE + _SPARSE:
+            like = getattr(self, name)
+            out[name], at = flat[at : at + like.size].reshape(like.shape).astype(np.float32), at + like.size
+        return replace(self, **out)
+
+    def copy(self) -> Model:
+        return self.filled(self.flat())
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def class_cuts(counts: np.ndarray) -> np.ndarray:
+    """Cut words of falling count into about 2 sqrt(n) classes with equal shares of the counts' square roots."""
+    n = len(counts)
+    if not n:
+        return np.zeros(1, np.int64)
+    share = np.cumsum(np.sqrt(np.maximum(counts, 1e-9)))
+    k = max(1, int(2 * np.sqrt(n)))
+    cls = np.minimum((share / share[-1] * k - 1e-9).astype(np.int64), k - 1)
+    return np.append(np.flatnonzero(np.append(True, np.diff(cls) > 0)), n)
+
+
+def fresh(counts: np.ndarray, tails: np.ndarray, hidden: int = HIDDEN, embedding: int = EMBEDDING, seed: int = 11) -> Model:
+    """A model that starts as the unigram model of ``counts`` (of the head, falling) and ``tails`` (of the groups of other words)."""
+    rng = np.random.default_rng(seed)
+    counts = np.asarray(counts, float) + 0.1
+    cuts = class_cuts(counts)
+    sums = np.add.reduceat(counts, cuts[:-1]) if len(counts) else np.zeros(0)
+    share = np.append(sums, np.asarray(tails, float) + 0.1)
+    groups = max(1, int(np.sqrt(len(share))))
+    group_cuts = np.linspace(0, len(share), groups + 1).astype(np.int64)
+    group = np.add.reduceat(share, group_cuts[:-1])
+    draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
+    log = lambda x: np.log(x).astype(np.float32)
+    n = len(counts)
+    return Model(
+        cuts=cuts,
+        group_cuts=group_cuts,
+        emb=draw(n + len(tails), embedding, scale=0.3),
+        into=draw(embedding, 3 * hidden, scale=embedding**-0.5),
+        rec=draw(hidden, 3 * hidden, scale=hidden**-0.5),
+        bias=np.zeros(3 * hidden, np.float32),
+        grp=draw(groups, hidden, scale=0.05),
+        grp_bias=log(group / group.sum()),
+        cls=draw(len(share), hidden, scale=0.05),
+        cls_bias=log(share / np.repeat(group, np.diff(group_cuts))),
+        word=draw(n, hidden, scale=0.05),
+        word_bias=log(counts / np.repeat(sums, np.diff(cuts))),
+    )
 
 
-def advance(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """The states after reading one token each, and what the way back needs."""
+def _gates(m: Model, h: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The states after one token each, whose part of the gates is ``given``, and what the way back needs."""
     k = h.shape[1]
-    given, own = w["emb"][ids] + w["bias"], h @ w["rec"]
-    gates = _sigmoid(given[:, : 2 * k] + own[:, : 2 * k])
+    own = h @ m.rec
+    gates = given[:, : 2 * k] + own[:, : 2 * k]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
     reset, keep = gates[:, :k], gates[:, k:]
-    new = np.tanh(given[:, 2 * k :] + reset * own[:, 2 * k :])
-    return new + keep * (h - new), (h, reset, keep, new, own[:, 2 * k :])
+    new = reset * own[:, 2 * k :]
+    new += given[:, 2 * k :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= keep
+    out += new
+    return out, (h, reset, keep, new, own[:, 2 * k :])
+
 
+def advance(m: Model, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The states after reading one token each."""
+    return _gates(m, h, m.emb[ids] @ m.into + m.bias)[0]
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The probabilities in each row, and the log of the target's."""
+
+def _softmax(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log of each target's probability; ``x`` becomes the probabilities."""
     x -= x.max(1, keepdims=True)
     logit = x[np.arange(len(x)), target]
     np.exp(x, out=x)
     total = x.sum(1, keepdims=True)
     x /= total
-    return x, logit - np.log(total[:, 0])
+    return logit - np.log(total[:, 0])
+
 
+def _log_softmax(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    logit = x[np.arange(len(x)), target]
+    return logit - np.log(np.exp(x, out=x).sum(1))
+
+
+def _choices(m: Model, cls: np.ndarray, ids: np.ndarray):
+    """The softmaxes that tokens sorted by class go through.
 
-def log_probs(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, size: int = CLASS_SIZE) -> np.ndarray:
-    """Natural log of each token's probability; of a rare word that of its class alone."""
-    cls = ids // size
-    logp = _softmax(h @ w["cls"] + w["cls_bias"], cls)[1].astype(np.float64)
+    Each is ``(layer, tokens, rows, targets)``: a stretch of the tokens, which choose among ``rows`` of the layer.
+    """
+    group = np.searchsorted(m.group_cuts, cls, side="right") - 1
+    for a in range(0, len(cls), _CHUNK):
+        yield "grp", slice(a, a + _CHUNK), slice(0, len(m.grp)), group[a : a + _CHUNK]
+    for layer, parent, cuts, child in (("cls", group, m.group_cuts, cls), ("word", cls, m.cuts, ids)):
+        starts = np.searchsorted(parent, np.arange(len(cuts)))
+        for c in np.flatnonzero(np.diff(starts)):
+            lo, hi = cuts[c], cuts[c + 1]
+            if hi - lo > 1:
+                for a in range(starts[c], starts[c + 1], _CHUNK):
+                    at = slice(a, min(a + _CHUNK, starts[c + 1]))
+                    yield layer, at, slice(lo, hi), child[at] - lo
+
+
+def log_probs(m: Model, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Natural log of each token's probability; of a tail that of its class alone."""
+    cls = m.class_of[ids]
     order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(w["cls"].shape[1]))
-    for c in range(w["cls"].shape[1] - 1):
-        at = order[cuts[c] : cuts[c + 1]]
-        if len(at):
-            logp[at] += _softmax(h[at] @ w["word"][c * size : (c + 1) * size].T + w["word_bias"][c * size : (c + 1) * size], ids[at] - c * size)[1]
-    return logp
+    h, logp, out = h[order], np.zeros(len(ids)), np.empty(len(ids))
+    for layer, at, rows, target in _choices(m, cls[order], ids[order]):
+        logp[at] += _log_softmax(h[at] @ getattr(m, layer)[rows].T + getattr(m, layer + "_bias")[rows], target)
+    out[order] = logp
+    return out
 
 
-def score(w: dict[str, np.ndarray], docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray:
+def score(m: Model, docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray:
     """Natural log-likelihood of each whole document; the state is carried from window to window."""
-    length = np.array([len(d) for d in docs])
+    length = np.array([len(d) for d in docs], np.int64)
     order = np.argsort(-length, kind="stable")
     total, starts = np.zeros(len(docs)), np.append(0, np.cumsum(length))
     flat = np.concatenate(docs).astype(np.int64) if len(docs) else np.zeros(0, np.int64)
-    h = np.zeros((len(docs), w["rec"].shape[0]), np.float32)
+    h = np.zeros((len(docs), m.rec.shape[0]), np.float32)
     falling, t = length[order], 0
+    states, ids, lanes, held = [], [], [], 0
+
+    def settle() -> None:
+        tokens = np.concatenate(ids)
+        total[:] += np.bincount(np.concatenate(lanes), log_probs(m, np.concatenate(states), tokens), len(docs))
+        states.clear(), ids.clear(), lanes.clear()
+
     live = int((falling > 0).sum())
     while live:
-        states, ids, lanes = [], [], []
-        for _ in range(steps):
-            live = int(np.searchsorted(-falling, -t, side="left"))
-            if not live:
-                break
-            at = order[:live]
-            tok = flat[starts[at] + t]
-            states.append(h[:live])
-            ids.append(tok)
-            lanes.append(at)
-            h = advance(w, h[:live], tok)[0]
-            t += 1
-        if ids:
-            ids = np.concatenate(ids)
-            total += np.bincount(np.concatenate(lanes), log_probs(w, np.concatenate(states), ids), len(docs))
+        at = order[:live]
+        width = int(min(steps, falling[live - 1] - t))  # no document ends within
+        for a in range(0, live, _ROWS // steps):
+            lane = at[a : a + _ROWS // steps]
+            tokens = flat[starts[lane][None, :] + t + np.arange(width)[:, None]]
+            given = (m.emb[tokens.ravel()] @ m.into + m.bias).reshape(width, len(lane), -1)
+            own = h[a : a + len(lane)].copy()
+            for s in range(width):
+                states.append(own)
+                own = _gates(m, own, given[s])[0]
+            h[a : a + len(lane)] = own
+            ids.append(tokens.ravel())
+            lanes.append(np.tile(lane, width))
+            held += tokens.size
+            if held >= _ROWS:
+                settle()
+                held = 0
+        t += width
+        live = int(np.searchsorted(-falling, -t, side="left"))
+        h = h[:live]
+    if ids:
+        settle()
     return total
 
 
-def _gradients(w: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, fresh_at: np.ndarray, real: np.ndarray, size: int) -> tuple[dict, np.ndarray, float]:
-    """Gradients of the mean loss over one window ``ids[step, lane]``, the last states and the loss."""
+def gradients(m: Model, h: np.ndarray, ids: np.ndarray, fresh_at: np.ndarray, real: np.ndarray, class_of: np.ndarray, step_words) -> tuple[dict, tuple, np.ndarray, float]:
+    """Gradients of the loss summed over one window ``ids[step, lane]``, the last states and the loss.
+
+    Those of each class's words go to ``step_words(rows, d_word, d_bias)`` as they are found; those of embeddings come
+    as ``(ids, rows)``.
+    """
     steps, lanes = ids.shape
-    k = h.shape[1]
+    k, tok = h.shape[1], ids.ravel()
+    given = m.emb[tok]
+    x = (given @ m.into + m.bias).reshape(steps, lanes, 3 * k)
     seen, back = np.empty((steps, lanes, k), np.float32), []
     for t in range(steps):
         h = h * ~fresh_at[t][:, None]
         seen[t] = h
-        h, kept = advance(w, h, ids[t])
+        h, kept = _gates(m, h, x[t])
         back.append(kept)
-    flat, tok, weight = seen.reshape(-1, k), ids.ravel(), real.ravel().astype(np.float32)
-    weight /= max(1.0, weight.sum())
-    cls = tok // size
-    d, logp = _softmax(flat @ w["cls"] + w["cls_bias"], cls)
-    loss = -float((logp * weight).sum())
-    d[np.arange(len(tok)), cls] -= 1
-    d *= weight[:, None]
-    g = {"cls": flat.T @ d, "cls_bias": d.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
-    up = d @ w["cls"].T
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(w["cls"].shape[1]))
-    for c in range(w["cls"].shape[1] - 1):
-        at = order[cuts[c] : cuts[c + 1]]
-        if len(at):
-            span, own = slice(c * size, (c + 1) * size), np.arange(len(at))
-            d, part = _softmax(flat[at] @ w["word"][span].T + w["word_bias"][span], tok[at] - c * size)
-            loss -= float((part * weight[at]).sum())
-            d[own, tok[at] - c * size] -= 1
-            d *= weight[at][:, None]
-            g["word"][span], g["word_bias"][span] = d.T @ flat[at], d.sum(0)
-            up[at] += d @ w["word"][span]
+    order = np.flatnonzero(real.ravel())
+    order = order[np.argsort(class_of[tok[order]], kind="stable")]
+    own_h, loss = seen.reshape(-1, k)[order], 0.0
+    own_up = np.zeros_like(own_h)
+    g = {name: np.zeros_like(getattr(m, name)) for name in ("grp", "grp_bias", "cls", "cls_bias")}
+    for layer, at, rows, target in _choices(m, class_of[tok[order]], tok[order]):
+        weights = getattr(m, layer)[rows]
+        d = own_h[at] @ weights.T + getattr(m, layer + "_bias")[rows]
+        loss -= float(_softmax(d, target).sum())
+        d[np.arange(len(d)), target] -= 1
+        own_up[at] += d @ weights
+        if layer == "word":
+            step_words(rows, d.T @ own_h[at], d.sum(0))
+        else:
+            g[layer][rows] += d.T @ own_h[at]
+            g[layer + "_bias"][rows] += d.sum(0)
+    up = np.zeros((steps * lanes, k), np.float32)
+    up[order] = own_up
     up = up.reshape(steps, lanes, k)
-    into, carry = np.empty((steps, lanes, 3 * k), np.float32), np.zeros((lanes, k), np.float32)
-    g["rec"] = np.zeros_like(w["rec"])
+    dx, carry = np.empty((steps, lanes, 3 * k), np.float32), np.zeros((lanes, k), np.float32)
+    g["rec"] = np.zeros_like(m.rec)
     for t in range(steps - 1, -1, -1):
         old, reset, keep, new, own = back[t]
         d_new = carry * (1 - keep) * (1 - new * new)
-        d_keep = carry * (old - new) * keep * (1 - keep)
-        d_reset = d_new * own * reset * (1 - reset)
-        into[t, :, :k], into[t, :, k : 2 * k], into[t, :, 2 * k :] = d_reset, d_keep, d_new
-        d_own = into[t].copy()
+        dx[t, :, :k] = d_new * own * reset * (1 - reset)
+        dx[t, :, k : 2 * k] = carry * (old - new) * keep * (1 - keep)
+        dx[t, :, 2 * k :] = d_new
+        d_own = dx[t].copy()
         d_own[:, 2 * k :] *= reset
         g["rec"] += old.T @ d_own
-        carry = (carry * keep + d_own @ w["rec"].T + up[t]) * ~fresh_at[t][:, None]
-    into = into.reshape(-1, 3 * k)
-    g["bias"] = into.sum(0)
+        carry = (carry * keep + d_own @ m.rec.T + up[t]) * ~fresh_at[t][:, None]
+    dx = dx.reshape(-1, 3 * k)
+    g["bias"], g["into"] = dx.sum(0), given.T @ dx
     order = np.argsort(tok, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(tok[order]) != 0))
-    g["emb"] = np.zeros_like(w["emb"])
-    g["emb"][tok[order][first]] = np.add.reduceat(into[order], first, axis=0)
-    return g, h, loss
+    return g, (tok[order][first], np.add.reduceat((dx @ m.into.T)[order], first, axis=0)), h, loss
 
 
-def train(w: dict[str, np.ndarray], docs: list[np.ndarray], rate: float, steps: int = STEPS, size: int = CLASS_SIZE) -> tuple[dict[str, np.ndarray], int]:
-    """Truncated backpropagation through time, once over ``docs``, with Adam; new weights and the tokens read.
+def train(m: Model, docs: list[np.ndarray], rate: float, steps: int = STEPS, most_lanes: int = LANES) -> tuple[Model, int]:
+    """Truncated backpropagation through time, once over ``docs``; a new model and the tokens read.
 
-    The documents lie one after another in lanes of equal length; a state starts anew where a document does.
+    The documents lie one after another in lanes of equal length; a state starts anew where a document does.  Weights
+    of the recurrent cell and of the classes move by Adam at ``rate``, rows of words by Adagrad at 20 times that.
     """
     flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
     n = len(flat)
     if not n:
-        return w, 0
+        return m, 0
     begins = np.zeros(n, bool)
     begins[np.cumsum([0, *[len(d) for d in docs[:-1]]])] = True
-    lanes = int(np.clip(n // (steps * 120), 8, 512))
+    lanes = int(np.clip(n // (steps * 100), 8, most_lanes))
     span = -(-n // (lanes * steps)) * steps
     pad = lanes * span - n
     shape = lambda a, fill: np.append(a, np.full(pad, fill, a.dtype)).reshape(lanes, span).T
-    ids, begins, real = shape(flat, w["emb"].shape[0] - 1), shape(begins, True), shape(np.ones(n, bool), False)
-    w = {k: v.copy() for k, v in w.items()}
-    one, two = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    h = np.zeros((lanes, w["rec"].shape[0]), np.float32)
+    ids, begins, real = shape(flat, len(m.emb) - 1), shape(begins, True), shape(np.ones(n, bool), False)
+    m, class_of, sparse = m.copy(), m.class_of, 20 * rate
+    one, two = ({k: np.zeros_like(getattr(m, k)) for k in _DENSE} for _ in range(2))
+    seen_word, seen_emb = np.ones(len(m.word), np.float32), np.ones(len(m.emb), np.float32)
+    h = np.zeros((lanes, m.rec.shape[0]), np.float32)
+    warm = 1.0
+
+    def step_words(rows: slice, d_word: np.ndarray, d_bias: np.ndarray) -> None:
+        seen_word[rows] += np.einsum("ij,ij->i", d_word, d_word) / d_word.shape[1]
+        move = sparse * warm / np.sqrt(seen_word[rows])
+        m.word_bias[rows] -= move * d_bias
+        d_word *= move[:, None]
+        m.word[rows] -= d_word
+
     for i, a in enumerate(range(0, span, steps), 1):
-        g, h, _ = _gradients(w, h, ids[a : a + steps], begins[a : a + steps], real[a : a + steps], size)
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        scale = min(1.0, 1.0 / max(norm, 1e-9))
-        step = rate * min(1.0, i / 20) * np.sqrt(1 - 0.99**i) / (1 - 0.9**i)
+        warm = min(1.0, i / 20)
+        g, (words, rows), h, _ = gradients(m, h, ids[a : a + steps], begins[a : a + steps], real[a : a + steps], class_of, step_words)
+        seen_emb[words] += np.einsum("ij,ij->i", rows, rows) / rows.shape[1]
+        m.emb[words] -= rows * (sparse * warm / np.sqrt(seen_emb[words]))[:, None]
+        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) / max(1, real[a : a + steps].sum())
+        scale = min(1.0, 1.0 / max(norm, 1e-9)) / max(1, real[a : a + steps].sum())
+        step = rate * warm * np.sqrt(1 - 0.99**i) / (1 - 0.9**i)
         for k, x in g.items():
             x *= scale
             one[k] += 0.1 * (x - one[k])
             two[k] += 0.01 * (x * x - two[k])
-            w[k] -= step * one[k] / (np.sqrt(two[k]) + 1e-6)
-    return w, n
+            getattr(m, k)[...] -= step * one[k] / (np.sqrt(two[k]) + 1e-8)
+    return m, n

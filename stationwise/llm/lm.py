@@ -6,11 +6,11 @@
    tokens, in a tree.  That happens ``len(RATES)`` times, each on its own part of every shard's documents.
 3. Scoring: whole documents, the state carried from window to window.
 
-The softmax is factored into classes (see ``gru``).  Words beyond its shortlist are one class, in which a word's
-probability is its share of their counts, one added to each and to a single unknown word; so the model spreads
-its probability over the same words as the unigram model that it is compared with.  Counts of the ``HEAD`` most
-frequent words go with the tasks; a document's other words meet their counts in a join.  Words are known by
-64-bit hashes throughout.
+The softmax is factored into groups, classes and words (see ``gru``).  The ``WORDS`` most frequent words have embeddings and
+output weights of their own.  All other words, counted or not, are dealt by their last two bytes to ``gru.TAILS`` sets, which
+the model reads and predicts; within a set, a word's probability is its share of the set's counts, one added to each and to a
+single unknown word.  Counts of the ``HEAD`` most frequent words go with the tasks; a document's other words meet their
+counts in a join.  Words are known by 64-bit xxh3 hashes.
 
 ASCII letters are lower-cased; each document ends with an end token.  Null texts are empty: the end token alone.
 A null id is hashed as the empty text.  Repeated rows are scored alike; an empty table gives an empty result; without
@@ -20,6 +20,7 @@ training documents the counts are 0.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,47 +30,92 @@ from pyspark.sql import functions as F
 
 from stationwise.llm import gru
 from stationwise.llm.common import grouped, materialize, table
-from stationwise.llm.hashing import Rolling, hashed_words
 
-SHARD_TOKENS, SCORED_TOKENS, HEAD = 3_000_000, 4_000_000, 200_000
-RATES = (0.02, 0.01, 0.005)
-END = np.uint64(0xE17D)  # no word has this hash: words' hashes fill 64 bits
-_FANOUT = 16
-
-
-def token_hashes(texts: list[str | None], letters: Rolling) -> list[np.ndarray]:
-    """The hashes of each text's tokens, the end token last."""
-    lower = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    return [np.append(words, END) for words in hashed_words(lower, letters)]
+SHARD_TOKENS, SCORED_TOKENS = 8_000_000, 2_000_000
+HEAD, WORDS = 200_000, (1 << 16) - gru.TAILS
+RATES = (0.01, 0.005, 0.002)
+END = b" "  # no word holds a space
+_FANOUT, _CACHE, _PART = 16, 1 << 20, 4 << 20
+
+
+def tail_of(word: bytes) -> int:
+    """Which set of rarer words a word belongs to, by its last two bytes."""
+    return (31 * word[-1] + (word[-2] if len(word) > 1 else 7)) % gru.TAILS
+
+
+class Codes(dict):
+    """Numbers of words in the order of their first use, and each one's hash and tail; cleared when it grows large."""
+
+    def __init__(self):
+        super().__init__()
+        self.hash, self.tail = array("Q"), array("B")
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = code = len(self)
+        self.hash.append(xxhash.xxh3_64_intdigest(word))
+        self.tail.append(tail_of(word))
+        return code
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens' codes, the number of tokens of each text, and the hash and tail of each code."""
+        if len(self) > _CACHE:
+            self.clear()
+            self.hash, self.tail = array("Q"), array("B")
+        words, n = [], np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            own = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            n[i] = len(own) + 1
+            words += own
+            words.append(END)
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return codes, n, np.array(self.hash, np.uint64), np.array(self.tail, np.int64)
+
+
+def parts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a column, about ``_PART`` characters at a time, and the place of the first."""
+    at, held, size = 0, [], 0
+    for i, t in enumerate(column.to_pylist()):
+        held.append(t)
+        size += len(t or "") + 16
+        if size > _PART:
+            yield at, held
+            at, held, size = i + 1, [], 0
+    if held:
+        yield at, held
 
 
 def count_tokens(docs: DataFrame, text: str = "text", flush: int = 4_000_000) -> DataFrame:
-    """``(token, c)`` over all documents."""
+    """``(token, tail, c)`` over all documents; the token is a word's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, held, n = Rolling(), [], 0
+        codes, held, n = Codes(), [], 0
 
         def out() -> pa.RecordBatch:
-            token, c = np.unique(np.concatenate(held), return_counts=True)
+            token, first, which = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+            c = np.bincount(which, np.concatenate([h[2] for h in held])).astype(np.int64)
+            tail = np.concatenate([h[1] for h in held])[first]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c)], ["token", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(tail.astype(np.int32)), pa.array(c)], ["token", "tail", "c"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 2_000):
-                for found in token_hashes(batch.column(0).slice(a, 2_000).to_pylist(), letters):
-                    held.append(found)
-                    n += len(found)
+            for _, texts in parts(batch.column(0)):
+                found, _, hashes, tails = codes.read(texts)
+                code, c = np.unique(found, return_counts=True)
+                held.append((hashes[code], tails[code], c))
+                n += len(code)
                 if n > flush:
                     yield out()
                     n = 0
         if held:
             yield out()
 
-    return docs.select(text).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select(text).mapInArrow(run, "token long, tail int, c long").groupBy("token").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
-def frequent_tokens(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes and counts of at most ``most`` frequent tokens: all from the least count for which so few remain."""
+def frequent_tokens(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes, counts and tails of at most ``most`` frequent tokens: all from the least count for which so few remain."""
     step = F.floor(F.log2("c") * 16).cast("int")
     steps = sorted(((r[0], r[1]) for r in counts.groupBy(step).count().collect()), reverse=True)  # at most 16 for each doubling
     total, least = 0, None
@@ -80,7 +126,7 @@ def frequent_tokens(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarra
         least = k
     head = counts.where(step >= least if least is not None else F.lit(False)).toPandas()
     head = head.sort_values(["c", "token"], ascending=[False, True])
-    return head["token"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+    return head["token"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), head["tail"].to_numpy(np.int64)
 
 
 class Lookup:
@@ -99,78 +145,85 @@ class Lookup:
 
 def _encoded(docs: DataFrame, short: np.ndarray) -> DataFrame:
     """``(shard, ids)`` from ``(shard, text)``."""
-    held = docs.sparkSession.sparkContext.broadcast(short)  # the shortlist: bounded by the model's shape
+    held = docs.sparkSession.sparkContext.broadcast(short)  # at most ``WORDS`` hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, known, rare = Rolling(), Lookup(held.value), gru.CLASSES * gru.CLASS_SIZE
+        codes, known, n_short = Codes(), Lookup(held.value), len(held.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 2_000):
-                part = batch.slice(a, 2_000)
-                ids = []
-                for found in token_hashes(part.column(1).to_pylist(), letters):
-                    at = known.of(found)
-                    ids.append(np.where(at < 0, rare, at).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["shard", "ids"])
+            for at, texts in parts(batch.column(1)):
+                found, n, hashes, tails = codes.read(texts)
+                code, which = np.unique(found, return_inverse=True)
+                place = known.of(hashes[code])
+                ids = np.where(place < 0, n_short + tails[code], place).astype(np.uint16)[which]
+                blobs = [i.tobytes() for i in np.split(ids, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(blobs, pa.binary())], ["shard", "ids"])
 
     return docs.select("shard", "text").mapInArrow(run, "shard long, ids binary")
 
 
-def _averaged(models: DataFrame) -> tuple[bytes, int] | None:
-    """The token-weighted mean of ``(shard, model, n)``, some of them at a time."""
+def _averaged(models: DataFrame) -> tuple[np.ndarray, int] | None:
+    """The token-weighted mean of ``(shard, model, n)``, some of them at a time; weights travel in 16 bits."""
 
     def mean(key: int, rows: list[tuple]) -> pa.RecordBatch:
-        n = sum(r[1] for r in rows)
-        total = sum(np.frombuffer(m, np.float32).astype(np.float64) * k for m, k in rows) / max(1, n)
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["shard", "model", "n"])
+        n, total = sum(k for _, k in rows), 0.0
+        for m, k in rows:
+            total = total + np.frombuffer(m, np.float16).astype(np.float32) * (k / max(1, n))
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.astype(np.float16).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["shard", "model", "n"])
 
     models = materialize(models, "models")
     while models.count() > 1:
         up = models.select(F.floor(F.col("shard") / _FANOUT).alias("shard"), "model", "n")
         models = materialize(grouped(up, "shard", mean, "shard long, model binary, n long"), "models")
     row = models.first()
-    return None if row is None else (bytes(row.model), row.n)
+    return None if row is None else (np.frombuffer(bytes(row.model), np.float16).astype(np.float32), row.n)
 
 
-def train(docs: DataFrame, start: dict[str, np.ndarray], short: np.ndarray, n_tokens: int, text: str = "text", rates: tuple = RATES) -> dict[str, np.ndarray]:
-    """Weights after all of ``docs``; they and the shortlist are all that passes through the driver."""
+def train(docs: DataFrame, start: gru.Model, short: np.ndarray, n_tokens: int, text: str = "text", rates: tuple = RATES) -> gru.Model:
+    """Weights after all of ``docs``; they and the hashes of the words they stand for are all that passes through the driver."""
     shards = max(1, math.ceil(n_tokens / SHARD_TOKENS))
     place = F.xxhash64(text, F.length(text), "k_id")
     dealt = docs.select(F.pmod(place, F.lit(shards)).alias("shard"), F.pmod(F.floor(place / shards), F.lit(len(rates))).alias("turn"), F.col(text).alias("text"))
-    weights = start
+    model = start
     for turn, rate in enumerate(rates):
-        held = docs.sparkSession.sparkContext.broadcast(gru.pack(weights))
+        held = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by ``WORDS``
 
         def shard(key: int, rows: list[tuple], held=held, rate=rate) -> pa.RecordBatch:
             order = np.random.default_rng(key).permutation(len(rows))
-            made, n = gru.train(gru.unpack(held.value), [np.frombuffer(rows[i][0], np.uint16) for i in order], rate)
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([gru.pack(made)], pa.binary()), pa.array([n], pa.int64())], ["shard", "model", "n"])
+            made, n = gru.train(held.value, [np.frombuffer(rows[i][0], np.uint16) for i in order], rate)
+            flat = made.flat()
+            if not np.isfinite(flat).all():
+                raise FloatingPointError(f"training left the range of numbers in shard {key}, turn {turn}")
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([flat.astype(np.float16).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["shard", "model", "n"])
 
         found = _averaged(grouped(_encoded(dealt.where(F.col("turn") == turn), short), "shard", shard, "shard long, model binary, n long"))
-        if found and np.isfinite(np.frombuffer(found[0], np.float32)).all():
-            weights = gru.unpack(found[0])
-    return weights
+        if found:
+            model = model.filled(found[0])
+    return model
 
 
-def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, words: int = WORDS) -> DataFrame:
     """``(k_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("k_id"), F.xxhash64(text, F.length(text)).alias("k_text"), training.alias("learn"), F.col(text).alias("text"))
     learn = rows.where("learn")
     counts = materialize(count_tokens(learn), "token-counts")
-    n_all, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    words, common = frequent_tokens(counts, head)
-    n_short = min(len(words), gru.CLASSES * gru.CLASS_SIZE)
-    rare = n_all - int(common[:n_short].sum())
-    start = gru.fresh(common[:n_short].astype(float), rare)
-    weights = train(learn, start, words[:n_short], n_all)
-    base_norm, rare_norm = math.log10(n_all + distinct + 1), math.log10(rare + distinct - n_short + 1)
+    # a row for each tail: the words and counts that are its
+    by_tail = {r.tail: r for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    total, distinct = (np.array([by_tail[k][f] if k in by_tail else 0 for k in range(gru.TAILS)], np.int64) for f in ("c", "n"))
+    n_all, n_distinct = int(total.sum()), int(distinct.sum())
+    hashes, common, tails = frequent_tokens(counts, head)
+    n_short = min(len(hashes), words)
+    own = lambda weights=None: np.bincount(tails[:n_short], weights, gru.TAILS).astype(np.int64)
+    rare, kinds = total - own(common[:n_short]), distinct - own()
+    model = train(learn, gru.fresh(common[:n_short], rare), hashes[:n_short], n_all)
+    base_norm, tail_norm = math.log10(n_all + n_distinct + 1), np.log10(rare + kinds + 1.0)
 
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((gru.pack(weights), words, np.log10(common + 1.0)))  # bounded by the model's shape and ``head``
+    held = spark.sparkContext.broadcast((model, hashes, np.log10(common + 1.0)))  # bounded by ``words`` and ``head``
     kind = rows.schema["k_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, words, logs = held.value
-        model, known, letters, shortlist = gru.unpack(blob), Lookup(words), Rolling(), gru.CLASSES * gru.CLASS_SIZE
+        model, hashes, logs = held.value
+        codes, known = Codes(), Lookup(hashes)
         held_ids, held_rows, waiting = [], [], 0
 
         def scored_rows() -> pa.RecordBatch:
@@ -184,29 +237,27 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
             return out
 
         for batch in batches:
-            found = token_hashes(batch.column(3).to_pylist(), letters)
-            if not found:
-                continue
-            n = np.array([len(f) for f in found])
-            hashes = np.concatenate(found)
-            place = known.of(hashes)
-            listed, often = (place >= 0) & (place < n_short), place >= 0
-            held_ids += np.split(np.where(listed, place, shortlist).astype(np.uint16), np.cumsum(n)[:-1])
-            doc = np.repeat(np.arange(len(n)), n)
-            log_c = np.bincount(doc[often], logs[place[often]], len(n))
-            only_often = often & ~listed
-            inside = np.bincount(doc[only_often], logs[place[only_often]], len(n))
-            keys = batch.select(["k_id", "k_text", "learn"])
-            held_rows.append((keys, n, np.bincount(doc[often], minlength=len(n)), log_c, inside - (n - np.bincount(doc[listed], minlength=len(n))) * rare_norm))
-            tail, rest = hashes[~often].view(np.int64), doc[~often]
-            for a in range(0, len(tail), 100_000):
-                own = keys.take(pa.array(rest[a : a + 100_000]))
-                none = [pa.nulls(own.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(tail[a : a + 100_000]), *none], names)
-            waiting += len(hashes)
-            if waiting > SCORED_TOKENS:
-                yield scored_rows()
-                waiting = 0
+            for at, texts in parts(batch.column(3)):
+                found, n, word, tail = codes.read(texts)
+                code, which = np.unique(found, return_inverse=True)
+                word, tail, place = word[code], tail[code], known.of(word[code])
+                often, listed = place >= 0, (place >= 0) & (place < n_short)
+                log_c = np.where(often, logs[place] if len(logs) else 0.0, 0.0)
+                rest = np.where(listed, 0.0, log_c - tail_norm[tail])
+                held_ids += np.split(np.where(listed, place, n_short + tail).astype(np.uint16)[which], np.cumsum(n)[:-1])
+                doc = np.repeat(np.arange(len(n)), n)
+                keys = batch.slice(at, len(texts)).select(["k_id", "k_text", "learn"])
+                held_rows.append((keys, n, np.bincount(doc, often[which], len(n)).astype(np.int64), np.bincount(doc, log_c[which], len(n)), np.bincount(doc, rest[which], len(n))))
+                left = np.flatnonzero(~often[which])
+                for a in range(0, len(left), 100_000):
+                    some = left[a : a + 100_000]
+                    their = keys.take(pa.array(doc[some]))
+                    none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([*their.columns, pa.array(word[which[some]].view(np.int64)), *none], names)
+                waiting += len(found)
+                if waiting > SCORED_TOKENS:
+                    yield scored_rows()
+                    waiting = 0
         if held_rows:
             yield scored_rows()
 
