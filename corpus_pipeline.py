@@ -12,19 +12,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationwise.llm.common import materialize, short_batches, table
+from stationwise.llm.common import materialize, table
 from stationwise.llm.decontaminate import keep_clean
 from stationwise.llm.mixing import mix_documents
 from stationwise.llm.near_dup import keep_one
-from stationwise.llm.quality import keep_good
+from stationwise.llm.quality import fit_limits, keep_good
 from stationwise.llm.sharding import assign_shards
 
 NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    short_batches(spark)
-    return keep_good(docs)
+    return keep_good(docs, bands=fit_limits(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -310,6 +310,7 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, body(60), "en", f"s{i % 3}", 400) for i in range(40)] + [(50, copied, "en", "s0", 1), (51, copied, "en", "s1", 1), (52, copied + " one more", "en", "s2", 1), (53, body(40) + " " + item, "en", "s0", 1), (54, "too short", "en", "s0", 1), (55, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -73,30 +74,76 @@ def test_quality(docs, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
-def test_bands():
+@pytest.fixture(scope="module")
+def z():
     import zstandard
 
-    z = zstandard.ZstdCompressor(level=3)
-    rng = random.Random(1)
-    noise = bytes(rng.randrange(33, 127) for _ in range(6_000))
-    prose = " ".join(words(rng, 3_000)).encode()
-    assert not quality.band_verdict(noise, quality.Bands(), z)[2]
-    assert not quality.band_verdict(b"again and again " * 800, quality.Bands(), z)[2]
-    assert quality.band_verdict(prose, quality.Bands(), z)[2]
+    return zstandard.ZstdCompressor(level=3, write_content_size=False)
 
 
-def test_the_last_bytes_are_judged():
-    import zstandard
+def prose(rng: random.Random, n: int) -> bytes:
+    """Sentences of invented words whose letters and frequencies resemble prose."""
+    parts = "the re in er st an ti on ed es ha or en nd th at ou it is ing ea wh as hi be to of le ".split()
+    known = ["".join(rng.choice(parts) for _ in range(1 + int(rng.expovariate(0.6)))) for _ in range(4_000)]
+    weights, out, size = list(accumulate(1 / (k + 8) for k in range(4_000))), [], 0
+    while size < n:
+        sentence = " ".join(rng.choices(known, cum_weights=weights, k=rng.randrange(6, 20))).capitalize() + ". "
+        out.append(sentence)
+        size += len(sentence)
+    return "".join(out).encode()[:n]
+
+
+LENGTHS = (300, 600, 1_300, 3_000, 7_000, 20_000, 90_000)
+
+
+def junk(kind: str, rng: random.Random, n: int) -> bytes:
+    import base64
+
+    if kind == "noise":
+        return bytes(rng.randrange(33, 127) for _ in range(n))
+    if kind == "encoded":
+        return base64.b64encode(rng.randbytes(n))[:n]
+    return (b"again and again the same " * (n // 25 + 1))[:n]
+
+
+@pytest.mark.parametrize("kind", ["noise", "encoded", "repetition"])
+def test_bands_reject_planted_junk(z, kind):
+    rng = random.Random(kind)
+    verdict = lambda raw: quality.band_verdict(raw, quality.Bands(), z)[2]
+    for n in LENGTHS:
+        clean = prose(rng, n)
+        assert verdict(clean), n
+        assert not verdict(junk(kind, rng, n)), n
+        if n > 1_000:  # two fifths of the text, at its end, its start or inside
+            part = junk(kind, rng, 2 * n // 5)
+            assert not verdict(clean[: 3 * n // 5] + part) and not verdict(part + clean[: 3 * n // 5]), n
+            assert not verdict(clean[: n // 3] + part + clean[n // 3 : 3 * n // 5]), n
+
 
-    z = zstandard.ZstdCompressor(level=3)
+def test_the_last_bytes_are_judged(z):
     rng = random.Random(7)
-    noise = bytes(rng.randrange(33, 127) for _ in range(4_096))
-    prose = " ".join(words(rng, 5_000)).encode()
-    share = lambda raw: quality.band_verdict(raw, quality.Bands(), z)[1:]
-    assert share(prose[:8_192] + noise + prose[:4_000] + b"again " * 680)[0] == 2 / 5
-    assert share(prose[:8_192] + noise + b"again and " * 400) == (2 / 4, False)  # a bad chunk and a bad tail
-    assert share(prose[:4_000] + noise[:4_000]) == (1 / 2, False)  # less than two chunks
-    assert share(prose[:12_288])[0] == share(prose[:12_289])[0] == share(prose[:4_096])[0] == 0
+    for size, _, _ in quality.CHUNK_LIMITS:
+        clean = prose(rng, 5 * size)
+        bands = quality.Bands(chunks=tuple(c for c in quality.CHUNK_LIMITS if c[0] == size))
+        share = lambda raw, bands=bands: quality.band_verdict(raw, bands, z)[1]
+        assert share(clean) == share(clean[: size + 1]) == share(clean[:size]) == 0
+        assert share(clean[: size + 1 + size // 2]) == 0  # a partial last chunk
+        noise = junk("noise", rng, size - 1)
+        assert share(clean[: 2 * size] + noise) == 1 / 3  # a tail shorter than a chunk
+        assert share(clean[: size // 2] + noise) >= 1 / 2  # less than two chunks
+
+
+def test_limits_fit_labelled_texts(spark, z):
+    rng = random.Random(5)
+    good = [(i, prose(rng, rng.choice(LENGTHS[1:6])).decode()) for i in range(120)]
+    bad = [(1_000 + i, junk("noise", rng, 2_000).decode()) for i in range(40)]
+    docs = spark.createDataFrame([*good, *bad, (5_000, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(5_000, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    bands = quality.fit_limits(docs, labels)
+    kept = sum(quality.band_verdict(t.encode(), bands, z)[2] for _, t in good)
+    assert kept >= 0.95 * len(good) and not any(quality.band_verdict(t.encode(), bands, z)[2] for _, t in bad)
+    assert quality.band_verdict(prose(rng, 200_000), bands, z)[2]  # longer than any that the limits were fitted to
+    assert quality.fit_limits(docs, labels.limit(0)) == quality.Bands()
 
 
 def line_brute(rows: list[tuple], min_chars: int = 40, min_docs: int = 5) -> dict:
