@@ -295,10 +295,60 @@ def test_html(spark):
 
 
 def test_tree_matching():
-    a = ("body", (("nav", ()), ("p", ()), ("div", (("p", ()),))))
-    b = ("body", (("p", ()), ("div", (("p", ()), ("ul", ()))), ("footer", ())))
-    score, pairs = html_extract.match(a, b, {})
-    assert score == 4 and pairs == ((1, 0), (2, 1))
+    forms = html_extract.Forms()
+
+    def shape(tree: tuple) -> int:
+        return forms.shape(tree[0], tuple(shape(t) for t in tree[1]))
+
+    a = shape(("body", (("nav", ()), ("p", ()), ("div", (("p", ()),)))))
+    b = shape(("body", (("p", ()), ("div", (("p", ()), ("ul", ()))), ("footer", ()))))
+    assert forms.match(a, b) == (4, ((1, 0), (2, 1))) and forms.match(a, a)[0] == 5
+
+
+def plain_page(rng: random.Random, words: int) -> tuple[str, str]:
+    """A page whose tags and classes say nothing, and its article."""
+    some = lambda n: " ".join(f"x{rng.randrange(9_000)}" for _ in range(n))
+    title, texts = some(6), [some(max(1, words // 4)) for _ in range(rng.randrange(2, 6))]
+    items = [some(3) for _ in range(3)]
+    links = "".join(f'<li><a href="/{k}">{some(2)}</a></li>' for k in range(5))
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{t}</p>" for t in texts) + "<ul>" + "".join(f"<li><a href=x>{t}</a></li>" for t in items) + "</ul><p>Share this page with all</p>"
+    page = f"<body><div><ul>{links}</ul></div><div>{some(rng.randrange(4, 12))}</div><div>{body}</div><div>&copy; us {some(rng.randrange(5, 15))}</div></body>"
+    return page, "\n".join([title, *texts, *items])
+
+
+def test_alignment_decides_where_tags_say_nothing(monkeypatch):
+    rng = random.Random(4)
+    pages = [plain_page(rng, rng.choice((12, 40, 300))) for _ in range(32)]
+    html, want = [p for p, _ in pages], [w for _, w in pages]
+    assert html_extract.texts_of(html) == want
+    monkeypatch.setattr(html_extract, "CONSTANT_PAGES", 1_000)  # every page alone
+    found = html_extract.texts_of(html)
+    assert sum(f != w for f, w in zip(found, want, strict=True)) > 20
+
+
+def test_pages_of_two_kinds_share_a_host():
+    rng = random.Random(6)
+    pages = [plain_page(rng, 200) for _ in range(16)]
+    words = lambda n: " ".join(f"y{rng.randrange(9_000)}" for _ in range(n))
+    for _ in range(8):
+        head, lead, text = words(5), words(20), words(150)
+        page = f"<table><tr><td>{words(3)}</td><td><section><h1>{head}</h1><p>{lead}</p><section><p>{text}</p></section></section></td></tr></table><div>{words(4)}</div>"
+        pages.append((page, f"{head}\n{lead}\n{text}"))
+    pages.append(("<p>only one of its kind", "only one of its kind"))
+    rng.shuffle(pages)
+    assert html_extract.texts_of([p for p, _ in pages]) == [w for _, w in pages]
+
+
+def test_odd_pages():
+    deep = "<div>" * 100_000 + "at the bottom"
+    assert html_extract.texts_of([deep]) == ["at the bottom"]
+    assert html_extract.texts_of([deep + f" {k}" for k in range(6)]) == [f"at the bottom {k}" for k in range(6)]
+    assert html_extract.texts_of(["<p>a<script>var x;", "<p>b<style>p{", "<p>c<svg><g>d", "<p>e<!-- f"]) == ["a", "b", "cd", "e"]
+    assert html_extract.texts_of(["<article><p>text<ul><li><a href=x>one two three</a></ul></article><nav>menu</nav>"]) == ["text\none two three"]
+    wide = "".join(f"<p>{k}<b>x</b></p><h{1 + k % 3}>y {k}</h{1 + k % 3}>" for k in range(3_000))
+    assert html_extract.texts_of([wide] * 2 + [wide + f"<h2>{k}</h2>" for k in range(4)])[5].endswith("y 2999\n3")
+    assert html_extract.texts_of(["", None, "<", "<>", "</p></div>", "&amp;&lt;b&gt;"]) == ["", "", "<", "<>", "", "&<b>"]
+    assert html_extract.texts_of(["same text of a copied page"] * 9) == ["same text of a copied page"] * 9
 
 
 def test_pipeline(spark, tmp_path):
