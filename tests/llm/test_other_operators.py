@@ -342,11 +342,13 @@ def test_pages_of_two_kinds_share_a_host():
 def test_odd_pages():
     deep = "<div>" * 100_000 + "at the bottom"
     assert html_extract.texts_of([deep]) == ["at the bottom"]
+    deep = "<div>" * 10_000 + "at the bottom"
     assert html_extract.texts_of([deep + f" {k}" for k in range(6)]) == [f"at the bottom {k}" for k in range(6)]
     assert html_extract.texts_of(["<p>a<script>var x;", "<p>b<style>p{", "<p>c<svg><g>d", "<p>e<!-- f"]) == ["a", "b", "cd", "e"]
     assert html_extract.texts_of(["<article><p>text<ul><li><a href=x>one two three</a></ul></article><nav>menu</nav>"]) == ["text\none two three"]
-    wide = "".join(f"<p>{k}<b>x</b></p><h{1 + k % 3}>y {k}</h{1 + k % 3}>" for k in range(3_000))
-    assert html_extract.texts_of([wide] * 2 + [wide + f"<h2>{k}</h2>" for k in range(4)])[5].endswith("y 2999\n3")
+    wide = lambda n: "".join(f"<p>{n} {k}<b>x</b></p><h{1 + k % 3}>y {k} {n}</h{1 + k % 3}>" for k in range(3_000))
+    found = html_extract.texts_of([wide(n) + "<h2>end</h2>" * (n % 3) for n in range(6)])
+    assert [f.count("\n") for f in found] == [5_999 + n % 3 for n in range(6)]
     assert html_extract.texts_of(["", None, "<", "<>", "</p></div>", "&amp;&lt;b&gt;"]) == ["", "", "<", "<>", "", "&<b>"]
     assert html_extract.texts_of(["same text of a copied page"] * 9) == ["same text of a copied page"] * 9
 
