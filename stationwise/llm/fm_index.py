@@ -1,4 +1,9 @@
-"""A compressed full-text index (FM-index) of short word sequences, over a wavelet matrix."""
+"""A compressed full-text index (FM-index) of word sequences, over wavelet matrices.
+
+What is kept of the suffix array is its Burrows-Wheeler transform and the suffixes' owners, both as wavelet matrices of
+packed bits; the lengths that neighbours share, a byte each, capped at the window; and where these fall below the window,
+as 32-bit places.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ import numpy as np
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence; a packed bit vector per bit of the alphabet."""
+    """Ranks of symbols in a sequence, and least symbols of stretches; a packed bit vector per bit of the alphabet."""
 
     def __init__(self, seq: np.ndarray, symbols: int):
         self.levels = []
@@ -15,7 +20,7 @@ class WaveletMatrix:
             ones = (seq >> bit & 1).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             packed = np.append(packed, np.zeros(16 - len(packed) % 8, np.uint8)).view(np.uint64)
-            before = np.append(0, np.cumsum(np.bitwise_count(packed), dtype=np.int64))
+            before = np.append(0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)).astype(np.int32)
             zeros = len(seq) - int(ones.sum())
             self.levels.append((bit, packed, before, zeros))
             starts = self._down(starts, (at >> bit & 1).astype(bool), packed, before, zeros)
@@ -23,10 +28,14 @@ class WaveletMatrix:
         self.starts = starts
 
     @staticmethod
-    def _down(i: np.ndarray, one: np.ndarray, packed: np.ndarray, before: np.ndarray, zeros: int) -> np.ndarray:
+    def _ones(i: np.ndarray, packed: np.ndarray, before: np.ndarray) -> np.ndarray:
         word = i >> 6
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        ones = before[word] + np.bitwise_count(packed[word] & mask)
+        return before[word] + np.bitwise_count(packed[word] & mask)
+
+    @classmethod
+    def _down(cls, i: np.ndarray, one: np.ndarray, packed: np.ndarray, before: np.ndarray, zeros: int) -> np.ndarray:
+        ones = cls._ones(i, packed, before)
         return np.where(one, zeros + ones, i - ones)
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -35,6 +44,20 @@ class WaveletMatrix:
             i = self._down(i, (symbol >> bit & 1).astype(bool), packed, before, zeros)
         return i - self.starts[symbol]
 
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least symbol in each stretch [lo, hi), which is not empty."""
+        out = np.zeros(len(lo), np.int64)
+        for bit, packed, before, zeros in self.levels:
+            one_lo, one_hi = self._ones(lo, packed, before), self._ones(hi, packed, before)
+            one = one_hi - one_lo == hi - lo  # no zero among them
+            out |= one.astype(np.int64) << bit
+            lo, hi = np.where(one, zeros + one_lo, lo - one_lo), np.where(one, zeros + one_hi, hi - one_hi)
+        return out
+
+    @property
+    def nbytes(self) -> int:
+        return sum(packed.nbytes + before.nbytes for _, packed, before, _ in self.levels)
+
 
 def suffix_order(rank: np.ndarray) -> np.ndarray:
     """The suffix array of a sequence in which no two suffixes are equal, by prefix doubling."""
@@ -54,85 +77,127 @@ def suffix_order(rank: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of ``texts``, arrays of 64-bit word hashes, each with an ``owner`` number.
-
-    Every text ends with an end mark of its own, which sorts before all words.
-    """
+    """Index of ``texts``, lists of words, each with an ``owner`` number; every text ends with an end mark of its own."""
 
-    def __init__(self, texts: list[np.ndarray], owners: np.ndarray, window: int):
+    def __init__(self, texts: list[list[bytes]], owners: np.ndarray, window: int):
+        if not 1 < window < 256:
+            raise ValueError(f"windows have 2 to 255 words, not {window}")
         self.window, m = window, len(texts)
+        self.number: dict[bytes, int] = {}
+        for t in texts:
+            for w in t:
+                self.number.setdefault(w, len(self.number) + 1)
         lengths = np.array([len(t) for t in texts])
-        self.words, ids = np.unique(np.concatenate(texts), return_inverse=True)
-        self.ends = np.cumsum(lengths + 1) - 1
-        self.begins = self.ends - lengths
-        n = int(self.ends[-1]) + 1
-        self.seq = np.zeros(n, np.int64)
-        is_word = np.ones(n, bool)
-        is_word[self.ends] = False
-        self.seq[is_word] = ids + 1
-        order = np.where(is_word, self.seq + m, 0)
-        order[self.ends] = np.arange(m)
+        ends = np.cumsum(lengths + 1) - 1
+        n = self.n = int(ends[-1]) + 1
+        seq, is_word = np.zeros(n, np.int64), np.ones(n, bool)
+        is_word[ends] = False
+        seq[is_word] = np.fromiter((self.number[w] for t in texts for w in t), np.int64, n - m)
+        order = np.where(is_word, seq + m, 0)
+        order[ends] = np.arange(m)
         sa = suffix_order(order)
-        self.bwt = WaveletMatrix(self.seq[sa - 1], len(self.words) + 1)
-        self.first = np.append(0, np.cumsum(np.bincount(self.seq, minlength=len(self.words) + 1)))
-        # how many words neighbours in the suffix array share, up to the window
-        common, alive = np.zeros(n, np.int64), np.ones(n, bool)
-        alive[0] = False
-        padded = np.append(self.seq, np.zeros(window, np.int64))
+        symbols = len(self.number) + 1
+        self.bwt = WaveletMatrix(seq[sa - 1], symbols)
+        self.first = np.append(0, np.cumsum(np.bincount(seq, minlength=symbols)))
+        self.owner = WaveletMatrix(np.repeat(owners, lengths + 1)[sa], int(owners.max()) + 1)
+        # how many words neighbours in the suffix array share, up to the window; 0 before the first and after the last
+        common, alive = np.zeros(n + 1, np.uint8), np.arange(1, n)
+        padded = np.append(seq, np.zeros(window, np.int64))
         for k in range(window):
-            at = np.flatnonzero(alive)
-            if not len(at):
+            a, b = padded[sa[alive] + k], padded[sa[alive - 1] + k]
+            alive = alive[(a == b) & (a > 0)]
+            if not len(alive):
                 break
-            a, b = padded[sa[at] + k], padded[sa[at - 1] + k]
-            ok = (a == b) & (a > 0)
-            alive[at[~ok]] = False
-            common[at[ok]] += 1
-        place = np.arange(n)
-        # the interval of suffixes that share window - 1 words, for every place in it
-        cut = common < window - 1
-        self.left = np.maximum.accumulate(np.where(cut, place, 0))
-        self.right = np.minimum.accumulate(np.where(np.append(cut[1:], True), place + 1, n)[::-1])[::-1]
-        # the least owner of the suffixes that share a whole window
-        starts = np.flatnonzero(common < window)
-        owner = np.repeat(owners, lengths + 1)[sa]
-        self.least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, n)))
+            common[alive] = k + 1
+        self.common = common
+        self.low = np.append(common, np.zeros(-len(common) % 64, np.uint8)).reshape(-1, 64).min(1)  # in each 64
+        # where the suffixes that share a window but for one word begin
+        self.cuts = np.flatnonzero(common < window - 1).astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.bwt.nbytes + self.owner.nbytes + self.common.nbytes + self.low.nbytes + self.cuts.nbytes + self.first.nbytes
+
+    def encode(self, text: list[bytes]) -> np.ndarray:
+        """The numbers of a text's words; 0 for words that the index does not have."""
+        return np.fromiter((self.number.get(w, 0) for w in text), np.int64, len(text))
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes of [lo, hi) with ``symbol`` put before them."""
         return self.first[symbol] + self.bwt.rank(symbol, lo), self.first[symbol] + self.bwt.rank(symbol, hi)
 
-    def least_owners(self) -> list[np.ndarray]:
-        """For each window of each text, the least owner of a text that holds it.
-
-        All texts are streamed at once from their last word to their first.  An interval has as many words
-        as match; from a whole window on, its last word is let go before the next is put in front.
+    def _before(self, i: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The last place up to ``i`` where neighbours share less than ``depth`` words."""
+        i = i.copy()
+        live = np.flatnonzero(self.common[i] >= depth)
+        while len(live):
+            j = i[live]
+            i[live] = np.where((j & 63 == 63) & (self.low[j >> 6] >= depth[live]), j - 64, j - 1)
+            live = live[self.common[i[live]] >= depth[live]]
+        return i
+
+    def _after(self, i: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The first place from ``i`` on where neighbours share less than ``depth`` words."""
+        i = i.copy()
+        live = np.flatnonzero(self.common[i] >= depth)
+        while len(live):
+            j = i[live]
+            i[live] = np.where((j & 63 == 0) & (self.low[j >> 6] >= depth[live]), j + 64, j + 1)
+            live = live[self.common[i[live]] >= depth[live]]
+        return i
+
+    def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next larger intervals of suffixes that share fewer words, and how many words."""
+        depth = np.maximum(self.common[lo], self.common[hi])
+        wide = np.maximum(depth, 1)
+        left = np.where(depth > 0, self._before(lo, wide), 0)
+        return left, np.where(depth > 0, self._after(hi, wide), self.n), depth.astype(np.int64)
+
+    def matching(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Matching statistics of encoded texts, and the least owners of their windows.
+
+        For each place, the length of the longest stretch from there on that the index has, up to the window; and for
+        those of a whole window, the least owner of all that hold it (-1 elsewhere).  All texts are streamed at once, from
+        their last word to their first: an interval takes the next word in front; where that leaves no suffix, its last
+        words are let go by steps to the parent interval; of a whole window, the last word is let go first.
         """
-        out = [np.full(max(0, e - b - self.window + 1), -1, np.int64) for b, e in zip(self.begins, self.ends, strict=True)]
-        flat = np.full(len(self.seq), -1, np.int64)
-        m = len(self.ends)
-        lo, hi, depth = np.zeros(m, np.int64), np.full(m, len(self.seq), np.int64), np.zeros(m, np.int64)
-        at = self.ends - 1
-        live = np.flatnonzero(at >= self.begins)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        begins = np.append(0, np.cumsum(lengths))[:-1]
+        flat = np.concatenate(texts) if len(texts) else np.zeros(0, np.int64)
+        length, owner = np.zeros(len(flat), np.int64), np.full(len(flat), -1, np.int64)
+        lo, hi, depth = np.zeros(len(texts), np.int64), np.full(len(texts), self.n, np.int64), np.zeros(len(texts), np.int64)
+        at = begins + lengths - 1
+        live = np.flatnonzero(lengths > 0)
         while len(live):
             full = live[depth[live] == self.window]
-            hi[full], lo[full] = self.right[lo[full]], self.left[lo[full]]
+            cut = np.searchsorted(self.cuts, lo[full], side="right")
+            lo[full], hi[full] = self.cuts[cut - 1], self.cuts[cut]
             depth[full] -= 1
-            lo[live], hi[live] = self.step(self.seq[at[live]], lo[live], hi[live])
-            depth[live] += 1
+            symbol = flat[at[live]]
+            strange = live[symbol == 0]
+            lo[strange], hi[strange], depth[strange] = 0, self.n, 0
+            todo = live[symbol > 0]
+            while len(todo):
+                a, b = self.step(flat[at[todo]], lo[todo], hi[todo])
+                done = a < b
+                ok = todo[done]
+                lo[ok], hi[ok] = a[done], b[done]
+                depth[ok] += 1
+                todo = todo[~done]
+                lo[todo], hi[todo], depth[todo] = self.parent(lo[todo], hi[todo])
+            length[at[live]] = depth[live]
             full = live[depth[live] == self.window]
-            flat[at[full]] = self.least[lo[full]]
+            owner[at[full]] = self.owner.least(lo[full], hi[full])
             at[live] -= 1
-            live = live[at[live] >= self.begins[live]]
-        for k, b in enumerate(self.begins):
-            out[k] = flat[b : b + len(out[k])]
-        return out
-
-    def count(self, text: np.ndarray) -> int:
-        """How often a sequence of word hashes occurs."""
-        lo, hi = np.zeros(1, np.int64), np.full(1, len(self.seq), np.int64)
-        for word in text[::-1]:
-            k = int(np.searchsorted(self.words, word))
-            if k == len(self.words) or self.words[k] != word:
+            live = live[at[live] >= begins[live]]
+        cuts = np.cumsum(lengths)[:-1]
+        return np.split(length, cuts), np.split(owner, cuts)
+
+    def count(self, text: list[bytes]) -> int:
+        """How often a sequence of words occurs."""
+        lo, hi = np.zeros(1, np.int64), np.full(1, self.n, np.int64)
+        for symbol in self.encode(text)[::-1]:
+            if not symbol:
                 return 0
-            lo, hi = self.step(np.array([k + 1]), lo, hi)
+            lo, hi = self.step(np.array([symbol]), lo, hi)
         return max(0, int(hi[0] - lo[0]))

@@ -1,22 +1,14 @@
-"""Hashes of words and of runs of words, computed for whole batches of texts at once in numpy.
+"""Hashes of words and of runs of words.
 
-Sums of a polynomial modulo 2**64 from the start of a sequence give the hash of any stretch of it by one
-subtraction and one multiplication.
+A word's hash is xxh3 of its bytes.  The hash of a run of words is made of those of its halves, each step through a
+finisher that mixes all bits, so that no two sequences share a hash by the arithmetic alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
-_M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(77).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-CHUNK = 1 << 20
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,38 +18,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Rolling:
-    """Hashes of stretches of a sequence of uint64."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def load(self, seq: np.ndarray) -> Rolling:
-        if len(self.up) <= len(seq):
-            n = max(1 << 16, 2 * len(seq))
-            self.up = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, np.uint64)), dtype=np.uint64)
-            self.down = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE, np.uint64)), dtype=np.uint64)
-        self.sums = np.zeros(len(seq) + 1, np.uint64)
-        np.cumsum(seq * self.up[: len(seq)], dtype=np.uint64, out=self.sums[1:])
-        return self
-
-    def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-
-def hashed_words(texts: list[bytes], rolling: Rolling) -> Iterator[np.ndarray]:
-    """The hashes of each text's words, which ASCII white space separates; about ``CHUNK`` bytes at a time."""
-    at = 0
-    while at < len(texts):
-        size, end = 0, at
-        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-            size += len(texts[end]) + 1
-            end += 1
-        raw = np.frombuffer(b"\n".join(texts[at:end]) + b"\n", np.uint8)
-        edges = np.diff(_SPACE[raw].astype(np.int8), prepend=1)
-        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-        ends = ends[ends > 0]
-        hashes = rolling.load(_BYTE[raw]).runs(starts, ends)
-        cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts[at:end]]))
-        yield from np.split(hashes, cuts[:-1])
-        at = end
+class WordHashes(dict):
+    """Hashes of words, remembered while they are few."""
+
+    def __init__(self, most: int = 1 << 20):
+        import xxhash
+
+        super().__init__()
+        self.most, self._hash = most, xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = h = self._hash(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def runs(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each stretch of ``width`` words' hashes; none if there are fewer words."""
+    n = len(words) - width + 1
+    if n < 1:
+        return words[:0]
+    out, done, part, size = None, 0, words, 1
+    while size <= width:
+        if width & size:
+            at = part[done : done + n]
+            out, done = at if out is None else mix(mix(out + _M1) + at), done + size
+        part, size = mix(mix(part[:-size] + _M1) + part[size:]) if 2 * size <= width else part, 2 * size
+    return mix(out + np.uint64(width))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from stationwise.llm.common import copied_if_small, materialize, table
 from stationwise.llm.components import components
-from stationwise.llm.hashing import Rolling, hashed_words, mix
+from stationwise.llm.hashing import WordHashes, mix, runs
 
 SHINGLE, PERCENT = 5, 85
 HASHES, DISTANCE, CHUNKS = 40, 19, 10
@@ -43,17 +43,13 @@ _ODD = _RNG.integers(0, 1 << 63, (HASHES, 1), np.uint64) * np.uint64(2) + np.uin
 _XOR = _RNG.integers(0, 1 << 63, (HASHES, 1), np.uint64) * np.uint64(2)
 
 
-def shingle_set(words: np.ndarray, rolling: Rolling, size: int = SHINGLE) -> np.ndarray:
+def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text's word hashes."""
-    if not len(words):
-        return words
-    start = np.arange(max(1, len(words) - size + 1))
-    return np.unique(rolling.load(words).runs(start, np.minimum(start + size, len(words))))
+    return np.unique(runs(words, min(size, len(words)))) if len(words) else words
 
 
-def shingle_sets(texts: list[str | None], letters: Rolling, runs: Rolling, size: int = SHINGLE) -> list[np.ndarray]:
-    lower = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    return [shingle_set(words, runs, size) for words in hashed_words(lower, letters)]
+def shingle_sets(texts: list[str | None], hashes: WordHashes, size: int = SHINGLE) -> list[np.ndarray]:
+    return [shingle_set(hashes.of((t or "").encode("utf-8", "surrogatepass").lower().split()), size) for t in texts]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -70,10 +66,10 @@ def _signed(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        letters, runs = Rolling(), Rolling()
+        hashes = WordHashes()
         for batch in batches:
             n, cls, sig = [], [], []
-            for s in shingle_sets(batch.column(2).to_pylist(), letters, runs, size):
+            for s in shingle_sets(batch.column(2).to_pylist(), hashes, size):
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
@@ -287,11 +283,11 @@ def _full_sets(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        letters, runs = Rolling(), Rolling()
+        hashes = WordHashes()
         for batch in batches:
             for a in range(0, batch.num_rows, 1_000):
                 part = batch.slice(a, 1_000)
-                sets = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), letters, runs, size)]
+                sets = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), hashes, size)]
                 own = pa.array([xxhash.xxh3_128_digest(s) == c for s, c in zip(sets, part.column("class").to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "set"]).filter(own)
 

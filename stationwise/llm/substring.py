@@ -2,16 +2,17 @@
 
 Text that can repeat is first brought together.  Every window of ``WINDOW`` words has an anchor, the run of
 ``ANCHOR`` words in it with the least hash, so equal windows have equal anchors.  Neighbouring windows with one
-anchor form a context.  Anchors of one document only are dropped; equal contexts are kept once, with the least
-document that holds them.  The contexts left, by their anchors, make up the shards.
+anchor form a context.  Anchors of one document only are dropped; equal contexts (by a 128-bit digest of their words)
+are kept once, with the least document that holds them.  The contexts left, by their anchors, make up the shards.
 
-In a shard, an FM-index of the contexts' words is built, and the contexts are streamed through it by backward
-search over its wavelet matrix.  For each window the search ends in the interval of all its occurrences, and the
-least document of that interval tells whether the window repeats an earlier document.
+In a shard, a compressed FM-index of the contexts' words is built, and all contexts are streamed through it by backward
+search over its wavelet matrix, which gives their matching statistics.  Where they reach the window, a query for the
+least owner over the search's interval tells whether an earlier document holds the window; such windows are reported
+as maximal ranges of words.  Documents that hold a context of an earlier owner repeat it whole.
 
-An anchor with more than ``HOT`` different contexts (a large group of near copies) is cut finer: its windows
-become contexts of their own, which are equal or have nothing to do with each other, so that no shard holds a
-whole group.
+An anchor with more than ``HOT`` different contexts (a very large group of near copies) is cut finer: each of its
+windows becomes a context with an anchor of its own, which goes to a shard and is searched there like any other, so
+that no shard holds a whole group.
 
 Null texts have no words.  Rows that repeat an id are one document and do not repeat each other; rows with a null
 id are kept whole and count as nobody's earlier document.  An empty table gives an empty result; columns that
@@ -27,14 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationwise.llm.common import copied_if_small, materialize, table, without
+from stationwise.llm.common import materialize, table, without
 from stationwise.llm.fm_index import FMIndex
-from stationwise.llm.hashing import Rolling, hashed_words
+from stationwise.llm.hashing import WordHashes, runs
 
-WINDOW, ANCHOR, HOT, SHARD_CONTEXTS = 50, 20, 1_000, 4_000
+WINDOW, ANCHOR, HOT, SHARD_CONTEXTS = 50, 20, 20_000, 4_000
 _PLACE = 22  # bits of a packed key that hold a place
 
 
+class Canonical:
+    """A text's words joined by one space, and where each begins."""
+
+    def __init__(self, text: str):
+        self.words = text.encode("utf-8", "surrogatepass").split()
+        self.joined = b" ".join(self.words)
+        self.at = np.zeros(len(self.words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1, out=self.at[1:])
+
+    def stretches(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The words from ``start`` to before ``end``, joined."""
+        return [self.joined[a : b - 1] for a, b in zip(self.at[start].tolist(), self.at[end].tolist(), strict=True)]
+
+
 def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
     """The place of the least hash in each stretch of ``width``; of equal ones the first."""
     n = len(hashes) - width + 1
@@ -48,70 +63,93 @@ def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
     return (least & low).astype(np.int64)
 
 
-def contexts(words: np.ndarray, rolling: Rolling, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """``(start, windows, anchor hash, context hash)`` of a text's contexts."""
+def contexts(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """``(start, windows, anchor hash)`` of the contexts of a text's word hashes."""
     n = len(words) - window + 1
     if n < 1:
         none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
-    rolling.load(words)
-    places = np.arange(len(words) - anchor + 1)
-    grams = rolling.runs(places, places + anchor)
+        return none, none, none.view(np.uint64)
+    grams = runs(words, anchor)
     at = least_places(grams, window - anchor + 1)
     start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    end = np.append(start[1:], n)
-    return start, end - start, grams[at[start]], rolling.runs(start, end + window - 1)
+    return start, np.append(start[1:], n) - start, grams[at[start]]
+
+
+def _digests(stretches: list[bytes]) -> pa.Array:
+    import xxhash
+
+    return pa.array([xxhash.xxh3_128_digest(s) for s in stretches], pa.binary())
 
 
-def _contexts(docs: DataFrame, window: int, anchor: int, split: DataFrame | None = None) -> DataFrame:
-    """``(k_id, k_text, at, n, anchor, context)``; with ``split``, the windows of its anchors alone, each a context."""
+_CONTEXT = ["k_id", "k_text", "at", "n", "anchor", "context"]
+
+
+def _contexts(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``(k_id, k_text, at, n, anchor, context)``: first word, number of windows, anchor's hash and digest of the words."""
     kind = docs.schema["k_id"].dataType.simpleString()
-    hot = None if split is None else split.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in split.select("anchor").collect()], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, rolling = Rolling(), Rolling()
+        hashes = WordHashes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 2_000):
-                part = batch.slice(a, 2_000)
-                found = []
-                for words in hashed_words([t.encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()], letters):
-                    start, n, grams, ctx = contexts(words, rolling, window, anchor)
-                    if hot is not None:
-                        chosen = np.isin(grams.view(np.int64), hot.value)
-                        start = np.concatenate([np.arange(s, s + k) for s, k in zip(start[chosen], n[chosen], strict=True)] or [np.zeros(0, np.int64)])
-                        n = np.ones(len(start), np.int64)
-                        grams = ctx = rolling.runs(start, start + window) if len(start) else ctx[:0]
-                    found.append((start, n, grams, ctx))
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                found, digests = [], []
+                for t in part.column(2).to_pylist():
+                    text = Canonical(t)
+                    start, n, grams = contexts(hashes.of(text.words), window, anchor)
+                    found.append((start, n, grams))
+                    digests.append(_digests(text.stretches(start, start + n + window - 1)))
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                start, n, grams, ctx = (np.concatenate(c) for c in zip(*found, strict=True))
+                start, n, grams = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(ctx.view(np.int64))],
-                    ["k_id", "k_text", "at", "n", "anchor", "context"],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(grams.view(np.int64)), pa.concat_arrays(digests)], _CONTEXT
                 )
 
-    return docs.select("k_id", "k_text", "text").mapInArrow(run, f"k_id {kind}, k_text long, at int, n int, anchor long, context long")
+    return docs.select("k_id", "k_text", "text").mapInArrow(run, f"k_id {kind}, k_text long, at int, n int, anchor long, context binary")
 
 
-def _with_words(located: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """``(anchor, context, owner, words)``: the word hashes of contexts, from the document that ``located`` names."""
+def _located(located: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(k_id, k_text, text, parts)``: documents with those of their contexts that ``located`` names."""
     wanted = located.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("at", "n", "anchor", "context")).alias("parts"))
     wanted = materialize(wanted.withColumnsRenamed({"k_id": "w_id", "k_text": "w_text"}), "contexts-wanted")
-    rows = docs.join(wanted, (F.col("k_id") == F.col("w_id")) & (F.col("k_text") == F.col("w_text"))).select("k_id", "text", "parts")
+    return docs.join(wanted, (F.col("k_id") == F.col("w_id")) & (F.col("k_text") == F.col("w_text"))).select("k_id", "k_text", "text", "parts")
+
+
+def _finer(located: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """The windows of the contexts that ``located`` names, each as a context with an anchor of its own."""
     kind = docs.schema["k_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = Rolling()
+        hashes = WordHashes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for k in range(batch.num_rows):
+                text = Canonical(batch.column(2)[k].as_py())
+                at = np.concatenate([np.arange(p["at"], p["at"] + p["n"]) for p in batch.column(3)[k].as_py()])
+                own = runs(hashes.of(text.words), window)[at]
+                take = pa.array(np.full(len(at), k))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(np.ones(len(at), np.int32)), pa.array(own.view(np.int64)), _digests(text.stretches(at, at + window))], _CONTEXT
+                )
+
+    return _located(located, docs).mapInArrow(run, f"k_id {kind}, k_text long, at int, n int, anchor long, context binary")
+
+
+def _with_words(located: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """``(anchor, context, owner, words)``: the words of contexts, from the document that ``located`` names."""
+    kind = docs.schema["k_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
                 out: list[tuple] = []
-                texts = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                for doc, words, parts in zip(part.column(0).to_pylist(), hashed_words(texts, letters), part.column(2).to_pylist(), strict=True):
-                    out += [(p["anchor"], p["context"], doc, words[p["at"] : p["at"] + p["n"] + window - 1].tobytes()) for p in parts]
-                kinds = [pa.int64(), pa.int64(), part.column(0).type, pa.binary()]
+                for doc, t, parts in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    at, n = (np.array([p[c] for p in parts], np.int64) for c in ("at", "n"))
+                    out += [(p["anchor"], p["context"], doc, w) for p, w in zip(parts, Canonical(t).stretches(at, at + n + window - 1), strict=True)]
+                kinds = [pa.int64(), pa.binary(), part.column(0).type, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "context", "owner", "words"])
 
-    return rows.mapInArrow(run, f"anchor long, context long, owner {kind}, words binary")
+    return _located(located, docs).mapInArrow(run, f"anchor long, context binary, owner {kind}, words binary")
 
 
 def _searched(parts: DataFrame, window: int) -> DataFrame:
@@ -126,9 +164,11 @@ def _searched(parts: DataFrame, window: int) -> DataFrame:
             owners = sorted({o for o, _ in rows.values()})
             number = {o: i for i, o in enumerate(owners)}
             own = np.array([number[rows[k][0]] for k in keys])
-            index = FMIndex([np.frombuffer(rows[k][1], np.uint64) for k in keys], own, window)
-            early = [ranges(w < o) for w, o in zip(index.least_owners(), own, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(early, span)], ["anchor", "context", "early"])
+            texts = [rows[k][1].split(b" ") for k in keys]
+            index = FMIndex(texts, own, window)
+            least = index.matching([index.encode(t) for t in texts])[1]
+            early = [ranges((w[: len(w) - window + 1] >= 0) & (w[: len(w) - window + 1] < o)) for w, o in zip(least, own, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), pa.array(early, span)], ["anchor", "context", "early"])
 
         def ranges(windows: np.ndarray) -> list[tuple[int, int]]:
             edge = np.flatnonzero(np.diff(np.concatenate(([0], windows, [0])).astype(np.int8)))
@@ -144,7 +184,7 @@ def _searched(parts: DataFrame, window: int) -> DataFrame:
         if rows:
             yield out()
 
-    return parts.repartition("shard").sortWithinPartitions("shard").select("shard", "anchor", "context", "owner", "words").mapInArrow(run, "anchor long, context long, early array<struct<from: int, to: int>>")
+    return parts.repartition("shard").sortWithinPartitions("shard").select("shard", "anchor", "context", "owner", "words").mapInArrow(run, "anchor long, context binary, early array<struct<from: int, to: int>>")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -160,20 +200,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return rows.groupBy("anchor", "context").agg(F.min(F.struct("k_id", "k_text", "at", "n")).alias("p")).select("anchor", "context", "p.*")
 
     once = materialize(distinct(found), "contexts-once")
-    many = once.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    many = materialize(many, "anchors-many")
-    large = many.where(F.col("contexts") > hot)
-    n_large = large.count()
-    if n_large:
-        held = found.join(large, "anchor").select(F.col("k_id").alias("h_id"), F.col("k_text").alias("h_text")).distinct()
-        held = copied_if_small(materialize(held, "documents-finer"), 16)
-        finer = _contexts(keyed.join(held, (F.col("k_id") == F.col("h_id")) & (F.col("k_text") == F.col("h_text")), "left_semi"), window, anchor, large)
+    large = materialize(once.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > hot).select("anchor"), "anchors-large")
+    if not large.isEmpty():
+        finer = _finer(found.join(large, "anchor", "left_semi"), keyed, window)
         found = materialize(found.join(large, "anchor", "left_anti").select(*found.columns).unionByName(finer), "contexts-finer")
         once = materialize(distinct(found), "contexts-once")
-    searched = once.join(many.where(F.col("contexts") <= hot), "anchor").drop("contexts")
-    searched = materialize(searched, "contexts-searched")
-    shards = max(1, -(-searched.count() // SHARD_CONTEXTS))
-    parts = _with_words(searched, keyed, window).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    shards = max(1, -(-once.count() // SHARD_CONTEXTS))
+    parts = _with_words(once, keyed, window).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     early = _searched(parts, window)
     owners = once.select("anchor", "context", F.col("k_id").alias("owner"))
     owners = materialize(owners.join(early, ["anchor", "context"], "left"), "contexts-judged")

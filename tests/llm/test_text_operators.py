@@ -9,7 +9,7 @@ from itertools import accumulate
 import numpy as np
 import pytest
 
-from stationwise.llm import fm_index, line_dedup, near_dup, quality, substring
+from stationwise.llm import fm_index, hashing, line_dedup, near_dup, quality, substring
 
 SCHEMA = "doc_id long, text string, source string, k_id string, drops string"
 
@@ -200,15 +200,41 @@ def test_cuckoo_filter():
 
 def test_fm_index():
     rng = np.random.default_rng(2)
-    texts = [rng.integers(0, 4, rng.integers(5, 40)).astype(np.uint64) for _ in range(30)]
-    texts[7] = texts[3][2:20].copy()
+    word = lambda n: [b"%d" % k for k in rng.integers(0, 4, n)]
+    texts = [word(rng.integers(5, 40)) for _ in range(30)]
+    texts[7] = list(texts[3][2:20])
     owners = rng.integers(0, 9, 30)
     index = fm_index.FMIndex(texts, owners, 5)
-    for t, found in zip(texts, index.least_owners(), strict=True):
-        for i, least in enumerate(found):
-            own = [o for u, o in zip(texts, owners, strict=True) for k in range(len(u) - 4) if (u[k : k + 5] == t[i : i + 5]).all()]
-            assert least == min(own) and index.count(t[i : i + 5]) == len(own)
-    assert index.count(np.array([9], np.uint64)) == 0
+    held = [(u[k : k + n], o) for u, o in zip(texts, owners, strict=True) for n in range(1, 6) for k in range(len(u) - n + 1)]
+    # texts that the index has, and others: of its words, and with words that it does not have
+    streams = [*texts, *(word(30) for _ in range(5)), [b"0", b"1", b"strange", b"2", b"3", b"0", b"1"], [], [b"strange"]]
+    for t, length, least in zip(streams, *index.matching([index.encode(t) for t in streams]), strict=True):
+        for i in range(len(t)):
+            longest = max((n for n in range(1, min(5, len(t) - i) + 1) if any(h == t[i : i + n] for h, _ in held)), default=0)
+            assert length[i] == longest
+            own = [o for h, o in held if h == t[i : i + 5]] if longest == 5 else []
+            assert least[i] == min(own, default=-1) and (longest < 5 or index.count(t[i : i + 5]) == len(own))
+    assert index.count([b"9"]) == 0
+
+
+def test_fm_index_is_compressed():
+    rng = np.random.default_rng(3)
+    texts = [[b"%d" % k for k in rng.zipf(1.3, 70) % 5_000] for _ in range(1_000)]
+    index = fm_index.FMIndex(texts, np.arange(1_000), 50)
+    assert index.nbytes < 14 * index.n  # the suffix array alone would be 8 bytes a word, its inverse and shared lengths as many
+
+
+def test_runs_of_words_have_hashes_of_their_own():
+    words = np.array([hashing.WordHashes().of([b"a", b"b"])[bin(k).count("1") % 2] for k in range(1_024)], np.uint64)
+    other = np.where(words == words[0], words[1], words[0])
+    assert hashing.runs(words, 1_024)[0] != hashing.runs(other, 1_024)[0]  # the two Thue-Morse words
+    for width in (1, 2, 5, 20, 50):
+        seen = {}
+        for text in (words, other):
+            for k, h in enumerate(hashing.runs(text, width)):
+                assert seen.setdefault(h, text[k : k + width].tobytes()) == text[k : k + width].tobytes()
+        assert len(hashing.runs(words, width)) == 1_025 - width and len(set(seen.values())) == len(seen)
+    assert len(hashing.runs(words[:3], 5)) == 0
 
 
 def span_brute(rows: list[tuple], window: int) -> dict:
