@@ -7,10 +7,13 @@
    Signatures are cut into chunks, 10 at 0.85 and 12 at 0.80, so that by the pigeonhole principle two
    signatures within the distance have a chunk with one error at most.  For each chunk, keys are enumerated
    with each choice of one symbol masked, so all pairs within the distance share a key: none is missed.
-3. The task that holds a key's classes compares their signatures in blocks and gives a forest that joins
-   those within the distance, never the pairs.
-4. What these forests join are clusters.  A cluster is cut into blocks, and each pair of blocks is a task
-   that counts the intersections of the full sets and gives a forest of the confirmed links.
+3. Keys of one class only go at once; what travels for that is a key and a number.  For the others, a task compares the
+   signatures of a key's classes in blocks and gives a forest that joins those within the distance, never the pairs.
+   A key of more than ``KEY_BLOCK`` classes is cut into blocks, and each pair of blocks is a task.
+4. What these forests join are clusters.  First every class of a cluster is held against the cluster's least class, its
+   pivot, by the intersection of the full sets.  Classes that are not linked with it are then held against each other
+   and all others of the cluster, block by block, so that a cluster costs its size times one more than the number of
+   blocks of such classes.
 5. The forests' components are the near-duplicate groups.
 
 Null, empty and blank texts have empty sets and are linked with nothing.  Texts with fewer words than a
@@ -36,7 +39,7 @@ from stationwise.llm.hashing import WordHashes, mix, runs
 SHINGLE, PERCENT = 5, 85
 HASHES, DISTANCE, CHUNKS = 40, 19, 10
 MISSED = 3e-7  # the largest chance that a pair at the least similarity lies beyond the distance
-BLOCK = 512
+BLOCK, KEY_BLOCK = 512, 4_096
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(5_497)
 _ODD = _RNG.integers(0, 1 << 63, (HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,7 +105,7 @@ def masks(hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS)
 
 
 def _keyed(classes: DataFrame, distance: int, chunks: int) -> DataFrame:
-    """``(key, class, sig)``, a row per key of a class; the signature's symbols shortened to eight bits."""
+    """``(key, c8)``, a row per key of a class, which is known by eight bytes here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = masks(distance=distance, chunks=chunks)
@@ -117,10 +120,65 @@ def _keyed(classes: DataFrame, distance: int, chunks: int) -> DataFrame:
                         h = mix(h + sig[:, i].astype(np.uint64) * _M1)
                     keys[:, k] = h
                 take = pa.array(np.repeat(np.arange(len(sig)), len(chosen)))
-                short = pa.FixedSizeBinaryArray.from_buffers(pa.binary(HASHES), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig.astype(np.uint8)))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(take), short.take(take)], ["key", "class", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(take)], ["key", "c8"])
 
-    return classes.select("class", "sig").mapInArrow(run, "key long, class binary, sig binary")
+    return classes.select("c8", "sig").mapInArrow(run, "key long, c8 long")
+
+
+def _shared(keyed: DataFrame, block: int) -> DataFrame:
+    """``(key, c8, block, blocks)``: the rows of keys that several classes have, dealt to blocks of ``block`` classes.
+
+    For each key of several blocks there is one row more, without a class, that has their number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, held = None, 0, 0  # the run so far, and its first class while it is the only one
+
+        def pack(keys, c8, blocks, marks) -> pa.RecordBatch:
+            n = len(keys)
+            columns = [np.append(keys, [k for k, _ in marks]).astype(np.int64), np.append(c8, np.zeros(len(marks))).astype(np.int64) if not n else np.concatenate([c8, np.zeros(len(marks), np.int64)])]
+            mark = np.arange(n + len(marks)) >= n
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[0]), pa.array(columns[1], mask=mark), pa.array(np.concatenate([blocks, np.zeros(len(marks), np.int64)]), mask=mark), pa.array(np.concatenate([np.zeros(n, np.int64), np.array([-(-c // block) for _, c in marks], np.int64)]), mask=~mark)],
+                ["key", "c8", "block", "blocks"],
+            )
+
+        for batch in batches:
+            keys, c8 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(keys):
+                continue
+            bounds = np.append(np.append(0, np.flatnonzero(np.diff(keys)) + 1), len(keys))
+            lengths, marks = np.diff(bounds), []
+            place, total = np.arange(len(keys)) - np.repeat(bounds[:-1], lengths), lengths.copy()
+            if goes_on := keys[0] == last:
+                place[: lengths[0]] += count
+                total[0] += count
+            elif count > block:
+                marks.append((last, count))
+            marks += [(keys[bounds[k]], total[k]) for k in np.flatnonzero(total[:-1] > block)]
+            give = np.repeat(total > 1, lengths)
+            out = keys[give], c8[give], place[give] // block
+            if goes_on and count == 1:
+                out = np.append(last, out[0]), np.append(held, out[1]), np.append(0, out[2])
+            if len(out[0]) or marks:
+                yield pack(*out, marks)
+            last, count, held = keys[-1], int(total[-1]), c8[-1]
+        if count > block:
+            yield pack(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [(last, count)])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, c8 long, block long, blocks long")
+
+
+def _met(classes: DataFrame, distance: int, chunks: int, block: int) -> DataFrame:
+    """``(key, class, sig)``: classes that share a key; those of frequent keys once for each pair of blocks that they are in."""
+    shared = materialize(_shared(_keyed(classes, distance, chunks), block), "keys-shared")
+    several = shared.where("blocks IS NOT NULL").select(F.col("key").alias("s_key"), F.col("blocks").alias("n"))
+    members = shared.where("c8 IS NOT NULL").select("key", "c8", "block")
+    members = members.join(copied_if_small(several, 16), F.col("key") == F.col("s_key"), "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    known = members.join(classes.select(F.col("c8").alias("m8"), "class", "sig"), F.col("c8") == F.col("m8"))
+    other = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return other.select(F.when(F.col("n") == 1, F.col("key")).otherwise(pair).alias("key"), "class", "sig")
 
 
 class Forest:
@@ -173,7 +231,7 @@ def _candidates(keyed: DataFrame, distance: int) -> DataFrame:
 
         def bucket(rows: pa.Table) -> None:
             cls = rows.column(1).to_pylist()
-            sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint16).reshape(-1, HASHES)
             if len(cls) == 2:
                 if (sig[0] != sig[1]).sum() <= distance:
                     pairs.append((cls[0], cls[1]))
@@ -294,24 +352,48 @@ def _full_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def _confirmed_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """``(a, b)``: forests of the confirmed links between the classes of each of ``clusters(class, cluster, first_id)``."""
+    dealt = lambda n: F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n)
+    place = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = clusters.join(clusters.groupBy("cluster").agg(dealt("n")), "cluster").withColumn("block", place("n"))
+    placed = materialize(placed, "placed")
+    # one row of documents per class: its first id, and among rows with that id those with the class's set
+    rows = docs.join(copied_if_small(placed, 100), F.col("d_id").eqNullSafe(F.col("first_id")))
+    sets = materialize(_full_sets(rows.select("class", "cluster", "n", "block", "text"), size), "sets")
+    # the pivot meets each block of its cluster
+    star = sets.select("cluster", F.col("block").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "class", "set")
+    pivots = sets.where(F.col("class") == F.col("cluster")).select("cluster", to("n").alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"), "class", "set")
+    first = materialize(_links(star.unionByName(pivots), percent), "links-pivot")
+    # every edge has its cluster's pivot on one side: the other is linked
+    linked = first.select(F.col("a").alias("l")).unionByName(first.select(F.col("b").alias("l"))).distinct()
+    marked = placed.join(linked, F.col("class") == F.col("l"), "left").withColumn("linked", F.col("l").isNotNull()).drop("l")
+    pivot = F.col("class") == F.col("cluster")
+    open_ = marked.where(~pivot).groupBy("cluster").agg(F.count_if(~F.col("linked")).alias("rest"), F.count_if("linked").alias("others"))
+    open_ = open_.where("rest > 1 OR rest = 1 AND others > 0").select(F.col("cluster").alias("o"), F.ceil(F.col("rest") / block).cast("int").alias("rests"))
+    marked = marked.where(~pivot).join(open_, F.col("cluster") == F.col("o")).select(F.col("class").alias("m"), "linked", "rests")
+    marked = materialize(marked, "classes-open")
+    left = sets.join(copied_if_small(marked, 32), F.col("class") == F.col("m"))
+    rest = left.where("NOT linked").withColumn("own", place("rests"))
+    pairs = rest.withColumn("other", to("rests")).select(
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "set"
+    )
+    far = rest.withColumn("b", to("n")).select("cluster", F.col("own").alias("i"), (F.col("rests") + F.col("b")).alias("j"), F.lit(0).alias("side"), "class", "set")
+    near = left.where("linked").withColumn("i", to("rests")).select("cluster", "i", (F.col("rests") + F.col("block")).alias("j"), F.lit(1).alias("side"), "class", "set")
+    return first.unionByName(_links(pairs.unionByName(far).unionByName(near), percent))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, key_block: int = KEY_BLOCK) -> DataFrame:
     """``(doc_id, k_text, n_shingles, class, component_id, kept)``, one row per row of ``docs``; ``k_text`` is a hash of its text."""
     distance, chunks = distance_of(percent)
     signed = materialize(_signed(docs, doc_id, text, size), "signed")
     classes = signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
-    clusters = components(_candidates(_keyed(classes, distance, chunks), distance)).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    classes = materialize(classes.withColumn("c8", F.xxhash64("class")), "classes")
+    clusters = components(_candidates(_met(classes, distance, chunks, key_block), distance)).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     clusters = materialize(clusters.join(classes.select("class", "first_id"), "class"), "clusters")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    placed = materialize(clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n")).cast("int")), "placed")
-    # one row of documents per class: its first id, and among rows with that id those with the class's set
-    rows = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("text")).join(copied_if_small(placed, 100), F.col("d_id").eqNullSafe(F.col("first_id")))
-    sets = _full_sets(rows.select("class", "cluster", "n", "block", "text"), size)
-    # each block meets every block of its cluster once: as i with those after it and itself, as j with those before
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "set"
-    )
-    links = components(_links(pairs, percent))
+    rows = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("text"))
+    links = components(_confirmed_links(rows, clusters, size, percent, block))
     found = links.select(F.col("node").alias("class"), "root").join(classes.select("class", "first_id"), "class")
     least = found.groupBy("root").agg(F.min("first_id").alias("least_id"))
     grouped = found.join(least, "root").select("class", "least_id")

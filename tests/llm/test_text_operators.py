@@ -9,7 +9,7 @@ from itertools import accumulate
 import numpy as np
 import pytest
 
-from stationwise.llm import fm_index, hashing, line_dedup, near_dup, quality, substring
+from stationwise.llm import components, fm_index, hashing, line_dedup, near_dup, quality, substring
 
 SCHEMA = "doc_id long, text string, source string, k_id string, drops string"
 
@@ -289,11 +289,11 @@ def near_brute(rows: list[tuple]) -> dict:
     return {(d, t): (len(s), d if not s else least.get(root(i))) for i, ((d, t), s) in enumerate(zip(rows, sets, strict=True))}
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_near_duplicates(docs, empty, block):
+@pytest.mark.parametrize(("block", "key_block"), [(512, 4_096), (2, 2)])
+def test_near_duplicates(docs, empty, block, key_block):
     rows = [(r[0], r[1]) for r in corpus()]
     want = near_brute(rows)
-    texts = {(r.doc_id, r.k_text): r for r in near_dup.near_duplicates(docs, block=block).collect()}
+    texts = {(r.doc_id, r.k_text): r for r in near_dup.near_duplicates(docs, block=block, key_block=key_block).collect()}
     from pyspark.sql import functions as F
 
     hashes = docs.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("h")).collect()
@@ -305,6 +305,57 @@ def test_near_duplicates(docs, empty, block):
     assert near_dup.keep_one(docs).columns == docs.columns
 
 
+def test_a_chain_of_near_copies(spark):
+    """Each text is linked with the next one only; all are one group, though the ends have nothing in common."""
+    rng = random.Random(8)
+    w = words(rng, 3_000, 1 << 40)
+    rows = [(i, " ".join(w[4 * i : 4 * i + 130])) for i in range(700)] + [(10_000 + i, " ".join(words(rng, 40))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (512, 16):
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, block=block).collect()}
+        assert got == {i: 0 if i < 700 else i for i, _ in rows}
+
+
+def test_hubs_do_not_change_components(spark):
+    rng = random.Random(9)
+    edges = [(0, k) for k in range(1, 60)] + [(70, k) for k in range(71, 130)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)] + [(59, 129), (5, 5)]
+    up = list(range(400))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    want = {n: root(n) for e in edges if e[0] != e[1] for n in e}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for hub in (2_000, 3):
+        assert {r.node: r.root for r in components.components(df, hub=hub).collect()} == want
+
+
+def test_keys_of_one_class_go(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(c)) for k, c in zip(rng.integers(0, 300, 700), rng.permutation(700), strict=True)] + [(1_000, 10_000 + c) for c in range(57)]
+    by = defaultdict(set)
+    for k, c in rows:
+        by[k].add(c)
+    df = spark.createDataFrame(rows, "key long, c8 long")
+    for batch in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = near_dup._shared(df, 10).collect()
+        found = defaultdict(list)
+        for r in got:
+            found[r.key].append(r)
+        assert set(found) == {k for k, c in by.items() if len(c) > 1}
+        for k, rs in found.items():
+            members = [r for r in rs if r.c8 is not None]
+            assert {r.c8 for r in members} == by[k] and len(members) == len(by[k])
+            assert [r.blocks for r in rs if r.c8 is None] == ([-(-len(by[k]) // 10)] if len(by[k]) > 10 else [])
+            assert max(Counter(r.block for r in members).values()) <= 10
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def test_all_pairs_within_distance_share_a_key():
     rng = np.random.default_rng(4)
     chosen = near_dup.masks()
