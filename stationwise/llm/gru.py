@@ -16,7 +16,7 @@ import numpy as np
 HIDDEN, EMBEDDING, TAILS, STEPS, LANES = 64, 32, 64, 16, 1_024
 _DENSE = ("into", "rec", "bias", "grp", "grp_bias", "cls", "cls_bias")
 _SPARSE = ("emb", "word", "word_bias")  # a row for each word
-_CHUNK, _ROWS = 4_096, 1 << 18
+_CHUNK, _ROWS = 4_096, 1 << 16
 
 
 @dataclass

@@ -35,7 +35,7 @@ SHARD_TOKENS, SCORED_TOKENS = 8_000_000, 2_000_000
 HEAD, WORDS = 200_000, (1 << 16) - gru.TAILS
 RATES = (0.01, 0.005, 0.002)
 END = b" "  # no word holds a space
-_FANOUT, _CACHE, _PART = 16, 1 << 20, 4 << 20
+_FANOUT, _CACHE, _PART = 16, 1 << 18, 2 << 20
 
 
 def tail_of(word: bytes) -> int:
@@ -86,7 +86,7 @@ def parts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield at, held
 
 
-def count_tokens(docs: DataFrame, text: str = "text", flush: int = 4_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, text: str = "text", flush: int = 1_000_000) -> DataFrame:
     """``(token, tail, c)`` over all documents; the token is a word's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

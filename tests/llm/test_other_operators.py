@@ -256,15 +256,36 @@ def test_warc_round_trip(spark):
     long = "<p>" + "ü\r\n\r\nWARC/1.1\r\n" * 300
     rows = [(1, "http://a.example/x?q=1#f", long), (2, "http://b.example/", long), (3, None, long), (4, "http://a.example/x y\r\n", "short"), (5, "http://c.example", "short"), (6, "x", None), (7, "http://a.example/x?q=1", ""), (2, "http://b.example/", long), (None, "http://a.example", "no id")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
+    rows += [(2**63 - 1 - k, "http://late.example/", f"<p>{k}") for k in range(3)] + [(-(2**62), "http://late.example/", "before")]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     path = warc.table_path(spark, "warc-test")
-    warc.write_archives(pages, path, per_file=2)
-    got = warc.merged_index(warc.read_runs(spark, path)).collect()
-    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == Counter(
-        (i, len((h or "").encode()), "revisit" if h == long and i != 3 else "response", 3 if h == long and i != 3 else None) for i, _, h in rows
-    )
-    order = [(r.url_key, r.ts) for r in got]
-    assert order == sorted(order) and got[-1].url_key != ""
-    assert warc.read_runs(spark, path).where("url_key = 'example,a)/x?q=1'").count() == 2
+    files = warc.write_archives(pages, path, file_records=2)
+    assert files.agg(F.sum("records")).first()[0] == len(rows) and files.count() > 5
+    for fan_in, size in ((64, 100_000), (3, 4)):  # one level and range; several
+        index = warc.merged_index(warc.read_runs(files, path), path, fan_in, size)
+        got = index.collect()
+        assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == Counter(
+            (i, len((h or "").encode()), "revisit" if h == long and i != 3 else "response", 3 if h == long and i != 3 else None) for i, _, h in rows
+        )
+        order = [(r.url_key, r.ts) for r in got]
+        assert order == sorted(order) and got[-1].url_key != "" and all(len(r.ts) == 20 for r in got)
+    assert sum(r.url_key == "example,a)/x?q=1" for r in got) == 2
+    for r in got:  # offset and length find the record
+        headers, block = warc.read_record(r.file, r.place, r.length)
+        assert headers["warc-payload-digest"] == "sha1:" + r.payload_digest and warc.url_key(headers.get("warc-target-uri")) == r.url_key
+    none = warc.write_archives(pages.limit(0), path)
+    assert none.count() == 0 and warc.merged_index(warc.read_runs(none, path), path).count() == 0
+
+
+def test_members_of_a_stream():
+    import gzip
+
+    parts = [b"", b"abc" * 50_000, random.Random(1).randbytes(200_000), b"x"]
+    raw = [gzip.compress(p) for p in parts]
+    found = list(warc.members(io.BytesIO(b"".join(raw)), 1_000))
+    assert [f[0] for f in found] == parts and [f[2] for f in found] == [len(r) for r in raw] and found[2][1] == len(raw[0]) + len(raw[1])
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.members(io.BytesIO(raw[1][:-5])))
 
 
 def test_loser_tree():
