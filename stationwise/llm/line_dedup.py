@@ -1,11 +1,12 @@
 """Line dedup with sharded cuckoo filters over exact reference counts.
 
-The index holds, exactly, which document holds which line key (``refs``) and, per shard of the
-key space, a cuckoo filter of the keys that enough documents hold.  Cuckoo filters can delete, so
-documents can be added to and taken out of the index again; a key enters its filter when it reaches
-the number of documents and leaves when it falls below.  To clean documents, their lines are first
-held against the filters, which passes all lines that may have to go and hardly any other; those are
-then looked up in the exact counts.
+The index holds, exactly, which document holds which line key (``refs``), how many documents hold each key that enough
+of them hold and the largest of these (``frequent``), and a cuckoo filter of such keys (``filters``); all three by shards of
+the key space.  Cuckoo filters can delete, so documents can be added to and taken out of the index again; a key enters its
+filter when it reaches the number of documents and leaves when it falls below.  Only the shards that a change touches are
+written anew.  A filter that its shard's keys outgrow is built again with twice the room, and an index whose shards hold too
+many keys is dealt to twice the shards.  To clean documents, their lines are first held against the filters, which passes
+all lines that may have to go and hardly any other; those are then looked up in the exact counts.
 
 The filters travel to the lines while all of them together are small (``PROBE_BYTES``, checked);
 beyond that, lines travel to the shard of their key, several copies of each filter sharing the
@@ -20,14 +21,15 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from stationwise.llm.common import materialize, table, without
+from stationwise.llm.common import copied_if_small, materialize, table, table_path, without
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS, PROBE_BYTES, PROBE_COPIES = 50_000, 32 << 20, 32
@@ -133,13 +135,13 @@ def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
 
 
 def _build(rows: DataFrame) -> DataFrame:
-    """``(shard, blob)`` from ``(shard, step, h1, blob, n)``: a filter to start from (0), keys to take out (1) and to put in (2)."""
+    """``(shard, capacity, blob)`` from ``(shard, step, h1, blob, capacity)``: a filter to start from (0), keys to take out (1) and to put in (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, made = None, None
+        held, made, room = None, None, 0
 
-        def out(shard, filt):
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([filt.dump()], pa.binary())], ["shard", "blob"])
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([room], pa.int64()), pa.array([made.dump()], pa.binary())], ["shard", "capacity", "blob"])
 
         for batch in batches:
             shards, steps, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -149,70 +151,135 @@ def _build(rows: DataFrame) -> DataFrame:
                     continue
                 if shards[a] != held:
                     if held is not None:
-                        yield out(held, made)
-                    held, made = shards[a], CuckooFilter(batch.column(4)[int(a)].as_py())
+                        yield out()
+                    held, room = int(shards[a]), batch.column(4)[int(a)].as_py()
+                    made = CuckooFilter(room)
                 if steps[a] == 0:
                     made = CuckooFilter.load(batch.column(3)[int(a)].as_py())
                 else:
                     (made.delete if steps[a] == 1 else made.insert)(keys[a:b].view(np.uint64))
         if held is not None:
-            yield out(held, made)
+            yield out()
 
-    return rows.repartition("shard").sortWithinPartitions("shard", "step").select("shard", "step", "h1", "blob", "n").mapInArrow(run, "shard long, blob binary")
+    return rows.repartition("shard").sortWithinPartitions("shard", "step").select("shard", "step", "h1", "blob", "capacity").mapInArrow(run, "shard long, capacity long, blob binary")
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A table of the shared folder in a folder per shard."""
+
+    spark: SparkSession
+    schema: StructType
+    folders: dict[int, str]
+
+    @classmethod
+    def of(cls, df: DataFrame, name: str) -> Stored:
+        return cls(df.sparkSession, df.schema, {}).replaced(df, name)
+
+    def read(self, shards: set[int] | None = None) -> DataFrame:
+        chosen = [f for s, f in self.folders.items() if shards is None or s in shards]
+        return self.spark.read.schema(self.schema).parquet(*chosen) if chosen else self.spark.createDataFrame([], self.schema)
+
+    def replaced(self, df: DataFrame, name: str, shards: set[int] = frozenset()) -> Stored:
+        """With the rows of ``df``, which has all that ``shards`` hold from now on."""
+        path = table_path(self.spark, name)
+        df.withColumn("part", F.col("shard")).repartition("shard").write.partitionBy("part").parquet(path)
+        schema = StructType([*self.schema.fields, StructField("part", LongType())])
+        found = self.spark.read.schema(schema).parquet(path).select("part").distinct().collect()  # at most one a shard
+        new = {r.part: f"{path}/part={r.part}" for r in found}
+        return Stored(self.spark, self.schema, {s: f for s, f in self.folders.items() if s not in shards} | new)
 
 
 @dataclass(frozen=True)
 class LineIndex:
-    """``refs(h1, h2, k_id, k_text)``, a row per document and key, and the filters of frequent keys."""
+    """``refs(shard, h1, h2, k_id, k_text)``, a row per document and key; ``frequent`` keys; their filters.
+
+    ``refs`` are a plan until the index changes for the first time, so that documents which are cleaned once leave no table.
+    """
 
-    refs: DataFrame
-    filters: DataFrame
+    refs: DataFrame | Stored
+    frequent_keys: Stored
+    filters: Stored
     shards: int
     min_docs: int = MIN_DOCS
+    shard_keys: int = SHARD_KEYS
 
     @classmethod
     def of(cls, lines: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> LineIndex:
         """The index of ``lines``, as ``line_keys`` gives them."""
         refs = lines.where("first").select("h1", "h2", "k_id", "k_text")
-        frequent = cls._counts(refs, min_docs)
-        n = frequent.count()
-        shards = max(1, -(-n // shard_keys))
-        keys = frequent.select(F.pmod("h2", F.lit(shards)).alias("shard"), F.lit(2).alias("step"), "h1", F.lit(None).cast("binary").alias("blob"), F.lit(-(-n // shards)).cast("long").alias("n"))
-        return cls(refs, materialize(_build(keys), "line-filters"), shards, min_docs)
+        frequent = materialize(cls._counts(refs, min_docs), "line-counts")
+        shards = max(1, -(-frequent.count() // shard_keys))
+        sharded = lambda df: df.select(F.pmod("h2", F.lit(shards)).alias("shard"), *df.columns)
+        keys = sharded(frequent)
+        sizes = keys.groupBy("shard").agg(F.count(F.lit(1)).alias("capacity"))
+        rows = keys.join(copied_if_small(materialize(sizes, "line-sizes"), 16), "shard").select("shard", F.lit(2).alias("step"), "h1", F.lit(None).cast("binary").alias("blob"), "capacity")
+        return cls(sharded(refs), Stored.of(keys, "line-frequent"), Stored.of(_build(rows), "line-filters"), shards, min_docs, shard_keys)
 
     @staticmethod
-    def _counts(refs: DataFrame, min_docs: int) -> DataFrame:
-        return refs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("k_id").alias("last")).where(F.col("n_docs") >= min_docs)
+    def _counts(refs: DataFrame, min_docs: int, *by: str) -> DataFrame:
+        return refs.groupBy(*by, "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("k_id").alias("last")).where(F.col("n_docs") >= min_docs)
+
+    def all_refs(self) -> DataFrame:
+        return self.refs.read() if isinstance(self.refs, Stored) else self.refs
 
     def frequent(self) -> DataFrame:
-        return self._counts(self.refs, self.min_docs)
+        return self.frequent_keys.read().select("h1", "h2", "n_docs", "last")
+
+    def _kept(self) -> Stored:
+        return self.refs if isinstance(self.refs, Stored) else Stored.of(self.refs, "line-refs")
 
     def insert(self, lines: DataFrame) -> LineIndex:
-        new = lines.where("first").select("h1", "h2", "k_id", "k_text")
-        return self._moved(materialize(self.refs.unionByName(new), "line-refs"))
+        new = materialize(lines.where("first").select(F.pmod("h2", F.lit(self.shards)).alias("shard"), "h1", "h2", "k_id", "k_text"), "lines-new")
+        refs = self._kept()
+        touched = {r.shard for r in new.select("shard").distinct().collect()}
+        return self._moved(refs.replaced(refs.read(touched).unionByName(new), "line-refs", touched), touched)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents whose ids ``doc_ids(k_id)`` lists."""
         gone = doc_ids.select(F.col("k_id").alias("_g")).distinct()
-        return self._moved(materialize(self.refs.join(gone, F.col("k_id").eqNullSafe(F.col("_g")), "left_anti"), "line-refs"))
-
-    def _moved(self, refs: DataFrame) -> LineIndex:
-        """Keys that became frequent enter their shard's filter, keys that no longer are leave it."""
-        then, now = self.frequent().select("h1", "h2"), self._counts(refs, self.min_docs).select("h1", "h2")
-        shard, none, zero = F.pmod("h2", F.lit(self.shards)).alias("shard"), F.lit(None).cast("binary").alias("blob"), F.lit(1).cast("long").alias("n")
-        gone = then.join(now, ["h1", "h2"], "left_anti").select(shard, F.lit(1).alias("step"), "h1", none, zero)
-        new = now.join(then, ["h1", "h2"], "left_anti").select(shard, F.lit(2).alias("step"), "h1", none, zero)
-        start = self.filters.select("shard", F.lit(0).alias("step"), F.lit(0).cast("long").alias("h1"), "blob", zero)
-        return LineIndex(refs, materialize(_build(start.unionByName(gone).unionByName(new)), "line-filters"), self.shards, self.min_docs)
+        refs, same = self._kept(), F.col("k_id").eqNullSafe(F.col("_g"))
+        touched = {r.shard for r in refs.read().join(gone, same, "left_semi").select("shard").distinct().collect()}
+        return self._moved(refs.replaced(refs.read(touched).join(gone, same, "left_anti"), "line-refs", touched), touched)
+
+    def _moved(self, refs: Stored, touched: set[int]) -> LineIndex:
+        """Keys of the touched shards that became frequent enter their filter, keys that no longer are leave it."""
+        then = self.frequent_keys.read(touched).select("shard", "h1", "h2")
+        frequent = self.frequent_keys.replaced(self._counts(refs.read(touched), self.min_docs, "shard"), "line-frequent", touched)
+        now = frequent.read(touched).select("shard", "h1", "h2")
+        # a number or two for each touched shard
+        size = {r.shard: r.n for r in now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        room = {r.shard: r.capacity for r in self.filters.read(touched).select("shard", "capacity").collect()}
+        if max(size.values(), default=0) > 4 * self.shard_keys:
+            return self._wider(refs)
+        anew = {s for s in touched if size.get(s, 0) > room.get(s, 0) or 8 * size.get(s, 0) < room.get(s, 0)}
+        fit = {s: 2 * size.get(s, 0) if s in anew else room.get(s, 0) for s in touched}
+        none, among = F.lit(None).cast("binary").alias("blob"), lambda df, shards: df.where(F.col("shard").isin(sorted(shards)))
+        keys = lambda df, step: df.select("shard", F.lit(step).alias("step"), "h1", none)
+        start = among(self.filters.read(touched), touched - anew).select("shard", F.lit(0).alias("step"), F.lit(0).cast("long").alias("h1"), "blob")
+        gone, new = (x.join(y, ["shard", "h1", "h2"], "left_anti") for x, y in ((then, now), (now, then)))
+        rows = start.unionByName(keys(among(gone, touched - anew), 1)).unionByName(keys(among(new, touched - anew), 2)).unionByName(keys(among(now, anew), 2))
+        rooms = self.filters.spark.createDataFrame(sorted(fit.items()), "shard long, capacity long")
+        rows = rows.join(F.broadcast(rooms), "shard")
+        return replace(self, refs=refs, frequent_keys=frequent, filters=self.filters.replaced(_build(rows), "line-filters", touched))
+
+    def _wider(self, refs: Stored) -> LineIndex:
+        """Dealt to as many shards as its keys ask for now, at least twice as many."""
+        lines = refs.read().withColumn("first", F.lit(True))
+        n = self._counts(lines, self.min_docs).count()
+        return LineIndex.of(lines, self.min_docs, max(1, min(self.shard_keys, n // (2 * self.shards))))._with(self.shard_keys)
+
+    def _with(self, shard_keys: int) -> LineIndex:
+        return replace(self, refs=self._kept(), shard_keys=shard_keys)
 
     def candidates(self, lines: DataFrame, probe_bytes: int = PROBE_BYTES) -> DataFrame:
         """The lines whose key the filters may hold."""
-        size = self.filters.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+        size = self.filters.read().agg(F.sum(F.octet_length("blob"))).first()[0] or 0
         return self._probe_here(lines) if size <= probe_bytes else self._probe_there(lines)
 
     def _probe_here(self, lines: DataFrame) -> DataFrame:
         shards = self.shards
-        blobs = lines.sparkSession.sparkContext.broadcast({r.shard: bytes(r.blob) for r in self.filters.collect()})  # at most PROBE_BYTES
+        blobs = lines.sparkSession.sparkContext.broadcast({r.shard: bytes(r.blob) for r in self.filters.read().collect()})  # at most PROBE_BYTES
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filters = {s: CuckooFilter.load(b) for s, b in blobs.value.items()}
@@ -230,7 +297,7 @@ class LineIndex:
         names = lines.columns
         salt = F.pmod(F.xxhash64("k_id", "k_text"), F.lit(copies)).cast("int")
         rows = lines.withColumns({"shard": F.pmod("h2", F.lit(self.shards)), "salt": salt, "blob": F.lit(None).cast("binary")})
-        filters = self.filters.withColumn("h1", F.lit(0).cast("long")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        filters = self.filters.read().drop("capacity").withColumn("h1", F.lit(0).cast("long")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
         both = rows.unionByName(filters, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

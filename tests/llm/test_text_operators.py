@@ -8,6 +8,7 @@ from itertools import accumulate
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stationwise.llm import components, fm_index, hashing, line_dedup, near_dup, quality, substring
 
@@ -180,10 +181,31 @@ def test_line_index_is_reversible(spark, docs):
     grown = index.insert(new)
     assert grown.drops(new).count() == 5
     back = grown.delete(more.select("doc_id").withColumnRenamed("doc_id", "k_id"))
-    assert back.candidates(new).count() == 0 and sorted(back.refs.collect(), key=repr) == sorted(index.refs.collect(), key=repr)
+    assert back.candidates(new).count() == 0 and sorted(back.all_refs().collect(), key=repr) == sorted(index.all_refs().collect(), key=repr)
     assert sorted(back.frequent().collect(), key=repr) == sorted(index.frequent().collect(), key=repr)
 
 
+def test_line_index_grows_from_nothing(spark):
+    """100,000 keys into an empty index and out again; filters and shards grow with them."""
+    kind = "k_id long, k_text long, pos int, h1 long, h2 long, first boolean"
+    index = line_dedup.LineIndex.of(spark.createDataFrame([], kind), min_docs=2, shard_keys=5_000)
+    assert index.shards == 1 and index.candidates(spark.createDataFrame([], kind)).count() == 0
+    lines = lambda n, doc: spark.range(n).select(F.lit(doc).alias("k_id"), F.lit(0).cast("long").alias("k_text"), F.col("id").cast("int").alias("pos"), F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"), F.lit(True).alias("first"))
+    index = index.insert(lines(100_000, 1)).insert(lines(3_000, 2))
+    assert index.frequent().count() == 3_000 and index.shards == 1
+    index = index.insert(lines(100_000, 3))
+    assert index.frequent().count() == 100_000 and index.shards > 5
+    blobs = [line_dedup.CuckooFilter.load(bytes(r.blob)) for r in index.filters.read().collect()]
+    assert sum(len(b.stash) for b in blobs) < 100 and index.candidates(lines(100_000, 4)).count() == 100_000
+    one = index.insert(spark.createDataFrame([(9, 0, 0, 11, 12, True)], kind))
+    assert sum(one.refs.folders[s] != f for s, f in index.refs.folders.items()) == 1  # only the touched shard is written anew
+    few = index.delete(spark.createDataFrame([(3,)], "k_id long"))
+    assert few.frequent().count() == 3_000 and {r.last for r in few.frequent().select("last").distinct().collect()} == {2}
+    assert few.candidates(lines(100_000, 4)).count() < 3_300
+    none = few.delete(spark.createDataFrame([(1,), (2,)], "k_id long"))
+    assert none.all_refs().count() == none.frequent().count() == none.candidates(lines(100_000, 4)).count() == 0
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, 5_000, np.uint64)
@@ -294,8 +316,6 @@ def test_near_duplicates(docs, empty, block, key_block):
     rows = [(r[0], r[1]) for r in corpus()]
     want = near_brute(rows)
     texts = {(r.doc_id, r.k_text): r for r in near_dup.near_duplicates(docs, block=block, key_block=key_block).collect()}
-    from pyspark.sql import functions as F
-
     hashes = docs.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("h")).collect()
     for r in hashes:
         got = texts[r.doc_id, r.h]
