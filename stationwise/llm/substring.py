@@ -84,6 +84,23 @@ def _digests(stretches: list[bytes]) -> pa.Array:
 _CONTEXT = ["k_id", "k_text", "at", "n", "anchor", "context"]
 
 
+def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``(anchor, lo, hi)``: the least and largest document of each anchor of a batch of texts."""
+    kind = docs.schema["k_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [contexts(hashes.of(t.encode("utf-8", "surrogatepass").split()), window, anchor)[2] for t in batch.column(1).to_pylist()]
+            if found:
+                take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                rows = pa.table({"anchor": pa.array(np.concatenate(found).view(np.int64)), "k_id": batch.column(0).take(take)})
+                rows = rows.group_by("anchor").aggregate([("k_id", "min"), ("k_id", "max")]).select(["anchor", "k_id_min", "k_id_max"])
+                yield from rows.rename_columns(["anchor", "lo", "hi"]).combine_chunks().to_batches()
+
+    return docs.select("k_id", "text").mapInArrow(run, f"anchor long, lo {kind}, hi {kind}")
+
+
 def _contexts(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """``(k_id, k_text, at, n, anchor, context)``: first word, number of windows, anchor's hash and digest of the words."""
     kind = docs.schema["k_id"].dataType.simpleString()
@@ -191,7 +208,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``(k_id, k_text, spans)``: for each document that repeats earlier ones, ranges of words ``[from, to)``."""
     keyed = docs.select(F.col(doc_id).alias("k_id"), F.xxhash64(text, F.length(text)).alias("k_text"), F.col(text).alias("text")).where(F.col("k_id").isNotNull() & F.col("text").isNotNull())
     found = _contexts(keyed, window, anchor)
-    shared = found.groupBy("anchor").agg(F.min("k_id").alias("lo"), F.max("k_id").alias("hi")).where("lo < hi").select("anchor")
+    shared = _anchors(keyed, window, anchor).groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor")
     shared = materialize(shared, "anchors")
     found = materialize(found.join(shared, "anchor").select(*found.columns), "contexts")
 
