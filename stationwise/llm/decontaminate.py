@@ -1,19 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of all documents are TF-IDF vectors over the benchmark's words.  A randomised SVD finds their main
-directions: the vectors times a random matrix and back (``A'(A R)``), summed over all passages where they are read
-and then in a tree, give the subspace and its singular values in one pass.  Only matrices of the benchmark's
-vocabulary by ``RANK`` reach the driver.
+Passages of all documents are TF-IDF vectors over the words of all benchmark items.  A randomised SVD finds their main
+directions: the vectors times a random matrix and back (``A'(A R)``), made orthogonal, and the same once more; each time
+summed over all passages where they are read and then in a tree.  Only matrices of the benchmark's vocabulary by
+``RANK`` reach the driver.  Documents are encoded once and passed over four times, however many items there are.
 
 Overlapping windows of every whole text are folded into that space and compared with the benchmark items by
-cosine; the items are the query set, taken in blocks of at most ``ITEMS`` and about ``ITEM_WORDS`` words.  Items longer
-than a window are sought by overlapping pieces of a window's length; a piece's place in its item tells where in
+cosine; the items are the query set, which a task goes through in blocks of at most ``ITEMS`` and about ``ITEM_WORDS`` words.
+Items longer than a window are sought by overlapping pieces of a window's length; a piece's place in its item tells where in
 the text the item would lie, ``STRETCH`` times its length.  Each candidate, with its surroundings, is checked
-by the longest common subsequence of words with the item: a document is contaminated if it holds ``SURE`` of an item's words in order, or ``LIKELY`` of them together with the item's answer, its last quarter.  That
-catches paraphrases that leave out, add or change some words.
-
-Words are lower-cased and ASCII punctuation separates words.  Null and empty texts match nothing, nor do items of
-fewer than ``LEAST`` words.  Repeated rows are found alike.  Without documents or items the result is empty.
+by the longest common subsequence of words with the item: a document is contaminated if it holds ``SURE`` of an item's words
+in order, or ``LIKELY`` of them together with the item's answer, its last quarter.  That catches paraphrases that leave out,
+add or change some words.  Items of fewer than ``LEAST`` words have no subsequence worth the name: they are found where
+a text has exactly their words.
+
+Words are lower-cased and ASCII punctuation separates words.  Null and empty texts match nothing, nor do items without
+words.  Repeated rows are found alike.  Without documents or items the result is empty.  The benchmark, but not the
+documents, must fit the driver and each task.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationwise.llm.common import copied_if_small, grouped, materialize, table
+from stationwise.llm.hashing import mix, runs
 
-RANK, OVERSAMPLE, ITEMS, ITEM_WORDS = 60, 8, 500, 30_000
+RANK, OVERSAMPLE, ITEMS, ITEM_WORDS = 64, 8, 500, 30_000
 UNIT = 16  # windows of 2 units for short items and of 4 for the others, each half a window after the last
 SHORT_ITEM, LEAST = 24, 5
 PIECE, STRETCH = 4 * UNIT, 1.5  # of items longer than a window; pieces overlap by half
 COSINE = {2: 0.33, 4: 0.42}  # by the units of a window
 SURE, LIKELY, ANSWER, ANSWER_PART = 0.8, 0.6, 0.5, 0.25
-_FANOUT = 16
+_FANOUT, KEPT_BLOCKS = 16, 8
 _TABLE = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
 
@@ -81,12 +85,13 @@ def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat[known], unit[known], np.repeat(np.arange(len(texts)), units)
 
 
-def _sums(group: np.ndarray, weights: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-    """The sums over each group of its words' rows of ``weights``, a column at a time."""
-    out = np.empty((weights.shape[1], n), np.float32)
-    for c, column in enumerate(np.ascontiguousarray(weights.T)):
-        out[c] = np.bincount(group, column[term], n)
-    return out.T
+def _sums(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """The sums of ``rows`` over each of ``n`` groups; ``group`` rises."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(group):
+        first = np.flatnonzero(np.append(True, np.diff(group) != 0))
+        out[group[first]] = np.add.reduceat(rows, first, axis=0)
+    return out
 
 
 def _total(docs: DataFrame, work: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
@@ -97,8 +102,8 @@ def _total(docs: DataFrame, work: Callable[[list[bytes]], np.ndarray]) -> np.nda
 
         total = None
         for batch in batches:
-            for a in range(0, batch.num_rows, 1_000):
-                part = work(batch.column(0).slice(a, 1_000).to_pylist())
+            for a in range(0, batch.num_rows, 250):
+                part = work(batch.column(0).slice(a, 250).to_pylist())
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["part", "total"])
@@ -108,7 +113,8 @@ def _total(docs: DataFrame, work: Callable[[list[bytes]], np.ndarray]) -> np.nda
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
 
     schema = "part long, total binary"
-    few = docs.select("ids").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    parts = docs.rdd.getNumPartitions()
+    few = docs.select("ids").coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-parts // 8)))  # a sum for every eight files
     sums = materialize(few.mapInArrow(run, schema), "sums")
     while sums.count() > 1:
         sums = materialize(grouped(sums.withColumn("part", F.floor(F.col("part") / _FANOUT)), "part", add, schema), "sums")
@@ -138,19 +144,25 @@ def latent_space(docs: DataFrame, n: int, rank: int = RANK, seed: int = 5) -> np
 
         def work(texts: list[bytes]) -> np.ndarray:
             idf, weights = sent.value
+            out = np.zeros(weights.shape)
             if not texts:
-                return np.zeros(weights.shape)
+                return out
             term, unit, of = _units(texts)
-            passage, out = unit // 2, np.empty((weights.shape[1], n))
-            for c, column in enumerate(np.ascontiguousarray((weights * idf[:, None]).T)):
-                out[c] = np.bincount(term, np.bincount(passage, column[term])[passage], n)
-            return out.T * idf[:, None]
+            passage = unit // 2
+            held = _sums((weights * idf[:, None])[term], passage, -(-len(of) // 2))
+            order = np.argsort(term, kind="stable")
+            term = term[order]
+            first = np.flatnonzero(np.append(True, np.diff(term) != 0))[: len(term)]
+            if len(first):
+                out[term[first]] = np.add.reduceat(held[passage[order]], first, axis=0) * idf[term[first], None]
+            return out
 
         return _total(docs, work)
 
-    # M = A'A is seen only as Z = M R; its main directions and singular values follow from Z and R (Nystroem)
+    # M = A'A is seen only as Z = M R, twice; its main directions and singular values follow from the last R and Z (Nystroem)
     r = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, rank + OVERSAMPLE))))[0]
-    z = back(r)
+    r = np.linalg.qr(back(r.astype(np.float32)) + 1e-9 * r)[0]
+    z = back(r.astype(np.float32))
     shift = 1e-7 * max(np.linalg.norm(z), 1e-9)
     z = z + shift * r
     half = np.linalg.cholesky((r.T @ z + z.T @ r) / 2 + shift * np.eye(r.shape[1]))
@@ -237,65 +249,116 @@ class Pieces:
         return reach(self.offset[piece]), reach(self.after[piece])
 
 
+class Block:
+    """Some items, ready to be compared: their pieces, and bits over the words that they have."""
+
+    def __init__(self, first: int, ids: list[np.ndarray], space: np.ndarray):
+        self.first, self.pieces = first, Pieces(ids, space)
+        own = np.unique(np.concatenate(ids))
+        self.local = np.full(len(space) + 1, len(own), np.int32)  # the last local number: a word that no item here has
+        self.local[own] = np.arange(len(own))
+        ids = [self.local[i] for i in ids]
+        self.whole, self.tails = Items(ids, len(own) + 1), Items(ids, len(own) + 1, ANSWER_PART)
+
+
+class Shorts:
+    """Items of fewer than ``LEAST`` words, found by their exact words."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.by_length = {n: [(k, i) for k, i in items if len(i) == n] for n in range(1, LEAST)}
+        self.hashes = {n: runs_of(np.concatenate([i for _, i in own]), n)[::n] for n, own in self.by_length.items() if own}
+
+    def found(self, texts: list[np.ndarray]) -> list[tuple]:
+        """``(text, item, words)``."""
+        out = set()
+        for n, hashes in self.hashes.items():
+            order = np.argsort(hashes, kind="stable")
+            for d, ids in enumerate(texts):
+                own = runs_of(ids, n)
+                for at in np.flatnonzero(np.isin(own, hashes)).tolist():
+                    lo, hi = (np.searchsorted(hashes[order], own[at], side=x) for x in ("left", "right"))
+                    out |= {(d, self.by_length[n][k][0], n) for k in order[lo:hi] if (self.by_length[n][k][1] == ids[at : at + n]).all()}
+        return sorted(out)
+
+
+def runs_of(ids: np.ndarray, n: int) -> np.ndarray:
+    return runs(mix(ids.astype(np.int64).view(np.uint64)), n)
+
+
 def _search(docs: DataFrame, items: list[tuple], vocabulary: list[bytes], space: np.ndarray) -> DataFrame:
     """``(k_id, k_text, item_id, item_words, lcs, ratio, cosine, answer)``: the best place of each item in each text."""
-    held = docs.sparkSession.sparkContext.broadcast((items, vocabulary, space))
+    held = docs.sparkSession.sparkContext.broadcast((items, vocabulary, space))  # as large as the benchmark
     kind = docs.schema["k_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, vocabulary, space = held.value
         terms = Terms(vocabulary)
         ids = [terms.of(t) for _, t in items]
-        pieces = Pieces(ids, space)
-        whole, tails = Items(ids, len(vocabulary)), Items(ids, len(vocabulary), ANSWER_PART)
+        shorts = Shorts([(k, i) for k, i in enumerate(ids) if 0 < len(i) < LEAST])
+        spans = _blocks([len(i) for i in ids])
+        made = lambda a, b: Block(a, ids[a:b], space)
+        kept = [made(a, b) for a, b in spans] if len(spans) <= KEPT_BLOCKS else None
         for batch in batches:
             for a in range(0, batch.num_rows, 1_000):
                 part = batch.slice(a, 1_000)
-                rows = candidates(part.column(2).to_pylist(), whole, tails, pieces, space)
+                texts = part.column(2).to_pylist()
+                windows, rows = Windows(texts, space), []
+                for block in kept if kept is not None else (made(*span) for span in spans):
+                    rows += candidates(windows, block)
+                rows += [(d, k, n, 1.0, 1.0) for d, k, n in shorts.found([np.frombuffer(t, np.int32) for t in texts])]
                 if rows:
                     doc, item, lcs, cos, answer = (np.array(c) for c in zip(*rows, strict=True))
                     take = pa.array(doc.astype(np.int64))
-                    words = np.array([len(ids[i]) for i in item])
+                    words = np.array([len(ids[i]) for i in item.astype(int)])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), part.column(1).take(take), pa.array([items[i][0] for i in item], pa.int64()), pa.array(words), pa.array(lcs.astype(np.int64)), pa.array(lcs / words), pa.array(cos.astype(np.float64)), pa.array(answer.astype(np.float64))],
+                        [part.column(0).take(take), part.column(1).take(take), pa.array([items[i][0] for i in item.astype(int)], pa.int64()), pa.array(words), pa.array(lcs.astype(np.int64)), pa.array(lcs / words), pa.array(cos.astype(np.float64)), pa.array(answer.astype(np.float64))],
                         ["k_id", "k_text", "item_id", "item_words", "lcs", "ratio", "cosine", "answer"],
                     )
 
     return docs.select("k_id", "k_text", "ids").mapInArrow(run, f"k_id {kind}, k_text long, item_id long, item_words long, lcs long, ratio double, cosine double, answer double")
 
 
-def candidates(texts: list[bytes], whole: Items, tails: Items, pieces: Pieces, space: np.ndarray) -> list[tuple]:
-    """``(text, item, lcs, cosine, answer)`` of the contaminated texts; the surest place of each item."""
-    term, unit, of = _units(texts)
-    n = len(of)
-    if not n:
-        return []
-    sums = _sums(unit, space, term, n)
-    bounds = np.searchsorted(unit, np.arange(n + 1))
-    last = np.searchsorted(of, of, side="right")  # one after the text's last unit
-    first = np.searchsorted(of, of, side="left")
-
-    def after(rows: np.ndarray, k: int) -> np.ndarray:
+class Windows:
+    """The units of some texts, and the places of windows of two and four units in the latent space."""
+
+    def __init__(self, texts: list[bytes], space: np.ndarray):
+        self.term, unit, self.of = _units(texts)
+        n = self.n = len(self.of)
+        self.bounds = np.searchsorted(unit, np.arange(n + 1))
+        self.last = np.searchsorted(self.of, self.of, side="right")  # one after the text's last unit
+        self.first = np.searchsorted(self.of, self.of, side="left")
+        sums = np.zeros((n, space.shape[1]), np.float32)
+        for a in range(0, n, 8_192):
+            lo, hi = self.bounds[a], self.bounds[min(n, a + 8_192)]
+            sums[a : a + 8_192] = _sums(space[self.term[lo:hi]], unit[lo:hi] - a, len(sums[a : a + 8_192]))
+        two = sums + self._after(sums, 1) if n > 1 else sums
+        self.starts, self.places = {}, {}
+        for width, places in ((2, two), (4, two + self._after(two, 2) if n > 2 else two)):
+            s = self.starts[width] = np.flatnonzero((np.arange(n) - self.first) % (width // 2) == 0)
+            self.places[width] = places[s] / np.maximum(np.linalg.norm(places[s], axis=1, keepdims=True), 1e-9)
+
+    def _after(self, rows: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros_like(rows)
-        out[: n - k] = rows[k:] * (of[k:] == of[: n - k])[:, None]
+        out[: self.n - k] = rows[k:] * (self.of[k:] == self.of[: self.n - k])[:, None]
         return out
 
+
+def candidates(windows: Windows, block: Block) -> list[tuple]:
+    """``(text, item, lcs, cosine, answer)`` of the contaminated texts; the surest place of each item."""
     found: list[tuple[np.ndarray, ...]] = []
-    two = sums + after(sums, 1) if n > 1 else sums
-    four = two + after(two, 2) if n > 2 else two
+    whole, tails, pieces, of, bounds = block.whole, block.tails, block.pieces, windows.of, windows.bounds
+    term = block.local[windows.term]
     is_long = pieces.length > SHORT_ITEM
-    for windows, width, chosen in ((two, 2, np.flatnonzero(~is_long)), (four, 4, np.flatnonzero(is_long))):
-        starts = np.flatnonzero((np.arange(n) - first) % (width // 2) == 0)
+    for width, chosen in ((2, np.flatnonzero(~is_long)), (4, np.flatnonzero(is_long))):
+        starts = windows.starts[width]
         some = 20_000 * ITEMS // max(ITEMS, len(chosen))
         for a in range(0, len(starts) if len(chosen) else 0, some):
             s = starts[a : a + some]
-            w = windows[s]
-            w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
-            cos = w @ pieces.place[chosen].T
+            cos = windows.places[width][a : a + some] @ pieces.place[chosen].T
             r, c = np.nonzero(cos >= COSINE[width])
             before, behind = pieces.around(chosen[c], width)
-            lo = np.maximum(first[s[r]], s[r] - before)
-            hi = np.minimum(last[s[r]], s[r] + width + behind)
+            lo = np.maximum(windows.first[s[r]], s[r] - before)
+            hi = np.minimum(windows.last[s[r]], s[r] + width + behind)
             found.append((bounds[lo], bounds[hi], pieces.item[chosen[c]], cos[r, c], of[s[r]]))
     if not found:
         return []
@@ -312,42 +375,35 @@ def candidates(texts: list[bytes], whole: Items, tails: Items, pieces: Pieces, s
     sure = np.flatnonzero((lcs >= SURE * whole.length[item]) | (share >= ANSWER))
     best: dict[tuple[int, int], tuple] = {}
     for k in sure.tolist():
-        row = (int(doc[k]), int(item[k]), int(lcs[k]), float(cos[k]), float(share[k]))
+        row = (int(doc[k]), block.first + int(item[k]), int(lcs[k]), float(cos[k]), float(share[k]))
         if (old := best.get(row[:2])) is None or (old[2], old[3]) < (row[2], row[3]):
             best[row[:2]] = row
     return list(best.values())
 
 
-def _blocks(items: Iterator) -> Iterator[list[tuple]]:
-    """The items, ``ITEMS`` at a time, or fewer where they have many words."""
-    block, n = [], 0
-    for item in items:
-        size = len(words_of(item.text))
-        if size < LEAST:
-            continue
-        if block and (len(block) == ITEMS or n + size > ITEM_WORDS):
-            yield block
-            block, n = [], 0
-        block.append((item.item_id, item.text))
-        n += size
-    if block:
-        yield block
+def _blocks(lengths: list[int]) -> list[tuple[int, int]]:
+    """Stretches of the items that have at least ``LEAST`` words, ``ITEMS`` at a time, or fewer where they have many words."""
+    spans, first, n = [], None, 0
+    for k, size in enumerate([*lengths, 0]):
+        if first is not None and (size < LEAST or k - first == ITEMS or n + size > ITEM_WORDS):
+            spans.append((first, k))
+            first, n = None, 0
+        if size >= LEAST:
+            first, n = (k if first is None else first), n + size
+    return spans
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and item that it holds, by the document's id and a hash of its text."""
     rows = docs.select(F.col(doc_id).alias("k_id"), F.xxhash64(text, F.length(text)).alias("k_text"), F.col(text).alias("text"))
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator()
-    out = None
-    for block in _blocks(items):
-        vocabulary = sorted({w for _, t in block for w in words_of(t)})
-        known = materialize(encoded(rows, vocabulary), "benchmark-words")
-        found = _search(known, block, vocabulary, latent_space(known, len(vocabulary)))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator()]
+    items.sort(key=lambda item: len(words_of(item[1])) < LEAST)  # short ones last, so that blocks stay whole
+    vocabulary = sorted({w for _, t in items for w in words_of(t)})
+    if not vocabulary:
         kind = rows.schema["k_id"].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"k_id {kind}, k_text long, item_id long, item_words long, lcs long, ratio double, cosine double, answer double")
-    return out
+    known = materialize(encoded(rows, vocabulary), "benchmark-words")
+    return _search(known, items, vocabulary, latent_space(known, len(vocabulary)))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
