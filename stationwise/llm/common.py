@@ -21,9 +21,15 @@ def _own_folder(application: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
-    return folder.rstrip("/")
+    """The folder all machines share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one if all runs on this machine; on a cluster that is an error.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def table_path(spark: SparkSession, name: str) -> str:

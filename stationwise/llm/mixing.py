@@ -9,7 +9,7 @@ which gives or takes in proportion to its length.  The one left over in a bucket
 be rounded with those of other buckets, so no task reads a whole source.  Every eighth document goes
 up with it unrounded, so that long documents meet enough short ones at each level.  The one left at
 the top of a source goes to the nearer whole number: a source misses its target by half of that
-document.
+document, and that one document's copies, alone in its source, are not true to their fraction on average.
 
 Null texts have size 0; documents of size 0 are rounded on their own and take no words.  A null
 source is a source.  Repeated rows are separate documents.  Random numbers come from a seed and the
