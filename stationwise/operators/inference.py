@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stationwise.functions.exprs import haversine_km, ratio
 from stationwise.operators.panel import six
-from stationwise.operators.sampling import ape, drawn, drawn_sql, period, reference
+from stationwise.operators.sampling import _median_error, drawn_sql, period, simulate
 from stationwise.operators.spatial import BAND_KM, LINKS, within
 from stationwise.plans.registry import READINGS_SQL, query
 from stationwise.sources.panel import daily, grid, readings, sites
@@ -80,8 +80,7 @@ _WEEKLY = "v AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week, sensor_i
 def nested_weekly_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error of weekly means as a draw's subset grows sensor by sensor."""
     v = period(readings(spark, sf_dir).withColumn("week", F.to_date(F.date_trunc("week", "date"))), "week")
-    e = drawn(v, "week").join(reference(v, "week"), "week")
-    return e.groupBy("week", "n").agg(six(F.percentile(ape(), F.lit(0.5))).alias("ape_median"))
+    return simulate(v, ("week",), _median_error, "n int, a double").select("week", "n", six("a").alias("ape_median"))
 
 
 def farthest_first(s: DataFrame, n: int) -> DataFrame:

@@ -2,21 +2,34 @@
 
 A draw is an order of the sensors by ``md5(seed|draw|sensor)``; its first n sensors are the subset of size n, so one running
 sum gives the estimates of all sizes.  The same order serves all days, where only that day's sensors count.
+
+Each network, day or scenario is a row with an array of its sensors' values, hundreds at most.  Tasks draw for such rows in
+numpy and summarise all draws of a size where they are made; a single network's draws are dealt to tasks in blocks, and come
+together by size.  Draws, sizes and seeds are parameters: queries with SQL take ``DRAWS`` and ``MAX_N``, ``mc_canonical_*`` the
+full experiment.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from math import comb
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.functions.exprs import fpc, ratio, t_quantile
+from stationwise.functions.exprs import ratio, t_quantile
 from stationwise.operators.panel import share, six
 from stationwise.plans.registry import READINGS_SQL, query
 from stationwise.sources.panel import daily, readings
 
-SEED, DRAWS, MAX_N = 20260522, 60, 20
+SEED, DRAWS, MAX_N, BLOCK = 97_531, 200, 30, 500
+CANONICAL_DRAWS, CANONICAL_DAILY_N, CANONICAL_PERIOD_N = 10_000, 50, 300
 # Thresholds of daily concentrations and levels of confidence.
 THRESHOLDS, LEVELS, COVERED_N = (15.0, 25.0, 35.0, 37.5, 50.0, 75.0), (0.68, 0.90, 0.95), (5, 10, 15, 20)
+_KEPT_KEYS = 1 << 25  # hashed keys that a task remembers
 
 
 def period(r: DataFrame, *keys: str) -> DataFrame:
@@ -24,19 +37,117 @@ def period(r: DataFrame, *keys: str) -> DataFrame:
     return r.groupBy(*keys, "sensor_id").agg(F.round(F.sum("cents").cast("double") / F.count(F.lit(1))).cast("long").alias("c"))
 
 
-def drawn(values: DataFrame, *keys: str, draws: int = DRAWS, seed: int = SEED, most: int = MAX_N) -> DataFrame:
-    """``values(keys, sensor_id, c)`` in the order of each draw: place ``n``, the mean ``est`` of the first n, and their squares."""
-    each = values.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), "sensor_id"))
-    order = Window.partitionBy(*keys, "draw").orderBy(key, "sensor_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("n", F.row_number().over(order)).withColumn("total", F.sum("c").over(upto)).withColumn("squares", F.sum(F.col("c").cast("double") * F.col("c")).over(upto))
-    return each.where(F.col("n") <= most).withColumn("est", F.col("total").cast("double") / F.col("n") / 100)
-
-
-def reference(values: DataFrame, *keys: str) -> DataFrame:
-    out = values.groupBy(*keys) if keys else values.groupBy()
-    return out.agg((F.sum("c").cast("double") / F.count(F.lit(1)) / 100).alias("ref"), F.stddev_samp(F.col("c") / 100).alias("sd"), F.count(F.lit(1)).alias("sensors"))
+class Draws:
+    """The estimates of drawn subsets; the keys of sensors already met are remembered."""
+
+    def __init__(self, first: int, last: int, seed: int):
+        self.range, self.seed, self.keys = range(first, last + 1), seed, {}
+
+    def _keys(self, sensor: str) -> np.ndarray:
+        if sensor not in self.keys:
+            if len(self.keys) * len(self.range) > _KEPT_KEYS:
+                self.keys.clear()
+            found = b"".join(hashlib.md5(f"{self.seed}|{d}|{sensor}".encode()).digest()[:8] for d in self.range)
+            self.keys[sensor] = np.frombuffer(found, ">u8")
+        return self.keys[sensor]
+
+    def estimates(self, sensors: list[str], c: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """A row per draw, a column per size from 1 on: means, and sums of squares, of the first sensors of each draw."""
+        keys = np.stack([self._keys(s) for s in sensors], 1)
+        m = min(most, len(sensors))
+        if m < len(sensors):
+            top = np.argpartition(keys, m - 1, axis=1)[:, :m]
+            top = np.take_along_axis(top, np.argsort(np.take_along_axis(keys, top, 1), axis=1, kind="stable"), 1)
+        else:
+            top = np.argsort(keys, axis=1, kind="stable")
+        drawn = c[top]
+        return np.cumsum(drawn, 1) / np.arange(1, m + 1) / 100, np.cumsum(drawn.astype(float) ** 2, 1)
+
+
+class Network:
+    """What all draws of a network or a day have in common."""
+
+    def __init__(self, c: np.ndarray):
+        self.sensors, self.ref = len(c), c.sum() / len(c) / 100
+        self.sd = float(np.std(c / 100, ddof=1)) if len(c) > 1 else None
+
+
+#: ``work(sizes, estimates, squares, network, first draw)`` gives rows; the estimates have a column per size.
+Work = Callable[[np.ndarray, np.ndarray, np.ndarray, Network, int], Iterator[tuple]]
+
+
+def _types(columns: str) -> list[pa.DataType]:
+    return [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in columns.split(", ")]
+
+
+def simulate(values: DataFrame, keys: tuple[str, ...], work: Work, columns: str, draws: int = DRAWS, most: int = MAX_N, seed: int = SEED) -> DataFrame:
+    """The rows of ``work`` over all draws for each group of ``values(keys, sensor_id, c)``; ``seed`` may be a column among the keys."""
+    held = values.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sensor_id", "c"))).alias("sensors"))  # a network's sensors
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = [(k, values.schema[k].dataType.simpleString()) for k in keys]
+    names = [*keys, *(c.split()[0] for c in columns.split(", "))]
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in kinds), columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, Draws] = {}
+        for batch in batches:
+            types = [*(batch.schema.field(k).type for k in keys), *_types(columns)]
+            for row in batch.to_pylist():
+                own = row.get("seed", seed)
+                made.setdefault(own, Draws(1, draws, own))
+                ids, c = [x["sensor_id"] for x in row["sensors"]], np.array([x["c"] for x in row["sensors"]], np.int64)
+                if not len(c):
+                    continue
+                est, squares = made[own].estimates(ids, c, most)
+                head = tuple(row[k] for k in keys)
+                rows = [head + r for r in work(np.arange(1, est.shape[1] + 1), est, squares, Network(c), 1)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return held.repartition(parts, *keys).mapInArrow(run, schema)
+
+
+def simulate_one(values: DataFrame, work: Work, columns: str, draws: int = DRAWS, most: int = MAX_N, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """The rows of ``work`` for each size over all draws of one network ``values(sensor_id, c)``, drawn in blocks."""
+    held = values.groupBy().agg(F.sort_array(F.collect_list(F.struct("sensor_id", "c"))).alias("sensors"))
+    blocks = -(-draws // block)
+    dealt = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, c = [x["sensor_id"] for x in row["sensors"]], np.array([x["c"] for x in row["sensors"]], np.int64)
+                if len(c):
+                    first = 1 + row["block"] * block
+                    est, squares = Draws(first, min(draws, first + block - 1), seed).estimates(ids, c, most)
+                    k = est.shape[1]
+                    blobs = [[np.ascontiguousarray(x[:, i]).tobytes() for i in range(k)] for x in (est, squares)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, k + 1)), pa.array([row["block"]] * k, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs), pa.array([c.tobytes()] * k, pa.binary())], ["n", "block", "est", "squares", "c"])
+
+    by_size = dealt.mapInArrow(draw, "n long, block int, est binary, squares binary, c binary").repartition("n").sortWithinPartitions("n", "block")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, names, size, rows = _types(columns), [c.split()[0] for c in columns.split(", ")], None, []
+
+        def out() -> list[tuple]:
+            est, squares = (np.concatenate([np.frombuffer(r[k]) for r in rows])[:, None] for k in ("est", "squares"))
+            return list(work(np.array([size]), est, squares, Network(np.frombuffer(rows[0]["c"], np.int64)), 1))
+
+        def pack(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["n"] != size and rows:
+                    if found := out():
+                        yield pack(found)
+                    rows = []
+                size = row["n"]
+                rows.append(row)
+        if rows and (found := out()):
+            yield pack(found)
+
+    return by_size.mapInArrow(gather, columns)
 
 
 def drawn_sql(values: str, keys: str = "") -> str:
@@ -58,60 +169,148 @@ def ape(est: str = "est", ref: str = "ref") -> Column:
     return 100 * ratio(F.abs(F.col(est) - F.col(ref)), F.abs(F.col(ref)))
 
 
-_SUMMARY_SQL = """round(avg(100 * abs(est - ref) / ref), 6) AS ape_mean, round(quantile_cont(100 * abs(est - ref) / ref, 0.25), 6) AS ape_p25, round(median(100 * abs(est - ref) / ref), 6) AS ape_median, round(quantile_cont(100 * abs(est - ref) / ref, 0.75), 6) AS ape_p75,
-round(quantile_cont(100 * abs(est - ref) / ref, 0.95), 6) AS ape_p95, round(min(100 * abs(est - ref) / ref), 6) AS ape_min, round(max(100 * abs(est - ref) / ref), 6) AS ape_max, round(avg(abs(est - ref)), 6) AS abs_mean, round(median(abs(est - ref)), 6) AS abs_median, round(quantile_cont(abs(est - ref), 0.95), 6) AS abs_p95,
-round(avg(est), 6) AS est_mean, round(median(est), 6) AS est_median, round(stddev_samp(est), 6) AS est_sd, round(avg(est) - max(ref), 6) AS bias, round(100 * (avg(est) - max(ref)) / max(ref), 6) AS bias_pct,
-round(100 * max(sd) / sqrt(n) * CASE WHEN n >= max(sensors) THEN 0 ELSE sqrt((max(sensors) - n) / CAST(max(sensors) - 1 AS DOUBLE)) END / max(ref), 6) AS rse_normal_pct, round(100 * stddev_samp(est) / max(ref), 6) AS rse_empirical_pct"""
+def _quantiles(name: str, x: str) -> str:
+    return ", ".join(f"round(quantile_cont({x}, {p / 100}), 6) AS {name}_p{p}" for p in (25, 75, 95))
+
+
+_APE, _OFF = "100 * abs(est - ref) / ref", "abs(est - ref)"
+_SUMMARY_SQL = ", ".join(
+    [f"round(avg({x}), 6) AS {n}_mean, round(median({x}), 6) AS {n}_median, {_quantiles(n, x)}, round(min({x}), 6) AS {n}_min, round(max({x}), 6) AS {n}_max" for n, x in (("ape", _APE), ("abs", _OFF))]
+    + [f"""round(avg(est), 6) AS est_mean, round(median(est), 6) AS est_median, {_quantiles("est", "est")}, round(stddev_samp(est), 6) AS est_sd, round(avg(est) - max(ref), 6) AS bias, round(100 * (avg(est) - max(ref)) / max(ref), 6) AS bias_pct,
+round(100 * max(sd) / sqrt(n) * CASE WHEN n >= max(sensors) THEN 0 ELSE sqrt((max(sensors) - n) / CAST(max(sensors) - 1 AS DOUBLE)) END / max(ref), 6) AS rse_normal_pct, round(100 * stddev_samp(est) / max(ref), 6) AS rse_empirical_pct"""]
+)
+METRICS = [f"{n}_{k}" for n in ("ape", "abs") for k in ("mean", "median", "p25", "p75", "p95", "min", "max")] + [f"est_{k}" for k in ("mean", "median", "p25", "p75", "p95", "sd")] + ["bias", "bias_pct", "rse_normal_pct", "rse_empirical_pct"]
+
+
+def _over(a: np.ndarray | float, b: float) -> np.ndarray:
+    """``a / b``, no number where ``b`` is 0."""
+    return np.asarray(a, float) / b if b else np.full(np.shape(a), np.nan)
+
+
+def _numbers(*columns: np.ndarray) -> Iterator[tuple]:
+    """Rows of the columns, rounded; no numbers are null."""
+    for row in zip(*columns, strict=True):
+        yield tuple(None if isinstance(x, float) and x != x else round(float(x), 6) if isinstance(x, (float, np.floating)) else int(x) for x in row)
 
 
-def summaries() -> list[Column]:
-    """The error summaries of a group of draws of one size."""
-    off = F.abs(F.col("est") - F.col("ref"))
-    q = lambda c, p: six(F.percentile(c, F.lit(p)))
-    ref, n = F.max("ref"), F.max("n")
-    return [
-        six(F.avg(ape())).alias("ape_mean"), q(ape(), 0.25).alias("ape_p25"), q(ape(), 0.5).alias("ape_median"), q(ape(), 0.75).alias("ape_p75"), q(ape(), 0.95).alias("ape_p95"), six(F.min(ape())).alias("ape_min"), six(F.max(ape())).alias("ape_max"),
-        six(F.avg(off)).alias("abs_mean"), q(off, 0.5).alias("abs_median"), q(off, 0.95).alias("abs_p95"), six(F.avg("est")).alias("est_mean"), q(F.col("est"), 0.5).alias("est_median"), six(F.stddev_samp("est")).alias("est_sd"),
-        six(F.avg("est") - ref).alias("bias"), six(100 * ratio(F.avg("est") - ref, ref)).alias("bias_pct"), six(100 * ratio(F.max("sd") / F.sqrt(n) * fpc(n, F.max("sensors")), ref)).alias("rse_normal_pct"), six(100 * ratio(F.stddev_samp("est"), ref)).alias("rse_empirical_pct"),
-    ]
+def correction(n: np.ndarray, population: int) -> np.ndarray:
+    """Finite-population correction; 0 for whole populations."""
+    return np.sqrt(np.maximum(0, population - n) / (population - 1)) if population > 1 else np.zeros(len(n))
+
+
+def errors(est: np.ndarray, net: Network) -> np.ndarray:
+    return 100 * _over(np.abs(est - net.ref), abs(net.ref))
+
+
+def summary(n: np.ndarray, est: np.ndarray, squares: np.ndarray, net: Network, first: int) -> Iterator[tuple]:
+    """The 24 error summaries of each size from 2 on."""
+    some = n >= 2
+    n, est = n[some], est[:, some]
+    out = []
+    for x in (errors(est, net), np.abs(est - net.ref)):
+        p25, p50, p75, p95 = np.percentile(x, (25, 50, 75, 95), axis=0)
+        out += [x.mean(0), p50, p25, p75, p95, x.min(0), x.max(0)]
+    p25, p50, p75, p95 = np.percentile(est, (25, 50, 75, 95), axis=0)
+    sd = est.std(0, ddof=1) if len(est) > 1 else np.full(len(n), np.nan)
+    bias = est.mean(0) - net.ref
+    normal = 100 * _over((np.nan if net.sd is None else net.sd) / np.sqrt(n) * correction(n, net.sensors), net.ref)
+    out += [est.mean(0), p50, p25, p75, p95, sd, bias, 100 * _over(bias, net.ref), normal, 100 * _over(sd, net.ref)]
+    yield from _numbers(n.astype(object), np.full(len(n), len(est)).astype(object), *(x.astype(float) for x in out))
+
+
+_SUMMARY = "n int, n_draws long, " + ", ".join(f"{m} double" for m in METRICS)
 
 
 @query(PERIOD + f" SELECT n, count(*) AS n_draws, {_SUMMARY_SQL} FROM e CROSS JOIN f WHERE n >= 2 GROUP BY n")
 def mc_period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate_one(period(readings(spark, sf_dir)), summary, _SUMMARY)
+
+
+@query()
+def mc_canonical_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full experiment on period means: 10,000 draws of 2 to 300 sensors (or all but one)."""
     v = period(readings(spark, sf_dir))
-    e = drawn(v).crossJoin(F.broadcast(reference(v)))  # one row
-    return e.where("n >= 2").groupBy("n").agg(F.count(F.lit(1)).alias("n_draws"), *summaries())
+    return simulate_one(v, _all_but_one(summary), _SUMMARY, CANONICAL_DRAWS, CANONICAL_PERIOD_N)
+
+
+@query()
+def mc_canonical_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full experiment on daily means of each network: 10,000 draws of 2 to 50 sensors (or all but one)."""
+    v = daily(readings(spark, sf_dir)).select("city", "date", "sensor_id", F.round(F.col("value") * 100).cast("long").alias("c"))
+    return simulate(v, ("city", "date"), _all_but_one(summary), _SUMMARY, CANONICAL_DRAWS, CANONICAL_DAILY_N)
+
+
+def _all_but_one(work: Work) -> Work:
+    def own(n, est, squares, net, first):
+        some = n < net.sensors
+        return work(n[some], est[:, some], squares[:, some], net, first)
+
+    return own
+
+
+def _percentiles(sizes: tuple[int, ...] | None, *points: float) -> Work:
+    def own(n, est, squares, net, first):
+        some = np.isin(n, sizes) if sizes else n > 0
+        found = np.percentile(errors(est[:, some], net), points, axis=0)
+        return _numbers(n[some].astype(object), np.full(some.sum(), len(est)).astype(object), *found)
+
+    return own
 
 
 @query(DAILY + " SELECT e.date, n, count(*) AS n_draws, round(median(100 * abs(est - ref) / ref), 6) AS ape_median, round(quantile_cont(100 * abs(est - ref) / ref, 0.95), 6) AS ape_p95 FROM e JOIN f ON e.date = f.date WHERE n IN (5, 10, 20) GROUP BY 1, 2")
 def mc_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = day_values(readings(spark, sf_dir))
-    e = drawn(v, "date").where(F.col("n").isin(5, 10, 20)).join(reference(v, "date"), "date")
-    return e.groupBy("date", "n").agg(F.count(F.lit(1)).alias("n_draws"), six(F.percentile(ape(), F.lit(0.5))).alias("ape_median"), six(F.percentile(ape(), F.lit(0.95))).alias("ape_p95"))
+    return simulate(day_values(readings(spark, sf_dir)), ("date",), _percentiles((5, 10, 20), 50, 95), "n int, n_draws long, ape_median double, ape_p95 double")
+
+
+def _median_error(n, est, squares, net, first) -> Iterator[tuple]:
+    return zip(n.tolist(), np.median(errors(est, net), axis=0).tolist(), strict=True)
 
 
 @query(DAILY + ", m AS (SELECT e.date, n, median(100 * abs(est - ref) / ref) AS a FROM e JOIN f ON e.date = f.date GROUP BY 1, 2), w AS (SELECT n, count(*) AS days, avg(CASE WHEN a <= 10 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS good FROM m GROUP BY n) SELECT n, days, round(good, 6) AS share_within_10, (SELECT min(n) FROM w WHERE good >= 0.95) AS n_required FROM w")
 def mc_n_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = day_values(readings(spark, sf_dir))
-    m = drawn(v, "date").join(reference(v, "date"), "date").groupBy("date", "n").agg(F.percentile(ape(), F.lit(0.5)).alias("a"))
+    m = simulate(day_values(readings(spark, sf_dir)), ("date",), _median_error, "n int, a double")
     w = m.groupBy("n").agg(F.count(F.lit(1)).alias("days"), share(F.col("a") <= 10).alias("good"))
     first = w.agg(F.min(F.when(F.col("good") >= 0.95, F.col("n"))).alias("n_required"))
     return w.crossJoin(F.broadcast(first)).select("n", "days", six("good").alias("share_within_10"), "n_required")
 
 
+_SEEDS = tuple(SEED + k for k in range(5))
+
+
+@query(f"""WITH {READINGS_SQL}, v AS (SELECT sensor_id, CAST(round(CAST(sum(cents) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM r GROUP BY sensor_id), k AS (SELECT seed, sensor_id, c, draw, md5(seed || '|' || draw || '|' || sensor_id) AS h FROM v CROSS JOIN range({_SEEDS[0]}, {_SEEDS[-1] + 1}) AS s(seed) CROSS JOIN range(1, {DRAWS + 1}) AS t(draw)),
+q AS (SELECT *, row_number() OVER w AS n, CAST(sum(c) OVER (PARTITION BY seed, draw ORDER BY h, sensor_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM k WINDOW w AS (PARTITION BY seed, draw ORDER BY h, sensor_id)), f AS (SELECT CAST(sum(c) AS DOUBLE) / count(*) / 100 AS ref FROM v),
+m AS (SELECT seed, n, median(100 * abs(total / n / 100 - ref) / ref) AS a FROM q CROSS JOIN f WHERE n <= {MAX_N} GROUP BY 1, 2) SELECT n, count(*) AS n_seeds, round(avg(a), 6) AS mdape_mean, round(stddev_samp(a), 6) AS mdape_sd, round(min(a), 6) AS mdape_min, round(max(a), 6) AS mdape_max FROM m GROUP BY n""")
+def mc_seed_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the median error of each size differs between seeds."""
+    v = period(readings(spark, sf_dir)).withColumn("seed", F.explode(F.array(*map(F.lit, _SEEDS))))
+    m = simulate(v, ("seed",), _median_error, "n int, a double")
+    return m.groupBy("n").agg(F.count(F.lit(1)).alias("n_seeds"), six(F.avg("a")).alias("mdape_mean"), six(F.stddev_samp("a")).alias("mdape_sd"), six(F.min("a")).alias("mdape_min"), six(F.max("a")).alias("mdape_max"))
+
+
 _T = ", ".join(f"({t})" for t in THRESHOLDS)
 
 
 @query(DAILY + f""", t(threshold) AS (SELECT CAST(column0 AS DOUBLE) FROM (VALUES {_T}) AS x(column0)), c AS (SELECT threshold, n, count(CASE WHEN ref > threshold AND est > threshold THEN 1 END) AS tp, count(CASE WHEN ref <= threshold AND est > threshold THEN 1 END) AS fp,
 count(CASE WHEN ref <= threshold AND est <= threshold THEN 1 END) AS tn, count(CASE WHEN ref > threshold AND est <= threshold THEN 1 END) AS fn FROM e JOIN f ON e.date = f.date CROSS JOIN t GROUP BY 1, 2)
-SELECT *, round(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 6) AS sensitivity, round(tn / CAST(nullif(tn + fp, 0) AS DOUBLE), 6) AS specificity, round(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 6) AS precision_, round(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 6) AS f1 FROM c""")
+SELECT *, round(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 6) AS sensitivity, round(tn / CAST(nullif(tn + fp, 0) AS DOUBLE), 6) AS specificity, round(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 6) AS precision_, round(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 6) AS f1, round(tn / CAST(nullif(tn + fn, 0) AS DOUBLE), 6) AS npv,
+round((tp / CAST(nullif(tp + fn, 0) AS DOUBLE) + tn / CAST(nullif(tn + fp, 0) AS DOUBLE)) / 2, 6) AS balanced_accuracy FROM c""")
 def mc_thresholds_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = day_values(readings(spark, sf_dir))
-    e = drawn(v, "date").join(reference(v, "date"), "date").withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
-    said, true = F.col("est") > F.col("threshold"), F.col("ref") > F.col("threshold")
-    c = e.groupBy("threshold", "n").agg(F.count_if(true & said).alias("tp"), F.count_if(~true & said).alias("fp"), F.count_if(~true & ~said).alias("tn"), F.count_if(true & ~said).alias("fn"))
-    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
-    return c.select("*", six(ratio(tp, tp + fn)).alias("sensitivity"), six(ratio(tn, tn + fp)).alias("specificity"), six(ratio(tp, tp + fp)).alias("precision_"), six(ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"))
+    def confusion(n, est, squares, net, first) -> Iterator[tuple]:
+        for t in THRESHOLDS:
+            said, true = (est > t).sum(0), net.ref > t
+            for k, yes in zip(n.tolist(), said.tolist(), strict=True):
+                no = len(est) - yes
+                yield (t, k, yes, 0, 0, no) if true else (t, k, 0, yes, no, 0)
+
+    counts = ("tp", "fp", "tn", "fn")
+    e = simulate(day_values(readings(spark, sf_dir)), ("date",), confusion, "threshold double, n int, tp long, fp long, tn long, fn long")
+    c = e.groupBy("threshold", "n").agg(*[F.sum(x).alias(x) for x in counts])
+    tp, fp, tn, fn = (F.col(x) for x in counts)
+    sensitivity, specificity = ratio(tp, tp + fn), ratio(tn, tn + fp)
+    return c.select(
+        "*", six(sensitivity).alias("sensitivity"), six(specificity).alias("specificity"), six(ratio(tp, tp + fp)).alias("precision_"), six(ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"),
+        six(ratio(tn, tn + fn)).alias("npv"), six((sensitivity + specificity) / 2).alias("balanced_accuracy"),
+    )
 
 
 _LEVELS = [(n, level, t_quantile(0.5 + level / 2, n - 1)) for n in COVERED_N for level in LEVELS]
@@ -121,19 +320,25 @@ _LEVELS = [(n, level, t_quantile(0.5 + level / 2, n - 1)) for n in COVERED_N for
 l(n, level, t) AS (VALUES {", ".join(f"({n}, {level}, CAST({t!r} AS DOUBLE))" for n, level, t in _LEVELS)})
 SELECT l.n, CAST(l.level AS DOUBLE) AS level, count(*) AS n_draws, round(avg(CASE WHEN abs(est - ref) <= t * s / sqrt(l.n) * CASE WHEN l.n >= sensors THEN 0 ELSE sqrt((sensors - l.n) / CAST(sensors - 1 AS DOUBLE)) END THEN CAST(1 AS DOUBLE) ELSE 0 END), 3) AS coverage FROM sq JOIN f ON sq.date = f.date JOIN l ON l.n = sq.n GROUP BY 1, 2""")
 def mc_interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = day_values(readings(spark, sf_dir))
-    e = drawn(v, "date").join(reference(v, "date"), "date")
-    levels = F.array(*[F.struct(F.lit(n).alias("at"), F.lit(level).alias("level"), F.lit(t).alias("t")) for n, level, t in _LEVELS])
-    e = e.withColumn("l", F.explode(F.filter(levels, lambda x: x["at"] == F.col("n"))))
-    s = F.sqrt(F.greatest(F.lit(0.0), (F.col("squares") - F.col("n") * F.pow(F.col("est") * 100, F.lit(2))) / F.nullif(F.col("n") - 1, F.lit(0)))) / 100
-    inside = F.abs(F.col("est") - F.col("ref")) <= F.col("l.t") * s / F.sqrt("n") * fpc("n", "sensors")
-    return e.groupBy("n", F.col("l.level").alias("level")).agg(F.count(F.lit(1)).alias("n_draws"), F.round(share(inside), 3).alias("coverage"))
+    def covered(n, est, squares, net, first) -> Iterator[tuple]:
+        for k, level, t in _LEVELS:
+            if k <= len(n):
+                m = est[:, k - 1]
+                s = np.sqrt(np.maximum(0, squares[:, k - 1] - k * (m * 100) ** 2) / (k - 1)) / 100
+                inside = np.abs(m - net.ref) <= t * s / np.sqrt(k) * correction(np.array([k]), net.sensors)
+                yield k, level, len(est), int(inside.sum())
+
+    e = simulate(day_values(readings(spark, sf_dir)), ("date",), covered, "n int, level double, draws long, inside long")
+    return e.groupBy("n", "level").agg(F.sum("draws").alias("n_draws"), F.round(ratio(F.sum("inside"), F.sum("draws")), 3).alias("coverage"))
 
 
 @query(PERIOD + ", a AS (SELECT draw, n, est, ref, 100 * abs(est - ref) / ref AS ape FROM e CROSS JOIN f WHERE n = 10), z AS (SELECT *, row_number() OVER (ORDER BY ape, draw) AS best, row_number() OVER (ORDER BY ape DESC, draw) AS worst FROM a) SELECT 'best' AS kind, CAST(best AS INTEGER) AS place, draw, round(est, 6) AS est, round(ape, 6) AS ape FROM z WHERE best <= 5 UNION ALL SELECT 'worst', CAST(worst AS INTEGER), draw, round(est, 6), round(ape, 6) FROM z WHERE worst <= 5")
 def mc_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = period(readings(spark, sf_dir))
-    a = drawn(v).where("n = 10").crossJoin(F.broadcast(reference(v))).select("draw", "est", ape().alias("ape"))
+    def each(n, est, squares, net, first) -> Iterator[tuple]:
+        if n[0] == 10:
+            yield from zip(range(first, first + len(est)), est[:, 0].tolist(), errors(est[:, 0], net).tolist(), strict=True)
+
+    a = simulate_one(period(readings(spark, sf_dir)), each, "draw int, est double, ape double")
     out = None
     for kind, order in (("best", [F.asc("ape"), F.asc("draw")]), ("worst", [F.desc("ape"), F.asc("draw")])):
         top = a.orderBy(*order).limit(5).groupBy().agg(F.array_sort(F.collect_list(F.struct((F.col("ape") * (1 if kind == "best" else -1)).alias("k"), "draw", "est", "ape"))).alias("top"))
@@ -142,21 +347,27 @@ def mc_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"""WITH {READINGS_SQL}, v AS (SELECT sensor_id, CAST(round(CAST(sum(cents) AS DOUBLE) / count(*)) AS BIGINT) AS c, row_number() OVER (ORDER BY CAST(sensor_id AS BIGINT)) AS i FROM r GROUP BY sensor_id), p AS (SELECT * FROM v WHERE i <= 16),
-f AS (SELECT CAST(sum(c) AS DOUBLE) / count(*) AS ref FROM p), s2 AS (SELECT a.c + b.c AS t, b.i, 2 AS n FROM p a JOIN p b ON b.i > a.i), s3 AS (SELECT s2.t + b.c AS t, b.i, 3 AS n FROM s2 JOIN p b ON b.i > s2.i), s4 AS (SELECT s3.t + b.c AS t, b.i, 4 AS n FROM s3 JOIN p b ON b.i > s3.i),
+MOST_SUBSETS, SUBSET_SIZES = 1_000_000, (2, 3, 4)
+
+
+@query(f"""WITH {READINGS_SQL}, v AS (SELECT sensor_id, CAST(round(CAST(sum(cents) AS DOUBLE) / count(*)) AS BIGINT) AS c, row_number() OVER (ORDER BY CAST(sensor_id AS BIGINT)) AS i FROM r GROUP BY sensor_id), k AS (SELECT CAST(count(*) AS DOUBLE) AS k FROM v),
+f AS (SELECT CAST(sum(c) AS DOUBLE) / count(*) AS ref FROM v), s2 AS (SELECT a.c + b.c AS t, b.i, 2 AS n FROM v a JOIN v b ON b.i > a.i WHERE (SELECT k * (k - 1) / 2 FROM k) <= {MOST_SUBSETS}),
+s3 AS (SELECT s2.t + b.c AS t, b.i, 3 AS n FROM s2 JOIN v b ON b.i > s2.i WHERE (SELECT k * (k - 1) * (k - 2) / 6 FROM k) <= {MOST_SUBSETS}), s4 AS (SELECT s3.t + b.c AS t, b.i, 4 AS n FROM s3 JOIN v b ON b.i > s3.i WHERE (SELECT k * (k - 1) * (k - 2) * (k - 3) / 24 FROM k) <= {MOST_SUBSETS}),
 u AS (SELECT t, n FROM s2 UNION ALL SELECT t, n FROM s3 UNION ALL SELECT t, n FROM s4) SELECT CAST(n AS INTEGER) AS n, count(*) AS n_subsets, round(median(100 * abs(CAST(t AS DOUBLE) / n - ref) / ref), 6) AS ape_median, round(max(100 * abs(CAST(t AS DOUBLE) / n - ref) / ref), 6) AS ape_max FROM u CROSS JOIN f GROUP BY n""")
 def mc_exact_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every subset of up to four of the sixteen sensors with the least ids, built by joins in index order."""
+    """Every subset of two to four of all sensors, for the sizes with at most a million of them, built by joins in index order."""
     v = period(readings(spark, sf_dir))
-    p = v.orderBy(F.col("sensor_id").cast("long")).limit(16)
-    p = p.withColumn("i", F.row_number().over(Window.orderBy(F.col("sensor_id").cast("long")))).select("i", "c")  # 16 rows
+    sensors = v.count()
+    sizes = [n for n in SUBSET_SIZES if comb(sensors, n) <= MOST_SUBSETS]
+    p = v.withColumn("i", F.row_number().over(Window.orderBy(F.col("sensor_id").cast("long")))).select("i", "c")  # a row per sensor
     ref = p.agg((F.sum("c").cast("double") / F.count(F.lit(1))).alias("ref"))
     step = p.select(F.col("i").alias("j"), F.col("c").alias("d"))
     last, out = p.select("i", F.col("c").alias("t")), None
-    for n in (2, 3, 4):
-        last = last.join(step, F.col("j") > F.col("i")).select(F.col("j").alias("i"), (F.col("t") + F.col("d")).alias("t"))
+    for n in sizes:  # there are subsets only while the sensors are few: at most 1,414
+        last = last.join(F.broadcast(step), F.col("j") > F.col("i")).select(F.col("j").alias("i"), (F.col("t") + F.col("d")).alias("t"))
         rows = last.select(F.lit(n).alias("n"), "t")
         out = rows if out is None else out.union(rows)
+    out = last.limit(0).select(F.lit(0).alias("n"), "t") if out is None else out
     off = 100 * F.abs(F.col("t").cast("double") / F.col("n") - F.col("ref")) / F.col("ref")
     return out.crossJoin(F.broadcast(ref)).groupBy("n").agg(F.count(F.lit(1)).alias("n_subsets"), six(F.percentile(off, F.lit(0.5))).alias("ape_median"), six(F.max(off)).alias("ape_max"))
 
@@ -185,7 +396,7 @@ def finite_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.md5(F.concat(F.lit("outer|"), F.col("oi").cast("string"), F.lit("|"), "sensor_id"))
     o = o.withColumn("place", F.row_number().over(Window.partitionBy("oi").orderBy(key, "sensor_id")))
     x = o.withColumn("tn", F.explode(F.filter(F.array(*map(F.lit, TARGETS)), lambda t: t >= F.col("place")))).select("tn", "oi", "sensor_id", "c")
-    e = drawn(x, "tn", "oi").where(F.col("n").isin(5, 10, 20)).join(reference(x, "tn", "oi"), ["tn", "oi"])
-    g = e.groupBy("tn", "oi", "n").agg(F.percentile(ape(), F.lit(0.5)).alias("a")).groupBy(F.col("tn").alias("population"), "n")
+    e = simulate(x, ("tn", "oi"), _median_error, "n int, a double").where(F.col("n").isin(5, 10, 20))
+    g = e.groupBy(F.col("tn").alias("population"), "n")
     q = lambda p: six(F.percentile("a", F.lit(p)))
     return g.agg(F.count(F.lit(1)).alias("n_outer"), q(0.5).alias("mdape_median"), q(0.05).alias("mdape_p5"), q(0.95).alias("mdape_p95"), six(F.avg("a")).alias("mdape_mean"), six(F.stddev_samp("a")).alias("mdape_sd"))

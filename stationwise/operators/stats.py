@@ -7,10 +7,10 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.functions.exprs import correlation, normal_quantile, ratio, season
+from stationwise.functions.exprs import correlation, ratio, season
 from stationwise.operators.panel import LINES, official, share, six
 from stationwise.operators.sampling import DRAWS, SEED
 from stationwise.plans.registry import READINGS_SQL, query
@@ -113,16 +113,24 @@ def ar1_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("sensor_id", "n", F.round("rho", 5).alias("rho"), F.round(F.col("num") / F.col("info"), 5).alias("gls_mean"), F.round(F.col("sd") / F.sqrt("info"), 5).alias("gls_se"), F.round(eff, 4).alias("n_effective"))
 
 
-def bonferroni_z(tests: int, alpha: float = 0.05) -> float:
-    return normal_quantile(1 - alpha / 2 / max(1, tests))
+def t_bound(p: Column, df: Column) -> Column:
+    """Student's t quantile of a column of probabilities, by the Cornish-Fisher expansion from an expression of the normal one."""
+    # Abramowitz and Stegun 26.2.23
+    t = F.sqrt(-2 * F.ln(1 - p))
+    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    third, fifth = F.pow(z, F.lit(3)), F.pow(z, F.lit(5))
+    return z + (third + z) / (4 * df) + (5 * fifth + 16 * third + 3 * z) / (96 * df * df)
 
 
-@query(W + _GLS + f", t AS (SELECT avg(value) AS ref FROM d), u AS (SELECT sensor_id, num / info AS m, sd / sqrt(info) AS se FROM s1 WHERE n >= 3) SELECT count(*) AS n_sensors, count(CASE WHEN abs(m - ref) > {bonferroni_z(150)!r} * se THEN 1 END) AS n_outside FROM u CROSS JOIN t")
+@query(W + _GLS + """, t AS (SELECT avg(value) AS ref FROM d), u AS (SELECT sensor_id, n, num / info AS m, sd / sqrt(info) AS se FROM s1 WHERE n >= 3), k AS (SELECT count(*) AS k FROM u), x AS (SELECT u.*, ref, sqrt(-2 * ln(0.025::DOUBLE / k)) AS w, CAST(n - 1 AS DOUBLE) AS df FROM u CROSS JOIN t CROSS JOIN k),
+y AS (SELECT *, w - (2.515517::DOUBLE + 0.802853::DOUBLE * w + 0.010328::DOUBLE * w * w) / (1 + 1.432788::DOUBLE * w + 0.189269::DOUBLE * w * w + 0.001308::DOUBLE * w * w * w) AS z FROM x) SELECT count(*) AS n_sensors, count(CASE WHEN abs(m - ref) > (z + (pow(z, 3) + z) / (4 * df) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df)) * se THEN 1 END) AS n_outside FROM y""")
 def bonferroni_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensors whose interval, corrected for 150 tests, excludes the network mean."""
+    """Sensors whose t interval, corrected for as many tests as there are sensors, excludes the network mean."""
     d = daily(readings(spark, sf_dir))
     u = _gls(d).where("n >= 3").crossJoin(F.broadcast(d.agg(F.avg("value").alias("ref"))))
-    out = F.abs(F.col("num") / F.col("info") - F.col("ref")) > bonferroni_z(150) * F.col("sd") / F.sqrt("info")
+    u = u.withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy()))  # a row per sensor
+    bound = t_bound(1 - F.lit(0.025) / F.col("tests"), (F.col("n") - 1).cast("double"))
+    out = F.abs(F.col("num") / F.col("info") - F.col("ref")) > bound * F.col("sd") / F.sqrt("info")
     return u.agg(F.count(F.lit(1)).alias("n_sensors"), F.count_if(out).alias("n_outside"))
 
 
