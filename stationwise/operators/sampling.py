@@ -37,11 +37,27 @@ def period(r: DataFrame, *keys: str) -> DataFrame:
     return r.groupBy(*keys, "sensor_id").agg(F.round(F.sum("cents").cast("double") / F.count(F.lit(1))).cast("long").alias("c"))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finisher."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Draws:
-    """The estimates of drawn subsets; the keys of sensors already met are remembered."""
+    """The estimates of drawn subsets.
+
+    Orders come from ``md5(seed|draw|sensor)``, which SQL can repeat, the keys of sensors already met being remembered; or,
+    ``mixed``, from a numpy mix of hashes of draw and sensor, which is much cheaper.
+    """
+
+    def __init__(self, first: int, last: int, seed: int, mixed: bool = False):
+        self.range, self.seed, self.keys, self.mixed = range(first, last + 1), seed, {}, mixed
 
-    def __init__(self, first: int, last: int, seed: int):
-        self.range, self.seed, self.keys = range(first, last + 1), seed, {}
+    def _mixed(self, sensors: list[str]) -> np.ndarray:
+        own = np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "big") for s in sensors], np.uint64)
+        draw = _mix(np.arange(self.range.start, self.range.stop, dtype=np.uint64) + _mix(np.array([self.seed], np.uint64)))
+        return _mix(draw[:, None] ^ own[None, :])
 
     def _keys(self, sensor: str) -> np.ndarray:
         if sensor not in self.keys:
@@ -53,7 +69,7 @@ class Draws:
 
     def estimates(self, sensors: list[str], c: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """A row per draw, a column per size from 1 on: means, and sums of squares, of the first sensors of each draw."""
-        keys = np.stack([self._keys(s) for s in sensors], 1)
+        keys = self._mixed(sensors) if self.mixed else np.stack([self._keys(s) for s in sensors], 1)
         m = min(most, len(sensors))
         if m < len(sensors):
             top = np.argpartition(keys, m - 1, axis=1)[:, :m]
@@ -80,7 +96,7 @@ def _types(columns: str) -> list[pa.DataType]:
     return [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in columns.split(", ")]
 
 
-def simulate(values: DataFrame, keys: tuple[str, ...], work: Work, columns: str, draws: int = DRAWS, most: int = MAX_N, seed: int = SEED) -> DataFrame:
+def simulate(values: DataFrame, keys: tuple[str, ...], work: Work, columns: str, draws: int = DRAWS, most: int = MAX_N, seed: int = SEED, mixed: bool = False) -> DataFrame:
     """The rows of ``work`` over all draws for each group of ``values(keys, sensor_id, c)``; ``seed`` may be a column among the keys."""
     held = values.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sensor_id", "c"))).alias("sensors"))  # a network's sensors
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -94,7 +110,7 @@ def simulate(values: DataFrame, keys: tuple[str, ...], work: Work, columns: str,
             types = [*(batch.schema.field(k).type for k in keys), *_types(columns)]
             for row in batch.to_pylist():
                 own = row.get("seed", seed)
-                made.setdefault(own, Draws(1, draws, own))
+                made.setdefault(own, Draws(1, draws, own, mixed))
                 ids, c = [x["sensor_id"] for x in row["sensors"]], np.array([x["c"] for x in row["sensors"]], np.int64)
                 if not len(c):
                     continue
@@ -107,7 +123,7 @@ def simulate(values: DataFrame, keys: tuple[str, ...], work: Work, columns: str,
     return held.repartition(parts, *keys).mapInArrow(run, schema)
 
 
-def simulate_one(values: DataFrame, work: Work, columns: str, draws: int = DRAWS, most: int = MAX_N, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def simulate_one(values: DataFrame, work: Work, columns: str, draws: int = DRAWS, most: int = MAX_N, seed: int = SEED, block: int = BLOCK, mixed: bool = False) -> DataFrame:
     """The rows of ``work`` for each size over all draws of one network ``values(sensor_id, c)``, drawn in blocks."""
     held = values.groupBy().agg(F.sort_array(F.collect_list(F.struct("sensor_id", "c"))).alias("sensors"))
     blocks = -(-draws // block)
@@ -119,7 +135,7 @@ def simulate_one(values: DataFrame, work: Work, columns: str, draws: int = DRAWS
                 ids, c = [x["sensor_id"] for x in row["sensors"]], np.array([x["c"] for x in row["sensors"]], np.int64)
                 if len(c):
                     first = 1 + row["block"] * block
-                    est, squares = Draws(first, min(draws, first + block - 1), seed).estimates(ids, c, most)
+                    est, squares = Draws(first, min(draws, first + block - 1), seed, mixed).estimates(ids, c, most)
                     k = est.shape[1]
                     blobs = [[np.ascontiguousarray(x[:, i]).tobytes() for i in range(k)] for x in (est, squares)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, k + 1)), pa.array([row["block"]] * k, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs), pa.array([c.tobytes()] * k, pa.binary())], ["n", "block", "est", "squares", "c"])
@@ -230,14 +246,14 @@ def mc_period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mc_canonical_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full experiment on period means: 10,000 draws of 2 to 300 sensors (or all but one)."""
     v = period(readings(spark, sf_dir))
-    return simulate_one(v, _all_but_one(summary), _SUMMARY, CANONICAL_DRAWS, CANONICAL_PERIOD_N)
+    return simulate_one(v, _all_but_one(summary), _SUMMARY, CANONICAL_DRAWS, CANONICAL_PERIOD_N, mixed=True)
 
 
 @query()
 def mc_canonical_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full experiment on daily means of each network: 10,000 draws of 2 to 50 sensors (or all but one)."""
     v = daily(readings(spark, sf_dir)).select("city", "date", "sensor_id", F.round(F.col("value") * 100).cast("long").alias("c"))
-    return simulate(v, ("city", "date"), _all_but_one(summary), _SUMMARY, CANONICAL_DRAWS, CANONICAL_DAILY_N)
+    return simulate(v, ("city", "date"), _all_but_one(summary), _SUMMARY, CANONICAL_DRAWS, CANONICAL_DAILY_N, mixed=True)
 
 
 def _all_but_one(work: Work) -> Work:

@@ -53,6 +53,31 @@ def test_query(spark, oracle, name):
             pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False, atol=2e-4, rtol=1e-6)
 
 
+def test_subsets_against_enumeration(spark):
+    """Either way of ordering draws every subset alike: errors come near those of all subsets, and are reproducible."""
+    from itertools import combinations
+
+    import numpy as np
+
+    from stationwise.operators import sampling
+
+    rng = random.Random(5)
+    c = [rng.randrange(500, 9_000) for _ in range(12)]
+    df = spark.createDataFrame([(f"s{i}", x) for i, x in enumerate(c)], "sensor_id string, c long")
+    ref = np.mean(c)
+    for mixed in (False, True):
+        rows = {r.n: r for r in sampling.simulate_one(df, sampling.summary, sampling._SUMMARY, 4_000, 30, block=700, mixed=mixed).collect()}
+        again = sampling.simulate(df.withColumn("k", F.lit(1)), ("k",), sampling.summary, sampling._SUMMARY, 4_000, 30, mixed=mixed).collect()
+        assert {tuple(r)[1:] for r in again} == {tuple(r) for r in rows.values()} and set(rows) == set(range(2, 13))
+        for n in (2, 3, 6):
+            exact = [100 * abs(np.mean(s) - ref) / ref for s in combinations(c, n)]
+            assert rows[n].n_draws == 4_000 and abs(rows[n].ape_median - np.median(exact)) < 0.08 * np.median(exact) and rows[n].ape_max <= max(exact) + 1e-6
+            assert abs(rows[n].rse_normal_pct - rows[n].rse_empirical_pct) < 0.05 * rows[n].rse_normal_pct
+        assert rows[12].ape_max == 0
+    empty = df.limit(0)
+    assert sampling.simulate_one(empty, sampling.summary, sampling._SUMMARY).count() == 0 and sampling.simulate(empty.withColumn("k", F.lit(1)), ("k",), sampling.summary, sampling._SUMMARY).count() == 0
+
+
 def test_entry_registers_all(spark):
     import __spark_entry__ as entry
 
