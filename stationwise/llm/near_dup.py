@@ -39,7 +39,7 @@ from stationwise.llm.hashing import WordHashes, mix, runs
 SHINGLE, PERCENT = 5, 85
 HASHES, DISTANCE, CHUNKS = 40, 19, 10
 MISSED = 3e-7  # the largest chance that a pair at the least similarity lies beyond the distance
-BLOCK, KEY_BLOCK = 512, 4_096
+BLOCK, KEY_BLOCK = 512, 1_024
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(5_497)
 _ODD = _RNG.integers(0, 1 << 63, (HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
