@@ -29,7 +29,7 @@ SEED, DRAWS, MAX_N, BLOCK = 97_531, 200, 30, 500
 CANONICAL_DRAWS, CANONICAL_DAILY_N, CANONICAL_PERIOD_N = 10_000, 50, 300
 # Thresholds of daily concentrations and levels of confidence.
 THRESHOLDS, LEVELS, COVERED_N = (15.0, 25.0, 35.0, 37.5, 50.0, 75.0), (0.68, 0.90, 0.95), (5, 10, 15, 20)
-_KEPT_KEYS = 1 << 25  # hashed keys that a task remembers
+_KEPT_KEYS, _ROWS = 1 << 25, 512  # hashed keys that a task remembers; draws at a time
 
 
 def period(r: DataFrame, *keys: str) -> DataFrame:
@@ -54,9 +54,10 @@ class Draws:
     def __init__(self, first: int, last: int, seed: int, mixed: bool = False):
         self.range, self.seed, self.keys, self.mixed = range(first, last + 1), seed, {}, mixed
 
-    def _mixed(self, sensors: list[str]) -> np.ndarray:
+    def _mixed(self, sensors: list[str], first: int, last: int) -> np.ndarray:
         own = np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "big") for s in sensors], np.uint64)
-        draw = _mix(np.arange(self.range.start, self.range.stop, dtype=np.uint64) + _mix(np.array([self.seed], np.uint64)))
+        draws = self.range[first:last]
+        draw = _mix(np.arange(draws.start, draws.stop, dtype=np.uint64) + _mix(np.array([self.seed], np.uint64)))
         return _mix(draw[:, None] ^ own[None, :])
 
     def _keys(self, sensor: str) -> np.ndarray:
@@ -69,15 +70,20 @@ class Draws:
 
     def estimates(self, sensors: list[str], c: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """A row per draw, a column per size from 1 on: means, and sums of squares, of the first sensors of each draw."""
-        keys = self._mixed(sensors) if self.mixed else np.stack([self._keys(s) for s in sensors], 1)
         m = min(most, len(sensors))
-        if m < len(sensors):
-            top = np.argpartition(keys, m - 1, axis=1)[:, :m]
-            top = np.take_along_axis(top, np.argsort(np.take_along_axis(keys, top, 1), axis=1, kind="stable"), 1)
-        else:
-            top = np.argsort(keys, axis=1, kind="stable")
-        drawn = c[top]
-        return np.cumsum(drawn, 1) / np.arange(1, m + 1) / 100, np.cumsum(drawn.astype(float) ** 2, 1)
+        est, squares = (np.empty((len(self.range), m)) for _ in range(2))
+        known = None if self.mixed else np.stack([self._keys(s) for s in sensors], 1)
+        for a in range(0, len(self.range), _ROWS):
+            keys = self._mixed(sensors, a, a + _ROWS) if known is None else known[a : a + _ROWS]
+            if m < len(sensors):
+                top = np.argpartition(keys, m - 1, axis=1)[:, :m]
+                top = np.take_along_axis(top, np.argsort(np.take_along_axis(keys, top, 1), axis=1, kind="stable"), 1)
+            else:
+                top = np.argsort(keys, axis=1, kind="stable")
+            drawn = c[top]
+            est[a : a + _ROWS] = np.cumsum(drawn, 1) / np.arange(1, m + 1) / 100
+            squares[a : a + _ROWS] = np.cumsum(drawn.astype(float) ** 2, 1)
+        return est, squares
 
 
 class Network:
@@ -218,15 +224,24 @@ def errors(est: np.ndarray, net: Network) -> np.ndarray:
     return 100 * _over(np.abs(est - net.ref), abs(net.ref))
 
 
+def _quantile(x: np.ndarray, p: float) -> np.ndarray:
+    """The quantile of each sorted row, linear between neighbours."""
+    place = p * (x.shape[1] - 1)
+    lo = int(place)
+    return x[:, lo] + (x[:, min(lo + 1, x.shape[1] - 1)] - x[:, lo]) * (place - lo)
+
+
 def summary(n: np.ndarray, est: np.ndarray, squares: np.ndarray, net: Network, first: int) -> Iterator[tuple]:
     """The 24 error summaries of each size from 2 on."""
     some = n >= 2
     n, est = n[some], est[:, some]
     out = []
     for x in (errors(est, net), np.abs(est - net.ref)):
-        p25, p50, p75, p95 = np.percentile(x, (25, 50, 75, 95), axis=0)
-        out += [x.mean(0), p50, p25, p75, p95, x.min(0), x.max(0)]
-    p25, p50, p75, p95 = np.percentile(est, (25, 50, 75, 95), axis=0)
+        x = np.sort(x.T)
+        p25, p50, p75, p95 = (_quantile(x, p) for p in (0.25, 0.5, 0.75, 0.95))
+        out += [x.mean(1), p50, p25, p75, p95, x[:, 0], x[:, -1]]
+    x = np.sort(est.T)
+    p25, p50, p75, p95 = (_quantile(x, p) for p in (0.25, 0.5, 0.75, 0.95))
     sd = est.std(0, ddof=1) if len(est) > 1 else np.full(len(n), np.nan)
     bias = est.mean(0) - net.ref
     normal = 100 * _over((np.nan if net.sd is None else net.sd) / np.sqrt(n) * correction(n, net.sensors), net.ref)
