@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stationwise.operators import gaps, inference, panel, sampling, spatial, stats, tables  # noqa: F401  register their queries
+from stationwise.operators import diagnostics, gaps, inference, panel, sampling, spatial, stats, tables  # noqa: F401  register their queries
 from stationwise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

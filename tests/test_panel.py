@@ -39,7 +39,7 @@ def plain(frame):
 
 
 #: With fifteen sensors, no two lie within the radius.
-EMPTY = {"distance_band_links", "moran_daily", "moran_permutation"}
+EMPTY = {"distance_band_links", "moran_daily", "moran_permutation", "moran_significance", "representative_days"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
@@ -78,6 +78,21 @@ def test_subsets_against_enumeration(spark):
     assert sampling.simulate_one(empty, sampling.summary, sampling._SUMMARY).count() == 0 and sampling.simulate(empty.withColumn("k", F.lit(1)), ("k",), sampling.summary, sampling._SUMMARY).count() == 0
 
 
+def test_sinks(spark, tmp_path):
+    from stationwise.sources import sinks
+
+    rows = spark.createDataFrame([("a", 1, dt.date(2024, 1, 1), 1.5), ("a", 1, dt.date(2024, 1, 1), 1.5), ("b", 2, dt.date(2024, 1, 2), None)], "sensor_id string, city int, date date, value double")
+    sinks.write_both(rows, f"{tmp_path}/both", ["sensor_id", "date"])
+    assert spark.read.parquet(f"{tmp_path}/both/parquet").count() == spark.read.option("header", True).csv(f"{tmp_path}/both/csv").count() == 2
+    assert sorted(map(tuple, sinks.write_panel(rows, f"{tmp_path}/panel").select(*rows.columns).collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/panel/inventory").count() == 2
+    assert sinks.write_draws(rows, f"{tmp_path}/draws", "city", "date").where("city = 1").count() == 2
+    sinks.write_figure_data(rows, f"{tmp_path}/figure", {"value": "pm25"})
+    assert spark.read.option("header", True).csv(f"{tmp_path}/figure").columns == ["pm25"]
+    sinks.write_provenance(spark, f"{tmp_path}/facts", {"draws": 5})
+    assert sinks.read_provenance(spark, f"{tmp_path}/facts")["draws"] == 5
+
+
 def test_entry_registers_all(spark):
     import __spark_entry__ as entry
 
