@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +17,7 @@ from stationwise.operators.spatial import BAND_KM, LINKS, within
 from stationwise.plans.registry import READINGS_SQL, query
 from stationwise.sources.panel import daily, grid, readings, sites
 
-PERMUTATIONS, FOLDS, DESIGN = 19, 5, 6
+PERMUTATIONS, FOLDS, DESIGN = 199, 5, 6
 
 
 @query(f"""WITH {READINGS_SQL}, {LINKS}, z AS (SELECT city, date, sensor_id, value - avg(value) OVER (PARTITION BY city, date) AS z, row_number() OVER (PARTITION BY city, date ORDER BY sensor_id) AS place FROM d),
@@ -23,19 +28,37 @@ SELECT o.city, o.date, round(max(own), 6) AS moran, count(*) AS n_permutations,
 def moran_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moran's I of each day against values dealt anew to the day's sensors, in orders that hashes give."""
     r = readings(spark, sf_dir)
-    day = Window.partitionBy("city", "date")
-    z = daily(r).select("city", "date", "sensor_id", (F.col("value") - F.avg("value").over(day)).alias("z"), F.row_number().over(day.orderBy("sensor_id")).alias("place"))
-    t = z.groupBy("city", "date").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("s2"))
-    a = z.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS))))
-    key = F.when(F.col("perm") == 0, F.lit("")).otherwise(F.md5(F.concat_ws("|", F.col("perm").cast("string"), F.col("date").cast("string"), "sensor_id")))
-    a = a.withColumn("from_place", F.row_number().over(Window.partitionBy("city", "date", "perm").orderBy(key, "sensor_id")))
-    v = a.select("city", "date", "perm", "sensor_id", F.col("from_place").alias("place")).join(z.select("city", "date", "place", "z"), ["city", "date", "place"])
-    e = within(sites(r), BAND_KM).select("a", "b")
-    ends = e.join(v.withColumnRenamed("sensor_id", "a").drop("place"), "a").join(v.select(F.col("sensor_id").alias("b"), "date", "perm", F.col("z").alias("zb")), ["b", "date", "perm"])
-    m = ends.groupBy("city", "date", "perm").agg((F.sum(F.col("z") * F.col("zb")) / F.count(F.lit(1))).alias("s"))
-    i = m.join(t, ["city", "date"]).where("n >= 3 AND s2 > 0").select("city", "date", "perm", F.round(F.col("n") * F.col("s") / F.col("s2"), 9).alias("i"))
-    i = i.withColumn("own", F.max(F.when(F.col("perm") == 0, F.col("i"))).over(day)).where("perm > 0")
-    return i.groupBy("city", "date").agg(six(F.max("own")).alias("moran"), F.count(F.lit(1)).alias("n_permutations"), six((1 + F.count_if(F.col("i") >= F.col("own"))) / (1 + F.count(F.lit(1)))).alias("p_upper"))
+    days = daily(r).groupBy("city", "date").agg(F.sort_array(F.collect_list(F.struct("sensor_id", "value"))).alias("sensors")).where(F.size("sensors") >= 3)
+    # a city's links once; each day of the city reads them
+    links = within(sites(r), BAND_KM).groupBy("city").agg(F.collect_list(F.struct("a", "b")).alias("links"))
+    both = days.join(links, "city").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "city", "date")
+    kind = both.schema["city"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                names = [s["sensor_id"] for s in row["sensors"]]
+                z = np.array([s["value"] for s in row["sensors"]])
+                z, place = z - z.mean(), {s: k for k, s in enumerate(names)}
+                ends = np.array([(place[e["a"]], place[e["b"]]) for e in row["links"] if e["a"] in place and e["b"] in place]).reshape(-1, 2)
+                s2 = float(z @ z)
+                if not len(ends) or not s2 > 0:
+                    continue
+                found = [np.arange(len(z))]
+                for perm in range(1, PERMUTATIONS + 1):
+                    keys = [hashlib.md5(f"{perm}|{row['date']}|{s}".encode()).hexdigest() for s in names]
+                    rank = np.empty(len(z), np.int64)
+                    rank[sorted(range(len(z)), key=lambda k: (keys[k], names[k]))] = np.arange(len(z))
+                    found.append(rank)
+                dealt = z[np.array(found)]
+                i = np.round(len(z) * (dealt[:, ends[:, 0]] * dealt[:, ends[:, 1]]).sum(1) / len(ends) / s2, 9)
+                out.append((row["city"], row["date"], round(float(i[0]), 6), PERMUTATIONS, round((1 + int((i[1:] >= i[0]).sum())) / (1 + PERMUTATIONS), 6)))
+            if out:
+                kinds = [batch.schema.field("city").type, pa.date32(), pa.float64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["city", "date", "moran", "n_permutations", "p_upper"])
+
+    return both.mapInArrow(run, f"city {kind}, date date, moran double, n_permutations long, p_upper double")
 
 
 @query(f"""WITH {READINGS_SQL}, n AS (SELECT city, date, ln(1 + avg(value)) AS y, 1 - count(value) / CAST(count(*) AS DOUBLE) AS x, CAST('0x' || substr(md5(city || '|' || date), 1, 6) AS BIGINT) % {FOLDS} AS fold FROM grid GROUP BY 1, 2 HAVING count(value) > 0),

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.functions.exprs import correlation, distance_bin, haversine_km, ratio
+from stationwise.functions.exprs import EARTH_KM, distance_bin, haversine_km, ratio
 from stationwise.operators.panel import six
 from stationwise.plans.registry import READINGS_SQL, SITES_SQL, query
 from stationwise.sources.panel import daily, readings, sites
@@ -92,16 +93,84 @@ SELECT city, CAST(CASE WHEN km >= 50 THEN 50 WHEN km >= 20 THEN 20 WHEN km >= 10
 def variogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semivariance and correlation of sensor pairs by distance, from the days on which both have a value."""
     r = readings(spark, sf_dir)
-    d = daily(r).select("city", "date", "sensor_id", "value")
-    x, y = (d.select("city", "date", F.col("sensor_id").alias(n), F.col("value").alias(f"v{n}")) for n in "ab")
-    both = x.join(y, ["city", "date"]).where(F.col("a").cast("long") < F.col("b").cast("long"))
-    off = F.col("va") - F.col("vb")
-    v = both.groupBy("city", "a", "b").agg(F.count(F.lit(1)).alias("n"), correlation("va", "vb").alias("r"), F.avg(F.abs(off)).alias("mad"), (F.avg(off * off) / 2).alias("gamma")).where("n >= 3")
-    v = v.join(pairs(sites(r)), ["city", "a", "b"])
+    v = pair_statistics(daily(r), sites(r))
     q = lambda c: F.round(F.percentile(c, F.lit(0.5)), 5)
     return v.groupBy("city", distance_bin("km").alias("from_km")).agg(F.count(F.lit(1)).alias("n_pairs"), q("r").alias("median_r"), q("mad").alias("median_abs"), q("gamma").alias("median_gamma"))
 
 
+PAIR_BLOCK = 128
+
+
+def pair_statistics(d: DataFrame, s: DataFrame, block: int = PAIR_BLOCK, least: int = 3) -> DataFrame:
+    """``(city, a, b, km, n, r, mad, gamma)`` of every two sensors of a city with ``least`` days in common.
+
+    A city's sensors are dealt to blocks of about ``block``, and each pair of blocks is a task: the sensors' days lie in two
+    dense arrays, and the sums over common days are products of these, so no row is made for a pair and a day.
+    """
+    series = d.groupBy("city", "sensor_id").agg(F.sort_array(F.collect_list(F.struct(F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), "value"))).alias("days"))
+    series = series.join(s.select("city", "sensor_id", "lat", "lon"), ["city", "sensor_id"])
+    sizes = series.groupBy("city").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))  # a row per city
+    series = series.join(sizes, "city").withColumn("block", F.pmod(F.xxhash64("sensor_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    order = ["city", "i", "j", "side"]
+    kind = d.schema["city"].dataType.simpleString()
+    dealt = series.select("city", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "sensor_id", "lat", "lon", "days")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (key := (row["city"], row["i"], row["j"])) != held and rows:
+                    yield from _pairs_of(rows, least, batch.schema.field("city").type)
+                    rows = []
+                held = key
+                rows.append(row)
+            kinds = batch.schema.field("city").type
+        if rows:
+            yield from _pairs_of(rows, least, kinds)
+
+    return dealt.repartition("city", "i", "j").sortWithinPartitions(*order).mapInArrow(run, f"city {kind}, a string, b string, km double, n long, r double, mad double, gamma double")
+
+
+def _pairs_of(rows: list[dict], least: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    first = np.array([r["side"] == 0 for r in rows])
+    own = rows[0]["i"] == rows[0]["j"]
+    days = sorted({x["day"] for r in rows for x in r["days"]})
+    at = {day: k for k, day in enumerate(days)}
+    value, there = np.zeros((len(rows), len(days))), np.zeros((len(rows), len(days)))
+    for k, r in enumerate(rows):
+        for x in r["days"]:
+            value[k, at[x["day"]]], there[k, at[x["day"]]] = x["value"], 1.0
+    a, b = (np.arange(len(rows)),) * 2 if own else (np.flatnonzero(first), np.flatnonzero(~first))
+    va, vb, ta, tb = value[a], value[b], there[a], there[b]
+    n = ta @ tb.T
+    sa, sb, saa, sbb, sab = va @ tb.T, ta @ vb.T, (va * va) @ tb.T, ta @ (vb * vb).T, va @ vb.T
+    off = np.zeros_like(n)
+    for t in range(len(days)):
+        off += np.abs(va[:, t, None] - vb[None, :, t]) * (ta[:, t, None] * tb[None, :, t])
+    number = np.array([int(r["sensor_id"]) for r in rows])
+    keep = n >= least
+    if own:
+        keep &= number[a][:, None] < number[b][None, :]
+    i, j = np.nonzero(keep)
+    k, x, y = n[i, j], sa[i, j], sb[i, j]
+    cov, spread = sab[i, j] / k - x * y / k**2, np.sqrt(np.maximum(0, saa[i, j] / k - (x / k) ** 2) * np.maximum(0, sbb[i, j] / k - (y / k) ** 2))
+    r = np.divide(cov, spread, out=np.full(len(k), np.nan), where=spread > 1e-12)
+    lat, lon = (np.radians([row[c] for row in rows]) for c in ("lat", "lon"))
+    i, j = a[i], b[j]
+    h = np.sin((lat[j] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lon[j] - lon[i]) / 2) ** 2
+    km = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
+    swap = number[i] > number[j]
+    names = np.array([row["sensor_id"] for row in rows], object)
+    low, high = np.where(swap, names[j], names[i]), np.where(swap, names[i], names[j])
+    gamma = (saa[keep] - 2 * sab[keep] + sbb[keep]) / k / 2
+    for c in range(0, len(k), 50_000):
+        at_ = slice(c, c + 50_000)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows[0]["city"]] * len(k[at_]), kind), pa.array(low[at_], pa.string()), pa.array(high[at_], pa.string()), pa.array(km[at_]), pa.array(k[at_].astype(np.int64)), pa.array(r[at_], mask=np.isnan(r[at_])), pa.array(off[keep][at_] / k[at_]), pa.array(gamma[at_])],
+            ["city", "a", "b", "km", "n", "r", "mad", "gamma"],
+        )
+
+
 # A closed ring with a notch, within the sensors' area: (lon, lat).
 RING = ((90.37, 23.72), (90.55, 23.72), (90.55, 23.90), (90.46, 23.78), (90.37, 23.90), (90.37, 23.72))
 _EDGES = list(zip(RING, RING[1:], strict=False))
