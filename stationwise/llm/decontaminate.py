@@ -85,13 +85,12 @@ def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat[known], unit[known], np.repeat(np.arange(len(texts)), units)
 
 
-def _sums(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """The sums of ``rows`` over each of ``n`` groups; ``group`` rises."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    if len(group):
-        first = np.flatnonzero(np.append(True, np.diff(group) != 0))
-        out[group[first]] = np.add.reduceat(rows, first, axis=0)
-    return out
+def _sums(group: np.ndarray, weights: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """The sums over each of ``n`` groups of its words' rows of ``weights``, a column at a time."""
+    out = np.empty((weights.shape[1], n), np.float32)
+    for c, column in enumerate(np.ascontiguousarray(weights.T)):
+        out[c] = np.bincount(group, column[term], n)
+    return out.T
 
 
 def _total(docs: DataFrame, work: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
@@ -102,8 +101,8 @@ def _total(docs: DataFrame, work: Callable[[list[bytes]], np.ndarray]) -> np.nda
 
         total = None
         for batch in batches:
-            for a in range(0, batch.num_rows, 250):
-                part = work(batch.column(0).slice(a, 250).to_pylist())
+            for a in range(0, batch.num_rows, 1_000):
+                part = work(batch.column(0).slice(a, 1_000).to_pylist())
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["part", "total"])
@@ -144,18 +143,13 @@ def latent_space(docs: DataFrame, n: int, rank: int = RANK, seed: int = 5) -> np
 
         def work(texts: list[bytes]) -> np.ndarray:
             idf, weights = sent.value
-            out = np.zeros(weights.shape)
             if not texts:
-                return out
+                return np.zeros(weights.shape)
             term, unit, of = _units(texts)
-            passage = unit // 2
-            held = _sums((weights * idf[:, None])[term], passage, -(-len(of) // 2))
-            order = np.argsort(term, kind="stable")
-            term = term[order]
-            first = np.flatnonzero(np.append(True, np.diff(term) != 0))[: len(term)]
-            if len(first):
-                out[term[first]] = np.add.reduceat(held[passage[order]], first, axis=0) * idf[term[first], None]
-            return out
+            passage, out = unit // 2, np.empty((weights.shape[1], n))
+            for c, column in enumerate(np.ascontiguousarray((weights * idf[:, None]).T)):
+                out[c] = np.bincount(term, np.bincount(passage, column[term])[passage], n)
+            return out.T * idf[:, None]
 
         return _total(docs, work)
 
@@ -330,7 +324,7 @@ class Windows:
         sums = np.zeros((n, space.shape[1]), np.float32)
         for a in range(0, n, 8_192):
             lo, hi = self.bounds[a], self.bounds[min(n, a + 8_192)]
-            sums[a : a + 8_192] = _sums(space[self.term[lo:hi]], unit[lo:hi] - a, len(sums[a : a + 8_192]))
+            sums[a : a + 8_192] = _sums(unit[lo:hi] - a, space, self.term[lo:hi], len(sums[a : a + 8_192]))
         two = sums + self._after(sums, 1) if n > 1 else sums
         self.starts, self.places = {}, {}
         for width, places in ((2, two), (4, two + self._after(two, 2) if n > 2 else two)):
