@@ -218,9 +218,9 @@ def gradients(m: Model, h: np.ndarray, ids: np.ndarray, fresh_at: np.ndarray, re
     x = (given @ m.into + m.bias).reshape(steps, lanes, 3 * k)
     seen, back = np.empty((steps, lanes, k), np.float32), []
     for t in range(steps):
-        h = h * ~fresh_at[t][:, None]
         seen[t] = h
-        h, kept = _gates(m, h, x[t])
+        seen[t][fresh_at[t]] = 0
+        h, kept = _gates(m, seen[t], x[t])
         back.append(kept)
     order = np.flatnonzero(real.ravel())
     order = order[np.argsort(class_of[tok[order]], kind="stable")]
@@ -242,17 +242,26 @@ def gradients(m: Model, h: np.ndarray, ids: np.ndarray, fresh_at: np.ndarray, re
     up[order] = own_up
     up = up.reshape(steps, lanes, k)
     dx, carry = np.empty((steps, lanes, 3 * k), np.float32), np.zeros((lanes, k), np.float32)
-    g["rec"] = np.zeros_like(m.rec)
+    d_own = np.empty_like(dx)
     for t in range(steps - 1, -1, -1):
         old, reset, keep, new, own = back[t]
-        d_new = carry * (1 - keep) * (1 - new * new)
-        dx[t, :, :k] = d_new * own * reset * (1 - reset)
-        dx[t, :, k : 2 * k] = carry * (old - new) * keep * (1 - keep)
-        dx[t, :, 2 * k :] = d_new
-        d_own = dx[t].copy()
-        d_own[:, 2 * k :] *= reset
-        g["rec"] += old.T @ d_own
-        carry = (carry * keep + d_own @ m.rec.T + up[t]) * ~fresh_at[t][:, None]
+        passed, now = 1 - keep, dx[t]
+        d_new = now[:, 2 * k :]
+        np.multiply(carry, passed, out=d_new)
+        d_new *= 1 - new * new
+        np.multiply(d_new, own, out=now[:, :k])
+        now[:, :k] *= reset
+        now[:, :k] *= 1 - reset
+        passed *= keep
+        passed *= carry
+        np.multiply(old - new, passed, out=now[:, k : 2 * k])
+        d_own[t] = now
+        d_own[t][:, 2 * k :] *= reset
+        carry = carry * keep
+        carry += d_own[t] @ m.rec.T
+        carry += up[t]
+        carry[fresh_at[t]] = 0
+    g["rec"] = seen.reshape(-1, k).T @ d_own.reshape(-1, 3 * k)
     dx = dx.reshape(-1, 3 * k)
     g["bias"], g["into"] = dx.sum(0), given.T @ dx
     order = np.argsort(tok, kind="stable")

@@ -35,6 +35,7 @@ SHARD_TOKENS, SCORED_TOKENS = 8_000_000, 2_000_000
 HEAD, WORDS = 200_000, (1 << 16) - gru.TAILS
 RATES = (0.01, 0.005, 0.002)
 END = b" "  # no word holds a space
+PIECES = 32
 _FANOUT, _CACHE, _PART = 16, 1 << 18, 2 << 20
 
 
@@ -161,21 +162,28 @@ def _encoded(docs: DataFrame, short: np.ndarray) -> DataFrame:
     return docs.select("shard", "text").mapInArrow(run, "shard long, ids binary")
 
 
-def _averaged(models: DataFrame) -> tuple[np.ndarray, int] | None:
-    """The token-weighted mean of ``(shard, model, n)``, some of them at a time; weights travel in 16 bits."""
+def _pieces(key: int, flat: np.ndarray, n: int) -> pa.RecordBatch:
+    """A shard's weights in ``PIECES`` rows ``(place, model, n)``, so that no row is large; they travel in 16 bits."""
+    parts = np.array_split(flat.astype(np.float16), PIECES)
+    return pa.RecordBatch.from_arrays([pa.array(key * PIECES + np.arange(PIECES)), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([n] * PIECES, pa.int64())], ["place", "model", "n"])
+
+
+def _averaged(models: DataFrame) -> np.ndarray | None:
+    """The token-weighted mean of shards' weights, piece by piece and some shards at a time."""
 
     def mean(key: int, rows: list[tuple]) -> pa.RecordBatch:
         n, total = sum(k for _, k in rows), 0.0
         for m, k in rows:
             total = total + np.frombuffer(m, np.float16).astype(np.float32) * (k / max(1, n))
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.astype(np.float16).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["shard", "model", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.astype(np.float16).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["place", "model", "n"])
 
-    models = materialize(models, "models")
-    while models.count() > 1:
-        up = models.select(F.floor(F.col("shard") / _FANOUT).alias("shard"), "model", "n")
-        models = materialize(grouped(up, "shard", mean, "shard long, model binary, n long"), "models")
-    row = models.first()
-    return None if row is None else (np.frombuffer(bytes(row.model), np.float16).astype(np.float32), row.n)
+    models, schema = materialize(models, "models"), "place long, model binary, n long"
+    while models.count() > PIECES:
+        shard, piece = F.floor(F.col("place") / (PIECES * _FANOUT)), F.pmod(F.col("place"), F.lit(PIECES))
+        up = models.select((shard * PIECES + piece).alias("place"), "model", "n")
+        models = materialize(grouped(up, "place", mean, schema), "models")
+    rows = models.orderBy("place").collect()  # one model
+    return np.concatenate([np.frombuffer(bytes(r.model), np.float16).astype(np.float32) for r in rows]) if rows else None
 
 
 def train(docs: DataFrame, start: gru.Model, short: np.ndarray, n_tokens: int, text: str = "text", rates: tuple = RATES) -> gru.Model:
@@ -193,11 +201,12 @@ def train(docs: DataFrame, start: gru.Model, short: np.ndarray, n_tokens: int, t
             flat = made.flat()
             if not np.isfinite(flat).all():
                 raise FloatingPointError(f"training left the range of numbers in shard {key}, turn {turn}")
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([flat.astype(np.float16).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["shard", "model", "n"])
+            return _pieces(key, flat, n)
 
-        found = _averaged(grouped(_encoded(dealt.where(F.col("turn") == turn), short), "shard", shard, "shard long, model binary, n long"))
-        if found:
-            model = model.filled(found[0])
+        found = _averaged(grouped(_encoded(dealt.where(F.col("turn") == turn), short), "shard", shard, "place long, model binary, n long"))
+        held.destroy()  # the averaged weights are written and read
+        if found is not None:
+            model = model.filled(found)
     return model
 
 
