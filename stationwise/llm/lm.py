@@ -33,7 +33,7 @@ from stationwise.llm.common import grouped, materialize, table
 
 SHARD_TOKENS, SCORED_TOKENS = 8_000_000, 2_000_000
 HEAD, WORDS = 200_000, (1 << 16) - gru.TAILS
-RATES = (0.01, 0.005, 0.002)
+RATES = (0.02, 0.015, 0.01)
 END = b" "  # no word holds a space
 PIECES = 32
 _FANOUT, _CACHE, _PART = 16, 1 << 18, 2 << 20
