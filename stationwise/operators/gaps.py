@@ -74,16 +74,17 @@ def max_gap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retained(g: DataFrame) -> DataFrame:
     """``(scenario, city, sensor_id, date, value)``: the sensor-days that each scenario keeps, in one pass over the grid."""
-    rules = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(h).alias("least_hours"), F.lit(u).alias("least_uptime"), F.lit(x).cast("int").alias("most_gap")) for n, h, u, x in SCENARIOS])
-    each = g.withColumn("rule", F.explode(rules)).select("*", "rule.*").drop("rule")
+    limits = sorted({h for _, h, _, _ in SCENARIOS})
+    each = g.withColumn("least_hours", F.explode(F.array(*map(F.lit, limits))))  # runs are found once for each limit of hours
     each = each.withColumn("value", F.when(F.col("hours") >= F.col("least_hours"), F.col("value")))
-    w = Window.partitionBy("scenario", "sensor_id")
+    w = Window.partitionBy("least_hours", "sensor_id")
     miss = F.col("value").isNull().cast("int")
     order = w.orderBy("date")
     each = each.withColumn("_island", F.row_number().over(order) - F.sum(miss).over(order)).withColumn("uptime", F.avg(1.0 - miss).over(w))
-    each = each.withColumn("_run", F.sum(miss).over(Window.partitionBy("scenario", "sensor_id", "_island"))).withColumn("gap", F.max("_run").over(w))
-    keep = (F.col("uptime") >= F.col("least_uptime")) & (F.col("uptime") > 0) & (F.col("most_gap").isNull() | (F.col("gap") <= F.col("most_gap")))
-    return each.where(keep).select("scenario", "city", "sensor_id", "date", "value")
+    each = each.withColumn("_run", F.sum(miss).over(Window.partitionBy("least_hours", "sensor_id", "_island"))).withColumn("gap", F.max("_run").over(w))
+    rules = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(h).alias("h"), F.lit(u).alias("u"), F.lit(x).cast("int").alias("x")) for n, h, u, x in SCENARIOS])
+    fits = lambda r: (r["h"] == F.col("least_hours")) & (F.col("uptime") >= r["u"]) & (F.col("uptime") > 0) & (r["x"].isNull() | (F.col("gap") <= r["x"]))
+    return each.withColumn("rule", F.explode(F.filter(rules, fits))).select("rule.scenario", "city", "sensor_id", "date", "value")
 
 
 def scenario_sql() -> str:

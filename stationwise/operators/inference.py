@@ -88,14 +88,54 @@ o AS (SELECT sensor_id, city, max(CASE WHEN city = other THEN t / k END) AS a, m
 def city_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well cities part the sensors by mean and spread: silhouettes by Euclidean distance."""
     q = daily(readings(spark, sf_dir)).groupBy("sensor_id", "city").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).where("s IS NOT NULL")
-    other = q.select(F.col("sensor_id").alias("id"), F.col("city").alias("other"), F.col("m").alias("m2"), F.col("s").alias("s2"))
-    far = F.sqrt(F.pow(F.col("m") - F.col("m2"), F.lit(2)) + F.pow(F.col("s") - F.col("s2"), F.lit(2)))
-    c = q.join(other, F.col("sensor_id") != F.col("id")).groupBy("sensor_id", "city", "other").agg(F.avg(far).alias("t"))
+    c = city_distances(q).groupBy("sensor_id", "city", "other").agg((F.sum("total") / F.sum("k")).alias("t"))
     own = F.col("city") == F.col("other")
     o = c.groupBy("sensor_id", "city").agg(F.max(F.when(own, F.col("t"))).alias("a"), F.min(F.when(~own, F.col("t"))).alias("b"))
     return o.groupBy("city").agg(F.count(F.lit(1)).alias("n"), six(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
 
 
+DISTANCE_BLOCK = 1_024
+
+
+def city_distances(q: DataFrame, block: int = DISTANCE_BLOCK) -> DataFrame:
+    """``(sensor_id, city, other, total, k)``: each sensor's distances to the others of each city, summed block by block of ``q(sensor_id, city, m, s)``."""
+    kind = q.schema["city"].dataType.simpleString()
+    blocks = -(-q.count() // block) or 1
+    dealt = q.withColumn("block", F.pmod(F.xxhash64("sensor_id"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # a pair of blocks: the first's sensors as rows, the second's as columns
+    both = dealt.select(F.col("block").alias("i"), F.col("with").alias("j"), F.lit(0).alias("side"), "sensor_id", "city", "m", "s").unionByName(
+        dealt.select(F.col("with").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "sensor_id", "city", "m", "s")
+    )
+
+    def sums(rows: list[dict], city: pa.DataType) -> pa.RecordBatch:
+        a, b = ([r for r in rows if r["side"] == side] for side in (0, 1))
+        at, to = (np.array([[r["m"], r["s"]] for r in x]).reshape(-1, 2) for x in (a, b))
+        far = np.sqrt(((at[:, None] - to[None]) ** 2).sum(2))
+        cities = sorted({r["city"] for r in b}, key=repr)
+        of = np.array([[r["city"] == c for c in cities] for r in b], float).reshape(len(b), len(cities))
+        there = {r["sensor_id"] for r in b}
+        n = of.sum(0)[None, :] - np.array([[r["sensor_id"] in there and r["city"] == c for c in cities] for r in a]).reshape(len(a), len(cities))
+        total = far @ of
+        out = [(r["sensor_id"], r["city"], c, float(total[x, y]), int(n[x, y])) for x, r in enumerate(a) for y, c in enumerate(cities) if n[x, y]]
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.string(), city, city, pa.float64(), pa.int64()), strict=True)], ["sensor_id", "city", "other", "total", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, city = None, [], None
+        for batch in batches:
+            city = batch.schema.field("city").type
+            for row in batch.to_pylist():
+                if (row["i"], row["j"]) != held and rows:
+                    yield sums(rows, city)
+                    rows = []
+                held = row["i"], row["j"]
+                rows.append(row)
+        if rows:
+            yield sums(rows, city)
+
+    return both.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, f"sensor_id string, city {kind}, other {kind}, total double, k long")
+
+
 _WEEKLY = "v AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week, sensor_id, CAST(round(CAST(sum(cents) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM r GROUP BY 1, 2)"
 
 

@@ -38,7 +38,7 @@ def mean(cents: str = "cents") -> Column:
 
 def daily(r: DataFrame) -> DataFrame:
     """Daily means and valid hours of each sensor."""
-    return r.groupBy("sensor_id", "city", "date").agg(F.sum("cents").alias("cents"), F.count("cents").alias("n"), F.count_distinct("hr").alias("hours"), mean().alias("value"))
+    return r.groupBy("sensor_id", "city", "date").agg(F.sum("cents").alias("cents"), F.count("cents").alias("n"), F.expr("bit_count(bit_or(shiftleft(1, hr)))").alias("hours"), mean().alias("value"))
 
 
 def grid(d: DataFrame) -> DataFrame:
