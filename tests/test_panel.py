@@ -78,6 +78,38 @@ def test_subsets_against_enumeration(spark):
     assert sampling.simulate_one(empty, sampling.summary, sampling._SUMMARY).count() == 0 and sampling.simulate(empty.withColumn("k", F.lit(1)), ("k",), sampling.summary, sampling._SUMMARY).count() == 0
 
 
+def test_shapiro_wilk():
+    import numpy as np
+
+    from stationwise.operators.designs import shapiro_wilk
+
+    w, p = shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]))  # a published example
+    assert abs(w - 0.78881) < 2e-4 and abs(p - 0.006704) < 2e-4
+    rng = np.random.default_rng(3)
+    for n in (3, 5, 9, 40, 400):
+        ps = [shapiro_wilk(rng.standard_normal(n))[1] for _ in range(200)]
+        assert 0.35 < np.mean(ps) < 0.65 and all(0 <= x <= 1 for x in ps)
+    assert shapiro_wilk(rng.exponential(size=100))[1] < 1e-3 and shapiro_wilk(np.ones(9)) is None
+
+
+def test_permutation_test_and_designs():
+    import numpy as np
+
+    from stationwise.operators import designs
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((80, 2))
+    beta, p = designs.permuted(2 * x[:, 0] + 0.1 * rng.standard_normal(80), x, 199, 1)
+    assert beta[0] > 0.9 and p[0] == 1 / 200 and p[1] > 0.02
+    cov = np.exp(-designs.distances(23.7 + rng.random(12) / 3, 90.3 + rng.random(12) / 3) / 10)
+    for sign in (1, -1):
+        found = designs.greedy(cov, 0, 5, sign)
+        for k in range(1, 5):
+            chosen = [c for c, _ in found[:k]]
+            each = {j: designs.ess(cov, [*chosen, j]) for j in range(12) if j not in chosen}
+            assert found[k][0] == (max if sign == 1 else min)(each, key=each.get) and abs(found[k][1] - each[found[k][0]]) < 1e-9
+
+
 def test_sinks(spark, tmp_path):
     from stationwise.sources import sinks
 
