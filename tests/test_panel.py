@@ -110,6 +110,26 @@ def test_permutation_test_and_designs():
             assert found[k][0] == (max if sign == 1 else min)(each, key=each.get) and abs(found[k][1] - each[found[k][0]]) < 1e-9
 
 
+def test_source_checks(spark, tmp_path):
+    from stationwise.sources import checks
+
+    checks.require_tables(spark, DATA, ["events", "region"])
+    with pytest.raises(FileNotFoundError, match="nothing, other"):
+        checks.require_tables(spark, DATA, ["events", "other", "nothing"])
+    rows = spark.createDataFrame([("a", 1, 2.5), ("b", 2, None), ("b", 3, 1.0)], "city string, n int, v double")
+    rows.coalesce(1).write.option("header", True).csv(f"{tmp_path}/t")
+    keys = rows.select("city").distinct()
+    found = checks.scan_csv(spark, f"{tmp_path}/t", "city string, n int, v double", F.col("n") > 0, keys)
+    assert found.count() == 3
+    with pytest.raises(ValueError, match="'a'"):
+        checks.scan_csv(spark, f"{tmp_path}/t", "city string, n int, v double", F.col("n") > 1, keys)
+    assert checks.one_row(rows, city="a")["v"] == 2.5
+    for wrong in ({"city": "b"}, {"city": None}):
+        with pytest.raises(LookupError):
+            checks.one_row(rows, **wrong)
+    assert checks.canonical(rows, city=["b"], n=[2, 9]).count() == 1
+
+
 def test_sinks(spark, tmp_path):
     from stationwise.sources import sinks
 
