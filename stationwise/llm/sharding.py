@@ -37,13 +37,14 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
-def shard_column(key: Column, shards: int) -> Column:
-    """The shard of a key of any type; equal keys of different integer types go alike."""
+def shard_columns(key: Column, shards: int) -> Column:
+    """``(shard, grown_shard)`` of a key of any type, for ``shards`` and for one more; equal keys of different integer types go alike."""
 
-    @F.pandas_udf("int")
-    def jump(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("shard int, grown_shard int")
+    def jump(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for keys in batches:
-            yield pd.Series(jump_hash(keys.to_numpy(np.int64), shards).astype(np.int32))
+            own = keys.to_numpy(np.int64)
+            yield pd.DataFrame({"shard": jump_hash(own, shards).astype(np.int32), "grown_shard": jump_hash(own, shards + 1).astype(np.int32)})
 
     return jump(F.xxhash64(key.cast("string")))
 
@@ -72,7 +73,7 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, or
     k = F.col(key)
     rows = without(rows, *({"shard", "slot", "grown_shard"} - {key}))
     n = rows.count()
-    out = rows.withColumns({"shard": shard_column(k, shards), "grown_shard": shard_column(k, shards + 1)})
+    out = rows.withColumn("_s", shard_columns(k, shards)).select("*", "_s.*").drop("_s")
     return gapless_slots(out, n, "shard", [F.col(c) for c in order or [key]])
 
 
