@@ -185,9 +185,9 @@ class Items:
         out = self.length[item].copy()
         for i in np.flatnonzero(out > 64):
             out[i] = np.isin(self.ids[item[i]], term[lo[i] : hi[i]]).sum()
-        for a in range(0, len(item), 20_000):
-            width = hi[a : a + 20_000] - lo[a : a + 20_000]
-            some = np.flatnonzero((width > 0) & (self.length[item[a : a + 20_000]] <= 64))
+        for a in range(0, len(item), 5_000):
+            width = hi[a : a + 5_000] - lo[a : a + 5_000]
+            some = np.flatnonzero((width > 0) & (self.length[item[a : a + 5_000]] <= 64))
             if len(some):
                 at, width = some + a, width[some]
                 first = np.append(0, np.cumsum(width)[:-1])
@@ -293,8 +293,8 @@ def _search(docs: DataFrame, items: list[tuple], vocabulary: list[bytes], space:
         made = lambda a, b: Block(a, ids[a:b], space)
         kept = [made(a, b) for a, b in spans] if len(spans) <= KEPT_BLOCKS else None
         for batch in batches:
-            for a in range(0, batch.num_rows, 1_000):
-                part = batch.slice(a, 1_000)
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
                 texts = part.column(2).to_pylist()
                 windows, rows = Windows(texts, space), []
                 for block in kept if kept is not None else (made(*span) for span in spans):
@@ -345,7 +345,7 @@ def candidates(windows: Windows, block: Block) -> list[tuple]:
     is_long = pieces.length > SHORT_ITEM
     for width, chosen in ((2, np.flatnonzero(~is_long)), (4, np.flatnonzero(is_long))):
         starts = windows.starts[width]
-        some = 20_000 * ITEMS // max(ITEMS, len(chosen))
+        some = 5_000 * ITEMS // max(ITEMS, len(chosen))
         for a in range(0, len(starts) if len(chosen) else 0, some):
             s = starts[a : a + some]
             cos = windows.places[width][a : a + some] @ pieces.place[chosen].T
