@@ -3,8 +3,9 @@
 A draw is an order of the sensors by ``md5(seed|draw|sensor)``; its first n sensors are the subset of size n, so one running
 sum gives the estimates of all sizes.  The same order serves all days, where only that day's sensors count.
 
-Each network, day or scenario is a row with an array of its sensors' values, hundreds at most.  Tasks draw for such rows in
-numpy and summarise all draws of a size where they are made; a single network's draws are dealt to tasks in blocks, and come
+Each network, day or scenario is a row with an array of its sensors' values, hundreds at most.  Rows are sorted by the set of
+sensors that have a value, and the rows of a set share the orders of its draws, which are made once for each task.
+Tasks summarise all draws of a size where they are made; a single network's draws are dealt to tasks in blocks, and come
 together by size.  Draws, sizes and seeds are parameters: queries with SQL take ``DRAWS`` and ``MAX_N``, ``mc_canonical_*`` the
 full experiment.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -68,29 +70,36 @@ class Draws:
             self.keys[sensor] = np.frombuffer(found, ">u8")
         return self.keys[sensor]
 
-    def estimates(self, sensors: list[str], c: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """A row per draw, a column per size from 1 on: means, and sums of squares, of the first sensors of each draw."""
+    def orders(self, sensors: list[str], most: int) -> np.ndarray:
+        """The first ``most`` sensors of each draw, a row per draw."""
         m = min(most, len(sensors))
-        est, squares = (np.empty((len(self.range), m)) for _ in range(2))
         known = None if self.mixed else np.stack([self._keys(s) for s in sensors], 1)
+        out = np.empty((len(self.range), m), np.int32)
         for a in range(0, len(self.range), _ROWS):
             keys = self._mixed(sensors, a, a + _ROWS) if known is None else known[a : a + _ROWS]
             if m < len(sensors):
                 top = np.argpartition(keys, m - 1, axis=1)[:, :m]
-                top = np.take_along_axis(top, np.argsort(np.take_along_axis(keys, top, 1), axis=1, kind="stable"), 1)
+                out[a : a + _ROWS] = np.take_along_axis(top, np.argsort(np.take_along_axis(keys, top, 1), axis=1, kind="stable"), 1)
             else:
-                top = np.argsort(keys, axis=1, kind="stable")
-            drawn = c[top]
-            est[a : a + _ROWS] = np.cumsum(drawn, 1) / np.arange(1, m + 1) / 100
-            squares[a : a + _ROWS] = np.cumsum(drawn.astype(float) ** 2, 1)
-        return est, squares
+                out[a : a + _ROWS] = np.argsort(keys, axis=1, kind="stable")
+        return out
+
+
+def estimates(orders: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row per draw, a column per size from 1 on: means, and sums of squares, of the first sensors of each draw."""
+    est, squares = (np.empty(orders.shape) for _ in range(2))
+    for a in range(0, len(orders), _ROWS):
+        drawn = c[orders[a : a + _ROWS]]
+        est[a : a + _ROWS] = np.cumsum(drawn, 1) / np.arange(1, orders.shape[1] + 1) / 100
+        squares[a : a + _ROWS] = np.cumsum(drawn.astype(float) ** 2, 1)
+    return est, squares
 
 
 class Network:
-    """What all draws of a network or a day have in common."""
+    """What all draws of a network or a day have in common; ``full`` is the mean of the network that its sensors are from."""
 
-    def __init__(self, c: np.ndarray):
-        self.sensors, self.ref = len(c), c.sum() / len(c) / 100
+    def __init__(self, c: np.ndarray, full: float | None = None):
+        self.sensors, self.ref, self.full = len(c), c.sum() / len(c) / 100, full
         self.sd = float(np.std(c / 100, ddof=1)) if len(c) > 1 else None
 
 
@@ -103,8 +112,13 @@ def _types(columns: str) -> list[pa.DataType]:
 
 
 def simulate(values: DataFrame, keys: tuple[str, ...], work: Work, columns: str, draws: int = DRAWS, most: int = MAX_N, seed: int = SEED, mixed: bool = False) -> DataFrame:
-    """The rows of ``work`` over all draws for each group of ``values(keys, sensor_id, c)``; ``seed`` may be a column among the keys."""
-    held = values.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sensor_id", "c"))).alias("sensors"))  # a network's sensors
+    """The rows of ``work`` over all draws for each group of ``values(keys, sensor_id, c)``; ``seed`` may be a column among the keys.
+
+    A column ``full`` of ``values``, the same within a group, is what ``Network`` has under that name.  Groups are dealt by ranges
+    of their set of sensors, so that those of a small set meet in one task and those of a large one fill several tasks evenly.
+    """
+    full = F.min("full").alias("full") if "full" in values.columns else F.lit(None).cast("double").alias("full")
+    held = values.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sensor_id", "c"))).alias("sensors"), full)  # a network's sensors
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = [(k, values.schema[k].dataType.simpleString()) for k in keys]
     names = [*keys, *(c.split()[0] for c in columns.split(", "))]
@@ -112,25 +126,31 @@ def simulate(values: DataFrame, keys: tuple[str, ...], work: Work, columns: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Draws] = {}
+        last, orders = None, None
         for batch in batches:
             types = [*(batch.schema.field(k).type for k in keys), *_types(columns)]
             for row in batch.to_pylist():
                 own = row.get("seed", seed)
-                made.setdefault(own, Draws(1, draws, own, mixed))
                 ids, c = [x["sensor_id"] for x in row["sensors"]], np.array([x["c"] for x in row["sensors"]], np.int64)
                 if not len(c):
                     continue
-                est, squares = made[own].estimates(ids, c, most)
+                if last != (own, ids):
+                    last, orders = (own, ids), made.setdefault(own, Draws(1, draws, own, mixed)).orders(ids, most)
+                est, squares = estimates(orders, c)
                 head = tuple(row[k] for k in keys)
-                rows = [head + r for r in work(np.arange(1, est.shape[1] + 1), est, squares, Network(c), 1)]
+                rows = [head + r for r in work(np.arange(1, est.shape[1] + 1), est, squares, Network(c, row["full"]), 1)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return held.repartition(parts, *keys).mapInArrow(run, schema)
+    dealt = held.withColumn("_set", F.xxhash64("sensors.sensor_id")).repartitionByRange(parts, "_set", F.xxhash64(*keys))
+    return dealt.sortWithinPartitions("_set").drop("_set").mapInArrow(run, schema)
 
 
 def simulate_one(values: DataFrame, work: Work, columns: str, draws: int = DRAWS, most: int = MAX_N, seed: int = SEED, block: int = BLOCK, mixed: bool = False) -> DataFrame:
-    """The rows of ``work`` for each size over all draws of one network ``values(sensor_id, c)``, drawn in blocks."""
+    """The rows of ``work`` for each size over all draws of one network ``values(sensor_id, c)``, drawn in blocks.
+
+    ``work`` gets no squares here: the estimates alone travel from the blocks to the sizes.
+    """
     held = values.groupBy().agg(F.sort_array(F.collect_list(F.struct("sensor_id", "c"))).alias("sensors"))
     blocks = -(-draws // block)
     dealt = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block")
@@ -141,33 +161,30 @@ def simulate_one(values: DataFrame, work: Work, columns: str, draws: int = DRAWS
                 ids, c = [x["sensor_id"] for x in row["sensors"]], np.array([x["c"] for x in row["sensors"]], np.int64)
                 if len(c):
                     first = 1 + row["block"] * block
-                    est, squares = Draws(first, min(draws, first + block - 1), seed, mixed).estimates(ids, c, most)
+                    est, _ = estimates(Draws(first, min(draws, first + block - 1), seed, mixed).orders(ids, most), c)
                     k = est.shape[1]
-                    blobs = [[np.ascontiguousarray(x[:, i]).tobytes() for i in range(k)] for x in (est, squares)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, k + 1)), pa.array([row["block"]] * k, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs), pa.array([c.tobytes()] * k, pa.binary())], ["n", "block", "est", "squares", "c"])
+                    network = [c.tobytes() if not row["block"] else None] * k  # sorted first, and there once for each size
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, k + 1)), pa.array([row["block"]] * k, pa.int32()), pa.array([np.ascontiguousarray(est[:, i]).tobytes() for i in range(k)], pa.binary()), pa.array(network, pa.binary())], ["n", "block", "est", "c"])
 
-    by_size = dealt.mapInArrow(draw, "n long, block int, est binary, squares binary, c binary").repartition("n").sortWithinPartitions("n", "block")
+    by_size = dealt.mapInArrow(draw, "n long, block int, est binary, c binary").repartition("n").sortWithinPartitions("n", "block")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, names, size, rows = _types(columns), [c.split()[0] for c in columns.split(", ")], None, []
 
-        def out() -> list[tuple]:
-            est, squares = (np.concatenate([np.frombuffer(r[k]) for r in rows])[:, None] for k in ("est", "squares"))
-            return list(work(np.array([size]), est, squares, Network(np.frombuffer(rows[0]["c"], np.int64)), 1))
-
-        def pack(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*found, strict=True), types, strict=True)], names)
+        def out() -> Iterator[pa.RecordBatch]:
+            est = np.concatenate([np.frombuffer(r["est"]) for r in rows])[:, None]
+            if found := list(work(np.array([size]), est, None, Network(np.frombuffer(rows[0]["c"], np.int64)), 1)):
+                yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["n"] != size and rows:
-                    if found := out():
-                        yield pack(found)
+                    yield from out()
                     rows = []
                 size = row["n"]
                 rows.append(row)
-        if rows and (found := out()):
-            yield pack(found)
+        if rows:
+            yield from out()
 
     return by_size.mapInArrow(gather, columns)
 
@@ -224,29 +241,32 @@ def errors(est: np.ndarray, net: Network) -> np.ndarray:
     return 100 * _over(np.abs(est - net.ref), abs(net.ref))
 
 
-def _quantile(x: np.ndarray, p: float) -> np.ndarray:
-    """The quantile of each sorted row, linear between neighbours."""
-    place = p * (x.shape[1] - 1)
-    lo = int(place)
-    return x[:, lo] + (x[:, min(lo + 1, x.shape[1] - 1)] - x[:, lo]) * (place - lo)
+_POINTS = (0.25, 0.5, 0.75, 0.95)
+
 
+def _spread(x: np.ndarray) -> list[np.ndarray]:
+    """The quartiles, 95th percentile, minimum and maximum of each row, which is put into partial order."""
+    last = x.shape[1] - 1
+    places = [p * last for p in _POINTS]
+    at = sorted({0, last, *(min(last, int(p) + k) for p in places for k in (0, 1))})
+    x.partition(at, axis=1)
+    p25, p50, p75, p95 = (x[:, int(p)] + (x[:, min(last, int(p) + 1)] - x[:, int(p)]) * (p - int(p)) for p in places)
+    return [p50, p25, p75, p95, x[:, 0], x[:, last]]
 
-def summary(n: np.ndarray, est: np.ndarray, squares: np.ndarray, net: Network, first: int) -> Iterator[tuple]:
+
+def summary(n: np.ndarray, est: np.ndarray, squares: np.ndarray | None, net: Network, first: int) -> Iterator[tuple]:
     """The 24 error summaries of each size from 2 on."""
     some = n >= 2
-    n, est = n[some], est[:, some]
-    out = []
-    for x in (errors(est, net), np.abs(est - net.ref)):
-        x = np.sort(x.T)
-        p25, p50, p75, p95 = (_quantile(x, p) for p in (0.25, 0.5, 0.75, 0.95))
-        out += [x.mean(1), p50, p25, p75, p95, x[:, 0], x[:, -1]]
-    x = np.sort(est.T)
-    p25, p50, p75, p95 = (_quantile(x, p) for p in (0.25, 0.5, 0.75, 0.95))
-    sd = est.std(0, ddof=1) if len(est) > 1 else np.full(len(n), np.nan)
-    bias = est.mean(0) - net.ref
+    n, est = n[some], np.ascontiguousarray(est[:, some].T)
+    sd = est.std(1, ddof=1) if est.shape[1] > 1 else np.full(len(n), np.nan)
+    off = np.abs(est - net.ref)
+    mean, *spread = off.mean(1), *_spread(off)
+    out = [*(100 * _over(x, abs(net.ref)) for x in (mean, *spread)), mean, *spread]
+    mean, p50, p25, p75, p95, *_ = est.mean(1), *_spread(est)
+    bias = mean - net.ref
     normal = 100 * _over((np.nan if net.sd is None else net.sd) / np.sqrt(n) * correction(n, net.sensors), net.ref)
-    out += [est.mean(0), p50, p25, p75, p95, sd, bias, 100 * _over(bias, net.ref), normal, 100 * _over(sd, net.ref)]
-    yield from _numbers(n.astype(object), np.full(len(n), len(est)).astype(object), *(x.astype(float) for x in out))
+    out += [mean, p50, p25, p75, p95, sd, bias, 100 * _over(bias, net.ref), normal, 100 * _over(sd, net.ref)]
+    yield from _numbers(n.astype(object), np.full(len(n), est.shape[1]).astype(object), *(x.astype(float) for x in out))
 
 
 _SUMMARY = "n int, n_draws long, " + ", ".join(f"{m} double" for m in METRICS)
@@ -274,7 +294,7 @@ def mc_canonical_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all_but_one(work: Work) -> Work:
     def own(n, est, squares, net, first):
         some = n < net.sensors
-        return work(n[some], est[:, some], squares[:, some], net, first)
+        return work(n[some], est[:, some], None if squares is None else squares[:, some], net, first)
 
     return own
 
@@ -379,28 +399,32 @@ def mc_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MOST_SUBSETS, SUBSET_SIZES = 1_000_000, (2, 3, 4)
+_COMB = {2: "k * (k - 1) / 2", 3: "k * (k - 1) * (k - 2) / 6", 4: "k * (k - 1) * (k - 2) * (k - 3) / 24"}
 
 
-@query(f"""WITH {READINGS_SQL}, v AS (SELECT sensor_id, CAST(round(CAST(sum(cents) AS DOUBLE) / count(*)) AS BIGINT) AS c, row_number() OVER (ORDER BY CAST(sensor_id AS BIGINT)) AS i FROM r GROUP BY sensor_id), k AS (SELECT CAST(count(*) AS DOUBLE) AS k FROM v),
-f AS (SELECT CAST(sum(c) AS DOUBLE) / count(*) AS ref FROM v), s2 AS (SELECT a.c + b.c AS t, b.i, 2 AS n FROM v a JOIN v b ON b.i > a.i WHERE (SELECT k * (k - 1) / 2 FROM k) <= {MOST_SUBSETS}),
-s3 AS (SELECT s2.t + b.c AS t, b.i, 3 AS n FROM s2 JOIN v b ON b.i > s2.i WHERE (SELECT k * (k - 1) * (k - 2) / 6 FROM k) <= {MOST_SUBSETS}), s4 AS (SELECT s3.t + b.c AS t, b.i, 4 AS n FROM s3 JOIN v b ON b.i > s3.i WHERE (SELECT k * (k - 1) * (k - 2) * (k - 3) / 24 FROM k) <= {MOST_SUBSETS}),
-u AS (SELECT t, n FROM s2 UNION ALL SELECT t, n FROM s3 UNION ALL SELECT t, n FROM s4) SELECT CAST(n AS INTEGER) AS n, count(*) AS n_subsets, round(median(100 * abs(CAST(t AS DOUBLE) / n - ref) / ref), 6) AS ape_median, round(max(100 * abs(CAST(t AS DOUBLE) / n - ref) / ref), 6) AS ape_max FROM u CROSS JOIN f GROUP BY n""")
+@query(PERIOD + f""", i AS (SELECT c, row_number() OVER (ORDER BY CAST(sensor_id AS BIGINT)) AS i FROM v), kk AS (SELECT CAST(count(*) AS DOUBLE) AS k FROM v), g AS (SELECT ref * 100 AS ref FROM f),
+s2 AS (SELECT a.c + b.c AS t, b.i, 2 AS n FROM i a JOIN i b ON b.i > a.i WHERE (SELECT {_COMB[2]} FROM kk) <= {MOST_SUBSETS}), s3 AS (SELECT s2.t + b.c AS t, b.i, 3 AS n FROM s2 JOIN i b ON b.i > s2.i WHERE (SELECT {_COMB[3]} FROM kk) <= {MOST_SUBSETS}),
+s4 AS (SELECT s3.t + b.c AS t, b.i, 4 AS n FROM s3 JOIN i b ON b.i > s3.i WHERE (SELECT {_COMB[4]} FROM kk) <= {MOST_SUBSETS}), u AS (SELECT t, n FROM s2 UNION ALL SELECT t, n FROM s3 UNION ALL SELECT t, n FROM s4),
+x AS (SELECT n, true AS exact, 100 * abs(CAST(t AS DOUBLE) / n - ref) / ref AS a FROM u CROSS JOIN g UNION ALL SELECT n, false, {_APE} FROM e CROSS JOIN f WHERE n IN (2, 3, 4) AND n NOT IN (SELECT n FROM u))
+SELECT CAST(n AS INTEGER) AS n, CAST(any_value(CASE n {" ".join(f"WHEN {n} THEN (SELECT {x} FROM kk)" for n, x in _COMB.items())} END) AS BIGINT) AS n_subsets, any_value(exact) AS exact, round(median(a), 6) AS ape_median, round(max(a), 6) AS ape_max FROM x GROUP BY n""")
 def mc_exact_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every subset of two to four of all sensors, for the sizes with at most a million of them, built by joins in index order."""
+    """Every subset of two to four of all sensors, built by joins in order of ids; draws stand in for sizes with over a million."""
     v = period(readings(spark, sf_dir))
     sensors = v.count()
-    sizes = [n for n in SUBSET_SIZES if comb(sensors, n) <= MOST_SUBSETS]
-    p = v.withColumn("i", F.row_number().over(Window.orderBy(F.col("sensor_id").cast("long")))).select("i", "c")  # a row per sensor
-    ref = p.agg((F.sum("c").cast("double") / F.count(F.lit(1))).alias("ref"))
-    step = p.select(F.col("i").alias("j"), F.col("c").alias("d"))
-    last, out = p.select("i", F.col("c").alias("t")), None
-    for n in sizes:  # there are subsets only while the sensors are few: at most 1,414
+    few = [n for n in SUBSET_SIZES if n <= sensors and comb(sensors, n) <= MOST_SUBSETS]
+    many = [n for n in SUBSET_SIZES if n <= sensors and n not in few]
+    ref = v.agg((F.sum("c").cast("double") / F.count(F.lit(1))).alias("ref"))
+    step = v.select(F.col("sensor_id").alias("j"), F.col("c").alias("d"))
+    last, parts = v.select(F.col("sensor_id").alias("i"), F.col("c").alias("t")), []
+    for n in few:  # so there are at most 1,414 sensors
         last = last.join(F.broadcast(step), F.col("j") > F.col("i")).select(F.col("j").alias("i"), (F.col("t") + F.col("d")).alias("t"))
-        rows = last.select(F.lit(n).alias("n"), "t")
-        out = rows if out is None else out.union(rows)
-    out = last.limit(0).select(F.lit(0).alias("n"), "t") if out is None else out
+        parts.append(last.select(F.lit(n).alias("n"), "t"))
+    exact = reduce(DataFrame.union, parts) if parts else last.limit(0).select(F.lit(0).alias("n"), "t")
     off = 100 * F.abs(F.col("t").cast("double") / F.col("n") - F.col("ref")) / F.col("ref")
-    return out.crossJoin(F.broadcast(ref)).groupBy("n").agg(F.count(F.lit(1)).alias("n_subsets"), six(F.percentile(off, F.lit(0.5))).alias("ape_median"), six(F.max(off)).alias("ape_max"))
+    exact = exact.crossJoin(F.broadcast(ref)).groupBy("n").agg(F.lit(True).alias("exact"), six(F.percentile(off, F.lit(0.5))).alias("ape_median"), six(F.max(off)).alias("ape_max"))
+    drawn = simulate_one(v, summary, _SUMMARY, most=max(SUBSET_SIZES)).where(F.col("n").isin(many)).select("n", F.lit(False).alias("exact"), "ape_median", "ape_max") if many else None
+    sizes = F.create_map(*[F.lit(x) for n in SUBSET_SIZES for x in (n, comb(sensors, n))])
+    return (exact if drawn is None else exact.union(drawn)).withColumn("n_subsets", sizes[F.col("n")].cast("long"))
 
 
 @query(f"""WITH {READINGS_SQL}, k AS (SELECT sensor_id FROM (SELECT sensor_id, row_number() OVER (ORDER BY md5('{SEED}|fixed|' || sensor_id), sensor_id) AS n FROM s) WHERE n <= 10), a AS (SELECT date, avg(value) AS ref FROM d GROUP BY 1), p AS (SELECT date, avg(value) AS est, count(*) AS n FROM d WHERE sensor_id IN (SELECT sensor_id FROM k) GROUP BY 1)
@@ -431,3 +455,67 @@ def finite_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = e.groupBy(F.col("tn").alias("population"), "n")
     q = lambda p: six(F.percentile("a", F.lit(p)))
     return g.agg(F.count(F.lit(1)).alias("n_outer"), q(0.5).alias("mdape_median"), q(0.05).alias("mdape_p5"), q(0.95).alias("mdape_p95"), six(F.avg("a")).alias("mdape_mean"), six(F.stddev_samp("a")).alias("mdape_sd"))
+
+
+REFERENCE_OUTER, REFERENCE_TARGET, REFERENCE_SIZES = 4, 25, (2, 5, 10, 20)
+_SHIFTS = ("mdape_delta", "abs_delta", "ref_delta")
+DUAL = f"""WITH {READINGS_SQL}, w AS (SELECT city, date, sensor_id, CAST(round(value * 100) AS BIGINT) AS c FROM d), o AS (SELECT oi, city, sensor_id FROM (SELECT CAST(oi AS INTEGER) AS oi, city, sensor_id, row_number() OVER (PARTITION BY oi, city ORDER BY md5('outer|' || oi || '|' || sensor_id), sensor_id) AS place FROM s CROSS JOIN range(1, {REFERENCE_OUTER + 1}) AS t(oi)) WHERE place <= {REFERENCE_TARGET}),
+x AS (SELECT oi, w.city, date, w.sensor_id, c FROM w JOIN o ON o.city = w.city AND o.sensor_id = w.sensor_id), {drawn_sql("x", "oi, city, date,")}, g AS (SELECT city, date, CAST(sum(c) AS DOUBLE) / count(*) / 100 AS full_ref FROM w GROUP BY 1, 2),
+f AS (SELECT oi, city, date, count(*) AS sensors, CAST(sum(c) AS DOUBLE) / count(*) / 100 AS ref FROM x GROUP BY 1, 2, 3), dual AS (SELECT e.oi AS outer_draw, e.city, e.date, n, any_value(sensors) AS n_sensors, any_value(ref) AS selected_ref, any_value(full_ref) AS full_ref, median(100 * abs(est - ref) / ref) AS selected_mdape, median(100 * abs(est - full_ref) / full_ref) AS full_mdape,
+median(abs(est - ref)) AS selected_abs, median(abs(est - full_ref)) AS full_abs FROM e JOIN f ON f.oi = e.oi AND f.city = e.city AND f.date = e.date JOIN g ON g.city = e.city AND g.date = e.date WHERE n IN {REFERENCE_SIZES} GROUP BY 1, 2, 3, 4)"""
+_DUAL = "selected_ref double, full_ref double, selected_mdape double, full_mdape double, selected_abs double, full_abs double"
+
+
+def dual_errors(sizes: tuple[int, ...]) -> Work:
+    """The median errors of each size against the mean of the sensors drawn from, and against the full network's."""
+
+    def own(n, est, squares, net, first):
+        some = np.isin(n, sizes)
+        off = [np.median(np.abs(est[:, some] - ref), axis=0) for ref in (net.ref, net.full)]
+        relative = [100 * _over(x, abs(ref)) for x, ref in zip(off, (net.ref, net.full), strict=True)]
+        for row in zip(n[some].tolist(), *(x.tolist() for x in (*relative, *off)), strict=True):
+            yield row[0], net.sensors, net.ref, net.full, *(None if x != x else x for x in row[1:])
+
+    return own
+
+
+def dual_reference(values: DataFrame, selected: DataFrame, keys: tuple[str, ...], draw_keys: tuple[str, ...], sizes: tuple[int, ...] = REFERENCE_SIZES, draws: int = DRAWS, most: int = MAX_N, mixed: bool = False) -> DataFrame:
+    """Draws from the ``selected(draw_keys, keys but the date, sensor_id)`` sensors, scored against these and against all of ``values(keys, sensor_id, c)``.
+
+    A selected sensor without values is in no draw; days without a selected value give no rows.
+    """
+    full = values.groupBy(*keys).agg((F.sum("c").cast("double") / F.count(F.lit(1)) / 100).alias("full"))
+    x = values.join(selected, [k for k in selected.columns if k not in draw_keys]).join(full, list(keys))
+    return simulate(x, (*draw_keys, *keys), dual_errors(sizes), f"n int, n_sensors long, {_DUAL}", draws, most, mixed=mixed)
+
+
+def selections(sensors: DataFrame, outer: int = REFERENCE_OUTER, target: int = REFERENCE_TARGET) -> DataFrame:
+    """``(outer_draw, city, sensor_id)``: ``outer`` selections of ``target`` sensors of each city."""
+    o = sensors.withColumn("outer_draw", F.explode(F.sequence(F.lit(1), F.lit(outer))))
+    key = F.md5(F.concat(F.lit("outer|"), F.col("outer_draw").cast("string"), F.lit("|"), "sensor_id"))
+    return o.withColumn("_k", F.row_number().over(Window.partitionBy("outer_draw", "city").orderBy(key, "sensor_id"))).where(F.col("_k") <= target).drop("_k")
+
+
+def _dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = daily(readings(spark, sf_dir)).select("city", "date", "sensor_id", F.round(F.col("value") * 100).cast("long").alias("c"))
+    return dual_reference(d, selections(d.select("city", "sensor_id").distinct()), ("city", "date"), ("outer_draw",))
+
+
+@query(DUAL + " SELECT outer_draw, city, date, n, n_sensors, " + ", ".join(f"round({c.split()[0]}, 6) AS {c.split()[0]}" for c in _DUAL.split(", ")) + " FROM dual")
+def mc_dual_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same draws of selected sensors against the selection's own daily mean and the full network's."""
+    return _dual(spark, sf_dir).withColumns({c.split()[0]: six(c.split()[0]) for c in _DUAL.split(", ")})
+
+
+@query(DUAL + """, z AS (SELECT *, full_mdape - selected_mdape AS mdape_delta, full_abs - selected_abs AS abs_delta, full_ref - selected_ref AS ref_delta FROM dual) SELECT city, n, count(*) AS n_rows, count(DISTINCT outer_draw) AS n_outer, count(DISTINCT date) AS n_days, round(median(selected_mdape), 6) AS selected_mdape, round(median(full_mdape), 6) AS full_mdape, round(median(selected_abs), 6) AS selected_abs, round(median(full_abs), 6) AS full_abs, """
+    + ", ".join(f"round(median({c}), 6) AS {c}_median, round(quantile_cont({c}, 0.95), 6) AS {c}_p95" for c in _SHIFTS) + " FROM z GROUP BY 1, 2")
+def mc_dual_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By city and size: errors against either mean, and how they differ, over selections and days; each row must have both."""
+    both = F.col("selected_ref").isNotNull() & F.col("full_ref").isNotNull()
+    z = _dual(spark, sf_dir).where(F.coalesce(F.assert_true(both, F.lit("a draw lacks one of its two references")).cast("boolean"), F.lit(True)))
+    z = z.withColumns({"mdape_delta": F.col("full_mdape") - F.col("selected_mdape"), "abs_delta": F.col("full_abs") - F.col("selected_abs"), "ref_delta": F.col("full_ref") - F.col("selected_ref")})
+    q = lambda c, p=0.5: six(F.percentile(c, F.lit(p)))
+    return z.groupBy("city", "n").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("outer_draw").alias("n_outer"), F.count_distinct("date").alias("n_days"), *[q(c).alias(c) for c in ("selected_mdape", "full_mdape", "selected_abs", "full_abs")],
+        *[q(c, p).alias(f"{c}_{name}") for c in _SHIFTS for p, name in ((0.5, "median"), (0.95, "p95"))],
+    )
