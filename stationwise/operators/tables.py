@@ -9,6 +9,7 @@ from stationwise.functions.exprs import percent
 from stationwise.operators.panel import six
 from stationwise.operators.spatial import PAIRS, pairs
 from stationwise.plans.registry import READINGS_SQL, query
+from stationwise.sources.footers import column_statistics, footers
 from stationwise.sources.panel import daily, grid, load, mean, readings, sites
 
 W = f"WITH {READINGS_SQL} "
@@ -103,12 +104,33 @@ def leaderboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumn("place", F.row_number().over(w)).where("place <= 15").select("board", "city", "sensor_id", six("score").alias("score"), "place")
 
 
+# The footers that are read: a table, its columns by role; and a table, a column, its value as a number in SQL.
+_ROLES = (("events", ("user_id", "value", "ts")), ("orders", ("o_custkey", "o_totalprice", "o_orderdate")), ("lineitem", ("l_suppkey", "l_extendedprice", "l_shipdate")))
+_RANGES = (
+    ("events", "user_id", "{}"), ("events", "value", "{}"), ("events", "ts", "epoch_us({})"), ("orders", "o_orderkey", "{}"), ("orders", "o_totalprice", "{}"),
+    ("lineitem", "l_quantity", "{}"), ("lineitem", "l_extendedprice", "{}"), ("documents", "doc_id", "{}"), ("documents", "n_chars", "{}"), ("labels", "quality", "{}"),
+)
+
+
 @query("WITH e AS (SELECT 'events' AS name, count(*) AS n_rows, count(user_id) AS n_keys, count(value) AS n_values, count(ts) AS n_times FROM events), o AS (SELECT 'orders', count(*), count(o_custkey), count(o_totalprice), count(o_orderdate) FROM orders), l AS (SELECT 'lineitem', count(*), count(l_suppkey), count(l_extendedprice), count(l_shipdate) FROM lineitem) SELECT * FROM e UNION ALL SELECT * FROM o UNION ALL SELECT * FROM l")
 def column_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and values there are, per source table and role of a column."""
+    """Rows and values there are, per source table and role of a column, from the files' footers alone."""
+    out = None
+    for name, roles in _ROLES:
+        known = column_statistics(footers(spark, f"{sf_dir}/{name}.parquet"))
+        values = [F.max(F.when(F.col("column") == c, F.col("n_rows") - F.col("n_nulls"))).alias(n) for c, n in zip(roles, ("n_keys", "n_values", "n_times"), strict=True)]
+        rows = known.agg(F.max("n_rows").alias("n_rows"), *values).select(F.lit(name).alias("name"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, '{c}' AS column, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, CAST({x.format(f'min({c})')} AS DOUBLE) AS least, CAST({x.format(f'max({c})')} AS DOUBLE) AS most FROM {t}" for t, c, x in _RANGES))
+def footer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls and ranges of columns of numbers, times (microseconds) and days, from the files' footers alone."""
     out = None
-    for name, roles in (("events", ("user_id", "value", "ts")), ("orders", ("o_custkey", "o_totalprice", "o_orderdate")), ("lineitem", ("l_suppkey", "l_extendedprice", "l_shipdate"))):
-        rows = load(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(n) for c, n in zip(roles, ("n_keys", "n_values", "n_times"), strict=True)])
-        rows = rows.select(F.lit(name).alias("name"), "*")
+    for name in dict.fromkeys(t for t, _, _ in _RANGES):
+        columns = [c for t, c, _ in _RANGES if t == name]
+        known = column_statistics(footers(spark, f"{sf_dir}/{name}.parquet").where(F.col("column").isin(columns)))
+        rows = known.select(F.lit(name).alias("name"), "column", "n_rows", "n_nulls", "least", "most")
         out = rows if out is None else out.unionByName(rows)
     return out
