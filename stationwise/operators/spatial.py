@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.functions.exprs import EARTH_KM, distance_bin, haversine_km, ratio
+from stationwise.functions.exprs import EARTH_KM, average_rank, correlation, distance_bin, haversine_km, percent, ratio
+from stationwise.operators.cells import k_nearest, points_in, quadrature_points
 from stationwise.operators.panel import six
 from stationwise.plans.registry import READINGS_SQL, SITES_SQL, query
-from stationwise.sources.panel import daily, readings, sites
+from stationwise.sources.panel import daily, grid, readings, sites
 
 KM_PER_DEGREE, BAND_KM, NEAREST = 111.19, 5.0, 4
 
@@ -58,10 +59,42 @@ def distance_band_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS}, u AS (SELECT city, a, b, km FROM p UNION ALL SELECT city, b, a, km FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(km, 9), CAST(b AS BIGINT)) AS place FROM u) SELECT city, a, b, CAST(place AS INTEGER) AS place, round(km, 6) AS km FROM k WHERE place <= {NEAREST}")
 def nearest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(sites(readings(spark, sf_dir)))
-    both = p.unionByName(p.select("city", F.col("b").alias("a"), F.col("a").alias("b"), "km"))
-    w = Window.partitionBy("a").orderBy(F.round("km", 9), F.col("b").cast("long"))
-    return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= NEAREST).withColumn("km", six("km"))
+    return neighbours(sites(readings(spark, sf_dir)), NEAREST).withColumn("km", six("km"))
+
+
+def neighbours(s: DataFrame, k: int) -> DataFrame:
+    """``(city, a, b, place, km)``: the ``k`` nearest other sensors of each sensor in its city."""
+    a, b = (s.select("city", F.col("sensor_id").alias(n), "lat", "lon") for n in "ab")
+    return k_nearest(a, b, k, "city")
+
+
+_FIRST = f"{PAIRS}, nn AS (SELECT city, a AS sensor_id, min(km) AS km FROM (SELECT city, a, km FROM p UNION ALL SELECT city, b, km FROM p) GROUP BY 1, 2)"
+
+
+@query(f"WITH {_FIRST} SELECT city, count(*) AS n, round(min(km), 6) AS least, round(median(km), 6) AS median, round(quantile_cont(km, 0.9), 6) AS p90, round(max(km), 6) AS most FROM nn GROUP BY city")
+def nearest_neighbour_km(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a sensor's nearest neighbour is."""
+    n = neighbours(sites(readings(spark, sf_dir)), 1)
+    q = lambda p: six(F.percentile("km", F.lit(p)))
+    return n.groupBy("city").agg(F.count(F.lit(1)).alias("n"), six(F.min("km")).alias("least"), q(0.5).alias("median"), q(0.9).alias("p90"), six(F.max("km")).alias("most"))
+
+
+_METRICS = ("mean_value", "sd_value", "missing_pct")
+_RANKED = lambda c: f"rank() OVER (PARTITION BY city, metric ORDER BY {c}) + (count(*) OVER (PARTITION BY city, metric, {c}) - 1) / CAST(2 AS DOUBLE)"
+
+
+@query(f"""WITH {READINGS_SQL}, {_FIRST}, u AS (SELECT city, sensor_id, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS sd_value, round(100 - 100 * count(value) / CAST(count(*) AS DOUBLE), 6) AS missing_pct FROM grid GROUP BY 1, 2),
+x AS (SELECT u.city, metric, x, round(km, 6) AS km FROM (UNPIVOT u ON {", ".join(_METRICS)} INTO NAME metric VALUE x) u JOIN nn ON nn.sensor_id = u.sensor_id), k AS (SELECT *, {_RANKED("km")} AS rk, {_RANKED("x")} AS rx FROM x)
+SELECT city, metric, count(*) AS n, round(corr(km, x), 6) AS pearson, round(corr(rk, rx), 6) AS spearman FROM k GROUP BY 1, 2""")
+def density_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a sensor's distance to its nearest neighbour goes with what it measures and misses."""
+    r = readings(spark, sf_dir)
+    d = daily(r)
+    u = grid(d).groupBy("city", "sensor_id").agg(six(F.avg("value")).alias("mean_value"), six(F.stddev_samp("value")).alias("sd_value"), six(100 - percent(F.count("value"), F.count(F.lit(1)))).alias("missing_pct"))
+    near = neighbours(sites(r), 1).select(F.col("a").alias("sensor_id"), six("km").alias("km"))
+    x = u.unpivot(["city", "sensor_id"], list(_METRICS), "metric", "x").where("x IS NOT NULL").join(near, "sensor_id")
+    k = x.select("city", "metric", "km", "x", average_rank("km", "city", "metric").alias("rk"), average_rank("x", "city", "metric").alias("rx"))
+    return k.groupBy("city", "metric").agg(F.count(F.lit(1)).alias("n"), six(correlation("km", "x")).alias("pearson"), six(correlation("rk", "rx")).alias("spearman"))
 
 
 @query(f"WITH {LINKS}, k AS (SELECT city, a, count(*) AS n FROM e GROUP BY 1, 2) SELECT s.city, count(*) AS n_sensors, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_links, count(CASE WHEN n IS NULL THEN 1 END) AS n_alone, CAST(max(coalesce(n, 0)) AS BIGINT) AS most, round(median(coalesce(n, 0)), 6) AS median FROM site s LEFT JOIN k ON k.a = s.sensor_id GROUP BY s.city")
@@ -176,18 +209,55 @@ RING = ((90.37, 23.72), (90.55, 23.72), (90.55, 23.90), (90.46, 23.78), (90.37,
 _EDGES = list(zip(RING, RING[1:], strict=False))
 
 
-def in_polygon(points: DataFrame, edges: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """Points inside a polygon given as edges ``(x1, y1, x2, y2)``: those whose ray to the right crosses it oddly often."""
-    px, py = F.col(x), F.col(y)
-    hit = ((F.col("y1") > py) != (F.col("y2") > py)) & (px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
-    crossed = points.select(key, x, y).join(edges, hit).groupBy(key).agg(F.count(F.lit(1)).alias("_crossed")).where("_crossed % 2 = 1")
-    return points.join(crossed.select(key), key, "left_semi")
-
-
 @query(f"WITH {SITES_SQL}, g(x1, y1, x2, y2) AS (VALUES {', '.join(f'(CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))' for a, b in _EDGES)}), k AS (SELECT sensor_id, count(*) AS n FROM site JOIN g ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 GROUP BY 1) SELECT s.city, s.sensor_id FROM site s JOIN k USING (sensor_id) WHERE n % 2 = 1")
 def sensors_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.createDataFrame([(*a, *b) for a, b in _EDGES], "x1 double, y1 double, x2 double, y2 double")
-    return in_polygon(sites(readings(spark, sf_dir)), F.broadcast(edges), "lon", "lat", "sensor_id").select("city", "sensor_id")  # a fixed ring
+    s = sites(readings(spark, sf_dir))
+    return s.join(points_in(s, ring(spark), "lon", "lat", "sensor_id", RING_STEP), "sensor_id", "left_semi").select("city", "sensor_id")
+
+
+def in_polygon(points: DataFrame, edges: DataFrame, x: str, y: str, key: str, cells: int = 64) -> DataFrame:
+    """The points inside a polygon given as edges ``(x1, y1, x2, y2)``, by about ``cells`` cells along its longer side."""
+    box = edges.agg(*[(F.max(F.greatest(f"{c}1", f"{c}2")) - F.min(F.least(f"{c}1", f"{c}2"))).alias(c) for c in "xy"]).first()
+    step = max(box.x or 0.0, box.y or 0.0) / cells or 1.0
+    return points.join(points_in(points, edges.withColumn("poly", F.lit(0)), x, y, key, step).select(key), key, "left_semi")
+
+
+RING_STEP, RING_SIDE = 0.02, 4
+
+
+def ring(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, *a, *b) for a, b in _EDGES], "poly int, x1 double, y1 double, x2 double, y2 double")
+
+
+_RING_SQL = f"g(x1, y1, x2, y2) AS (VALUES {', '.join(f'(CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))' for a, b in _EDGES)})"
+_INSIDE = "(y1 > {y}) <> (y2 > {y}) AND {x} < (x2 - x1) * ({y} - y1) / nullif(y2 - y1, 0) + x1"
+
+
+@query(f"""WITH {SITES_SQL}, {_RING_SQL}, q AS (SELECT gx, gy, (gx + 0.5::DOUBLE) * CAST({RING_STEP / RING_SIDE!r} AS DOUBLE) AS x, (gy + 0.5::DOUBLE) * CAST({RING_STEP / RING_SIDE!r} AS DOUBLE) AS y FROM range(18060, 18130) AS a(gx), range(4730, 4790) AS b(gy)), i AS (SELECT gx, gy, x, y FROM q JOIN g ON {_INSIDE.format(x="x", y="y")} GROUP BY 1, 2, 3, 4 HAVING count(*) % 2 = 1)
+SELECT s.city, count(*) AS n_points, round(avg(km), 6) AS mean_km, round(max(km), 6) AS max_km FROM (SELECT city, gx, gy, min({_HAVERSINE.format(a="site", b="z")}) AS km FROM site CROSS JOIN (SELECT gx, gy, x AS lon, y AS lat FROM i) z GROUP BY 1, 2, 3) s GROUP BY 1""")
+def quadrature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the points of a grid within the ring are from the nearest sensor of each city."""
+    s = sites(readings(spark, sf_dir))
+    q = quadrature_points(ring(spark), RING_STEP, RING_SIDE).select(F.concat_ws("|", "gx", "gy").alias("a"), F.col("y").alias("lat"), F.col("x").alias("lon"))
+    every = s.select("city").distinct().join(q)  # a fixed grid for each city
+    near = k_nearest(every, s.select("city", F.col("sensor_id").alias("b"), "lat", "lon"), 1, "city")
+    return near.groupBy("city").agg(F.count(F.lit(1)).alias("n_points"), six(F.avg("km")).alias("mean_km"), six(F.max("km")).alias("max_km"))
+
+
+@query(f"""WITH {SITES_SQL}, {_RING_SQL}, i AS (SELECT sensor_id FROM site JOIN g ON {_INSIDE.format(x="lon", y="lat")} GROUP BY 1 HAVING count(*) % 2 = 1), v AS (SELECT DISTINCT x1 AS lon, y1 AS lat FROM g), n AS (SELECT city, sensor_id, min({_HAVERSINE.format(a="site", b="v")}) AS km FROM site CROSS JOIN v GROUP BY 1, 2),
+m AS (SELECT city, round(avg(lat), 9) AS lat, round(avg(lon), 9) AS lon FROM site GROUP BY 1), c AS (SELECT site.city, sensor_id, id, round({_HAVERSINE.format(a="site", b="m")}, 6) AS km FROM site JOIN m ON m.city = site.city), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY city ORDER BY km DESC, id) = 1)
+SELECT f.city, f.sensor_id AS farthest, f.km AS farthest_km, o.n_outside, o.nearest_vertex_km, o.farthest_vertex_km FROM f JOIN (SELECT n.city, count(CASE WHEN i.sensor_id IS NULL THEN 1 END) AS n_outside, round(min(km), 6) AS nearest_vertex_km, round(max(km), 6) AS farthest_vertex_km FROM n LEFT JOIN i ON i.sensor_id = n.sensor_id GROUP BY 1) o ON o.city = f.city""")
+def coverage_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By city: the sensor farthest from the centre, the sensors outside the ring, and how near sensors come to its corners."""
+    s = sites(readings(spark, sf_dir))
+    centre = s.groupBy("city").agg(F.round(F.avg("lat"), 9).alias("clat"), F.round(F.avg("lon"), 9).alias("clon"))
+    far = s.join(centre, "city").withColumn("km", six(haversine_km("lat", "lon", "clat", "clon")))
+    far = far.groupBy("city").agg(F.max_by(F.struct(F.col("sensor_id").alias("farthest"), F.col("km").alias("farthest_km")), F.struct("km", -F.col("sensor_id").cast("long"))).alias("f")).select("city", "f.*")
+    inside = points_in(s, ring(spark), "lon", "lat", "sensor_id", RING_STEP).select("sensor_id", F.lit(1).alias("_in"))
+    corners = ring(spark).select(F.col("y1").alias("lat"), F.col("x1").alias("lon")).distinct().withColumn("b", F.concat_ws("|", "lat", "lon"))
+    near = k_nearest(s.select(F.lit(0).alias("g"), F.col("sensor_id").alias("a"), "lat", "lon"), corners.withColumn("g", F.lit(0)), 1, "g").select(F.col("a").alias("sensor_id"), "km")
+    outside = s.join(near, "sensor_id").join(inside, "sensor_id", "left").groupBy("city").agg(F.count_if(F.col("_in").isNull()).alias("n_outside"), six(F.min("km")).alias("nearest_vertex_km"), six(F.max("km")).alias("farthest_vertex_km"))
+    return far.join(outside, "city")
 
 
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
