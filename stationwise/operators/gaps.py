@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.functions.exprs import percent
+from stationwise.functions.exprs import MONSOON, percent, ratio, season
 from stationwise.operators.panel import share, six
 from stationwise.plans.registry import READINGS_SQL, query
 from stationwise.sources.panel import daily, grid, readings
@@ -110,6 +110,35 @@ def scenario_reference_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_days"), six(F.avg("shift")).alias("mean_shift"), six(F.max(F.abs("shift"))).alias("max_shift"))
 
 
+def interval_sums(intervals: DataFrame, series: DataFrame, keys: list[str], order: str, first: str, last: str, value: str) -> DataFrame:
+    """``intervals`` with ``_sum`` and ``_n``: the values of ``series(keys, order, value)`` from ``first`` to ``last``, nulls left out.
+
+    ``series`` has a row for each step; running sums and two lookups for each interval replace a join by ranges.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    upto = lambda c, name: F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name)
+    own = F.coalesce(F.col(value), F.lit(0)), F.col(value).isNotNull().cast("int")
+    running = series.select(*keys, order, upto(F.col(value), "_s"), upto(own[1], "_c"), own[0].alias("_v"), own[1].alias("_h"))
+    start = running.select(*keys, F.col(order).alias(first), (F.col("_s") - F.col("_v")).alias("_s0"), (F.col("_c") - F.col("_h")).alias("_c0"))
+    end = running.select(*keys, F.col(order).alias(last), F.col("_s").alias("_s1"), F.col("_c").alias("_c1"))
+    found = intervals.join(start, [*keys, first], "left").join(end, [*keys, last], "left")
+    return found.withColumns({"_sum": F.col("_s1") - F.col("_s0"), "_n": F.col("_c1") - F.col("_c0")}).drop("_s0", "_s1", "_c0", "_c1")
+
+
+@query(ISLANDS + """, n AS (SELECT city, date, avg(value) AS v FROM grid GROUP BY 1, 2), o AS (SELECT city, avg(v) AS overall FROM n GROUP BY 1), x AS (SELECT g.city, g.sensor_id, g.first_date, g.last_date, g.days, avg(v) AS during FROM g JOIN n ON n.city = g.city AND n.date BETWEEN g.first_date AND g.last_date GROUP BY 1, 2, 3, 4, 5)
+SELECT x.city, sensor_id, first_date, last_date, days, CASE WHEN month(m) IN (12, 1, 2) THEN 'DJF' WHEN month(m) IN (3, 4, 5) THEN 'MAM' WHEN month(m) IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season, CASE WHEN month(m) IN (3, 4, 5) THEN 'pre_monsoon' WHEN month(m) BETWEEN 6 AND 9 THEN 'monsoon' WHEN month(m) IN (10, 11) THEN 'post_monsoon' ELSE 'winter' END AS monsoon_season,
+round(during, 6) AS network_mean, round(overall, 6) AS overall_mean, round(during - overall, 6) AS difference FROM (SELECT *, first_date + CAST((days - 1) // 2 AS INTEGER) AS m FROM x) x JOIN o ON o.city = x.city""")
+def gap_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps with the season of their middle, and the network's mean during each beside its mean over all days."""
+    g = grid(daily(readings(spark, sf_dir)))
+    n = g.groupBy("city", "date").agg(F.avg("value").alias("v"))
+    overall = n.groupBy("city").agg(F.avg("v").alias("overall"))
+    e = interval_sums(missing_runs(g), n, ["city"], "date", "first_date", "last_date", "v").join(overall, "city")
+    middle = F.month(F.expr("date_add(first_date, CAST((days - 1) div 2 AS int))"))
+    during = ratio("_sum", "_n")
+    return e.select("city", "sensor_id", "first_date", "last_date", "days", season(middle).alias("season"), season(middle, MONSOON).alias("monsoon_season"), six(during).alias("network_mean"), six("overall").alias("overall_mean"), six(during - F.col("overall")).alias("difference"))
+
+
 FILTER_SIZES = (1, 2, 3, 5, 8, 12, 20, 30)
 
 

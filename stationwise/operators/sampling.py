@@ -96,10 +96,13 @@ def estimates(orders: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Network:
-    """What all draws of a network or a day have in common; ``full`` is the mean of the network that its sensors are from."""
+    """What all draws of a network or a day have in common.
 
-    def __init__(self, c: np.ndarray, full: float | None = None):
-        self.sensors, self.ref, self.full = len(c), c.sum() / len(c) / 100, full
+    ``full`` is the mean of the network that its sensors are from, ``orders`` the first sensors of each draw by place in ``c``.
+    """
+
+    def __init__(self, c: np.ndarray, full: float | None = None, orders: np.ndarray | None = None):
+        self.sensors, self.ref, self.full, self.c, self.orders = len(c), c.sum() / len(c) / 100, full, c, orders
         self.sd = float(np.std(c / 100, ddof=1)) if len(c) > 1 else None
 
 
@@ -138,7 +141,7 @@ def simulate(values: DataFrame, keys: tuple[str, ...], work: Work, columns: str,
                     last, orders = (own, ids), made.setdefault(own, Draws(1, draws, own, mixed)).orders(ids, most)
                 est, squares = estimates(orders, c)
                 head = tuple(row[k] for k in keys)
-                rows = [head + r for r in work(np.arange(1, est.shape[1] + 1), est, squares, Network(c, row["full"]), 1)]
+                rows = [head + r for r in work(np.arange(1, est.shape[1] + 1), est, squares, Network(c, row["full"], orders), 1)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
