@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,6 @@ from stationwise.llm.common import materialize, table, table_path, without
 LEXICON_WORDS, LEXICON_BYTES = 1 << 17, 48
 #: Texts are worked on in blocks of about so many characters.
 BLOCK_CHARS = 1 << 20
-#: Words that a task remembers beside the lexicon.
-REMEMBERED = 1 << 16
 _SHORT = 48
 
 
@@ -54,28 +53,44 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _ranges_of(codes: list[int]) -> str:
+    at = np.array(codes, np.int64)
+    cuts = np.flatnonzero(np.diff(at) > 1)
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(at[np.append(0, cuts + 1)], at[np.append(cuts, at.size - 1)], strict=True))
+
+
+@dataclass(frozen=True)
+class WordPattern:
+    """The pre-tokenizer's pattern: a plain one, and one for texts with characters of the class ``newer``, all of the class ``beyond``."""
+
+    plain: str
+    full: str
+    newer: str
+    beyond: str
+
+    def finder(self):
+        plain, full, newer, beyond = (regex.compile(p) for p in (self.plain, self.full, self.newer, self.beyond))
+        return lambda text: (plain if text.isascii() or beyond.search(text) is None or newer.search(text) is None else full).findall(text)
+
+
+def _pattern(letters: str, numbers: str) -> str:
+    return rf"(?V1)'(?:[stmd]|re|ve|ll)| ?{letters}+| ?{numbers}+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+
+
 @cache
-def word_pattern() -> str:
-    """The pre-tokenizer's pattern, with the letters and numbers that the tokenizers library knows."""
+def word_pattern() -> WordPattern:
+    """Patterns with the letters and numbers that the tokenizers library knows."""
     from tokenizers import pre_tokenizers
 
     split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
     newer = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn"]
-    gone = {}
+    classes, unknown = {}, []
     for kind, like in (("L", "a"), ("N", "1")):
         named = set(regex.findall(rf"\p{{{kind}}}", "".join(newer)))
-        gone[kind] = [ord(c) for c in newer if c in named and len(split(like + c)) > 1]
-
-    def known(kind: str) -> str:
-        at = np.array(gone[kind], np.int64)
-        if not at.size:
-            return rf"\p{{{kind}}}"
-        cuts = np.flatnonzero(np.diff(at) > 1)
-        ranges = zip(at[np.append(0, cuts + 1)], at[np.append(cuts, at.size - 1)], strict=True)
-        return rf"[\p{{{kind}}}--[{''.join(rf'\U{a:08x}-\U{b:08x}' for a, b in ranges)}]]"
-
-    letters, numbers = known("L"), known("N")
-    return rf"(?V1)'(?:[stmd]|re|ve|ll)| ?{letters}+| ?{numbers}+| ?[^\s||{letters}||{numbers}]+|\s+(?!\S)|\s+"
+        gone = [ord(c) for c in newer if c in named and len(split(like + c)) > 1]
+        classes[kind] = rf"[\p{{{kind}}}--[{_ranges_of(gone)}]]" if gone else rf"\p{{{kind}}}"
+        unknown += gone
+    return WordPattern(_pattern(r"\p{L}", r"\p{N}"), _pattern(classes["L"], classes["N"]), f"[{_ranges_of(sorted(unknown))}]" if unknown else r"(?!)", rf"[\U{min(unknown, default=0x10FFFF):08x}-\U0010ffff]")
 
 
 @dataclass(frozen=True)
@@ -85,6 +100,9 @@ class Vocabulary:
     byte_ids: list
     ranks: dict
     results: list
+    keys: np.ndarray
+    key_ranks: np.ndarray
+    byte_ranks: np.ndarray
     pieces: list
     special: dict
 
@@ -102,24 +120,69 @@ class Vocabulary:
         merges = data["model"]["merges"]
         ranks = {(ids[a] << 32) | ids[b]: rank for rank, (a, b) in enumerate(merges)}
         byte_ids = [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        return Vocabulary(byte_ids, ranks, [ids[a + b] for a, b in merges], pieces, special)
-
-    def merge(self, word: bytes) -> list[int]:
-        """The word's ids, exactly."""
-        if len(word) > _SHORT:
-            return self._merge_long(word)
-        parts, none = [self.byte_ids[b] for b in word], len(self.results)
-        get, results = self.ranks.get, self.results
-        found = [get((a << 32) | b, none) for a, b in zip(parts, parts[1:])]
-        while found and (rank := min(found)) < none:
-            at, new = found.index(rank), results[rank]
-            parts[at : at + 2] = [new]
-            del found[at]
-            if at:
-                found[at - 1] = get((parts[at - 1] << 32) | new, none)
-            if at < len(found):
-                found[at] = get((new << 32) | parts[at + 1], none)
-        return parts
+        keys = np.array(sorted(ranks), np.int64)
+        byte_ranks = np.array([[ranks.get((a << 32) | b, len(merges)) for b in byte_ids] for a in byte_ids], np.int32)
+        return Vocabulary(byte_ids, ranks, [ids[a + b] for a, b in merges], keys, np.array([ranks[k] for k in keys.tolist()], np.int32), byte_ranks, pieces, special)
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; as many as there are merges where two ids do not merge."""
+        key = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else None
+        return np.where(self.keys[at] == key, self.key_ranks[at], len(self.results)) if at is not None else np.zeros(len(key), np.int32)
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """The words' ids, exactly."""
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((1, 8), (9, 16), (17, _SHORT)):
+            some = np.flatnonzero((sizes >= low) & (sizes <= high))
+            for k in range(0, len(some), 1 << 15):
+                at = some[k : k + (1 << 15)].tolist()
+                for i, ids in zip(at, self._merge_short([words[i] for i in at], sizes[at]), strict=True):
+                    out[i] = ids
+        for i in np.flatnonzero(sizes > _SHORT).tolist():
+            out[i] = self._merge_long(words[i])
+        return out
+
+    def _merge_short(self, words: list[bytes], sizes: np.ndarray) -> list[list[int]]:
+        """All words take one merge at a time: each the leftmost of its pairs with the least rank."""
+        width, none = int(sizes.max()), len(self.results)
+        there = np.arange(width) < sizes[:, None]
+        raw = np.zeros((len(words), width), np.uint8)
+        raw[there] = np.frombuffer(b"".join(words), np.uint8)
+        ids = np.where(there, np.array(self.byte_ids, np.int32)[raw], -1)
+        rank = np.full((len(words), width), none, np.int32)
+        rank[:, :-1] = np.where(there[:, 1:], self.byte_ranks[raw[:, :-1], raw[:, 1:]], none)
+        results, own, left = np.array([*self.results, 0], np.int32), np.arange(len(words)), sizes.copy()
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        column = np.arange(width)
+        while True:
+            best = rank.argmin(1)
+            least = rank[np.arange(len(best)), best]
+            on = least < none
+            if not on.all():
+                done.append((own[~on], ids[~on]))
+                ids, rank, own, best, least = (x[on] for x in (ids, rank, own, best, least))
+            if not len(own):
+                break
+            row, after = np.arange(len(own)), column > best[:, None]
+            new = results[least]
+            ids[:, :-1] = np.where(after[:, :-1], ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = np.where(after[:, -1], -1, ids[:, -1])
+            rank[:, :-1] = np.where(after[:, :-1], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = none
+            ids[row, best] = new
+            for a in (best - 1, best):  # the pairs on both sides of the new id
+                known = np.flatnonzero((a >= 0) & (a + 1 < width))
+                at, l, r = a[known], ids[known, a[known]], ids[known, np.minimum(a[known] + 1, width - 1)]  # noqa: E741
+                rank[known, at] = np.where(r >= 0, self._ranks_of(l, np.maximum(r, 0)), none)
+            rank[row[best == width - 1], width - 1] = none
+            left[own] -= 1
+        out: list[list[int]] = [[]] * len(words)
+        for places, rows in done:
+            for i, n, x in zip(places.tolist(), left[places].tolist(), rows.tolist(), strict=True):
+                out[i] = x[:n]
+        return out
 
     def _merge_long(self, word: bytes) -> list[int]:
         """As ``merge``, by a heap of pairs over linked symbols: its cost grows with the length times its logarithm."""
@@ -253,32 +316,31 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
+class _Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, pattern: str):
-        self.vocabulary, self.lexicon, self.find = vocabulary, lexicon, regex.compile(pattern).findall
-        self.known: dict[bytes, list[int]] = {}
-
-    def _merged(self, word: bytes) -> list[int]:
-        if (ids := self.known.get(word)) is None:
-            ids = self.vocabulary.merge(word)
-            if len(word) <= LEXICON_BYTES:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = ids
-        return ids
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, pattern: WordPattern):
+        self.vocabulary, self.lexicon, self.find = vocabulary, lexicon, pattern.finder()
 
     def _block(self, lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all lists one after the other, and how many each has."""
-        numbers: dict = {}
-        local = np.fromiter((numbers.setdefault(w, len(numbers)) for words in lists for w in words), np.int64, sum(map(len, lists)))
+        numbers = _Numbers()
+        local = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
         distinct = [w.encode("utf-8", "surrogatepass") if isinstance(w, str) else b"" for w in numbers]
         place = self.lexicon.places(distinct)
         extra, size = [], len(self.lexicon.ids)
         begin, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         held = place >= 0
         begin[held], length[held] = self.lexicon.starts[place[held]], np.diff(self.lexicon.starts)[place[held]]
-        for k, own in zip(np.flatnonzero(~held).tolist(), [w for w, h in zip(numbers, held) if not h], strict=True):
-            ids = [own] if isinstance(own, int) else self._merged(distinct[k])
+        words, rare = list(numbers), np.flatnonzero(~held).tolist()
+        for k, ids in zip(rare, self.vocabulary.merge([distinct[k] for k in rare]), strict=True):
+            ids = ids if isinstance(words[k], str) else [words[k]]
             begin[k], length[k] = size + len(extra), len(ids)
             extra += ids
         ids = np.append(self.lexicon.ids, np.array(extra, np.int32))
@@ -326,11 +388,11 @@ class Decoder:
         return b"".join(out).decode("utf-8", "replace")
 
 
-def _word_counts(docs: DataFrame, text: str, pattern: str, special: dict) -> DataFrame:
+def _word_counts(docs: DataFrame, text: str, pattern: WordPattern, special: dict) -> DataFrame:
     """``(word, n)`` of words that are short enough for a lexicon; several rows a word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
+        find, seen = pattern.finder(), Counter()
 
         def rows() -> pa.RecordBatch:
             kept = {b: n for w, n in seen.items() if len(b := w.encode("utf-8", "surrogatepass")) <= LEXICON_BYTES}
@@ -372,7 +434,7 @@ def build_lexicon(docs: DataFrame, content: bytes, text: str = "text", most: int
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.of(shipped.value)
         for batch in batches:
-            ids = [vocabulary.merge(w) for w in batch.column(0).to_pylist()]
+            ids = vocabulary.merge(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     rows = counts.where(F.col("level") >= level).select("word").mapInArrow(merge, "word binary, ids array<int>").toArrow()
