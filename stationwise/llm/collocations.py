@@ -10,8 +10,9 @@ scan passes over those whose parts are not marked in a table of bits that the sc
 follows the number of frequent fingerprints, checked, up to ``MARK_BYTES``, beyond which more n-grams are counted in vain and none is missed.
 
 Fingerprints that collide only add up to too much, so all frequent phrases are among the frequent fingerprints.  A last scan
-counts by text: within a block, each occurrence's bytes are compared with those at its fingerprint's pointer, and where any
-differs the block is counted by the words themselves; phrases are cut from the text there, for marked fingerprints only.
+counts by text: within a block, each word's bytes are compared with those of the first word of its hash, and each n-gram's words with
+those at its fingerprint's pointer; where any differ the block is counted by the words themselves.  Phrases are cut from the
+text there, for marked fingerprints only.
 So the counts of phrases are exact whatever collides.
 
 Defined results: null and empty texts have no words; a null language is ``und``; rows that repeat an id or all of a row
@@ -34,8 +35,8 @@ from stationwise.llm.common import copied_if_small, materialize, table
 from stationwise.llm.hashing import mix
 
 LONGEST, MIN_COUNT, TOP, COVER_PERCENT = 3, 10, 2_000, 50
-#: Bytes of text in a block, and rows that a task may gather from its blocks before it sends them on.
-BLOCK_BYTES, HELD_ROWS = 4 << 20, 200_000
+#: Bytes of text in a block, of which so many go through the polynomial at a time, and rows of a batch that a task sends.
+BLOCK_BYTES, PREFIX_BYTES, BATCH_ROWS = 4 << 20, 512 << 10, 100_000
 #: Bits for each frequent fingerprint, and the most bytes of a table of bits.
 MARK_BITS, MARK_BYTES = 16, 32 << 20
 SALTS = 64
@@ -47,8 +48,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
-#: Bits of a fingerprint that are used; fewer make collisions for tests.
-FINGERPRINT_BITS = 64
+#: Bits of a fingerprint.
+BITS = 64
 
 
 class Polynomial:
@@ -67,11 +68,26 @@ class Polynomial:
         return (prefix[ends] - prefix[starts]) * self.powers[ends]
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def _first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least place of each distinct key, how often it is there, and which of them each place has."""
+    order = np.argsort(keys)
+    held = keys[order]
+    opens = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(keys) else order
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(keys))))
+    return np.minimum.reduceat(order, opens) if len(keys) else order, np.diff(np.append(opens, len(keys))), of
+
+
 @dataclass
 class Block:
     """Lower-cased texts, where their words lie, of which documents and languages they are, and the words' hashes."""
 
-    text: bytes
+    text: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     piece: np.ndarray
@@ -88,8 +104,21 @@ class Block:
         m = max(0, len(self.starts) - n + 1)
         return np.flatnonzero(self.piece[:m] == self.piece[n - 1 : n - 1 + m])
 
-    def phrase(self, at: int, n: int) -> bytes:
-        return b" ".join(self.text[a:b] for a, b in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist()))
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        """The words of the n-grams at ``at``, joined by one space."""
+        words = (at[:, None] + np.arange(n)).ravel()
+        sizes = self.ends[words] - self.starts[words] + 1
+        raw = np.empty(int(sizes.sum()), np.uint8)
+        stops = np.cumsum(sizes)
+        inside = np.ones(len(raw), bool)
+        inside[stops - 1] = False
+        raw[~inside] = 0x20
+        raw[inside] = self.text[_ranges(self.starts[words], sizes - 1)]
+        offsets = np.append(0, stops[n - 1 :: n]).astype(np.int64)  # each phrase ends in a space too many
+        inside[:] = True
+        inside[offsets[1:] - 1] = False
+        offsets -= np.arange(len(offsets))
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[inside])])
 
     def lang(self, at: np.ndarray) -> np.ndarray:
         return self.langs[self.entry[at]]
@@ -100,12 +129,30 @@ class Block:
         opening = np.searchsorted(self.entry, np.arange(len(self.docs)))
         return pa.array(self.docs, pa.int64()).take(pa.array(entry)), pa.array(at - opening[entry] + self.bases[entry])
 
+    def same_words(self, at: np.ndarray, like: np.ndarray) -> bool:
+        """Whether the words at ``at`` have the bytes of those at ``like``."""
+        size = self.ends[at] - self.starts[at]
+        if (size != self.ends[like] - self.starts[like]).any():
+            return False
+        step = 1 << 17
+        return all((self.text[_ranges(self.starts[at[k : k + step]], size[k : k + step])] == self.text[_ranges(self.starts[like[k : k + step]], size[k : k + step])]).all() for k in range(0, len(at), step))
+
+    def exact_words(self) -> np.ndarray:
+        """A number for each word, the same for words of the same bytes and no others."""
+        first, _, of = _first_of(self.hashes)
+        every = np.arange(len(self.starts))
+        if self.same_words(every, first[of]):
+            return of
+        known: dict[bytes, int] = {}  # hashes collide here
+        raw = self.text.tobytes()
+        return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)], np.int64)
+
 
 class Fingerprints:
-    """The two polynomials, whose powers are kept from block to block."""
+    """The two polynomials, whose powers are kept from block to block; fewer ``bits`` collide more."""
 
-    def __init__(self):
-        self.of_bytes, self.of_words = Polynomial(_BYTE), Polynomial(_WORD)
+    def __init__(self, bits: int = BITS):
+        self.of_bytes, self.of_words, self.shift = Polynomial(_BYTE), Polynomial(_WORD), np.uint64(64 - bits)
 
     def block(self, entries: list[tuple]) -> Block:
         """From ``(no id, id, words before, language, text)``; the first of equal n-grams has the least pointer."""
@@ -115,18 +162,20 @@ class Fingerprints:
         known: dict[str, int] = {}
         langs = np.array([known.setdefault(e[3], len(known)) for e in entries])
         seeds = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in known], np.uint64)
-        text = b"\n".join(e[4] for e in entries).translate(_LOWER)
-        raw = np.frombuffer(text, np.uint8)
+        raw = np.frombuffer(b"\n".join(e[4] for e in entries).translate(_LOWER), np.uint8)
         starts, ends = _words(raw)
         piece = np.cumsum(_KIND[raw] == 2, dtype=np.int32)[starts] if len(starts) else starts
         entry = np.searchsorted(np.cumsum([0, *(len(e[4]) + 1 for e in entries)]), starts, "right") - 1
-        hashes = mix(self.of_bytes.of(_LETTERS[raw], starts, ends))
-        return Block(text, starts, ends, piece, entry, hashes, [None if e[0] else e[1] for e in entries], np.array([e[2] for e in entries]), langs, list(known), seeds)
+        hashes, cuts = np.empty(len(starts), np.uint64), [0, *(np.searchsorted(starts, np.arange(PREFIX_BYTES, len(raw), PREFIX_BYTES))).tolist(), len(starts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):  # prefixes of some of the bytes at a time
+            if a < b:
+                hashes[a:b] = mix(self.of_bytes.of(_LETTERS[raw[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], ends[a:b] - starts[a])) >> self.shift
+        return Block(raw, starts, ends, piece, entry, hashes, [None if e[0] else e[1] for e in entries], np.array([e[2] for e in entries]), langs, list(known), seeds)
 
     def grams(self, block: Block, n: int, at: np.ndarray) -> np.ndarray:
         """The fingerprints of the n-grams at ``at``."""
         h = self.of_words.of(block.hashes, at, at + n)
-        return mix((h ^ block.seeds[block.lang(at)]) + np.uint64(n)) >> np.uint64(64 - FINGERPRINT_BITS)
+        return mix((h ^ block.seeds[block.lang(at)]) + np.uint64(n)) >> self.shift
 
 
 def _slots(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,12 +258,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], prints: Fingerprints) -> Iterator
 _COUNTED = ["lang", "fp", "f", "doc", "word"]
 
 
-def _least(doc: Column, word: Column) -> Column:
-    return F.min(F.struct(doc.isNull().alias("none"), doc.alias("doc"), word.alias("word"))).alias("at")
+def _added(rows: DataFrame, *keys: str) -> DataFrame:
+    """Counts and a pointer for each key: the least document and a word of it; numbers alone, so that Spark adds up by hashes."""
+    return rows.groupBy(*keys).agg(F.sum("f").alias("f"), F.min("doc").alias("doc"), F.min_by("word", "doc").alias("word"))
 
 
-def counted(docs: DataFrame, n: int, parts: np.ndarray | None) -> DataFrame:
-    """``(lang, fp, f, doc, word)``: fingerprints of n-grams, occurrences, and the least pointer to one.
+def counted(docs: DataFrame, n: int, parts: np.ndarray | None, bits: int = BITS) -> DataFrame:
+    """``(lang, fp, f, doc, word)``: fingerprints of n-grams, occurrences, and a pointer to one; the language is in the fingerprint.
 
     For words, a row of each language without a fingerprint counts all of them.
     With ``parts``, a table of bits, n-grams with a part of ``n - 1`` words that is not marked are passed over.
@@ -222,7 +272,7 @@ def counted(docs: DataFrame, n: int, parts: np.ndarray | None) -> DataFrame:
     shipped = None if parts is None else docs.sparkSession.sparkContext.broadcast(parts)  # at most MARK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints()
+        prints = Fingerprints(bits)
         for block in _blocks(batches, prints):
             at = block.grams(n)
             if shipped is not None:
@@ -235,68 +285,53 @@ def counted(docs: DataFrame, n: int, parts: np.ndarray | None) -> DataFrame:
                 words = np.bincount(block.lang(at), minlength=len(block.names))
                 none = pa.nulls(len(words), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(block.names, pa.string()), none, pa.array(words), none, none], _COUNTED)
-            fp, first, f = np.unique(prints.grams(block, n, at), return_index=True, return_counts=True)
-            lang = pa.array(block.names, pa.string()).take(pa.array(block.lang(at[first])))
-            yield pa.RecordBatch.from_arrays([lang, pa.array(fp.view(np.int64)), pa.array(f), *block.pointers(at[first])], _COUNTED)
+            fp = prints.grams(block, n, at)
+            first, f, _ = _first_of(fp)
+            for k in range(0, len(first), BATCH_ROWS):
+                some = first[k : k + BATCH_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.array(fp[some].view(np.int64)), pa.array(f[k : k + BATCH_ROWS]), *block.pointers(at[some])], _COUNTED)
 
     rows = docs.mapInArrow(run, "lang string, fp long, f long, doc long, word long")
-    return rows.groupBy("lang", "fp").agg(F.sum("f").alias("f"), _least(F.col("doc"), F.col("word"))).select("lang", "fp", "f", "at.doc", "at.word")
-
-
-def same_text(block: Block, at: np.ndarray, like: np.ndarray, n: int) -> bool:
-    """Whether the n-grams at ``at`` have the bytes of those at ``like``, word for word."""
-    for k in range(n):
-        a, b = at + k, like + k
-        size = block.ends[a] - block.starts[a]
-        if (size != block.ends[b] - block.starts[b]).any():
-            return False
-        raw = np.frombuffer(block.text, np.uint8)
-        run = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        if (raw[np.repeat(block.starts[a], size) + run] != raw[np.repeat(block.starts[b], size) + run]).any():
-            return False
-    return True
+    sums = _added(rows, "lang", "fp") if n == 1 else _added(rows, "fp").withColumn("lang", F.lit(None).cast("string"))
+    return sums.select(*_COUNTED)
 
 
-def verified(docs: DataFrame, prints: list[np.ndarray], longest: int) -> DataFrame:
-    """``(lang, size, phrase, f, at)``: exact counts of the phrases whose fingerprints are marked, and of some others."""
+def verified(docs: DataFrame, prints: list[np.ndarray], longest: int, bits: int = BITS) -> DataFrame:
+    """``(lang, size, phrase, f, doc, word)``: exact counts of the phrases whose fingerprints are marked, and of some others."""
     shipped = docs.sparkSession.sparkContext.broadcast(prints)  # at most ``longest`` times MARK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, fingerprints = shipped.value, Fingerprints()
+        tables, fingerprints = shipped.value, Fingerprints(bits)
         for block in _blocks(batches, fingerprints):
+            word = block.exact_words()
             for n in range(1, longest + 1):
                 at = block.grams(n)
                 fp = fingerprints.grams(block, n, at)
                 kept = marked(tables[n - 1], fp)
                 at, fp = at[kept], fp[kept]
-                if not at.size:
-                    continue
-                _, first, of, f = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
-                lang = block.lang(at)
-                if not same_text(block, at, at[first][of], n) or (lang != lang[first][of]).any():  # fingerprints collide here
+                first, f, of = _first_of(fp)
+                like, lang = at[first][of], block.lang(at)
+                if any((word[at + k] != word[like + k]).any() for k in range(n)) or (lang != lang[first][of]).any():  # fingerprints collide here
                     own: dict[tuple, int] = {}
-                    of = np.array([own.setdefault((k, block.phrase(i, n)), len(own)) for k, i in zip(lang.tolist(), at.tolist(), strict=True)])
-                    _, first, f = np.unique(of, return_index=True, return_counts=True)
-                for k in range(0, len(first), HELD_ROWS):
-                    places, counts = at[first[k : k + HELD_ROWS]], f[k : k + HELD_ROWS]
+                    first, f, _ = _first_of(np.array([own.setdefault(x, len(own)) for x in zip(lang.tolist(), *(word[at + k].tolist() for k in range(n)), strict=True)], np.int64))
+                for k in range(0, len(first), BATCH_ROWS):
+                    places = at[first[k : k + BATCH_ROWS]]
                     names = pa.array(block.names, pa.string()).take(pa.array(block.lang(places)))
-                    phrases = pa.array([block.phrase(i, n) for i in places.tolist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(places), n, np.int32)), phrases, pa.array(counts), *block.pointers(places)], ["lang", "size", "phrase", "f", "doc", "word"])
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(places), n, np.int32)), block.phrases(places, n), pa.array(f[k : k + BATCH_ROWS]), *block.pointers(places)], ["lang", "size", "phrase", "f", "doc", "word"])
 
-    rows = docs.mapInArrow(run, "lang string, size int, phrase binary, f long, doc long, word long")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"), _least(F.col("doc"), F.col("word")))
+    return _added(docs.mapInArrow(run, "lang string, size int, phrase binary, f long, doc long, word long"), "lang", "size", "phrase")
 
 
-def frequent_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """``(lang, size, phrase, f, at)`` of all phrases of up to ``longest`` words that occur so often, and ``(lang, n)``, all words."""
+def frequent_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """``(lang, size, phrase, f, doc, word)`` of all phrases of up to ``longest`` words that occur so often, and ``(lang, n)``, all words."""
     docs, tables, words = _rows(docs, doc_id, text, lang), [], None
     for n in range(1, longest + 1):
-        prints = counted(docs, n, tables[-1] if tables else None)
+        prints = counted(docs, n, tables[-1] if tables else None, bits)
         often = materialize(prints.where((F.col("f") >= min_count) | F.col("fp").isNull()), f"often-{n}")
         if n == 1:
             words = often.where("fp IS NULL").select("lang", F.col("f").alias("n"))
         tables.append(marks(often.where("fp IS NOT NULL")))
-    exact = verified(docs, tables, longest).where(F.col("f") >= min_count)
+    exact = verified(docs, tables, longest, bits).where(F.col("f") >= min_count)
     return materialize(exact, "phrases"), words
 
 
@@ -317,19 +352,19 @@ def collocations(phrases: DataFrame, words: DataFrame, top: int = TOP, cover: in
     cuts = looked_up(cuts, F.col("_right"), "r")
     # decimals hold 38 digits: a below 10 ** 16, l and r below 10 ** 19; ``div`` of whole decimals is exact
     score = F.expr("CAST(CAST(1000000 AS DECIMAL(7,0)) * (CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0))) AS BIGINT)")
-    scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "size", "a", "at").agg(F.min(F.struct("score", "k", "l", "r")).alias("_s"))
+    scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "size", "a", "doc", "word").agg(F.min(F.struct("score", "k", "l", "r")).alias("_s"))
     # what a longer candidate with enough of the occurrences holds goes
     inner = F.expr("flatten(transform(sequence(2, size - 1), s -> transform(sequence(1, size - s + 1), i -> CAST(array_join(slice(_w, i, s), ' ') AS BINARY))))")
     inside = candidates.where("size > 2").select(F.col("lang").alias("_l"), F.col("a").alias("_a"), F.explode(inner).alias("_i"))
     most = inside.groupBy("_l", "_i").agg(F.max("_a").alias("_m"))
     scored = scored.join(most, (F.col("lang") == F.col("_l")) & (F.col("phrase") == F.col("_i")) & (100 * F.col("_m") >= cover * F.col("a")), "left_anti")
-    rows = scored.select("lang", F.col("phrase").cast("string"), "phrase", "a", "at", F.col("_s.l").alias("l"), F.col("_s.r").alias("r"), F.col("_s.score").alias("score")).toDF("lang", "phrase", "_p", "a", "at", "l", "r", "score")
+    rows = scored.select("lang", F.col("phrase").cast("string"), "phrase", "a", "doc", "word", F.col("_s.l").alias("l"), F.col("_s.r").alias("r"), F.col("_s.score").alias("score")).toDF("lang", "phrase", "_p", "a", "first_doc", "first_word", "l", "r", "score")
     best = [F.col("score").desc(), F.col("a").desc(), F.col("_p").asc()]
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*best)).cast("long")
     # a task sees at most ``top`` rows of each salt
     some = rows.withColumn("_salt", F.pmod(F.xxhash64("_p"), F.lit(SALTS))).withColumn("_k", first("lang", "_salt")).where(F.col("_k") <= top)
     ranked = some.withColumn("rank", first("lang")).where(F.col("rank") <= top)
-    return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", F.col("at.doc").alias("first_doc"), F.col("at.word").alias("first_word"))
+    return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "first_doc", "first_word")
 
 
 def op11_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
