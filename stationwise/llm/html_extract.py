@@ -10,8 +10,9 @@ aligned pages have in common decides:
   way, headings and paragraphs stay, and other slots with ``SIDE_SHARE`` of the way's words; the rest goes.
 
 Pages that do not have that way are aligned anew among themselves.  A page without enough fellows is judged alone, by its
-own words and by an article or main element if it has one.  In every page, elements whose name, class, id or role says menu,
-header, footer, sidebar, notice, advert, form or comments are left out; nothing else inside the article is.
+own words and by an article or main element if it has one.  Elements whose name, class, id or role says menu, header, footer,
+sidebar, notice, advert, form or comments are left out, but inside an article that the alignment has found, a class or id that
+says so is believed of adverts and comments alone; of other things only where most words are links.
 
 A null or empty html gives an empty text; a null URL or one without a host shares the host "".  Unclosed and
 misnested tags are repaired as browsers do for paragraphs, list items and table cells; an unclosed script or style reaches
@@ -49,14 +50,14 @@ _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Fixed sets of HTML element names.
-_RAW = frozenset("script style textarea title noscript template svg math iframe object select xmp noembed noframes".split())
+_RAW = frozenset("script style textarea title noscript template svg iframe object select xmp noembed noframes".split())
 _TO_END = frozenset("script style textarea title iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_SHUT = frozenset("nav footer aside form menu dialog button label head fieldset video audio canvas".split())
+_SHUT = frozenset("nav footer aside form menu dialog button head fieldset video audio canvas".split())
 _ENDS_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "li", "dt", "dd"} | {"li", "dt", "dd"}
 _P, _NOT_P = frozenset({"p"}), _BLOCK - {"p"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -73,14 +74,16 @@ _OUT = frozenset(
     "comment comments commentlist disqus respond reply replies discussion "
     "related recommended recommendations share sharing social widget widgets skip hidden".split()
 )
+# Those of them that say so inside an article, too.
+_HARD = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments commentlist disqus respond".split())
 _IN = frozenset("content article post entry story main text body prose page".split())
 
 
 class Node:
-    __slots__ = ("children", "label", "linked", "out", "parts", "shape", "tag", "text", "up", "value", "words")
+    __slots__ = ("children", "hard", "label", "linked", "out", "parts", "shape", "tag", "text", "up", "value", "words")
 
     def __init__(self, tag: str, label: str, out: int, up: Node | None):
-        self.tag, self.label, self.out, self.up = tag, label, out, up
+        self.tag, self.label, self.out, self.up, self.hard = tag, label, out, up, True
         self.children: list[Node] = []
         self.text: str | None = None  # of a leaf, one block
         self.words = self.linked = 0
@@ -88,19 +91,23 @@ class Node:
 
 def _open(tag: str, attrs: str, up: Node) -> Node:
     label, out = tag, 2 if tag in _SHUT else 0
+    hard = out or tag == "header"
     if attrs:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                out = 2
+                out = hard = 2
                 continue
             parts = {p.lower() for p in _PART.findall(value)}
             label += f" {name}={re.sub(r'[0-9]+', '#', value)}"
             if parts & _OUT:
                 out = max(out, 1 if parts & _IN else 2)
+                hard = hard or parts & _HARD
     if tag == "header":
         out = max(out, 1)
-    return Node(tag, label, out, up)
+    node = Node(tag, label, out, up)
+    node.hard = bool(hard)
+    return node
 
 
 def parse(text: str) -> list[Node]:
@@ -417,25 +424,29 @@ def alone(page: Node) -> list[Node]:
         node = best
 
 
-def blocks(tops: list[Node], gone: set[int], total: int) -> str:
-    """The text below ``tops`` in page order, without what is gone or says that it is no article."""
+def blocks(tops: list[Node], gone: set[int], total: int, article: Node | None = None) -> str:
+    """The text below ``tops`` in page order, without what is gone or says that it is no article.
+
+    Below ``article``, which fellows have told, what only says so stays unless most of its words are links.
+    """
     out: list[str] = []
-    todo = [(n, False) for n in reversed(tops)]
+    todo = [(n, False, n is article) for n in reversed(tops)]
     while todo:
-        node, heads = todo.pop()
+        node, heads, inside = todo.pop()
         if id(node) in gone and node not in tops:
             continue
         if node.text is not None:
             if not heads:
                 out.append(node.text)
             continue
-        if node not in tops and (node.out == 2 or node.out == 1 and node.words < 0.5 * total):
+        told = node.hard or not inside or 2 * node.linked >= max(1, node.words)
+        if node not in tops and told and (node.out == 2 or node.out == 1 and node.words < 0.5 * total):
             if node.out == 2 or node.tag != "header":
                 continue
             heads = True  # a header's headings belong to the article that it heads
         elif heads and node.tag in ("h1", "h2", "h3"):
             heads = False
-        todo += [(c, heads) for c in reversed(node.children)]
+        todo += [(c, heads, inside or c is article) for c in reversed(node.children)]
     return "\n".join(out)
 
 
@@ -453,11 +464,13 @@ def texts_of(pages: list[str]) -> list[str]:
         for k in left:
             wrapper.add(trees[k])
         way = wrapper.way()
+        last = way[0][-1]
+        of = dict(zip(left, wrapper.pages, strict=True))
         gone = {k: wrapper.gone(found, *way) for k, found in zip(left, wrapper.pages, strict=True)}
         fit = [k for k in left if gone[k] is not None]
         for k in fit:
             if len(fit) >= CONSTANT_PAGES:
-                out[k] = blocks([trees[k]], gone[k], trees[k].words)
+                out[k] = blocks([trees[k]], gone[k], trees[k].words, of[k][last][0] if last else None)
             else:
                 out[k] = blocks(alone(trees[k]), set(), trees[k].words)
         if not fit:
