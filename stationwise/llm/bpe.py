@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -54,43 +55,47 @@ def byte_letters() -> dict[str, int]:
 
 
 def _ranges_of(codes: list[int]) -> str:
+    if not codes:
+        return ""
     at = np.array(codes, np.int64)
     cuts = np.flatnonzero(np.diff(at) > 1)
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(at[np.append(0, cuts + 1)], at[np.append(cuts, at.size - 1)], strict=True))
 
 
+#: The pre-tokenizer's pattern in the standard library's classes, which are faster and differ in few characters.
+_PLAIN = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+
+
 @dataclass(frozen=True)
 class WordPattern:
-    """The pre-tokenizer's pattern: a plain one, and one for texts with characters of the class ``newer``, all of the class ``beyond``."""
+    """The pre-tokenizer's pattern, and a class with all characters for which the plain one does not do."""
 
-    plain: str
     full: str
-    newer: str
-    beyond: str
+    odd: str
 
     def finder(self):
-        plain, full, newer, beyond = (regex.compile(p) for p in (self.plain, self.full, self.newer, self.beyond))
-        return lambda text: (plain if text.isascii() or beyond.search(text) is None or newer.search(text) is None else full).findall(text)
-
-
-def _pattern(letters: str, numbers: str) -> str:
-    return rf"(?V1)'(?:[stmd]|re|ve|ll)| ?{letters}+| ?{numbers}+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+        plain, odd, full = re.compile(_PLAIN).findall, re.compile(self.odd).search, regex.compile(self.full).findall
+        return lambda text: full(text) if odd(text) else plain(text)
 
 
 @cache
 def word_pattern() -> WordPattern:
-    """Patterns with the letters and numbers that the tokenizers library knows."""
+    """The pattern with the letters and numbers that the tokenizers library knows."""
     from tokenizers import pre_tokenizers
 
     split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
-    newer = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn"]
-    classes, unknown = {}, []
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    newer = "".join(c for c in every if unicodedata.category(c) == "Cn")
+    classes = {}
     for kind, like in (("L", "a"), ("N", "1")):
-        named = set(regex.findall(rf"\p{{{kind}}}", "".join(newer)))
-        gone = [ord(c) for c in newer if c in named and len(split(like + c)) > 1]
+        gone = [ord(c) for c in regex.findall(rf"\p{{{kind}}}", newer) if len(split(like + c)) > 1]
         classes[kind] = rf"[\p{{{kind}}}--[{_ranges_of(gone)}]]" if gone else rf"\p{{{kind}}}"
-        unknown += gone
-    return WordPattern(_pattern(r"\p{L}", r"\p{N}"), _pattern(classes["L"], classes["N"]), f"[{_ranges_of(sorted(unknown))}]" if unknown else r"(?!)", rf"[\U{min(unknown, default=0x10FFFF):08x}-\U0010ffff]")
+    letters, numbers = classes["L"], classes["N"]
+    odd = set()
+    for own, plain in ((letters, r"[^\W\d_]"), (numbers, r"\d"), (r"\s", r"\s")):
+        odd |= set(regex.findall(f"(?V1){own}", every)) ^ set(re.findall(plain, every))
+    full = rf"(?V1)'(?:[stmd]|re|ve|ll)| ?{letters}+| ?{numbers}+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+    return WordPattern(full, f"[{_ranges_of(sorted(ord(c) for c in odd if c < '\U00010000'))}\U00010000-\U0010ffff]")  # one range beyond: a class of many is slow there
 
 
 @dataclass(frozen=True)
