@@ -42,10 +42,14 @@ def daily(r: DataFrame) -> DataFrame:
 
 
 def grid(d: DataFrame) -> DataFrame:
-    """Every sensor on every day from the first to the last; ``value`` is null and ``hours`` 0 where a day is missing."""
-    bounds = d.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    days = d.select("sensor_id", "city").distinct().crossJoin(F.broadcast(bounds))  # one row of bounds
-    days = days.select("sensor_id", "city", F.explode(F.sequence("lo", "hi")).alias("date"))
+    """Every sensor on every day from the first to the last; ``value`` is null and ``hours`` 0 where a day is missing.
+
+    The days' bounds come from the same small table as the sensors, so that Spark makes it once.
+    """
+    own = d.groupBy("sensor_id", "city").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    bounds = own.agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"))
+    days = own.crossJoin(F.broadcast(bounds))  # one row of bounds
+    days = days.select("sensor_id", "city", F.explode(F.sequence(F.least("lo", "_lo"), F.greatest("hi", "_hi"))).alias("date"))
     return days.join(d.select("sensor_id", "date", "value", "hours"), ["sensor_id", "date"], "left").withColumn("hours", F.coalesce("hours", F.lit(0)))
 
 
