@@ -4,15 +4,15 @@ Texts become blocks of words.  A prefix polynomial over the bytes of a block giv
 one over the words' hashes the fingerprint of every n-gram: each is a difference of two prefix values times a power, for all
 n-grams at once in numpy, modulo 2 to the 64th, finished by a mixer.  A fingerprint stands for a language, a length and words.
 
-Scans go by length.  Each sums a block's occurrences by fingerprint, with a pointer to the first of them (document, word),
+Scans go by length.  Each sums a block's occurrences by fingerprint, with a pointer to the first document that holds it,
 and the shuffle adds the sums up.  An n-gram cannot be frequent unless the n-grams within it are, so a
 scan passes over those whose parts are not marked in a table of bits that the scan before left; that table's size
 follows the number of frequent fingerprints, checked, up to ``MARK_BYTES``, beyond which more n-grams are counted in vain and none is missed.
 
 Fingerprints that collide only add up to too much, so all frequent phrases are among the frequent fingerprints.  A last scan
 counts by text: within a block, each word's bytes are compared with those of the first word of its hash, and each n-gram's words with
-those at its fingerprint's pointer; where any differ the block is counted by the words themselves.  Phrases are cut from the
-text there, for marked fingerprints only.
+those of its fingerprint's first occurrence; where any differ the block is counted by the words themselves.  Phrases are cut from
+the text there, for marked fingerprints only, and carry a pointer to a document and a word of it.
 So the counts of phrases are exact whatever collides.
 
 Defined results: null and empty texts have no words; a null language is ``und``; rows that repeat an id or all of a row
@@ -255,16 +255,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], prints: Fingerprints) -> Iterator
         yield prints.block(entries)
 
 
-_COUNTED = ["lang", "fp", "f", "doc", "word"]
-
-
-def _added(rows: DataFrame, *keys: str) -> DataFrame:
-    """Counts and a pointer for each key: the least document and a word of it; numbers alone, so that Spark adds up by hashes."""
-    return rows.groupBy(*keys).agg(F.sum("f").alias("f"), F.min("doc").alias("doc"), F.min_by("word", "doc").alias("word"))
+_COUNTED = ["lang", "fp", "f", "doc"]
 
 
 def counted(docs: DataFrame, n: int, parts: np.ndarray | None, bits: int = BITS) -> DataFrame:
-    """``(lang, fp, f, doc, word)``: fingerprints of n-grams, occurrences, and a pointer to one; the language is in the fingerprint.
+    """``(lang, fp, f, doc)``: fingerprints of n-grams, occurrences, and the least document with one; the language is in the fingerprint.
 
     For words, a row of each language without a fingerprint counts all of them.
     With ``parts``, a table of bits, n-grams with a part of ``n - 1`` words that is not marked are passed over.
@@ -284,16 +279,16 @@ def counted(docs: DataFrame, n: int, parts: np.ndarray | None, bits: int = BITS)
             if n == 1:
                 words = np.bincount(block.lang(at), minlength=len(block.names))
                 none = pa.nulls(len(words), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(block.names, pa.string()), none, pa.array(words), none, none], _COUNTED)
+                yield pa.RecordBatch.from_arrays([pa.array(block.names, pa.string()), none, pa.array(words), none], _COUNTED)
             fp = prints.grams(block, n, at)
             first, f, _ = _first_of(fp)
             for k in range(0, len(first), BATCH_ROWS):
                 some = first[k : k + BATCH_ROWS]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.array(fp[some].view(np.int64)), pa.array(f[k : k + BATCH_ROWS]), *block.pointers(at[some])], _COUNTED)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.array(fp[some].view(np.int64)), pa.array(f[k : k + BATCH_ROWS]), block.pointers(at[some])[0]], _COUNTED)
 
-    rows = docs.mapInArrow(run, "lang string, fp long, f long, doc long, word long")
-    sums = _added(rows, "lang", "fp") if n == 1 else _added(rows, "fp").withColumn("lang", F.lit(None).cast("string"))
-    return sums.select(*_COUNTED)
+    rows = docs.mapInArrow(run, "lang string, fp long, f long, doc long")
+    sums = [F.sum("f").alias("f"), F.min("doc").alias("doc")]  # numbers alone, so that Spark adds up by hashes
+    return (rows.groupBy("lang", "fp").agg(*sums) if n == 1 else rows.groupBy("fp").agg(*sums).withColumn("lang", F.lit(None).cast("string"))).select(*_COUNTED)
 
 
 def verified(docs: DataFrame, prints: list[np.ndarray], longest: int, bits: int = BITS) -> DataFrame:
@@ -319,7 +314,8 @@ def verified(docs: DataFrame, prints: list[np.ndarray], longest: int, bits: int
                     names = pa.array(block.names, pa.string()).take(pa.array(block.lang(places)))
                     yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(places), n, np.int32)), block.phrases(places, n), pa.array(f[k : k + BATCH_ROWS]), *block.pointers(places)], ["lang", "size", "phrase", "f", "doc", "word"])
 
-    return _added(docs.mapInArrow(run, "lang string, size int, phrase binary, f long, doc long, word long"), "lang", "size", "phrase")
+    rows = docs.mapInArrow(run, "lang string, size int, phrase binary, f long, doc long, word long")
+    return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"), F.min("doc").alias("doc"), F.min_by("word", "doc").alias("word"))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", bits: int = BITS) -> tuple[DataFrame, DataFrame]:
