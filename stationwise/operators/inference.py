@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from stationwise.functions.exprs import haversine_km, ratio
 from stationwise.operators.panel import six
 from stationwise.operators.sampling import _median_error, drawn_sql, period, simulate
-from stationwise.operators.spatial import BAND_KM, LINKS, within
-from stationwise.plans.registry import READINGS_SQL, query
+from stationwise.operators.spatial import _HAVERSINE, BAND_KM, LINKS, within
+from stationwise.plans.registry import READINGS_SQL, SITES_SQL, query
 from stationwise.sources.panel import daily, grid, readings, sites
+from stationwise.sources.scratch import written
 
 PERMUTATIONS, FOLDS, DESIGN = 199, 5, 6
 
@@ -149,7 +150,8 @@ def nested_weekly_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def farthest_first(s: DataFrame, n: int) -> DataFrame:
     """``(city, place, sensor_id)``: per city, from the sensor nearest the centre on, always that farthest from those chosen.
 
-    Each step is one aggregate over the sensors, which carry their distance to the chosen ones.
+    Each step is one aggregate over the sensors, which carry their distance to the chosen ones; they and the choice are written
+    between steps, so that no step does the work of those before it.
     """
     w = Window.partitionBy("city")
     far = s.withColumn("clat", F.avg("lat").over(w)).withColumn("clon", F.avg("lon").over(w)).withColumn("km", -haversine_km("lat", "lon", "clat", "clon"))
@@ -157,14 +159,23 @@ def farthest_first(s: DataFrame, n: int) -> DataFrame:
     rows = far.select("city", "sensor_id", "lat", "lon", "km")
     for place in range(1, n + 1):
         best = rows.groupBy("city").agg(F.max_by(F.struct("sensor_id", "lat", "lon"), F.struct(F.round("km", 9), -F.col("sensor_id").cast("long"))).alias("p"))
-        best = best.select("city", F.lit(place).alias("place"), "p.sensor_id", F.col("p.lat").alias("plat"), F.col("p.lon").alias("plon"))
+        best = written(best.select("city", F.lit(place).alias("place"), "p.sensor_id", F.col("p.lat").alias("plat"), F.col("p.lon").alias("plon")), "farthest")
         out = best.select("city", "place", "sensor_id") if out is None else out.unionByName(best.select("city", "place", "sensor_id"))
         joined = rows.join(best.select("city", F.col("sensor_id").alias("chosen"), "plat", "plon"), "city").where("sensor_id <> chosen")
         new = haversine_km("lat", "lon", "plat", "plon")
-        rows = joined.select("city", "sensor_id", "lat", "lon", (new if place == 1 else F.least("km", new)).alias("km"))
+        rows = written(joined.select("city", "sensor_id", "lat", "lon", (new if place == 1 else F.least("km", new)).alias("km")), "distances")
     return out
 
 
-@query()
+def _farthest_sql(n: int) -> str:
+    km = lambda other: _HAVERSINE.format(a="site", b=other)
+    steps = [f"c1 AS (SELECT city, 1 AS place, sensor_id, id, lat, lon FROM (SELECT site.*, row_number() OVER (PARTITION BY site.city ORDER BY round({km('m')}, 9), id) AS k FROM site JOIN m ON m.city = site.city) WHERE k = 1)"]
+    for place in range(2, n + 1):
+        chosen = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(1, place))
+        steps.append(f"""c{place} AS (SELECT city, {place} AS place, sensor_id, id, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY round(km, 9) DESC, id) AS k FROM (SELECT site.city, site.sensor_id, site.id, site.lat, site.lon, min({km("ch")}) AS km FROM site JOIN ({chosen}) ch ON ch.city = site.city GROUP BY ALL HAVING bool_and(ch.id <> site.id))) WHERE k = 1)""")
+    return f"WITH {SITES_SQL}, m AS (SELECT city, avg(lat) AS lat, avg(lon) AS lon FROM site GROUP BY 1), {', '.join(steps)} " + " UNION ALL ".join(f"SELECT city, CAST(place AS INTEGER) AS place, sensor_id FROM c{k}" for k in range(1, n + 1))
+
+
+@query(_farthest_sql(DESIGN))
 def equidistant_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return farthest_first(sites(readings(spark, sf_dir)), DESIGN)

@@ -17,6 +17,7 @@ from stationwise.plans.registry import READINGS_SQL, query
 from stationwise.sources.panel import daily, grid, load, readings
 
 W = f"WITH {READINGS_SQL} "
+KS_RANGES = 128
 
 
 @query(LINES + """, x AS (SELECT value, CASE WHEN month(date) IN (12, 1, 2) THEN 1 ELSE 0 END AS w FROM d), v AS (SELECT value, sum(w) AS a, count(*) - sum(w) AS b FROM x GROUP BY value), n AS (SELECT CAST(sum(w) AS DOUBLE) AS na, CAST(count(*) - sum(w) AS DOUBLE) AS nb FROM x),
@@ -24,15 +25,15 @@ c AS (SELECT sum(a) OVER (ORDER BY value) / na AS fa, sum(b) OVER (ORDER BY valu
 def ks_winter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of winter against the other days.
 
-    Running counts come from a range partitioning of the values: within each range, after the counts of the ranges before.
+    Running counts come from a range partitioning of the values, at sampled quantiles so that a heavy tail fills no range:
+    within each range, after the counts of the ranges before.
     """
     x = official(spark, sf_dir).select("value", (season(F.month("date")) == "DJF").cast("long").alias("w"))
     v = x.groupBy("value").agg(F.sum("w").alias("a"), F.sum(1 - F.col("w")).alias("b"))
-    span = x.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    cell = F.least(F.lit(1023), F.floor(1024 * ratio(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")))).cast("int")
-    v = v.crossJoin(F.broadcast(span)).withColumn("cell", F.coalesce(cell, F.lit(0)))
+    cuts = v.agg(F.percentile_approx("value", F.array(*[F.lit(k / KS_RANGES) for k in range(1, KS_RANGES)]), F.lit(100 * KS_RANGES)).alias("cuts"))
+    v = v.crossJoin(F.broadcast(cuts)).withColumn("cell", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).drop("cuts")
     totals = v.groupBy("cell").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 1,024 rows
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most KS_RANGES rows
     totals = totals.select("cell", F.coalesce(F.sum("ta").over(before), F.lit(0)).alias("pa"), F.coalesce(F.sum("tb").over(before), F.lit(0)).alias("pb"))
     n = x.agg(F.sum("w").cast("double").alias("na"), F.sum(1 - F.col("w")).cast("double").alias("nb"))
     inside = Window.partitionBy("cell").orderBy("value")
@@ -127,8 +128,8 @@ y AS (SELECT *, w - (2.515517::DOUBLE + 0.802853::DOUBLE * w + 0.010328::DOUBLE
 def bonferroni_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensors whose t interval, corrected for as many tests as there are sensors, excludes the network mean."""
     d = daily(readings(spark, sf_dir))
-    u = _gls(d).where("n >= 3").crossJoin(F.broadcast(d.agg(F.avg("value").alias("ref"))))
-    u = u.withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy()))  # a row per sensor
+    tests = d.groupBy("sensor_id").agg(F.count("value").alias("n")).where("n >= 3").agg(F.count(F.lit(1)).alias("tests"))
+    u = _gls(d).where("n >= 3").crossJoin(F.broadcast(d.agg(F.avg("value").alias("ref")))).crossJoin(F.broadcast(tests))  # a row each
     bound = t_bound(1 - F.lit(0.025) / F.col("tests"), (F.col("n") - 1).cast("double"))
     out = F.abs(F.col("num") / F.col("info") - F.col("ref")) > bound * F.col("sd") / F.sqrt("info")
     return u.agg(F.count(F.lit(1)).alias("n_sensors"), F.count_if(out).alias("n_outside"))
