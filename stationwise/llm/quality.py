@@ -34,9 +34,9 @@ WHOLE_LIMITS = (
 #: (bytes, lowest ratio, highest ratio) of chunks, and the share of a text's chunks that may lie outside.
 CHUNK_LIMITS = ((512, 1.28, 2.70), (1_024, 1.45, 3.40), (4_096, 1.75, 4.50))
 CHUNK_SHARE = 0.2
-#: ``fit_limits`` reads the texts of at most so many labelled documents, widens what it finds by this share, and
-#: finds nothing from fewer texts of a length than this.
-FIT_ROWS, FIT_MARGIN, FIT_LEAST = 20_000, 0.05, 100
+#: ``fit_limits`` widens what it finds by this share, finds nothing from fewer texts of a length than this, and counts
+#: ratios in so many steps to a doubling.
+FIT_MARGIN, FIT_LEAST, FIT_STEPS = 0.05, 100, 1_024
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
@@ -147,15 +147,14 @@ def keep_good(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> Da
     return docs.withColumn("_q", quality_column(text, bands)).where("_q.kept").drop("_q")
 
 
-def fit_limits(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = FIT_ROWS, margin: float = FIT_MARGIN, least: int = FIT_LEAST) -> Bands:
+def fit_limits(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", margin: float = FIT_MARGIN, least: int = FIT_LEAST) -> Bands:
     """Bands around the labelled documents of good quality: the 1st and 99th percentile by length, widened by ``margin``.
 
     Lengths are sorted by doublings; one with fewer than ``least`` texts keeps the wide limits, as does a size of chunks that
-    fewer texts have.  Chunk limits hold the least and the largest chunk of 99 % of the texts.  The ``most`` documents with
-    the least hashes of their ids are read.
+    fewer texts have.  Chunk limits hold the least and the largest chunk of 99 % of the texts.  All labelled documents count:
+    ratios are taken where the texts are read, and only they meet the labels; texts are not shuffled.
     """
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_l")).distinct().orderBy(F.xxhash64("_l")).limit(most)
-    rows = docs.join(F.broadcast(good), F.col(doc_id) == F.col("_l")).where(F.length(text) > 0).select(F.col(text).alias("text"))  # at most ``most`` ids
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_l")).distinct()
     sizes = [size for size, _, _ in CHUNK_LIMITS]
 
     @F.pandas_udf("array<struct<size: int, length: int, low: double, high: double>>")
@@ -172,9 +171,17 @@ def fit_limits(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
                 out.append([dict(zip(("size", "length", "low", "high"), f, strict=True)) for f in found])
             yield pd.Series(out)
 
-    found = rows.select(F.inline(ratios("text"))).groupBy("size", "length")
+    taken = docs.where(F.length(text) > 0).select(F.col(doc_id).alias("_d"), ratios(text).alias("_r"))
+    found = taken.join(good, F.col("_d") == F.col("_l")).select(F.inline("_r"))
+    step = lambda c: F.round(F.log2(c) * FIT_STEPS).cast("int")
+    ends = F.inline(F.array(*[F.struct(F.lit(c == "high").alias("upper"), step(c).alias("step")) for c in ("low", "high")]))
+    counts = found.select("size", "length", ends).groupBy("size", "length", "upper", "step").count()  # bounded, however many texts there are
+    edge = lambda upper, share: F.percentile(F.when(F.col("upper") == upper, F.col("step")), share, F.col("count"))
     # at most a row for each doubling and chunk size
-    limits = found.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("low", 0.01).alias("low"), F.percentile_approx("high", 0.99).alias("high")).where(F.col("n") >= least).collect()
+    limits = (
+        counts.groupBy("size", "length").agg(F.sum(F.when(F.col("upper"), F.col("count"))).alias("n"), edge(False, 0.01).alias("low"), edge(True, 0.99).alias("high"))
+        .where(F.col("n") >= least).select("size", "length", *[F.pow(F.lit(2.0), F.col(c) / FIT_STEPS).alias(c) for c in ("low", "high")]).collect()
+    )
     fitted = {(r["size"], r.length): (r.low * (1 - margin), r.high * (1 + margin)) for r in limits}
     wide = {(0, n): (low, high) for n, low, high in WHOLE_LIMITS} | {(n, n): (low, high) for n, low, high in CHUNK_LIMITS}
     both = sorted((wide | fitted).items())

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 from test_text_operators import junk, prose
 
 from stationwise.llm import quality
@@ -38,3 +40,18 @@ def test_a_length_with_few_texts_keeps_the_wide_limits(spark):
     wide = {n: x for n, *x in quality.WHOLE_LIMITS}
     assert {n for n, *x in bands.whole if wide.get(n) != x} == {1_024}
     assert [n for n, _, _ in bands.chunks] == [n for n, _, _ in quality.CHUNK_LIMITS]
+
+
+def test_limits_come_from_all_labelled_texts(spark):
+    rng = random.Random(8)
+    texts, odd = [prose(rng, 700).decode() for _ in range(50)], "so it goes on and on. " * 32
+    ids = [r.id for r in spark.range(25_000).orderBy(F.xxhash64("id")).collect()]
+    # the 300 odd texts have the largest hashes: the 20,000 least ones, which were read before, do not show them
+    kinds = spark.createDataFrame([(i, k % 50 if k < 24_700 else 50) for k, i in enumerate(ids)], "doc_id long, k int")
+    docs = kinds.join(spark.createDataFrame(list(enumerate([*texts, odd])), "k int, text string"), "k")
+    bands = quality.fit_limits(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    low, high = next(x for n, *x in bands.whole if n == 512)
+    z = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    ratios = [len(t) / len(z.compress(t.encode())) for t in [*texts, odd]]
+    assert low == pytest.approx(min(ratios) * 0.95, rel=0.001)
+    assert high == pytest.approx(max(ratios) * 1.05, rel=0.001)
