@@ -7,6 +7,9 @@ as 32-bit places.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain, count
+
 import numpy as np
 
 
@@ -67,7 +70,7 @@ def suffix_order(rank: np.ndarray) -> np.ndarray:
         nxt = np.zeros(n, np.int64)
         nxt[: n - step] = rank[step:]
         key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # only equal keys, which get one rank, may change places
         key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(1, key[1:] != key[:-1]))
@@ -83,16 +86,16 @@ class FMIndex:
         if not 1 < window < 256:
             raise ValueError(f"windows have 2 to 255 words, not {window}")
         self.window, m = window, len(texts)
-        self.number: dict[bytes, int] = {}
-        for t in texts:
-            for w in t:
-                self.number.setdefault(w, len(self.number) + 1)
+        fresh: defaultdict[bytes, int] = defaultdict(count(1).__next__)
         lengths = np.array([len(t) for t in texts])
+        coded = np.fromiter(map(fresh.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
+        self.number: dict[bytes, int] = dict(fresh)
+        self._own = np.split(coded, np.cumsum(lengths)[:-1])
         ends = np.cumsum(lengths + 1) - 1
         n = self.n = int(ends[-1]) + 1
         seq, is_word = np.zeros(n, np.int64), np.ones(n, bool)
         is_word[ends] = False
-        seq[is_word] = np.fromiter((self.number[w] for t in texts for w in t), np.int64, n - m)
+        seq[is_word] = coded
         order = np.where(is_word, seq + m, 0)
         order[ends] = np.arange(m)
         sa = suffix_order(order)
@@ -103,11 +106,13 @@ class FMIndex:
         # how many words neighbours in the suffix array share, up to the window; 0 before the first and after the last
         common, alive = np.zeros(n + 1, np.uint8), np.arange(1, n)
         padded = np.append(seq, np.zeros(window, np.int64))
+        here, above = sa[1:].copy(), sa[:-1].copy()  # places in the sequence, moved on from word to word
         for k in range(window):
-            a, b = padded[sa[alive] + k], padded[sa[alive - 1] + k]
-            alive = alive[(a == b) & (a > 0)]
-            if not len(alive):
+            a = padded[here]
+            same = np.flatnonzero((a == padded[above]) & (a > 0))
+            if not len(same):
                 break
+            alive, here, above = alive[same], here[same] + 1, above[same] + 1
             common[alive] = k + 1
         self.common = common
         self.low = np.append(common, np.zeros(-len(common) % 64, np.uint8)).reshape(-1, 64).min(1)  # in each 64
@@ -122,6 +127,11 @@ class FMIndex:
         """The numbers of a text's words; 0 for words that the index does not have."""
         return np.fromiter((self.number.get(w, 0) for w in text), np.int64, len(text))
 
+    def own_texts(self) -> list[np.ndarray]:
+        """The texts that were indexed, encoded; given once."""
+        texts, self._own = self._own, []
+        return texts
+
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes of [lo, hi) with ``symbol`` put before them."""
         return self.first[symbol] + self.bwt.rank(symbol, lo), self.first[symbol] + self.bwt.rank(symbol, hi)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from stationwise.llm.common import materialize, table, without
 from stationwise.llm.fm_index import FMIndex
-from stationwise.llm.hashing import WordHashes, runs
+from stationwise.llm.hashing import runs, word_edges, word_hashes
 
 WINDOW, ANCHOR, HOT, SHARD_CONTEXTS = 50, 20, 20_000, 4_000
 _PLACE = 22  # bits of a packed key that hold a place
@@ -40,10 +40,12 @@ class Canonical:
     """A text's words joined by one space, and where each begins."""
 
     def __init__(self, text: str):
-        self.words = text.encode("utf-8", "surrogatepass").split()
-        self.joined = b" ".join(self.words)
-        self.at = np.zeros(len(self.words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1, out=self.at[1:])
+        self.joined = b" ".join(text.encode("utf-8", "surrogatepass").split())
+        starts, ends = word_edges(self.joined)
+        self.at = np.append(starts, ends[-1:] + 1) if len(starts) else np.zeros(1, np.int64)
+
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.joined, self.at[:-1], self.at[1:] - 1)
 
     def stretches(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
         """The words from ``start`` to before ``end``, joined."""
@@ -89,9 +91,9 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     kind = docs.schema["k_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [contexts(hashes.of(t.encode("utf-8", "surrogatepass").split()), window, anchor)[2] for t in batch.column(1).to_pylist()]
+            raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            found = [contexts(word_hashes(t, *word_edges(t)), window, anchor)[2] for t in raw]
             if found:
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 rows = pa.table({"anchor": pa.array(np.concatenate(found).view(np.int64)), "k_id": batch.column(0).take(take)})
@@ -106,14 +108,13 @@ def _contexts(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     kind = docs.schema["k_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 found, digests = [], []
                 for t in part.column(2).to_pylist():
                     text = Canonical(t)
-                    start, n, grams = contexts(hashes.of(text.words), window, anchor)
+                    start, n, grams = contexts(text.hashes(), window, anchor)
                     found.append((start, n, grams))
                     digests.append(_digests(text.stretches(start, start + n + window - 1)))
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
@@ -137,12 +138,11 @@ def _finer(located: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     kind = docs.schema["k_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for k in range(batch.num_rows):
                 text = Canonical(batch.column(2)[k].as_py())
                 at = np.concatenate([np.arange(p["at"], p["at"] + p["n"]) for p in batch.column(3)[k].as_py()])
-                own = runs(hashes.of(text.words), window)[at]
+                own = runs(text.hashes(), window)[at]
                 take = pa.array(np.full(len(at), k))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(np.ones(len(at), np.int32)), pa.array(own.view(np.int64)), _digests(text.stretches(at, at + window))], _CONTEXT
@@ -183,7 +183,7 @@ def _searched(parts: DataFrame, window: int) -> DataFrame:
             own = np.array([number[rows[k][0]] for k in keys])
             texts = [rows[k][1].split(b" ") for k in keys]
             index = FMIndex(texts, own, window)
-            least = index.matching([index.encode(t) for t in texts])[1]
+            least = index.matching(index.own_texts())[1]
             early = [ranges((w[: len(w) - window + 1] >= 0) & (w[: len(w) - window + 1] < o)) for w, o in zip(least, own, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), pa.array(early, span)], ["anchor", "context", "early"])
 
