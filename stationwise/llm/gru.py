@@ -52,7 +52,7 @@ class Model:
         return replace(self, **out)
 
     def copy(self) -> Model:
-        return self.filled(self.flat())
+        return replace(self, **{k: getattr(self, k).copy() for k in _DENSE + _SPARSE})
 
 
 def class_cuts(counts: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def _gates(m: Model, h: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, tupl
     out = h - new
     out *= keep
     out += new
-    return out, (h, reset, keep, new, own[:, 2 * k :])
+    return out, (h, reset, keep, new, own[:, 2 * k :].copy())
 
 
 def advance(m: Model, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -241,10 +241,10 @@ def gradients(m: Model, h: np.ndarray, ids: np.ndarray, fresh_at: np.ndarray, re
     up = np.zeros((steps * lanes, k), np.float32)
     up[order] = own_up
     up = up.reshape(steps, lanes, k)
-    dx, carry = np.empty((steps, lanes, 3 * k), np.float32), np.zeros((lanes, k), np.float32)
-    d_own = np.empty_like(dx)
+    dx, carry = x, np.zeros((lanes, k), np.float32)  # the gates' parts have been read
+    d_own, g["rec"] = np.empty_like(dx[0]), np.zeros_like(m.rec)
     for t in range(steps - 1, -1, -1):
-        old, reset, keep, new, own = back[t]
+        old, reset, keep, new, own = back.pop()
         passed, now = 1 - keep, dx[t]
         d_new = now[:, 2 * k :]
         np.multiply(carry, passed, out=d_new)
@@ -255,13 +255,13 @@ def gradients(m: Model, h: np.ndarray, ids: np.ndarray, fresh_at: np.ndarray, re
         passed *= keep
         passed *= carry
         np.multiply(old - new, passed, out=now[:, k : 2 * k])
-        d_own[t] = now
-        d_own[t][:, 2 * k :] *= reset
+        d_own[...] = now
+        d_own[:, 2 * k :] *= reset
+        g["rec"] += seen[t].T @ d_own
         carry = carry * keep
-        carry += d_own[t] @ m.rec.T
+        carry += d_own @ m.rec.T
         carry += up[t]
         carry[fresh_at[t]] = 0
-    g["rec"] = seen.reshape(-1, k).T @ d_own.reshape(-1, 3 * k)
     dx = dx.reshape(-1, 3 * k)
     g["bias"], g["into"] = dx.sum(0), given.T @ dx
     order = np.argsort(tok, kind="stable")
@@ -275,7 +275,7 @@ def train(m: Model, docs: list[np.ndarray], rate: float, steps: int = STEPS, mos
     The documents lie one after another in lanes of equal length; a state starts anew where a document does.  Weights
     of the recurrent cell and of the classes move by Adam at ``rate``, rows of words by Adagrad at 20 times that.
     """
-    flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
+    flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)  # as narrow as they come
     n = len(flat)
     if not n:
         return m, 0
@@ -286,6 +286,7 @@ def train(m: Model, docs: list[np.ndarray], rate: float, steps: int = STEPS, mos
     pad = lanes * span - n
     shape = lambda a, fill: np.append(a, np.full(pad, fill, a.dtype)).reshape(lanes, span).T
     ids, begins, real = shape(flat, len(m.emb) - 1), shape(begins, True), shape(np.ones(n, bool), False)
+    del flat
     m, class_of, sparse = m.copy(), m.class_of, 20 * rate
     one, two = ({k: np.zeros_like(getattr(m, k)) for k in _DENSE} for _ in range(2))
     seen_word, seen_emb = np.ones(len(m.word), np.float32), np.ones(len(m.emb), np.float32)
@@ -301,7 +302,7 @@ def train(m: Model, docs: list[np.ndarray], rate: float, steps: int = STEPS, mos
 
     for i, a in enumerate(range(0, span, steps), 1):
         warm = min(1.0, i / 20)
-        g, (words, rows), h, _ = gradients(m, h, ids[a : a + steps], begins[a : a + steps], real[a : a + steps], class_of, step_words)
+        g, (words, rows), h, _ = gradients(m, h, ids[a : a + steps].astype(np.int64), begins[a : a + steps], real[a : a + steps], class_of, step_words)
         seen_emb[words] += np.einsum("ij,ij->i", rows, rows) / rows.shape[1]
         m.emb[words] -= rows * (sparse * warm / np.sqrt(seen_emb[words]))[:, None]
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) / max(1, real[a : a + steps].sum())

@@ -1,7 +1,7 @@
 """Hashes of words and of runs of words.
 
-A word's hash is xxh3 of its bytes; ``word_hashes`` has cheaper ones for users who compare the words that share a hash: sums
-over a word's bytes, taken for all words of a text at once.  The hash of a run of words is made of those of its halves, each step through a
+A word's hash is xxh3 of its bytes; ``word_hashes`` has cheaper ones, running sums over a text's bytes, for all its words at
+once; words of more than 64 bytes, for which such sums are weak, have xxh3.  The hash of a run of words is made of those of its halves, each step through a
 finisher that mixes all bits, so that no two sequences share a hash by the arithmetic alone.
 """
 
@@ -55,7 +55,7 @@ def runs(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
-_PIECE = 1 << 15
+_PIECE, _LONG = 1 << 15, 64
 
 
 def _powers(of: int) -> np.ndarray:
@@ -75,7 +75,7 @@ def word_edges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word, by running sums over ``_PIECE`` bytes of the text at a time; longer words have xxh3."""
+    """A hash of each word, by running sums over ``_PIECE`` bytes of the text at a time."""
     import xxhash
 
     raw, out, i = np.frombuffer(text, np.uint8), np.empty(len(starts), np.uint64), 0
@@ -83,12 +83,12 @@ def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         a = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, a + _PIECE, side="right")))
         b = int(ends[j - 1])
-        if b - a > _PIECE:
-            out[i] = xxhash.xxh3_64_intdigest(text[a:b])
-        else:
+        if b - a <= _PIECE:  # else a single word, which is hashed below
             sums = np.zeros(b - a + 1, np.uint64)
             np.cumsum((raw[a:b] + np.uint64(1)) * _UP[: b - a], out=sums[1:])
             at = starts[i:j] - a
             out[i:j] = (sums[ends[i:j] - a] - sums[at]) * _BACK[at]
         i = j
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
     return mix(out)

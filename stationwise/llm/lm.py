@@ -10,7 +10,7 @@ The softmax is factored into groups, classes and words (see ``gru``).  The ``WOR
 output weights of their own.  All other words, counted or not, are dealt by their last two bytes to ``gru.TAILS`` sets, which
 the model reads and predicts; within a set, a word's probability is its share of the set's counts, one added to each and to a
 single unknown word.  Counts of the ``HEAD`` most frequent words go with the tasks; a document's other words meet their
-counts in a join.  Words are known by 64-bit xxh3 hashes.
+counts in a join.  Words are known by 64-bit hashes.
 
 ASCII letters are lower-cased; each document ends with an end token.  Null texts are empty: the end token alone.
 A null id is hashed as the empty text.  Repeated rows are scored alike; an empty table gives an empty result; without
@@ -20,7 +20,6 @@ training documents the counts are 0.
 from __future__ import annotations
 
 import math
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +29,14 @@ from pyspark.sql import functions as F
 
 from stationwise.llm import gru
 from stationwise.llm.common import grouped, materialize, table
+from stationwise.llm.hashing import word_edges, word_hashes
 
 SHARD_TOKENS, SCORED_TOKENS = 8_000_000, 2_000_000
 HEAD, WORDS = 200_000, (1 << 16) - gru.TAILS
 RATES = (0.02, 0.015, 0.01)
 END = b" "  # no word holds a space
 PIECES = 32
-_FANOUT, _CACHE, _PART = 16, 1 << 18, 2 << 20
+_FANOUT, _PART = 16, 2 << 20
 
 
 def tail_of(word: bytes) -> int:
@@ -44,34 +44,27 @@ def tail_of(word: bytes) -> int:
     return (31 * word[-1] + (word[-2] if len(word) > 1 else 7)) % gru.TAILS
 
 
-class Codes(dict):
-    """Numbers of words in the order of their first use, and each one's hash and tail; cleared when it grows large."""
+_END_HASH = word_hashes(END, np.zeros(1, np.int64), np.ones(1, np.int64))[0]
 
-    def __init__(self):
-        super().__init__()
-        self.hash, self.tail = array("Q"), array("B")
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+class Codes:
+    """Numbers of the words of some texts in the order of their first use."""
 
-        self[word] = code = len(self)
-        self.hash.append(xxhash.xxh3_64_intdigest(word))
-        self.tail.append(tail_of(word))
-        return code
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All tokens' codes, the number of tokens of each text, and the hash and tail of each code."""
-        if len(self) > _CACHE:
-            self.clear()
-            self.hash, self.tail = array("Q"), array("B")
-        words, n = [], np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            n[i] = len(own) + 1
-            words += own
-            words.append(END)
-        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return codes, n, np.array(self.hash, np.uint64), np.array(self.tail, np.int64)
+        raw = [(t or "").encode("utf-8", "surrogatepass").lower() + b"\n" for t in texts]
+        text = b"".join(raw)
+        starts, ends = word_edges(text)
+        last = np.searchsorted(starts, np.cumsum([len(t) for t in raw]))  # an end follows each text's last word
+        byte = np.frombuffer(text, np.uint8)
+        before = np.where(ends - starts > 1, byte[ends - 2], 7).astype(np.int64)
+        tails = np.insert((31 * byte[ends - 1].astype(np.int64) + before) % gru.TAILS, last, tail_of(END))
+        hashes, first, which = np.unique(np.insert(word_hashes(text, starts, ends), last, _END_HASH), return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        code = np.empty(len(order), np.int64)
+        code[order] = np.arange(len(order))
+        return code[which], np.diff(last, prepend=0) + 1, hashes[order], tails[first[order]]
 
 
 def parts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -91,7 +84,7 @@ def count_tokens(docs: DataFrame, text: str = "text", flush: int = 1_000_000) ->
     """``(token, tail, c)`` over all documents; the token is a word's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, n = Codes(), [], 0
+        held, n = [], 0
 
         def out() -> pa.RecordBatch:
             token, first, which = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
@@ -102,10 +95,9 @@ def count_tokens(docs: DataFrame, text: str = "text", flush: int = 1_000_000) ->
 
         for batch in batches:
             for _, texts in parts(batch.column(0)):
-                found, _, hashes, tails = codes.read(texts)
-                code, c = np.unique(found, return_counts=True)
-                held.append((hashes[code], tails[code], c))
-                n += len(code)
+                which, _, hashes, tails = Codes.read(texts)
+                held.append((hashes, tails, np.bincount(which)))
+                n += len(hashes)
                 if n > flush:
                     yield out()
                     n = 0
@@ -149,13 +141,12 @@ def _encoded(docs: DataFrame, short: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(short)  # at most ``WORDS`` hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, known, n_short = Codes(), Lookup(held.value), len(held.value)
+        known, n_short = Lookup(held.value), len(held.value)
         for batch in batches:
             for at, texts in parts(batch.column(1)):
-                found, n, hashes, tails = codes.read(texts)
-                code, which = np.unique(found, return_inverse=True)
-                place = known.of(hashes[code])
-                ids = np.where(place < 0, n_short + tails[code], place).astype(np.uint16)[which]
+                which, n, hashes, tails = Codes.read(texts)
+                place = known.of(hashes)
+                ids = np.where(place < 0, n_short + tails, place).astype(np.uint16)[which]
                 blobs = [i.tobytes() for i in np.split(ids, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(blobs, pa.binary())], ["shard", "ids"])
 
@@ -232,7 +223,7 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hashes, logs = held.value
-        codes, known = Codes(), Lookup(hashes)
+        known = Lookup(hashes)
         held_ids, held_rows, waiting = [], [], 0
 
         def scored_rows() -> pa.RecordBatch:
@@ -247,9 +238,8 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
 
         for batch in batches:
             for at, texts in parts(batch.column(3)):
-                found, n, word, tail = codes.read(texts)
-                code, which = np.unique(found, return_inverse=True)
-                word, tail, place = word[code], tail[code], known.of(word[code])
+                which, n, word, tail = Codes.read(texts)
+                place = known.of(word)
                 often, listed = place >= 0, (place >= 0) & (place < n_short)
                 log_c = np.where(often, logs[place] if len(logs) else 0.0, 0.0)
                 rest = np.where(listed, 0.0, log_c - tail_norm[tail])
@@ -263,7 +253,7 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
                     their = keys.take(pa.array(doc[some]))
                     none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                     yield pa.RecordBatch.from_arrays([*their.columns, pa.array(word[which[some]].view(np.int64)), *none], names)
-                waiting += len(found)
+                waiting += len(which)
                 if waiting > SCORED_TOKENS:
                     yield scored_rows()
                     waiting = 0

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
-from stationwise.llm import fm_index, hashing, substring
+from stationwise.llm import fm_index, gru, hashing, lm, substring
 
 
 def test_words_are_those_of_the_pattern_and_hash_alike_anywhere():
@@ -56,3 +57,34 @@ def test_indexing_and_searching_look_each_word_up_once():
     again = fm_index.FMIndex(plain, np.arange(60), 5)
     for a, b in zip(found, again.matching([again.encode(t) for t in plain]), strict=True):
         assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_reading_tokens_remembers_no_words():
+    rng = random.Random(7)
+    texts = [" ".join(f"W{rng.randrange(10**9)}" for _ in range(400)) for _ in range(300)]
+    codes = lm.Codes()
+    tracemalloc.start()
+    try:
+        for a in range(0, 300, 20):
+            found, n, hashes, tails = codes.read([*texts[a : a + 20], None])
+            own = [w.encode() for t in texts[a : a + 20] for w in [*t.lower().split(), " "]] + [b" "]
+            assert n.tolist() == [401] * 20 + [1] and len(found) == len(own)
+            assert tails[found].tolist() == [lm.tail_of(w) for w in own]
+            assert len(set(zip(own, hashes[found].tolist(), strict=True))) == len(set(own)) == len(hashes)
+        del found, n, hashes, tails, own
+        assert tracemalloc.get_traced_memory()[0] < 1 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_training_holds_little_beside_the_model():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 500, 2_000).astype(np.uint16) for _ in range(1_000)]
+    model = gru.fresh(np.ones(500), np.ones(gru.TAILS))
+    tracemalloc.start()
+    try:
+        gru.train(model, docs, 0.01)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 85 << 20, peak
