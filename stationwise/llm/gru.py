@@ -17,6 +17,8 @@ HIDDEN, EMBEDDING, TAILS, STEPS, LANES = 64, 32, 64, 16, 1_024
 _DENSE = ("into", "rec", "bias", "grp", "grp_bias", "cls", "cls_bias")
 _SPARSE = ("emb", "word", "word_bias")  # a row for each word
 _CHUNK, _ROWS = 4_096, 1 << 16
+_BLOCK = 512  # lanes taken at once, so that what one step reads and writes stays in a core's cache
+_CELLS, _NEAR = 1 << 15, 1_024  # logits and rows of words taken at once in training
 
 
 @dataclass
@@ -95,71 +97,161 @@ def fresh(counts: np.ndarray, tails: np.ndarray, hidden: int = HIDDEN, embedding
     )
 
 
-def _gates(m: Model, h: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """The states after one token each, whose part of the gates is ``given``, and what the way back needs."""
-    k = h.shape[1]
-    own = h @ m.rec
-    gates = given[:, : 2 * k] + own[:, : 2 * k]
+def _cell(m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``into``, ``rec`` and ``bias`` by gate (reset, keep, new), so that what one gate reads or writes lies together."""
+    k = m.rec.shape[0]
+    into, rec, bias = (np.ascontiguousarray(w.reshape(-1, 3, k).swapaxes(0, 1)) for w in (m.into, m.rec, m.bias))
+    return into, rec, bias
+
+
+def _joined(by_gate: np.ndarray) -> np.ndarray:
+    """The way back from ``_cell``."""
+    return by_gate.swapaxes(0, 1).reshape(by_gate.shape[1], -1)
+
+
+def _gates(rec: np.ndarray, h: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The states after one token each, whose part of the gates is ``given[gate]``, and what the way back needs."""
+    own = h @ rec
+    gates = own[:2]
+    gates += given[:2]
     np.negative(gates, out=gates)
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    reset, keep = gates[:, :k], gates[:, k:]
-    new = reset * own[:, 2 * k :]
-    new += given[:, 2 * k :]
-    np.tanh(new, out=new)
+    reset, keep = gates
+    new = reset * own[2]
+    new += given[2]
+    new *= -2  # tanh(x) is 2 / (1 + exp(-2 x)) - 1, and exp the faster of the two
+    np.exp(new, out=new)
+    new += 1
+    np.divide(2, new, out=new)
+    new -= 1
     out = h - new
     out *= keep
     out += new
-    return out, (h, reset, keep, new, own[:, 2 * k :].copy())
+    return out, (reset, keep, new, own[2])
 
 
 def advance(m: Model, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The states after reading one token each."""
-    return _gates(m, h, m.emb[ids] @ m.into + m.bias)[0]
+    into, rec, bias = _cell(m)
+    return _gates(rec, h, m.emb[ids] @ into + bias)[0]
+
 
+def _logits(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Logits with a column or a row for each state, along which axis the choices lie, and each target's place.
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The log of each target's probability; ``x`` becomes the probabilities."""
-    x -= x.max(1, keepdims=True)
-    logit = x[np.arange(len(x)), target]
+    The shorter axis is the outer one: numpy's loops run along the inner one.
+    """
+    if len(h) > len(weights):
+        x, at = weights @ h.T, target * len(h)
+        x += bias[:, None]
+        at += np.arange(len(h))
+        return x, 0, at
+    x, at = h @ weights.T, np.arange(0, len(h) * len(weights), len(weights))
+    x += bias
+    at += target
+    return x, 1, at
+
+
+def _softmax(x: np.ndarray, axis: int, at: np.ndarray) -> np.ndarray:
+    """Each target's probability; ``x`` becomes the gradient of the loss by the logits."""
+    x -= np.maximum.reduce(x, axis, keepdims=True)
     np.exp(x, out=x)
-    total = x.sum(1, keepdims=True)
-    x /= total
-    return logit - np.log(total[:, 0])
+    x /= np.add.reduce(x, axis, keepdims=True)
+    x = x.reshape(-1)
+    p = x[at]
+    x[at] = p - 1
+    return p
 
 
-def _log_softmax(x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    logit = x[np.arange(len(x)), target]
-    return logit - np.log(np.exp(x, out=x).sum(1))
+def _log_softmax(x: np.ndarray, axis: int, at: np.ndarray) -> np.ndarray:
+    x -= np.maximum.reduce(x, axis, keepdims=True)
+    logit = x.reshape(-1)[at]
+    return logit - np.log(np.add.reduce(np.exp(x, out=x), axis))
 
 
-def _choices(m: Model, cls: np.ndarray, ids: np.ndarray):
+def _choices(m: Model, cls: np.ndarray, ids: np.ndarray, layers: tuple[str, ...] = ("word", "cls", "grp")):
     """The softmaxes that tokens sorted by class go through.
 
     Each is ``(layer, tokens, rows, targets)``: a stretch of the tokens, which choose among ``rows`` of the layer.
     """
-    group = np.searchsorted(m.group_cuts, cls, side="right") - 1
-    for a in range(0, len(cls), _CHUNK):
-        yield "grp", slice(a, a + _CHUNK), slice(0, len(m.grp)), group[a : a + _CHUNK]
-    for layer, parent, cuts, child in (("cls", group, m.group_cuts, cls), ("word", cls, m.cuts, ids)):
+    group = (np.searchsorted(m.group_cuts, np.arange(len(m.cls_bias)), side="right") - 1)[cls]
+    for layer, parent, cuts, child in (("word", cls, m.cuts, ids), ("cls", group, m.group_cuts, cls)):
+        if layer not in layers:
+            continue
         starts = np.searchsorted(parent, np.arange(len(cuts)))
-        for c in np.flatnonzero(np.diff(starts)):
-            lo, hi = cuts[c], cuts[c + 1]
-            if hi - lo > 1:
-                for a in range(starts[c], starts[c + 1], _CHUNK):
-                    at = slice(a, min(a + _CHUNK, starts[c + 1]))
-                    yield layer, at, slice(lo, hi), child[at] - lo
+        some = np.flatnonzero((np.diff(starts) > 0) & (np.diff(cuts) > 1))
+        target = child - cuts[np.minimum(parent, len(cuts) - 1)]
+        for lo, hi, a, end in zip(*(x.tolist() for x in (cuts[some], cuts[some + 1], starts[some], starts[some + 1])), strict=True):
+            while a < end:
+                b = min(a + _CHUNK, end)
+                yield layer, slice(a, b), slice(lo, hi), target[a:b]
+                a = b
+    if "grp" in layers:
+        for a in range(0, len(cls), _CHUNK):
+            yield "grp", slice(a, a + _CHUNK), slice(0, len(m.grp)), group[a : a + _CHUNK]
+
+
+def _word_gradients(m: Model, h: np.ndarray, cls: np.ndarray, ids: np.ndarray, up: np.ndarray, step_words) -> list[np.ndarray]:
+    """The softmaxes among the words of classes, for tokens sorted by class: sets ``up``, gives the targets' probabilities.
+
+    Classes are taken some neighbours at a time, so that all but their products is done for many at once.
+    """
+    starts, cuts, found = np.searchsorted(cls, np.arange(len(m.cuts))), m.cuts, []
+    n, size = np.diff(starts), np.diff(cuts)
+    some = np.flatnonzero((n > 0) & (size > 1))
+    target = ids - cuts[np.minimum(cls, len(cuts) - 1)]
+    held: list[tuple[int, ...]] = []
+    cells = 0
+
+    def settle() -> None:
+        low, high = held[0][0], held[-1][1]
+        x, views, at = np.empty(cells, h.dtype), [], 0
+        for lo, hi, a, b in held:
+            end = at + (hi - lo) * (b - a)
+            view = x[at:end].reshape(b - a, hi - lo)
+            np.matmul(h[a:b], m.word[lo:hi].T, out=view)
+            view += m.word_bias[lo:hi]
+            views.append(view)
+            at = end
+        table = np.array(held)
+        width = np.repeat(table[:, 1] - table[:, 0], table[:, 3] - table[:, 2])  # of each token's row
+        row = np.cumsum(width) - width
+        x -= np.repeat(np.maximum.reduceat(x, row), width)
+        np.exp(x, out=x)
+        x *= np.repeat(1 / np.add.reduceat(x, row), width)
+        row += np.concatenate([target[a:b] for _, _, a, b in held])
+        p = x[row]
+        x[row] = p - 1
+        found.append(p)
+        d_word, d_bias = np.zeros((high - low, h.shape[1]), h.dtype), np.zeros(high - low, h.dtype)
+        for (lo, hi, a, b), view in zip(held, views, strict=True):
+            np.matmul(view, m.word[lo:hi], out=up[a:b])
+            np.matmul(view.T, h[a:b], out=d_word[lo - low : hi - low])
+            np.add.reduce(view, 0, out=d_bias[lo - low : hi - low])
+        step_words(slice(low, high), d_word, d_bias)
+        held.clear()
+
+    for lo, hi, a, b in zip(*(x.tolist() for x in (cuts[some], cuts[some + 1], starts[some], starts[some + 1])), strict=True):
+        more = (hi - lo) * (b - a)
+        if held and (cells + more > _CELLS or hi - held[0][0] > _NEAR):
+            settle()
+            cells = 0
+        held.append((lo, hi, a, b))
+        cells += more
+    if held:
+        settle()
+    return found
 
 
 def log_probs(m: Model, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of each token's probability; of a tail that of its class alone."""
-    cls = m.class_of[ids]
+    cls = m.class_of.astype(np.uint16)[ids]
     order = np.argsort(cls, kind="stable")
-    h, logp, out = h[order], np.zeros(len(ids)), np.empty(len(ids))
-    for layer, at, rows, target in _choices(m, cls[order], ids[order]):
-        logp[at] += _log_softmax(h[at] @ getattr(m, layer)[rows].T + getattr(m, layer + "_bias")[rows], target)
+    h, logp, out = h.take(order, 0), np.zeros(len(ids)), np.empty(len(ids))
+    for layer, at, rows, target in _choices(m, cls[order].astype(np.int64), ids[order]):
+        logp[at] += _log_softmax(*_logits(getattr(m, layer)[rows], getattr(m, layer + "_bias")[rows], h[at], target))
     out[order] = logp
     return out
 
@@ -172,6 +264,7 @@ def score(m: Model, docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray:
     flat = np.concatenate(docs).astype(np.int64) if len(docs) else np.zeros(0, np.int64)
     h = np.zeros((len(docs), m.rec.shape[0]), np.float32)
     falling, t = length[order], 0
+    into, rec, bias = _cell(m)
     states, ids, lanes, held = [], [], [], 0
 
     def settle() -> None:
@@ -186,11 +279,12 @@ def score(m: Model, docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray:
         for a in range(0, live, _ROWS // steps):
             lane = at[a : a + _ROWS // steps]
             tokens = flat[starts[lane][None, :] + t + np.arange(width)[:, None]]
-            given = (m.emb[tokens.ravel()] @ m.into + m.bias).reshape(width, len(lane), -1)
             own = h[a : a + len(lane)].copy()
             for s in range(width):
                 states.append(own)
-                own = _gates(m, own, given[s])[0]
+                given = m.emb.take(tokens[s], 0) @ into
+                given += bias
+                own = _gates(rec, own, given)[0]
             h[a : a + len(lane)] = own
             ids.append(tokens.ravel())
             lanes.append(np.tile(lane, width))
@@ -214,59 +308,78 @@ def gradients(m: Model, h: np.ndarray, ids: np.ndarray, fresh_at: np.ndarray, re
     """
     steps, lanes = ids.shape
     k, tok = h.shape[1], ids.ravel()
-    given = m.emb[tok]
-    x = (given @ m.into + m.bias).reshape(steps, lanes, 3 * k)
-    seen, back = np.empty((steps, lanes, k), np.float32), []
-    for t in range(steps):
-        seen[t] = h
-        seen[t][fresh_at[t]] = 0
-        h, kept = _gates(m, seen[t], x[t])
-        back.append(kept)
-    order = np.flatnonzero(real.ravel())
-    order = order[np.argsort(class_of[tok[order]], kind="stable")]
-    own_h, loss = seen.reshape(-1, k)[order], 0.0
-    own_up = np.zeros_like(own_h)
+    into, rec, bias = _cell(m)
+    given = m.emb.take(ids, 0)
+    seen, last, back = np.empty((steps, lanes, k), h.dtype), np.empty_like(h), []
+    for a in range(0, lanes, _BLOCK):
+        some, own = slice(a, a + _BLOCK), h[a : a + _BLOCK]
+        for t in range(steps):
+            now = seen[t, some]
+            now[...] = own
+            now[fresh_at[t, some]] = 0
+            x = given[t, some] @ into
+            x += bias
+            own, kept = _gates(rec, now, x)
+            back.append((x, *kept))
+        last[some] = own
+    order = np.flatnonzero(real)
+    order = order[np.argsort(class_of.astype(np.uint16)[tok[order]], kind="stable")]
+    sorted_ids = tok[order]
+    own_h = seen.reshape(-1, k).take(order, 0)
+    own_up, sorted_cls = np.zeros_like(own_h), class_of[sorted_ids]
     g = {name: np.zeros_like(getattr(m, name)) for name in ("grp", "grp_bias", "cls", "cls_bias")}
-    for layer, at, rows, target in _choices(m, class_of[tok[order]], tok[order]):
-        weights = getattr(m, layer)[rows]
-        d = own_h[at] @ weights.T + getattr(m, layer + "_bias")[rows]
-        loss -= float(_softmax(d, target).sum())
-        d[np.arange(len(d)), target] -= 1
-        own_up[at] += d @ weights
-        if layer == "word":
-            step_words(rows, d.T @ own_h[at], d.sum(0))
-        else:
-            g[layer][rows] += d.T @ own_h[at]
-            g[layer + "_bias"][rows] += d.sum(0)
-    up = np.zeros((steps * lanes, k), np.float32)
+    found = _word_gradients(m, own_h, sorted_cls, sorted_ids, own_up, step_words)
+    for layer, at, rows, target in _choices(m, sorted_cls, sorted_ids, ("cls", "grp")):
+        weights, states = getattr(m, layer)[rows], own_h[at]
+        d, axis, their = _logits(weights, getattr(m, layer + "_bias")[rows], states, target)
+        found.append(_softmax(d, axis, their))
+        if axis:
+            d = d.T
+        own_up[at] += d.T @ weights
+        g[layer][rows] += d @ states
+        g[layer + "_bias"][rows] += np.add.reduce(d, 1)
+    loss = -float(np.log(np.maximum(np.concatenate(found), np.finfo(h.dtype).tiny)).sum()) if found else 0.0
+    up = np.zeros((steps * lanes, k), h.dtype)
     up[order] = own_up
     up = up.reshape(steps, lanes, k)
-    dx, carry = x, np.zeros((lanes, k), np.float32)  # the gates' parts have been read
-    d_own, g["rec"] = np.empty_like(dx[0]), np.zeros_like(m.rec)
-    for t in range(steps - 1, -1, -1):
-        old, reset, keep, new, own = back.pop()
-        passed, now = 1 - keep, dx[t]
-        d_new = now[:, 2 * k :]
-        np.multiply(carry, passed, out=d_new)
-        d_new *= 1 - new * new
-        np.multiply(d_new, own, out=now[:, :k])
-        now[:, :k] *= reset
-        now[:, :k] *= 1 - reset
-        passed *= keep
-        passed *= carry
-        np.multiply(old - new, passed, out=now[:, k : 2 * k])
-        d_own[...] = now
-        d_own[:, 2 * k :] *= reset
-        g["rec"] += seen[t].T @ d_own
-        carry = carry * keep
-        carry += d_own @ m.rec.T
-        carry += up[t]
-        carry[fresh_at[t]] = 0
-    dx = dx.reshape(-1, 3 * k)
-    g["bias"], g["into"] = dx.sum(0), given.T @ dx
-    order = np.argsort(tok, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(tok[order]) != 0))
-    return g, (tok[order][first], np.add.reduceat((dx @ m.into.T)[order], first, axis=0)), h, loss
+    del own_h, own_up
+    d_rec, d_into, d_bias = (np.zeros_like(w) for w in (rec, into, bias))
+    into_back, rec_back = into.swapaxes(1, 2), rec.swapaxes(1, 2)
+    for a in reversed(range(0, lanes, _BLOCK)):
+        some = slice(a, min(a + _BLOCK, lanes))
+        carry = np.zeros((some.stop - a, k), h.dtype)
+        passed, d_own, ones = np.empty_like(carry), np.empty((3, *carry.shape), h.dtype), np.ones((1, len(carry)), h.dtype)
+        for t in range(steps - 1, -1, -1):
+            old, words, (now, reset, keep, new, own) = seen[t, some], given[t, some], back.pop()  # the gates' parts have been read
+            d_reset, d_keep, d_new = now
+            np.subtract(old, new, out=d_keep)
+            new *= new
+            np.subtract(1, new, out=new)
+            np.subtract(1, keep, out=passed)
+            np.multiply(carry, passed, out=d_new)
+            d_new *= new
+            passed *= keep
+            passed *= carry
+            d_keep *= passed
+            np.multiply(d_new, reset, out=d_own[2])
+            np.multiply(d_own[2], own, out=d_reset)
+            np.subtract(1, reset, out=reset)
+            d_reset *= reset
+            d_own[:2] = now[:2]
+            d_rec += old.T @ d_own
+            d_into += words.T @ now
+            d_bias += ones @ now
+            carry *= keep
+            for d, weights in zip(d_own, rec_back, strict=True):
+                carry += np.matmul(d, weights, out=passed)
+            carry += up[t, some]
+            carry[fresh_at[t, some]] = 0
+            np.add.reduce(now @ into_back, 0, out=words)  # this step's embeddings have been read
+    g["rec"], g["into"], g["bias"] = _joined(d_rec), _joined(d_into), _joined(d_bias)[0]
+    order = np.argsort(tok.astype(np.uint16) if len(m.emb) <= 1 << 16 else tok, kind="stable")
+    sorted_ids = tok[order]
+    first = np.flatnonzero(np.append(True, np.diff(sorted_ids) != 0))
+    return g, (sorted_ids[first], np.add.reduceat(given.reshape(len(tok), -1).take(order, 0), first, axis=0)), last, loss
 
 
 def train(m: Model, docs: list[np.ndarray], rate: float, steps: int = STEPS, most_lanes: int = LANES) -> tuple[Model, int]:
@@ -294,11 +407,13 @@ def train(m: Model, docs: list[np.ndarray], rate: float, steps: int = STEPS, mos
     warm = 1.0
 
     def step_words(rows: slice, d_word: np.ndarray, d_bias: np.ndarray) -> None:
-        seen_word[rows] += np.einsum("ij,ij->i", d_word, d_word) / d_word.shape[1]
-        move = sparse * warm / np.sqrt(seen_word[rows])
-        m.word_bias[rows] -= move * d_bias
+        seen, bias, word = seen_word[rows], m.word_bias[rows], m.word[rows]  # views
+        seen += np.vecdot(d_word, d_word) / d_word.shape[1]
+        move = np.sqrt(seen)
+        np.divide(sparse * warm, move, out=move)
+        bias -= move * d_bias
         d_word *= move[:, None]
-        m.word[rows] -= d_word
+        word -= d_word
 
     for i, a in enumerate(range(0, span, steps), 1):
         warm = min(1.0, i / 20)
