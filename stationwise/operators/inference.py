@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationwise.functions.exprs import haversine_km, ratio
+from stationwise.functions.exprs import EARTH_KM, haversine_km, ratio
+from stationwise.functions.md5 import Texts
 from stationwise.operators.panel import six
 from stationwise.operators.sampling import _median_error, drawn_sql, period, simulate
-from stationwise.operators.spatial import _HAVERSINE, BAND_KM, LINKS, within
+from stationwise.operators.spatial import _HAVERSINE, BAND_KM, LINKS
 from stationwise.plans.registry import READINGS_SQL, SITES_SQL, query
 from stationwise.sources.panel import daily, grid, readings, sites
 from stationwise.sources.scratch import written
@@ -29,37 +29,83 @@ SELECT o.city, o.date, round(max(own), 6) AS moran, count(*) AS n_permutations,
 def moran_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moran's I of each day against values dealt anew to the day's sensors, in orders that hashes give."""
     r = readings(spark, sf_dir)
-    days = daily(r).groupBy("city", "date").agg(F.sort_array(F.collect_list(F.struct("sensor_id", "value"))).alias("sensors")).where(F.size("sensors") >= 3)
-    # a city's links once; each day of the city reads them
-    links = within(sites(r), BAND_KM).groupBy("city").agg(F.collect_list(F.struct("a", "b")).alias("links"))
-    both = days.join(links, "city").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "city", "date")
-    kind = both.schema["city"].dataType.simpleString()
+    days = daily(r).select("city", "date", "sensor_id", "value").join(sites(r).select("sensor_id", "lat", "lon"), "sensor_id", "left")
+    return permuted_moran(days)
+
+
+PLACE_BLOCK = 512
+
+
+def permuted_moran(days: DataFrame, permutations: int = PERMUTATIONS, km: float = BAND_KM) -> DataFrame:
+    """``(city, date, moran, n_permutations, p_upper)`` of ``days(city, date, sensor_id, value, lat, lon)``.
+
+    A day's sensors stream to one task as rows.  Those of one place have the same links, so a permutation is the sums of
+    its values by place, and the links are found block by block of places and not kept.
+    """
+    kind = days.schema["city"].dataType.simpleString()
+    columns = ("city", "date", "sensor_id", "value", "lat", "lon")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                names = [s["sensor_id"] for s in row["sensors"]]
-                z = np.array([s["value"] for s in row["sensors"]])
-                z, place = z - z.mean(), {s: k for k, s in enumerate(names)}
-                ends = np.array([(place[e["a"]], place[e["b"]]) for e in row["links"] if e["a"] in place and e["b"] in place]).reshape(-1, 2)
-                s2 = float(z @ z)
-                if not len(ends) or not s2 > 0:
-                    continue
-                found = [np.arange(len(z))]
-                for perm in range(1, PERMUTATIONS + 1):
-                    keys = [hashlib.md5(f"{perm}|{row['date']}|{s}".encode()).hexdigest() for s in names]
-                    rank = np.empty(len(z), np.int64)
-                    rank[sorted(range(len(z)), key=lambda k: (keys[k], names[k]))] = np.arange(len(z))
-                    found.append(rank)
-                dealt = z[np.array(found)]
-                i = np.round(len(z) * (dealt[:, ends[:, 0]] * dealt[:, ends[:, 1]]).sum(1) / len(ends) / s2, 9)
-                out.append((row["city"], row["date"], round(float(i[0]), 6), PERMUTATIONS, round((1 + int((i[1:] >= i[0]).sum())) / (1 + PERMUTATIONS), 6)))
-            if out:
-                kinds = [batch.schema.field("city").type, pa.date32(), pa.float64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["city", "date", "moran", "n_permutations", "p_upper"])
-
-    return both.mapInArrow(run, f"city {kind}, date date, moran double, n_permutations long, p_upper double")
+        for city, date, rows in _days_of(batches):
+            z = rows.column("value").to_numpy()
+            if len(z) >= 3 and (found := _permuted(rows.column("sensor_id").to_pylist(), z, rows, date, permutations, km)) is not None:
+                out = (city, date, *found)
+                kinds = [rows.schema.field("city").type, pa.date32(), pa.float64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds, strict=True)], ["city", "date", "moran", "n_permutations", "p_upper"])
+
+    dealt = days.select(*columns).repartition(int(days.sparkSession.conf.get("spark.sql.shuffle.partitions")), "city", "date")
+    return dealt.sortWithinPartitions("city", "date", "sensor_id").mapInArrow(run, f"city {kind}, date date, moran double, n_permutations long, p_upper double")
+
+
+def _days_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, object, pa.Table]]:
+    """The rows of each city and date, from batches in their order."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = list(zip(batch.column("city").to_pylist(), batch.column("date").to_pylist(), strict=True))
+        cuts = [0, *(k for k in range(1, len(of)) if of[k] != of[k - 1]), len(of)]
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            if held and of[first] != key:
+                yield *key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = of[first]
+            held.append(batch.slice(first, last - first))
+    if held:
+        yield *key, pa.Table.from_batches(held).combine_chunks()
+
+
+def _permuted(names: list[str], values: np.ndarray, rows: pa.Table, date: object, permutations: int, km: float) -> tuple[float, int, float] | None:
+    z = values - values.mean()
+    s2 = float(z @ z)
+    if not s2 > 0:
+        return None
+    places, of = np.unique(np.column_stack([rows.column(c).to_numpy() for c in ("lat", "lon")]), axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    texts, sums = Texts(names), np.empty((1 + permutations, len(places)))
+    sums[0] = np.bincount(of, z, len(places))
+    for perm in range(1, permutations + 1):
+        high, low = texts.digests(f"{perm}|{date}|")
+        order = np.argsort(high, kind="stable")
+        if (high[order[1:]] == high[order[:-1]]).any():
+            order = np.lexsort((low, high))
+        dealt = np.empty(len(z))
+        dealt[order] = z  # the sensor that comes k-th by its hash gets the k-th sensor's value
+        sums[perm] = np.bincount(of, dealt, len(places))
+    here, total, links = np.bincount(of, minlength=len(places)).astype(float), np.zeros(1 + permutations), 0.0
+    lat, lon = np.radians(places[:, 0]), np.radians(places[:, 1])
+    for k in range(0, len(places), PLACE_BLOCK):
+        some = slice(k, k + PLACE_BLOCK)
+        h = np.sin((lat[None, :] - lat[some, None]) / 2) ** 2 + np.cos(lat[some, None]) * np.cos(lat[None, :]) * np.sin((lon[None, :] - lon[some, None]) / 2) ** 2
+        far = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
+        linked = ((far > 0) & (far <= km)).astype(float)  # no place is known: no link
+        total += ((sums[:, some] @ linked) * sums).sum(1)
+        links += float((here[some] @ linked) @ here)
+    if not links:
+        return None
+    i = np.round(len(z) * (total / links) / s2, 9)
+    return round(float(i[0]), 6), permutations, round((1 + int((i[1:] >= i[0]).sum())) / (1 + permutations), 6)
 
 
 @query(f"""WITH {READINGS_SQL}, n AS (SELECT city, date, ln(1 + avg(value)) AS y, 1 - count(value) / CAST(count(*) AS DOUBLE) AS x, CAST('0x' || substr(md5(city || '|' || date), 1, 6) AS BIGINT) % {FOLDS} AS fold FROM grid GROUP BY 1, 2 HAVING count(value) > 0),
