@@ -11,7 +11,7 @@ from stationwise.functions.exprs import correlation, percent, ratio
 from stationwise.operators.gaps import retained, scenario_sql
 from stationwise.operators.panel import share, six
 from stationwise.operators.sampling import DAILY, _median_error, _percentiles, day_values, drawn_sql, simulate
-from stationwise.operators.spatial import BAND_KM, LINKS, variogram_bins, within
+from stationwise.operators.spatial import BAND_KM, LINKS, moran_sums, variogram_bins
 from stationwise.plans.registry import ORACLES, READINGS_SQL, query
 from stationwise.sources.panel import daily, grid, mean, readings, sites
 
@@ -133,12 +133,7 @@ q AS (SELECT *, (i - ex) / sqrt(var) AS z FROM y WHERE var > 1e-12) SELECT city,
 def moran_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moran's I of each day with its variance under randomisation, z and upper p, for days with five sensors."""
     r = readings(spark, sf_dir)
-    z = daily(r).select("city", "date", "sensor_id", (F.col("value") - F.avg("value").over(Window.partitionBy("city", "date"))).alias("z"))
-    m = z.groupBy("city", "date").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.pow("z", F.lit(2))).alias("s2"), F.sum(F.pow("z", F.lit(4))).alias("s4"))
-    e = within(sites(r), BAND_KM).select("a", "b")
-    ends = e.join(z.withColumnRenamed("sensor_id", "a"), "a").join(z.select(F.col("sensor_id").alias("b"), "date", F.col("z").alias("zb")), ["b", "date"])
-    g = ends.groupBy("city", "date", "a").agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum(F.col("z") * F.col("zb")).alias("num"))
-    x = m.join(g.groupBy("city", "date").agg(F.sum("k").alias("s0"), (4 * F.sum(F.col("k") * F.col("k"))).alias("w2"), F.sum("num").alias("num")), ["city", "date"]).where("n >= 5 AND s2 > 0")
+    x = moran_sums(daily(r), sites(r), BAND_KM).withColumns({"n": F.col("n").cast("double"), "s0": F.col("s0").cast("double"), "w2": 4 * F.col("k2")}).where("n >= 5 AND s2 > 0")
     n, s0, w1, w2, b2 = F.col("n"), F.col("s0"), 2 * F.col("s0"), F.col("w2"), F.col("n") * F.col("s4") / (F.col("s2") * F.col("s2"))
     var = (n * ((n * n - 3 * n + 3) * w1 - n * w2 + 3 * s0 * s0) - b2 * ((n * n - n) * w1 - 2 * n * w2 + 6 * s0 * s0)) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - 1 / ((n - 1) * (n - 1))
     x = x.withColumn("i", n / s0 * F.col("num") / F.col("s2")).withColumn("var", var).where("var > 1e-12").withColumn("score", (F.col("i") + 1 / (n - 1)) / F.sqrt("var"))
