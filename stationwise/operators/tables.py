@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stationwise.functions.exprs import percent
 from stationwise.operators.panel import six
-from stationwise.operators.spatial import PAIRS, pairs
+from stationwise.operators.spatial import PAIRS, distances
 from stationwise.plans.registry import READINGS_SQL, query
 from stationwise.sources.footers import column_statistics, footers
 from stationwise.sources.panel import daily, grid, load, mean, readings, sites
@@ -74,7 +74,7 @@ def time_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIRS}, q AS (SELECT city, round(km, 6) AS km FROM p) SELECT city, km, count(*) AS n, round(max(c), 6) AS ecdf FROM (SELECT *, cume_dist() OVER (PARTITION BY city ORDER BY km) AS c FROM q) GROUP BY 1, 2")
 def distance_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of a city's pairs at most so far apart: counts of equal distances, summed up."""
-    q = pairs(sites(readings(spark, sf_dir))).groupBy("city", six("km").alias("km")).agg(F.count(F.lit(1)).alias("n"))
+    q = distances(sites(readings(spark, sf_dir))).groupBy("city", six("km").alias("km")).agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("city").orderBy("km")
     return q.select("city", "km", "n", six(F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("city"))).alias("ecdf"))
 

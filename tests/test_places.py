@@ -33,3 +33,29 @@ def test_moran_sums_by_places(spark):
         assert (r.n, r.s0, r.k2) == (len(z), sum(map(len, k.values())), sum(len(x) ** 2 for x in k.values()))
         assert (r.s2, r.s4) == (pytest.approx(sum(x**2 for x in z.values())), pytest.approx(sum(x**4 for x in z.values())))
         assert r.num == pytest.approx(sum(z[a] * z[b] for a in z for b in k[a]))
+
+
+def every_pair(spark, s):
+    rows = s.collect()
+    at = spark.createDataFrame([(x.city, x.sensor_id, y.sensor_id, x.lat, x.lon, y.lat, y.lon) for x in rows for y in rows if x.city == y.city and int(x.sensor_id) < int(y.sensor_id)], "city int, a string, b string, lat double, lon double, lat2 double, lon2 double")
+    return at.select("city", "a", "b", spatial.haversine_km("lat", "lon", "lat2", "lon2").alias("km"))
+
+
+def test_pairs_and_distances_by_places(spark):
+    s, _, _ = network(spark)
+    want = sorted(map(tuple, every_pair(spark, s).collect()))
+    assert sorted(map(tuple, spatial.pairs(s).collect())) == want
+    at = spatial.place_pairs(s)  # 14 places: no more rows meet, however many sensors share them
+    assert at.count() == 2 * 7 * 8 // 2
+    counted = {}
+    for city, _, _, km in want:
+        counted[city, km] = counted.get((city, km), 0) + 1
+    got = spatial.distances(s).groupBy("city", "km").sum("n").collect()
+    assert {(r.city, r.km): r[2] for r in got} == counted
+
+
+def test_links_by_places(spark):
+    s, _, _ = network(spark)
+    want = {(r.a, r.b, r.km) for r in every_pair(spark, s).collect() if 0 < r.km <= 5}
+    assert {(r.a, r.b, r.km) for r in spatial.within(s, 5.0).collect()} == want | {(b, a, km) for a, b, km in want}
+    assert spatial.near_places(spatial.places(s), 5.0).count() <= 2 * 7 * 6 < len(want)
