@@ -59,3 +59,12 @@ def test_links_by_places(spark):
     want = {(r.a, r.b, r.km) for r in every_pair(spark, s).collect() if 0 < r.km <= 5}
     assert {(r.a, r.b, r.km) for r in spatial.within(s, 5.0).collect()} == want | {(b, a, km) for a, b, km in want}
     assert spatial.near_places(spatial.places(s), 5.0).count() <= 2 * 7 * 6 < len(want)
+
+
+def test_medians_of_pairs_by_counting(spark):
+    s, d, _ = network(spark, 70, 70)
+    want = sorted(map(tuple, spatial.pair_medians(d, s, 10, least=2).collect()))
+    assert sorted(map(tuple, spatial.pair_medians(d, s, 10, 0, least=2).collect())) == want and len(want) >= 6
+    flat = d.withColumn("value", spatial.F.lit(5.0))  # no correlations, and all differences 0
+    want = sorted(map(tuple, spatial.pair_medians(flat, s, 10).collect()))
+    assert sorted(map(tuple, spatial.pair_medians(flat, s, 10, 0).collect())) == want and want[0][3:] == (None, 0.0, 0.0)
